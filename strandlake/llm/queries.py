@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandlake.llm import pii
 from strandlake.llm.common import table
 from strandlake.llm.minhash import near_duplicates
 
@@ -12,5 +13,11 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
-QUERIES = {"op10_minhash": op10_minhash}
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights, _ = pii.train(docs)
+    return pii.digest(pii.detect(docs, weights))
+
+
+QUERIES = {"op5_pii": op5_pii, "op10_minhash": op10_minhash}
 ORACLES: dict[str, str] = {}
