@@ -66,7 +66,7 @@ def with_arrow_columns(df: DataFrame, text: str, fields: list[T.StructField], ma
     schema = T.StructType([*kept, *fields])
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(T.StructType(fields), timezone="UTC")
+    arrow = to_arrow_schema(T.StructType(fields))
     names = [f.name for f in kept]
 
     def run(batches):

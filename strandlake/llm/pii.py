@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -266,6 +266,10 @@ def detect(docs: DataFrame, weights: np.ndarray, text: str = "text", redact: boo
     return with_arrow_columns(docs, text, fields, make)
 
 
+def _of_kind(spans: Column, kind: str) -> Column:
+    return F.filter(spans, lambda x: x.kind == kind)
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """The columns of the query, from pii_spans."""
 
@@ -273,7 +277,7 @@ def digest(docs: DataFrame) -> DataFrame:
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x.kind, x.start, x.end)), ",")
 
     base = F.filter("pii_spans", lambda x: x.base)
-    counts = [F.size(F.filter(base, lambda x, k=k: x.kind == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    counts = [F.size(_of_kind(base, k)).cast("long").alias(f"n_{k}") for k in BASE]
     return docs.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"))
 
 

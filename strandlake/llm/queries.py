@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandlake.llm import pii
+from strandlake.llm import mixing, pii
 from strandlake.llm.common import table
 from strandlake.llm.minhash import near_duplicates
 
@@ -19,5 +19,9 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(docs, weights))
 
 
-QUERIES = {"op5_pii": op5_pii, "op10_minhash": op10_minhash}
+def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op9_mix": op9_mix, "op5_pii": op5_pii, "op10_minhash": op10_minhash}
 ORACLES: dict[str, str] = {}
