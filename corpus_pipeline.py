@@ -1,10 +1,77 @@
-"""Corpus pipeline: quality classifier, near-duplicates, personal data, mixing, token ids."""
+"""Corpus pipeline: quality classifier, near-duplicates, personal data, mixing of sources, token ids.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the columns of documents. Between
+stages the rows are written as Parquet and read again, so a lost executor costs one stage at most.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strandlake.llm import mixing, pieces, pii, quality
+from strandlake.llm.common import stage, table
+from strandlake.llm.minhash import near_duplicates
+
+#: Scores below this are rejected.
+LEAST_QUALITY = 0.5
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, trained on the labelled ones among docs, doesn't reject. Empty ones are scored as well."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, column="__score").where(F.col("__score") >= LEAST_QUALITY).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near-duplicates (five words, similarity 0.8).
+
+    Of rows with one doc_id the one with the smallest text stays; rows without doc_id stay.
+    """
+    kept = near_duplicates(docs, words=5, percent=80).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
+    rows = docs.join(kept, docs.doc_id == F.col("__kept")).drop("__kept")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
+    rows = rows.withColumn("__row", first).where("__row = 1").select(docs.columns)
+    return rows.union(docs.where("doc_id is null"))
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with spans of personal data replaced by their kind; n_chars follows."""
+    weights, _ = pii.train(docs)
+    out = pii.detect(docs, weights, redact=True)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
+    return out.select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them; those that it doesn't take, and those without words, go."""
+    return mixing.mixed(docs)
+
+
+def to_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens, ids, ids_crc32, lossless of every row."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.encode(docs.select("doc_id", "source", "text"), model).select("doc_id", "source", "n_tokens", "ids", "ids_crc32", "lossless")
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("pii", redact),
+    ("mixing", mix_sources),
+    ("sentencepiece", to_ids),
+]
+
+#: SQL can't express the classifier, the flight of the cube method, or the merges.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, f) in enumerate(STAGES):
+        docs = f(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stage(docs, f"stage-{name}")
+    return docs

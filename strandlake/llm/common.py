@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of documents that one slice of an Arrow batch holds while Python works on it; bounds a worker's memory.
-SLICE_ROWS = 256
+SLICE_ROWS = 512
 #: Text bytes after which a slice is cut earlier.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,10 +55,11 @@ def slices(batch: pa.RecordBatch, text: str | None = None) -> Iterator[pa.Record
     yield batch.slice(start)
 
 
-def with_arrow_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable], slim: bool = True) -> DataFrame:
+def with_arrow_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable], whole: bool = False) -> DataFrame:
     """df with columns computed in Python from one text column.
 
-    make() runs once per task and returns f(list of texts) -> list of columns as Python lists or Arrow arrays, in the order of fields.
+    make() runs once per task and returns f(list of texts, or the whole part of a batch) -> list of columns as Python lists or Arrow arrays, in the
+    order of fields.
     A column of df whose name (in any case) equals a new one's is replaced.
     """
     new = {f.name.lower() for f in fields}
@@ -71,10 +72,10 @@ def with_arrow_columns(df: DataFrame, text: str, fields: list[T.StructField], ma
 
     def run(batches):
         f = None
-        for whole in batches:
-            for b in slices(whole, text):
+        for batch in batches:
+            for b in slices(batch, text):
                 f = f or make()
-                got = f(b.column(text).to_pylist())
+                got = f(b if whole else b.column(text).to_pylist())
                 cols = [c if isinstance(c, pa.Array) else pa.array(c, type=t.type) for c, t in zip(got, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *cols], names=[*names, *arrow.names])
 

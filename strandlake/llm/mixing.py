@@ -149,7 +149,7 @@ def balanced_extra(units: DataFrame, seed: int = 7) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of docs (doc_id, text, source).
+    """doc_id, size, source_size, target, taken, copies, source, i for every row of docs (doc_id, text, source).
 
     size: words of the text (null: 0). taken: words the mix takes of the document, repeats counted, at most MOST times its size. Rows
     without words take 0. Equal rows may fare differently but are told apart by a counter, so that reruns agree; a null doc_id counts
@@ -167,4 +167,15 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     part = F.when((F.col("rate") - whole) > 1e-9, F.col("rate") - whole).otherwise(0.0)
     rows = stage(rows.withColumn("whole", whole).withColumn("p", F.when(F.col("size") > 0, part).otherwise(0.0)), "rates")
     extra = balanced_extra(rows.select("row", "source", "size", "p"), seed)
-    return rows.join(extra, "row").select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("extra"))).cast("long").alias("taken"))
+    copies = (F.col("whole") + F.col("extra")).cast("int")
+    out = rows.join(extra, "row").select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.alias("copies"), "source", "i")
+    return out
+
+
+def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it."""
+    taken = mix(docs, seed).where("taken > 0").select(*(F.col(c).alias(f"__{c}") for c in ("doc_id", "source", "size", "i", "copies")))
+    same = Window.partitionBy("doc_id", "source", "__words").orderBy("text")
+    rows = docs.withColumn("__words", word_count()).where("__words > 0").withColumn("__nth", F.row_number().over(same))
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")) & F.col("source").cast("string").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")) & (F.col("__nth") == F.col("__i"))
+    return rows.join(taken, match).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(docs.columns)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import mixing, pii, quality
+from strandlake.llm import mixing, pieces, pii, quality
 from strandlake.llm.common import table
 from strandlake.llm.minhash import near_duplicates
 
@@ -21,7 +22,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,5 +31,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {"op8_quality": op8_quality, "op9_mix": op9_mix, "op5_pii": op5_pii, "op10_minhash": op10_minhash}
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op8_quality": op8_quality, "op9_mix": op9_mix, "op5_pii": op5_pii, "op10_minhash": op10_minhash}
 ORACLES: dict[str, str] = {}
