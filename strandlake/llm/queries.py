@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import mixing, pieces, pii, quality
+from strandlake.llm import mixing, mpeg_audio, pieces, pii, quality, secret_scan
 from strandlake.llm.common import table
 from strandlake.llm.minhash import near_duplicates
 
@@ -36,5 +36,13 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op8_quality": op8_quality, "op9_mix": op9_mix, "op5_pii": op5_pii, "op10_minhash": op10_minhash}
+def op3_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg_audio.stored_features(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("offsets")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+QUERIES = {"op3_mpeg_audio": op3_mpeg_audio, "op4_secret_scan": op4_secret_scan, "op1_sentencepiece": op1_sentencepiece, "op8_quality": op8_quality, "op9_mix": op9_mix, "op5_pii": op5_pii, "op10_minhash": op10_minhash}
 ORACLES: dict[str, str] = {}
