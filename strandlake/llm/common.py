@@ -32,7 +32,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df.staged_at)
+    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,6 +119,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         after = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select(F.col("x").alias("u"), F.col("m").alias("v")))
         after = stage(after.distinct(), "cc")
         same = after.groupBy().agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).collect() == now.groupBy().agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).collect()
+        for old in (down, now):
+            unstage(old)
         now = after
         if same:
             break

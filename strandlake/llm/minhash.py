@@ -7,23 +7,25 @@ pairs that pass are confirmed on their whole sets.
 Equal sets are one class, so copies never make pairs. Lists of up to SHORT_LIST classes give all their pairs. Longer lists (a passage
 that many documents share, or a family of thousands of near copies) don't: classes of which too few retained hashes are on long
 lists cannot link through those alone and leave them; the others are compared with a few leaders of their lists, round by round,
-until most of a list is one component, and what is left outside then meets all members of its lists. Links inside a component that
-is already known need no check, so a family costs a number of checks that grows with its size and not with its square.
+until most of a list is one component, and what is left outside then meets all members of its lists, by estimate first. Links inside
+a component that is already known need no check, so a family costs a number of checks that grows with its size and not with its square.
 
-Misses: two sets of similarity 0.8 share fewer than NEEDED of 32 retained hashes with a probability of about 1e-7.
+Misses: two sets of similarity 0.8 share fewer than NEEDED of POSTED retained hashes with a probability of about 1e-7, and have an
+estimate below LEAST from SKETCH retained hashes with one of about 1e-6.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import connected_components, stage
 from strandlake.llm.shingles import set_digest, shingle_sets
 
-#: Retained hashes of a sketch, and the share of a sketch that linked sets have in common at least (far below 0.8).
-SKETCH, NEEDED = 32, 0.4
+#: Retained hashes of a sketch; of these, the smallest that go to inverted lists; the share of these that linked sets have in common at
+#: least; and the least estimate of a similarity of 0.8. For other thresholds the last two scale with it.
+SKETCH, POSTED, NEEDED, LEAST = 64, 32, 0.4, 0.55
 #: Lists up to this length give all pairs.
 SHORT_LIST = 40
 #: Rounds of leaders for long lists, at most; and retained hashes that a class outside looks up in the end.
@@ -63,15 +65,19 @@ def _sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(run, "digest binary, members array<long>")
 
 
+def _estimate(x: Column, y: Column, k: int) -> Column:
+    """Similarity by two sketches: the share of the union's sketch that both hold."""
+    union = F.slice(F.array_sort(F.array_union(x, y)), 1, k)
+    return F.size(F.array_intersect(F.array_intersect(x, y), union)) / F.size(union)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
     """Links (a, b) among pairs (a_digest, b_digest, a, b): estimate from the sketches first, then the whole sets."""
     left = sets.select(F.col("digest").alias("a_digest"), F.col("members").alias("x"))
     right = sets.select(F.col("digest").alias("b_digest"), F.col("members").alias("y"))
     both = pairs.join(left, "a_digest").join(right, "b_digest")
-    sketch = F.slice(F.array_sort(F.array_union(F.slice("x", 1, k), F.slice("y", 1, k))), 1, k)
-    shared = F.size(F.array_intersect(F.array_intersect(F.slice("x", 1, k), F.slice("y", 1, k)), sketch))
     inter = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= F.lit(NEEDED) * F.size(sketch)).select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), inter.alias("i")).where(100 * F.col("i") >= percent * (F.col("nx") + F.col("ny") - F.col("i"))).select("a", "b")
+    return both.where(_estimate(F.slice("x", 1, k), F.slice("y", 1, k), k) >= LEAST * percent / 80).select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), inter.alias("i")).where(100 * F.col("i") >= percent * (F.col("nx") + F.col("ny") - F.col("i"))).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, sketch: int = SKETCH) -> DataFrame:
@@ -85,8 +91,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, sketch:
     reps = marks.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = stage(reps, "reps")
     classes = marks.join(reps, (marks.digest == reps.digest) & (marks.doc_id == reps.rep)).select(marks.digest, "rep", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["digest"])
-    posts = classes.select("digest", "rep", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("v"))
-    posts = stage(posts, "posts")
+    classes = stage(classes, "classes")
+    least = F.lit(NEEDED * percent / 80)
+    kept = F.slice("sketch", 1, POSTED)
+    posts = classes.select("digest", "rep", "n", F.size(kept).alias("k"), F.explode(kept).alias("v"))
     counts = posts.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
     posts = stage(posts.join(counts, "v"), "listed")
     n_long = posts.where(F.col("c") > SHORT_LIST).groupBy("digest").agg(F.count("*").alias("n_long"))
@@ -98,11 +106,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, sketch:
     fits = (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (F.col("a_digest") < F.col("b_digest"))
     pairs = a.join(b, "v").where(fits).groupBy("a_digest", "b_digest", "a_rep", "b_rep", F.least("a_k", "b_k").alias("k")).agg(F.count("*").alias("shared"))
     x, y = (n_long.select(F.col("digest").alias(f"{s}_digest"), F.col("n_long").alias(f"{s}_long")) for s in "ab")
-    pairs = pairs.join(x, "a_digest", "left").join(y, "b_digest", "left").where(F.col("shared") + F.coalesce(F.least("a_long", "b_long", F.lit(99)), F.lit(0)) * (F.col("a_long").isNotNull() & F.col("b_long").isNotNull()).cast("int") >= NEEDED * F.col("k"))
+    pairs = pairs.join(x, "a_digest", "left").join(y, "b_digest", "left").where(F.col("shared") + F.coalesce(F.least("a_long", "b_long", F.lit(99)), F.lit(0)) * (F.col("a_long").isNotNull() & F.col("b_long").isNotNull()).cast("int") >= least * F.col("k"))
     pairs = stage(pairs.select("a_digest", "b_digest", F.col("a_rep").alias("a"), F.col("b_rep").alias("b")), "pairs")
 
     # members of long lists that can link through those alone
-    inside = n_long.join(classes_of(posts), "digest").where(F.col("n_long") >= NEEDED * F.col("k")).select("digest")
+    inside = n_long.join(classes_of(posts), "digest").where(F.col("n_long") >= least * F.col("k")).select("digest")
     lists = posts.where(F.col("c") > SHORT_LIST).join(inside, "digest").select("v", "digest", "rep", "n")
     order = F.expr("row_number() over (partition by digest order by v)")
     lists = stage(lists.withColumn("place", order), "lists")
@@ -123,7 +131,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, sketch:
             tries = _apart(tries, parts)
         links = stage(links.union(_confirmed(tries, sets, percent, sketch)), "links")
         parts = stage(connected_components(links), "parts")
-        left, of = _outside(lists, parts).agg(F.count_if("outside"), F.count("*")).first()
+        left, of = _outside(lists.where("place <= 2"), parts).agg(F.count_if("outside"), F.count("*")).first()
         if turn and (left == 0 or left < of / 200 or left > 0.8 * before):
             break
         before = left
@@ -133,11 +141,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, sketch:
     # then: every pair whose two sides are in different components still, and what long lists have left outside
     rest = _apart(pairs, parts)
     if many:
-        told = _outside(lists, parts)
-        alone = told.where("outside").where(F.col("place") <= LOOKUPS)
-        other = told.select("v", F.col("digest").alias("b_digest"), F.col("rep").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_component"))
-        met = alone.select("v", F.col("digest").alias("a_digest"), F.col("rep").alias("a"), F.col("n").alias("a_n"), "component").join(other, "v")
-        met = met.where("component <> b_component").where(100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
+        told = stage(_outside(lists, parts), "told")
+        sketches = classes.select("digest", "sketch")
+        alone = told.where("outside").where(F.col("place") <= LOOKUPS).join(sketches, "digest")
+        other = told.join(alone.select("v").distinct(), "v").join(sketches, "digest")
+        a, b = (x.select(F.col("v").alias(f"{s}_v"), F.col("digest").alias(f"{s}_digest"), F.col("rep").alias(s), F.col("n").alias(f"{s}_n"), F.col("component").alias(f"{s}_component"), F.col("sketch").alias(f"{s}_sketch")) for s, x in (("a", alone), ("b", other)))
+        fits = (F.col("a_v") == F.col("b_v")) & (F.col("a_component") != F.col("b_component")) & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
+        met = a.join(b, fits & (_estimate(F.col("a_sketch"), F.col("b_sketch"), sketch) >= LEAST * percent / 80))
         rest = rest.union(met.select("a_digest", "b_digest", "a", "b")).distinct()
     twice = marks.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("d"), F.max("digest").alias("e")).where("d <> e").select("doc_id")
     joined = marks.join(twice, "doc_id").join(reps, "digest").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
