@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import mixing, mpeg_audio, pieces, pii, quality, secret_scan
+from strandlake.llm import id_files, mixing, mpeg_audio, pieces, pii, quality, secret_scan
 from strandlake.llm.common import table
 from strandlake.llm.minhash import near_duplicates
 
@@ -44,5 +44,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {"op3_mpeg_audio": op3_mpeg_audio, "op4_secret_scan": op4_secret_scan, "op1_sentencepiece": op1_sentencepiece, "op8_quality": op8_quality, "op9_mix": op9_mix, "op5_pii": op5_pii, "op10_minhash": op10_minhash}
+def op6_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = id_files.write(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return id_files.read(spark, folder)
+
+
+QUERIES = {"op6_id_files": op6_id_files, "op3_mpeg_audio": op3_mpeg_audio, "op4_secret_scan": op4_secret_scan, "op1_sentencepiece": op1_sentencepiece, "op8_quality": op8_quality, "op9_mix": op9_mix, "op5_pii": op5_pii, "op10_minhash": op10_minhash}
 ORACLES: dict[str, str] = {}
