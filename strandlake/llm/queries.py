@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import id_files, mixing, mpeg_audio, pieces, pii, quality, secret_scan
+from strandlake.llm import chat, id_files, mixing, mpeg_audio, pieces, pii, quality, secret_scan, vectors
 from strandlake.llm.common import table
 from strandlake.llm.minhash import near_duplicates
 
@@ -50,5 +50,13 @@ def op6_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.read(spark, folder)
 
 
-QUERIES = {"op6_id_files": op6_id_files, "op3_mpeg_audio": op3_mpeg_audio, "op4_secret_scan": op4_secret_scan, "op1_sentencepiece": op1_sentencepiece, "op8_quality": op8_quality, "op9_mix": op9_mix, "op5_pii": op5_pii, "op10_minhash": op10_minhash}
-ORACLES: dict[str, str] = {}
+def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
+def op2_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_pairs(*chat.preference_sides(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {"op2_chat_preferences": op2_chat_preferences, "op7_multi_index": op7_multi_index, "op6_id_files": op6_id_files, "op3_mpeg_audio": op3_mpeg_audio, "op4_secret_scan": op4_secret_scan, "op1_sentencepiece": op1_sentencepiece, "op8_quality": op8_quality, "op9_mix": op9_mix, "op5_pii": op5_pii, "op10_minhash": op10_minhash}
+ORACLES: dict[str, str] = {"op2_chat_preferences": chat.ORACLE}
