@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from strandlake.plans import base
+from strandlake.plans import sequence as _sequence  # noqa: F401  registers queries
+
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(base.ORACLES)
