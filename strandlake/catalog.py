@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from strandlake.plans import base
-from strandlake.plans import sequence as _sequence  # noqa: F401  registers queries
+from strandlake.plans import sequence, statistics  # noqa: F401  register queries
 
 
 def queries() -> dict:
