@@ -152,7 +152,7 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("a28_threshold_quantiles", f"""WITH {SQL_STRANDS}, v AS (SELECT lang, {SQL_GC} AS score, {SQL_RUN} <= 3 AS ok FROM strands),
 q AS (SELECT lang, unnest([0.1, 0.25, 0.5]) AS q FROM (SELECT DISTINCT lang FROM v)), a AS (SELECT lang, count(*) FILTER (WHERE ok) AS n FROM v GROUP BY 1)
 SELECT q.lang, q.q::DOUBLE AS q, round(CASE WHEN any_value(a.n) >= 20 THEN CASE q.q WHEN 0.1 THEN quantile_cont(CASE WHEN ok THEN score END, 0.1) WHEN 0.25 THEN quantile_cont(CASE WHEN ok THEN score END, 0.25) ELSE quantile_cont(CASE WHEN ok THEN score END, 0.5) END
-ELSE CASE q.q WHEN 0.1 THEN quantile_cont(score, 0.1) WHEN 0.25 THEN quantile_cont(score, 0.25) ELSE quantile_cont(score, 0.5) END END, 9) AS threshold FROM q JOIN v USING (lang) JOIN a USING (lang) GROUP BY 1, 2""")
+ELSE CASE q.q WHEN 0.1 THEN quantile_cont(score, 0.1) WHEN 0.25 THEN quantile_cont(score, 0.25) ELSE quantile_cont(score, 0.5) END END, 9) AS threshold FROM q JOIN v USING (lang) JOIN a USING (lang) GROUP BY q.lang, q.q""")
 def threshold_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score quantiles of strands that pass the run rule, or of all where fewer than 20 do."""
     v = document_strands(spark, sf_dir).select("lang", S.gc_fraction(F.col("strand")).alias("score"), (S.max_run_length(F.col("strand")) <= 3).alias("ok"))
