@@ -113,14 +113,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).union(now.select("v", "u"))
         low = both.groupBy("x").agg(F.min("y").alias("m")).withColumn("m", F.least("x", "m"))
         large = both.join(low, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v"))
-        down = stage(large.where("u <> v").distinct(), "cc")
+        down = large.where("u <> v").distinct()
         low = down.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
         small = down.select(F.col("u").alias("x"), "v").join(low, "x")
         after = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select(F.col("x").alias("u"), F.col("m").alias("v")))
         after = stage(after.distinct(), "cc")
         same = after.groupBy().agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).collect() == now.groupBy().agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).collect()
-        for old in (down, now):
-            unstage(old)
+        unstage(now)
         now = after
         if same:
             break

@@ -28,8 +28,8 @@ from strandlake.llm.shingles import set_digest, shingle_sets
 SKETCH, POSTED, NEEDED, LEAST = 64, 32, 0.4, 0.55
 #: Lists up to this length give all pairs.
 SHORT_LIST = 40
-#: Rounds of leaders for long lists, at most; and retained hashes that a class outside looks up in the end.
-ROUNDS, LOOKUPS = 6, 8
+#: Rounds of leaders for long lists, at most; leaders of a list in each; and retained hashes that a class outside looks up in the end.
+ROUNDS, TRIES, LOOKUPS = 3, 3, 8
 
 
 def _marks(docs: DataFrame, words: int, k: int) -> DataFrame:
@@ -122,17 +122,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, sketch:
     firsts = pairs.groupBy("b_digest", "b").agg(F.min("a_digest").alias("a_digest")).join(pairs, ["b_digest", "b", "a_digest"])
     links = stage(_confirmed(firsts.select("a_digest", "b_digest", "a", "b"), sets, percent, sketch), "links")
     many = lists.limit(1).count() > 0
+    before = 0
     for turn in range(ROUNDS if many else 0):
-        led = lists.groupBy("v").agg(F.min(F.struct(F.xxhash64("digest", F.lit(turn)).alias("h"), "digest", "rep", "n")).alias("l"))
-        mine = lists.where(f"place in ({2 * turn + 1}, {2 * turn + 2})" if turn < 3 else f"pmod(place, 3) = {turn % 3} and place <= 9").join(led, "v")
-        mine = mine.where((F.col("digest") != F.col("l.digest")) & (100 * F.least("n", "l.n") >= percent * F.greatest("n", "l.n")))
-        tries = mine.select(F.col("l.digest").alias("a_digest"), F.col("digest").alias("b_digest"), F.col("l.rep").alias("a"), F.col("rep").alias("b")).distinct()
+        tries = None
+        for i in range(TRIES):
+            # another leader, and two others of a class's smallest long lists, each time
+            n = turn * TRIES + i
+            led = lists.groupBy("v").agg(F.min(F.struct(F.xxhash64("digest", F.lit(n)).alias("h"), "digest", "rep", "n")).alias("l"))
+            mine = lists.where(F.col("place").isin(2 * n + 1, 2 * n + 2) if n < 6 else F.col("place").isin(n % 6 + 1, n % 5 + 7)).join(led, "v")
+            mine = mine.where((F.col("digest") != F.col("l.digest")) & (100 * F.least("n", "l.n") >= percent * F.greatest("n", "l.n")))
+            mine = mine.select(F.col("l.digest").alias("a_digest"), F.col("digest").alias("b_digest"), F.col("l.rep").alias("a"), F.col("rep").alias("b"))
+            tries = mine if tries is None else tries.union(mine)
+        tries = tries.distinct()
         if turn:
             tries = _apart(tries, parts)
         links = stage(links.union(_confirmed(tries, sets, percent, sketch)), "links")
         parts = stage(connected_components(links), "parts")
         left, of = _outside(lists.where("place <= 2"), parts).agg(F.count_if("outside"), F.count("*")).first()
-        if turn and (left == 0 or left < of / 200 or left > 0.8 * before):
+        if left <= of / 100 or (turn and left > 0.8 * before):
             break
         before = left
     if not many:
