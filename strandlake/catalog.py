@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from strandlake.plans import base
-from strandlake.plans import channel, sequence, statistics  # noqa: F401  register queries
+from strandlake.plans import channel, codec, sequence, statistics  # noqa: F401  register queries
 
 
 def queries() -> dict:
