@@ -7,7 +7,7 @@ pairs that pass are confirmed on their whole sets.
 Equal sets are one class, so copies never make pairs. Lists of up to SHORT_LIST classes give all their pairs. Longer lists (a passage
 that many documents share, or a family of thousands of near copies) don't: classes of which too few retained hashes are on long
 lists cannot link through those alone and leave them; the others are compared with a few leaders of their lists, round by round,
-until most of a list is one component, and what is left outside then meets all members of its lists, by estimate first. Links inside
+until most of a list is one component, and what is left outside then meets all members of long lists that the prefix and position bounds allow. Links inside
 a component that is already known need no check, so a family costs a number of checks that grows with its size and not with its square.
 
 Misses: two sets of similarity 0.8 share fewer than NEEDED of POSTED retained hashes with a probability of about 1e-7, and have an
@@ -28,8 +28,8 @@ from strandlake.llm.shingles import set_digest, shingle_sets
 SKETCH, POSTED, NEEDED, LEAST = 64, 32, 0.4, 0.55
 #: Lists up to this length give all pairs.
 SHORT_LIST = 40
-#: Rounds of leaders for long lists, at most; leaders of a list in each; and retained hashes that a class outside looks up in the end.
-ROUNDS, TRIES, LOOKUPS = 3, 3, 8
+#: Rounds of leaders for long lists, at most; and leaders of a list in each.
+ROUNDS, TRIES = 2, 3
 
 
 def _marks(docs: DataFrame, words: int, k: int) -> DataFrame:
@@ -65,6 +65,11 @@ def _sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(run, "digest binary, members array<long>")
 
 
+def _possible(n: Column, u: Column, m: Column, w: Column, percent: int) -> Column:
+    """Whether sets of n and m hashes, u and w of them nobody else's, can be as similar as asked."""
+    return 100 * F.least(n - u, m - w) >= percent * (u + w + F.greatest(n - u, m - w))
+
+
 def _estimate(x: Column, y: Column, k: int) -> Column:
     """Similarity by two sketches: the share of the union's sketch that both hold."""
     union = F.slice(F.array_sort(F.array_union(x, y)), 1, k)
@@ -118,6 +123,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, sketch:
     needed = pairs.select(F.col("a_digest").alias("digest"), F.col("a").alias("rep")).union(pairs.select("b_digest", "b")).union(lists.select("digest", "rep")).distinct()
     sets = stage(_sets(docs, needed, words).groupBy("digest").agg(F.any_value("members").alias("members")), "sets")
 
+    # Members of long lists with their hashes in one order, rarest among these members first. Two sets that are similar enough share one of the first
+    # n - ceil(n * percent / 100) + 1, and what stands before their first common hash is in one of them only: an exact bound for each pair.
+    held = sets.join(lists.select("digest").distinct(), "digest").select("digest", F.explode("members").alias("x"))
+    held = held.join(held.groupBy("x").agg(F.count("*").alias("c")), "x")
+    ordered = held.groupBy("digest").agg(F.count_if(F.col("c") == 1).alias("u"), F.avg("c").alias("near"), F.sort_array(F.collect_list(F.struct("c", "x"))).alias("o"))
+    first_ones = F.slice("o", 1, (F.size("o") - F.ceil(F.size("o") * percent / 100) + 1).cast("int"))
+    ordered = stage(ordered.select("digest", "u", "near", first_ones.alias("o")), "ordered")
+    lists = stage(lists.join(ordered.drop("o"), "digest"), "members")
+
     # first: each class with the smallest of those it is paired with
     firsts = pairs.groupBy("b_digest", "b").agg(F.min("a_digest").alias("a_digest")).join(pairs, ["b_digest", "b", "a_digest"])
     links = stage(_confirmed(firsts.select("a_digest", "b_digest", "a", "b"), sets, percent, sketch), "links")
@@ -128,9 +142,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, sketch:
         for i in range(TRIES):
             # another leader, and two others of a class's smallest long lists, each time
             n = turn * TRIES + i
-            led = lists.groupBy("v").agg(F.min(F.struct(F.xxhash64("digest", F.lit(n)).alias("h"), "digest", "rep", "n")).alias("l"))
+            # first the one whose hashes most members hold; then any
+            h = F.xxhash64("digest", F.lit(n)) if i else F.floor(-F.col("near")) * 2**32 + F.pmod(F.xxhash64("digest", F.lit(n)), F.lit(2**32))
+            led = lists.groupBy("v").agg(F.min(F.struct(h.alias("h"), "digest", "rep", "n", "u")).alias("l"))
             mine = lists.where(F.col("place").isin(2 * n + 1, 2 * n + 2) if n < 6 else F.col("place").isin(n % 6 + 1, n % 5 + 7)).join(led, "v")
-            mine = mine.where((F.col("digest") != F.col("l.digest")) & (100 * F.least("n", "l.n") >= percent * F.greatest("n", "l.n")))
+            mine = mine.where((F.col("digest") != F.col("l.digest")) & _possible(F.col("n"), F.col("u"), F.col("l.n"), F.col("l.u"), percent))
             mine = mine.select(F.col("l.digest").alias("a_digest"), F.col("digest").alias("b_digest"), F.col("l.rep").alias("a"), F.col("rep").alias("b"))
             tries = mine if tries is None else tries.union(mine)
         tries = tries.distinct()
@@ -148,13 +164,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, sketch:
     # then: every pair whose two sides are in different components still, and what long lists have left outside
     rest = _apart(pairs, parts)
     if many:
-        told = stage(_outside(lists, parts), "told")
-        sketches = classes.select("digest", "sketch")
-        alone = told.where("outside").where(F.col("place") <= LOOKUPS).join(sketches, "digest")
-        other = told.join(alone.select("v").distinct(), "v").join(sketches, "digest")
-        a, b = (x.select(F.col("v").alias(f"{s}_v"), F.col("digest").alias(f"{s}_digest"), F.col("rep").alias(s), F.col("n").alias(f"{s}_n"), F.col("component").alias(f"{s}_component"), F.col("sketch").alias(f"{s}_sketch")) for s, x in (("a", alone), ("b", other)))
-        fits = (F.col("a_v") == F.col("b_v")) & (F.col("a_component") != F.col("b_component")) & (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
-        met = a.join(b, fits & (_estimate(F.col("a_sketch"), F.col("b_sketch"), sketch) >= LEAST * percent / 80))
+        told = stage(_outside(lists, parts).groupBy("digest", "rep", "n", "component").agg(F.bool_or("outside").alias("outside")), "told")
+        posts = told.join(ordered.select("digest", "o"), "digest").select("*", F.posexplode("o").alias("p", "e")).where("e.c > 1")
+        posts = posts.select("outside", "rep", "digest", "n", "component", "p", F.col("e.x").alias("x"), F.transform("o", lambda e: e.x).alias("o"))
+        a, b = (posts.select(*(F.col(c).alias(f"{s}_{c}") for c in posts.columns)) for s in "ab")
+        # each pair at its first common hash only; what follows it bounds the overlap, which must be percent / (100 + percent) of both sizes
+        most = 1 + F.least(F.col("a_n") - F.col("a_p") - 1, F.col("b_n") - F.col("b_p") - 1)
+        fits = (F.col("a_x") == F.col("b_x")) & (F.col("a_component") != F.col("b_component")) & ((100 + percent) * most >= percent * (F.col("a_n") + F.col("b_n")))
+        met = a.where("a_outside").join(b, fits & (F.element_at(F.array_intersect("a_o", "b_o"), 1) == F.col("a_x")))
+        met = met.select("a_digest", "b_digest", F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
         rest = rest.union(met.select("a_digest", "b_digest", "a", "b")).distinct()
     twice = marks.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("d"), F.max("digest").alias("e")).where("d <> e").select("doc_id")
     joined = marks.join(twice, "doc_id").join(reps, "digest").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
