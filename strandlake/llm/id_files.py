@@ -11,6 +11,7 @@ Ids are little-endian 32-bit numbers before compression. A document is read from
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
 import uuid
 import zlib
@@ -28,14 +29,15 @@ MAGIC = b"SLID1\0\0\0"
 #: Documents whose ids train the dictionary, at most (those whose doc_id hashes lowest); the dictionary's bytes.
 SAMPLE_ROWS, DICTIONARY_BYTES = 2000, 64 << 10
 LEVEL = 3
-#: Documents of a block, on average.
-BLOCK_ROWS = 2048
-#: Words whose ids a worker remembers.
-MEMO = 1 << 18
+#: Documents of a block at most, and of a range of doc_id on average.
+BLOCK_ROWS, RANGE_ROWS = 256, 4096
+#: Words whose ids a worker remembers, and words encoded at a time (the library's results are large).
+MEMO, BATCH = 1 << 16, 1024
 
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -53,7 +55,10 @@ def encode_texts(path: str, texts: list[str | None], end_id: int) -> list[np.nda
     """
     known, words = _known(path), [(t or "").split(" ") for t in texts]
     new = list({w for ws in words for w in ws if w not in known})
-    fresh = dict(zip(new, (e.ids for e in _tokenizer(path).encode_batch(new, add_special_tokens=False))))
+    fresh: dict[str, list[int]] = {}
+    for at in range(0, len(new), BATCH):
+        part = new[at : at + BATCH]
+        fresh.update(zip(part, (e.ids for e in _tokenizer(path).encode_batch_fast(part, add_special_tokens=False))))
     out = []
     for ws in words:
         ids: list[int] = []
@@ -130,9 +135,9 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None =
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([c.compress(x.tobytes()) for x in ids], pa.binary())], names=["doc_id", "n_tokens", "frame"])
 
     frames = stage(docs.mapInArrow(encode, "doc_id long, n_tokens long, frame binary"), "frames")
-    # ranges of doc_id of about BLOCK_ROWS rows; a doc_id on very many rows gets ranges of its own by the frame's hash
+    # ranges of doc_id of about RANGE_ROWS rows; a doc_id on very many rows gets ranges of its own by the frame's hash
     n = frames.count()
-    parts = max(1, -(-n // BLOCK_ROWS))
+    parts = max(1, -(-n // RANGE_ROWS))
     ranged = frames.withColumn("h", F.xxhash64("frame", "n_tokens")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
     ranged = ranged.withColumn("part", F.spark_partition_id()).drop("h")
 
