@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from strandlake.plans import base
-from strandlake.plans import audits, channel, codec, relational, sequence, statistics, streams  # noqa: F401  register queries
+from strandlake.plans import audits, channel, codec, files, relational, sequence, statistics, streams  # noqa: F401  register queries
 
 
 def queries() -> dict:

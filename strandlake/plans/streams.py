@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.plans.base import query, table
+from strandlake.sources.scratch import fresh_path
 from strandlake.streaming import ticker
 
 
@@ -21,10 +20,15 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _run(df: DataFrame, mode: str) -> DataFrame:
-    name = f"stream_{uuid.uuid4().hex}"
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+    """Run a stream until its input ends; what it gives lies in the shared folder. A batch that is run again replaces what it wrote."""
+    spark = df.sparkSession
+    path = fresh_path(spark, "stream")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
+
+    df.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}-log").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @query("w5_r2_running_totals", """SELECT user_id AS key, event_id, count(*) OVER w AS done, round(sum(value) OVER w, 6) AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # First bytes of file kinds, in hex.
@@ -51,18 +51,15 @@ def read_context_table(spark: SparkSession, path: str, k: int = 5) -> DataFrame:
 
 
 def read_delimited_clusters(spark: SparkSession, centers: str, clusters: str) -> DataFrame:
-    """(cluster, reference, read_no, read) of two text files: one reference a line, and sections of reads that lines of = open.
+    """(cluster, reference, read_no, read) of text files: one reference a line, and sections of reads that lines of = open.
 
-    Line numbers come from the byte order within a file, so sections stay whole; a cluster without reads has one row with nulls. Different numbers of references
-    and sections raise.
+    Lines are in the order of files and of bytes within one; sections may cross files and blocks. A cluster without reads has one row with nulls.
+    Different numbers of references and sections raise.
     """
-    refs = _numbered(spark, centers).where("value <> ''")
-    refs = refs.select((F.row_number().over(_line_order()) - 1).alias("cluster"), F.trim("value").alias("reference"))
-    lines = _numbered(spark, clusters).withColumn("cluster", F.sum((F.col("value").startswith("=")).cast("int")).over(_line_order()) - 1)
+    refs = _counted(_lines(spark, centers).where("value <> ''"), F.lit(1)).select((F.col("count") - 1).alias("cluster"), F.trim("value").alias("reference"))
+    lines = _counted(_lines(spark, clusters), F.col("value").startswith("=").cast("int")).withColumn("cluster", F.col("count") - 1)
     reads = lines.where(~F.col("value").startswith("=") & (F.trim("value") != ""))
-    from pyspark.sql import Window
-
-    reads = reads.select("cluster", (F.row_number().over(Window.partitionBy("cluster").orderBy("line")) - 1).alias("read_no"), F.trim("value").alias("read"))
+    reads = reads.select("cluster", (F.row_number().over(Window.partitionBy("cluster").orderBy("file", "block", "line")) - 1).alias("read_no"), F.trim("value").alias("read"))
     n_refs, n_sections = refs.count(), lines.where(F.col("value").startswith("=")).count()
     if n_refs != n_sections:
         raise ValueError(f"{n_refs} references but {n_sections} clusters")
@@ -78,14 +75,18 @@ def read_starred_clusters(spark: SparkSession, path: str) -> DataFrame:
     return split.select("cluster", F.element_at("l", 1).alias("reference"), F.posexplode_outer(F.slice("l", F.lit(3), F.greatest(F.size("l") - 2, F.lit(0)))).alias("read_no", "read"))
 
 
-def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("line"), "value")
-
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    return spark.read.text(path).select(*meta, F.monotonically_increasing_id().alias("line"), "value")
 
-def _line_order():
-    from pyspark.sql import Window
 
-    return Window.orderBy("line")
+def _counted(lines: DataFrame, flag: Column) -> DataFrame:
+    """lines with count, the sum of flag up to each: within blocks of files, and over the few totals of blocks."""
+    lines = lines.withColumn("flag", flag)
+    totals = lines.groupBy("file", "block").agg(F.sum("flag").alias("sum"))
+    before = totals.select("file", "block", (F.sum("sum").over(Window.orderBy("file", "block")) - F.col("sum")).alias("before"))
+    within = F.sum("flag").over(Window.partitionBy("file", "block").orderBy("line"))
+    return lines.join(before, ["file", "block"]).withColumn("count", F.col("before") + within).drop("flag", "before")
 
 
 def held_out(i: Column) -> Column:
@@ -98,6 +99,14 @@ def held_out_reference(reference: Column) -> Column:
     return F.crc32(reference.cast("binary")) % 5 == 0
 
 
+def write_delimited_clusters(reads: DataFrame, key: str, centers: str, clusters: str) -> None:
+    """Text files in the same form from reads (key, reference, read_no, read); a null read is a cluster without reads."""
+    refs = reads.select(key, "reference").distinct()
+    refs.repartitionByRange(key).sortWithinPartitions(key).select("reference").write.text(centers)
+    lines = refs.select(key, F.lit(-1).alias("no"), F.lit("=====").alias("value")).union(reads.where("read is not null").select(key, "read_no", "read"))
+    lines.repartitionByRange(key).sortWithinPartitions(key, "no").select("value").write.text(clusters)
+
+
 def save_runs(runs: DataFrame, path: str) -> None:
     """Results (run_id, situation, ...) as JSON, one folder a run."""
     runs.write.partitionBy("run_id").json(path)
