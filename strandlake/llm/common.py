@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,21 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandlake.sources.scratch import shared_dir
+
 #: Rows of documents that one slice of an Arrow batch holds while Python works on it; bounds a worker's memory.
 SLICE_ROWS = 512
 #: Text bytes after which a slice is cut earlier.
 SLICE_BYTES = 2 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    known = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        known = tempfile.mkdtemp(prefix="strandlake-")
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known.rstrip("/")
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to a fresh Parquet table in the shared folder and return a DataFrame over it (lineage ends there)."""
     spark = df.sparkSession
