@@ -120,10 +120,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("c")), "node", "left").select("node", F.coalesce("c", "node").alias("component"))
 
 
-def small_enough(df: DataFrame, rows: int) -> bool:
-    """Whether df has at most this many rows, looking at no more than one beyond."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def crc_text(c: Column) -> Column:
     return F.crc32(c.cast("string").cast("binary"))

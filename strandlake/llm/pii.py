@@ -12,7 +12,6 @@ Everything that leaves the executors is the table of patterns. Its size is bound
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -279,7 +278,3 @@ def digest(docs: DataFrame) -> DataFrame:
     base = F.filter("pii_spans", lambda x: x.base)
     counts = [F.size(_of_kind(base, k)).cast("long").alias(f"n_{k}") for k in BASE]
     return docs.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("pii_spans")).alias("spans"))
-
-
-def sha256_of(spans: str) -> str:
-    return hashlib.sha256(spans.encode()).hexdigest()
