@@ -2,7 +2,7 @@
 
 A data set is a folder with three Parquet tables, written by Spark to any file system it can write to:
   dictionary  one row: the dictionary and its hash (the first 16 hex digits of its SHA-256)
-  blocks      one row for each block: its number, the dictionary's hash, and a container: the magic bytes, that hash, the number of frames, an index
+  blocks      one row for each block: its number (ascending with doc_id, with gaps), the dictionary's hash, and a container: the magic bytes, that hash, the number of frames, an index
               of their ends (32-bit) and ids (32-bit), then the frames, in ascending order of doc_id
   index       one row for each document: doc_id, block, place in it, first id's number in the whole, number of ids
 Ids are little-endian 32-bit numbers before compression. A document is read from its block's index and its own frame.
@@ -160,9 +160,12 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None =
             yield flush()
 
     made = stage(ranged.mapInArrow(blocks, "part int, number int, n_tokens long, block binary, doc_ids array<long>, counts array<long>"), "blocks")
-    # blocks are numbered in the order of partitions; few rows of three numbers each
-    order = made.select("part", "number", "n_tokens").withColumn("k", F.row_number().over(Window.orderBy("part", "number")).cast("long") - 1)
-    order = stage(running_start(order, "k", "n_tokens", "first"), "order")
+    # where each block's ids begin: sums of ranges in two levels, then within a range
+    order = made.select("part", "number", "n_tokens")
+    ranges = running_start(order.groupBy("part").agg(F.sum("n_tokens").alias("sum")), "part", "sum", "before").drop("sum")
+    within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("number")) - F.col("n_tokens")
+    order = order.join(ranges, "part").withColumn("first", F.col("before") + within).drop("before", "n_tokens")
+    order = stage(order.withColumn("k", F.col("part").cast("long") * (1 << 20) + F.col("number")), "order")
     numbered = made.drop("n_tokens").join(order, ["part", "number"])
     numbered.select(F.col("k").alias("block_no"), F.lit(name).alias("dictionary"), "block").write.option("compression", "none").parquet(f"{folder}/blocks")
     each = numbered.select(F.col("k").alias("block_no"), "first", "counts", F.posexplode("doc_ids").alias("place", "doc_id"))
