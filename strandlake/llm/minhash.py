@@ -28,8 +28,8 @@ from strandlake.llm.shingles import set_digest, shingle_sets
 SKETCH, POSTED, NEEDED, LEAST = 64, 32, 0.4, 0.55
 #: Lists up to this length give all pairs.
 SHORT_LIST = 40
-#: Rounds of leaders for long lists, at most; and leaders of a list in each.
-ROUNDS, TRIES = 2, 3
+#: Rounds of leaders for long lists, at most; leaders of a list in each; and how many members of long lists hold a rare hash at most.
+ROUNDS, TRIES, FEW = 2, 3, 64
 
 
 def _marks(docs: DataFrame, words: int, k: int) -> DataFrame:
@@ -123,13 +123,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, sketch:
     needed = pairs.select(F.col("a_digest").alias("digest"), F.col("a").alias("rep")).union(pairs.select("b_digest", "b")).union(lists.select("digest", "rep")).distinct()
     sets = stage(_sets(docs, needed, words).groupBy("digest").agg(F.any_value("members").alias("members")), "sets")
 
-    # Members of long lists with their hashes in one order, rarest among these members first. Two sets that are similar enough share one of the first
-    # n - ceil(n * percent / 100) + 1, and what stands before their first common hash is in one of them only: an exact bound for each pair.
-    held = sets.join(lists.select("digest").distinct(), "digest").select("digest", F.explode("members").alias("x"))
-    held = held.join(held.groupBy("x").agg(F.count("*").alias("c")), "x")
-    ordered = held.groupBy("digest").agg(F.count_if(F.col("c") == 1).alias("u"), F.avg("c").alias("near"), F.sort_array(F.collect_list(F.struct("c", "x"))).alias("o"))
+    # Members of long lists with their hashes in one order: those that few members hold first, rarest first, then the others. Two sets that are similar
+    # enough share one of the first n - ceil(n * percent / 100) + 1, and what stands before their first common hash is in one of them only: an
+    # exact bound for each pair. Only hashes of few members are joined with their counts, so no key of that join is hot.
+    inside = sets.join(lists.select("digest").distinct(), "digest")
+    held = inside.select("digest", F.explode("members").alias("x"))
+    few = held.groupBy("x").agg(F.count("*").alias("c")).where(F.col("c") <= FEW)
+    few = held.join(few, "x").groupBy("digest").agg(F.count_if(F.col("c") == 1).alias("u"), F.transform(F.sort_array(F.collect_list(F.struct("c", "x"))), lambda e: e.x).alias("rare"))
+    rare = F.coalesce("rare", F.array().cast("array<long>"))
+    ordered = inside.join(few, "digest", "left").select("digest", F.coalesce("u", F.lit(0)).alias("u"), (F.size(rare) / F.size("members")).alias("odd"), F.concat(rare, F.array_except("members", rare)).alias("o"))
     first_ones = F.slice("o", 1, (F.size("o") - F.ceil(F.size("o") * percent / 100) + 1).cast("int"))
-    ordered = stage(ordered.select("digest", "u", "near", first_ones.alias("o")), "ordered")
+    ordered = stage(ordered.withColumn("o", first_ones), "ordered")
     lists = stage(lists.join(ordered.drop("o"), "digest"), "members")
 
     # first: each class with the smallest of those it is paired with
@@ -142,8 +146,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, sketch:
         for i in range(TRIES):
             # another leader, and two others of a class's smallest long lists, each time
             n = turn * TRIES + i
-            # first the one whose hashes most members hold; then any
-            h = F.xxhash64("digest", F.lit(n)) if i else F.floor(-F.col("near")) * 2**32 + F.pmod(F.xxhash64("digest", F.lit(n)), F.lit(2**32))
+            # first the one with the least share of hashes that few hold; then any
+            h = F.xxhash64("digest", F.lit(n)) if i else F.floor(1000 * F.col("odd")) * 2**32 + F.pmod(F.xxhash64("digest", F.lit(n)), F.lit(2**32))
             led = lists.groupBy("v").agg(F.min(F.struct(h.alias("h"), "digest", "rep", "n", "u")).alias("l"))
             mine = lists.where(F.col("place").isin(2 * n + 1, 2 * n + 2) if n < 6 else F.col("place").isin(n % 6 + 1, n % 5 + 7)).join(led, "v")
             mine = mine.where((F.col("digest") != F.col("l.digest")) & _possible(F.col("n"), F.col("u"), F.col("l.n"), F.col("l.u"), percent))
@@ -165,8 +169,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, sketch:
     rest = _apart(pairs, parts)
     if many:
         told = stage(_outside(lists, parts).groupBy("digest", "rep", "n", "component").agg(F.bool_or("outside").alias("outside")), "told")
-        posts = told.join(ordered.select("digest", "o"), "digest").select("*", F.posexplode("o").alias("p", "e")).where("e.c > 1")
-        posts = posts.select("outside", "rep", "digest", "n", "component", "p", F.col("e.x").alias("x"), F.transform("o", lambda e: e.x).alias("o"))
+        # a class's own hashes come first and lead to nobody
+        posts = told.join(ordered.select("digest", "u", "o"), "digest").select("*", F.posexplode("o").alias("p", "x")).where("p >= u").drop("u")
         a, b = (posts.select(*(F.col(c).alias(f"{s}_{c}") for c in posts.columns)) for s in "ab")
         # each pair at its first common hash only; what follows it bounds the overlap, which must be percent / (100 + percent) of both sizes
         most = 1 + F.least(F.col("a_n") - F.col("a_p") - 1, F.col("b_n") - F.col("b_p") - 1)
