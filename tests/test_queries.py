@@ -1,4 +1,4 @@
-"""Every registered query of the library's own operators against its SQL in DuckDB, on the smallest tables."""
+"""Every registered query of the library's own operators against its SQL in DuckDB."""
 
 import decimal
 import glob
@@ -12,6 +12,11 @@ from strandlake import catalog
 SQL = catalog.oracle_sql()
 
 
+@pytest.fixture(scope="module")
+def sf_dir():
+    return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+
+
 def norm(v):
     if isinstance(v, float):
         return "nan" if v != v else round(v, 8)
