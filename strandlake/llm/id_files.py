@@ -16,6 +16,7 @@ import struct
 import uuid
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ LEVEL = 3
 #: Documents of a block at most, and of a range of doc_id on average.
 BLOCK_ROWS, RANGE_ROWS = 256, 4096
 #: Words whose ids a worker remembers, and words encoded at a time (the library's results are large).
-MEMO, BATCH = 1 << 16, 1024
+MEMO, BATCH = 1 << 19, 1024
 
 
 @lru_cache(maxsize=2)
@@ -54,27 +55,23 @@ def encode_texts(path: str, texts: list[str | None], end_id: int) -> list[np.nda
     The vocabulary drops white space and never joins what it separates, so words between spaces are encoded one by one and remembered.
     """
     known, words = _known(path), [(t or "").split(" ") for t in texts]
-    new = list({w for ws in words for w in ws if w not in known})
-    fresh: dict[str, list[int]] = {}
+    new = list(set().union(*words) - known.keys())
     for at in range(0, len(new), BATCH):
         part = new[at : at + BATCH]
-        fresh.update(zip(part, (e.ids for e in _tokenizer(path).encode_batch_fast(part, add_special_tokens=False))))
-    out = []
-    for ws in words:
-        ids: list[int] = []
-        for w in ws:
-            ids += known[w] if w in known else fresh[w]
-        ids.append(end_id)
-        out.append(np.array(ids, "<u4"))
-    free = MEMO - len(known)
-    if free > 0:
-        known.update((w, fresh[w]) for w in new[:free] if len(w) < 64)
+        known.update(zip(part, (e.ids for e in _tokenizer(path).encode_batch_fast(part, add_special_tokens=False))))
+    out = [np.array([*chain.from_iterable(map(known.__getitem__, ws)), end_id], "<u4") for ws in words]
+    if len(known) > MEMO:
+        for w in new:
+            del known[w]
     return out
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
     """A dictionary from a bounded sample of documents; empty if these are too few for one."""
-    rows = docs.where("text is not null").orderBy(F.xxhash64("doc_id"), "text").limit(SAMPLE_ROWS).collect()
+    # about twice the sample goes to the sort, so that what tasks send doesn't grow with their number
+    share = min(1.0, 2 * SAMPLE_ROWS / max(1, docs.count()))
+    drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+    rows = drawn.where("text is not null").orderBy(F.xxhash64("doc_id"), "text").limit(SAMPLE_ROWS).collect()
     samples = [x.tobytes() for x in encode_texts(tokenizer, [r.text for r in rows], end_id)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
