@@ -1,13 +1,13 @@
 """Subword encoding and decoding with a SentencePiece BPE model, with seeded merge-dropout.
 
 Adjacent symbols that form a piece are candidates on an agenda, best score first, then leftmost. When a candidate's turn comes, a keyed
-hash of (seed, variant, word, its borders) may skip it for good; without dropout the result is the library's own. Words have a few variants each,
-chosen by document and place, so that one word is cut in several ways in a corpus; every result depends on the seed and the document only, not on
-partitions or order. All segmentations decode to the text they come from: characters that the model lacks, and the mark that stands for
-a space, are written as byte pieces.
+hash of (seed, document, place of the word in it, its borders) may skip it for good; without dropout the result is the library's own. Every
+occurrence of a word has draws of its own; every result depends on the seed and the document only, not on partitions or order. All segmentations
+decode to the text they come from: characters that the model lacks, and the mark that stands for a space, are written as byte pieces.
 
-A slice of documents is cut into words (a run of spaces and what follows) at once. The distinct ones are merged together in arrays, one
-merge a word and round; long words, of which there are few, go through an agenda of their own.
+A slice of documents is cut into words (a run of spaces and what follows) at once. The distinct ones are merged without dropout, together in
+arrays, one merge a word and round, and the merges of each are remembered. An occurrence none of whose merges its draws skip has that result, as no other
+candidate's turn would have come; all others are merged under their draws. Long words, of which there are few, go through an agenda of their own.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ from pyspark.sql import types as T
 from strandlake.llm.common import with_arrow_columns
 from strandlake.llm.shingles import mix
 
-#: Share of candidates that are skipped, variants of a word, and symbols from which a word has an agenda of its own;
-#: words that a task remembers.
-DROPOUT, VARIANTS, LONG = 0.1, 4, 48
-MEMO = 1 << 19
+#: Share of candidates that are skipped, and symbols from which a word has an agenda of its own; words that a task remembers, and words that
+#: are merged together.
+DROPOUT, LONG = 0.1, 48
+MEMO, BLOCK = 1 << 19, 1 << 14
 SPACE, MARK = 0x20, 0x2581
 NONE = np.int64(1) << np.int64(62)
 _PLACE = np.int64(24)  # bits of a place in a word below the rank
@@ -68,10 +68,24 @@ def load(path: str) -> Model:
     return Model(path)
 
 
+def _borders(start, mid, end):
+    """A candidate's borders in one number."""
+    return (start.astype(np.uint64) << np.uint64(42)) + (mid.astype(np.uint64) << np.uint64(21)) + end.astype(np.uint64)
+
+
 def _skips(key, start, mid, end, limit: np.uint64):
     """Whether the keyed hash skips the candidate with these borders."""
-    x = mix(key + (start.astype(np.uint64) << np.uint64(42)) + (mid.astype(np.uint64) << np.uint64(21)) + end.astype(np.uint64))
-    return x < limit
+    return mix(key + _borders(start, mid, end)) < limit
+
+
+def _mix_one(x: int) -> int:
+    """mix of one number."""
+    x &= 2**64 - 1
+    x ^= x >> 31
+    x = x * 0xD6E8FEB86659FD93 & 2**64 - 1
+    x ^= x >> 29
+    x = x * 0xC2B2AE3D27D4EB4F & 2**64 - 1
+    return x ^ x >> 32
 
 
 def _priority(m: Model, left, right, key, start, mid, end, limit):
@@ -88,12 +102,11 @@ def _agenda(m: Model, symbols: list[int], key: int, limit: int) -> list[int]:
     n = len(symbols)
     symbol, end, before, alive = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
     todo: list[tuple[int, int, int, int]] = []
-    one = lambda v: np.array([v], np.int64)
 
     def offer(a: int) -> None:
         b = end[a]
         if b < n and (r := m.pairs.get(symbol[a] * m.n + symbol[b])) is not None:
-            if not limit or not _skips(np.array([key], np.uint64), one(a), one(b), one(end[b]), np.uint64(limit))[0]:
+            if not limit or _mix_one(key + (a << 42) + (b << 21) + end[b]) >= limit:
                 heapq.heappush(todo, (r, a, b, end[b]))
 
     for i in range(n - 1):
@@ -111,10 +124,13 @@ def _agenda(m: Model, symbols: list[int], key: int, limit: int) -> list[int]:
     return [symbol[i] for i in range(n) if alive[i]]
 
 
-def _merge(m: Model, sym: np.ndarray, off: np.ndarray, size: np.ndarray, key: np.ndarray, limit: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """Merged symbols of many words (flat, first symbol of each at off), and how many each has."""
+def _merge(m: Model, sym: np.ndarray, off: np.ndarray, size: np.ndarray, key: np.ndarray, limit: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merged symbols of many words (flat, first symbol of each at off), how many each has, and the borders of its merges in order (flat, as many
+    as it has fewer symbols)."""
     done: list[np.ndarray] = []
     owner: list[np.ndarray] = []
+    steps: list[np.ndarray] = []
+    by: list[np.ndarray] = []
     n_words = len(off)
     ids = np.arange(n_words)
     count = size.copy()
@@ -138,6 +154,9 @@ def _merge(m: Model, sym: np.ndarray, off: np.ndarray, size: np.ndarray, key: np
             if not len(off):
                 break
         w = np.flatnonzero(comp == np.repeat(best, count))
+        stop = np.where(w + 2 < off + count, start[np.minimum(w + 2, len(start) - 1)], size)
+        steps.append(_borders(start[w], start[w + 1], stop))
+        by.append(ids)
         sym[w] = m.by_rank[best >> _PLACE]
         keep = np.ones(len(sym), bool)
         keep[w + 1] = False
@@ -154,16 +173,23 @@ def _merge(m: Model, sym: np.ndarray, off: np.ndarray, size: np.ndarray, key: np
             comp[a] = _priority(m, sym[a], sym[a + 1], key[q], start[a], start[a + 1], stop, limit)
         lone = w[w + 1 == end]
         comp[lone] = NONE
-    flat, whose = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (done, owner))
-    order = np.argsort(whose, kind="stable")
-    return flat[order], np.bincount(whose, minlength=n_words)
+    flat, whose, path = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (done, owner, steps))
+    turn = np.argsort(np.concatenate(by), kind="stable") if by else np.zeros(0, np.int64)
+    return flat[np.argsort(whose, kind="stable")], np.bincount(whose, minlength=n_words), path.astype(np.uint64)[turn]
+
+
+def _spread(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """at, at + 1, ... for each of many runs of n."""
+    return np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())
 
 
 class Memo:
-    """Segmentations of the first MEMO words met, for one model, seed, dropout and number of variants (some 25 MB when full)."""
+    """Segmentations without dropout of the first MEMO words met, and their merges, for one model (some 60 MB when full)."""
 
     def __init__(self):
-        self.keys, self.at, self.n, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.keys, self.pool, self.steps = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.uint64)
+        #: Where a word's ids are and how many, and the same for its merges.
+        self.at, self.n, self.path_at, self.path_n = (np.zeros(0, np.int64) for _ in range(4))
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which keys are known, and their places."""
@@ -172,21 +198,20 @@ class Memo:
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return self.keys[at] == keys, at
 
-    def add(self, keys: np.ndarray, at: np.ndarray, n: np.ndarray, pool: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, at: np.ndarray, n: np.ndarray, pool: np.ndarray, path_at: np.ndarray, path_n: np.ndarray, steps: np.ndarray) -> None:
         free = MEMO - len(self.keys)
-        keys, at, n = keys[:free], at[:free], n[:free]
+        keys, at, n, path_at, path_n = keys[:free], at[:free], n[:free], path_at[:free], path_n[:free]
         if len(keys):
-            to = np.cumsum(n) - n
-            flat = pool[np.repeat(at - to, n) + np.arange(n.sum())]
-            keys, at, n = np.append(self.keys, keys), np.append(self.at, to + len(self.pool)), np.append(self.n, n)
-            order = np.argsort(keys)
-            self.keys, self.at, self.n, self.pool = keys[order], at[order], n[order], np.append(self.pool, flat)
+            order = np.argsort(np.append(self.keys, keys))
+            self.keys = np.append(self.keys, keys)[order]
+            self.at, self.n = np.append(self.at, len(self.pool) + np.cumsum(n) - n)[order], np.append(self.n, n)[order]
+            self.path_at, self.path_n = np.append(self.path_at, len(self.steps) + np.cumsum(path_n) - path_n)[order], np.append(self.path_n, path_n)[order]
+            self.pool, self.steps = np.append(self.pool, pool[_spread(at, n)]), np.append(self.steps, steps[_spread(path_at, path_n)])
 
 
-def encode_texts(m: Model, texts: list[str | None], keys: list[int | None], dropout: float = DROPOUT, seed: int = 0, variants: int = VARIANTS, memo: Memo | None = None) -> list[np.ndarray]:
-    """Ids of each text. keys: a number for each document, on which its variants depend. memo: kept from call to call with the same model, dropout,
-    seed and variants."""
-    limit = np.uint64(int(dropout * 2**64)) if dropout > 0 else np.uint64(0)
+def encode_texts(m: Model, texts: list[str | None], keys: list[int | None], dropout: float = DROPOUT, seed: int = 0, memo: Memo | None = None) -> list[np.ndarray]:
+    """Ids of each text. keys: a number for each document, on which its draws depend. memo: kept from call to call with the same model."""
+    limit = np.uint64(min(int(dropout * 2**64), 2**64 - 1)) if dropout > 0 else np.uint64(0)
     full = [" " + t if t else "" for t in texts]
     cp = np.frombuffer("".join(full).encode("utf-32-le"), np.uint32).astype(np.int64)
     if not len(cp):
@@ -203,49 +228,68 @@ def encode_texts(m: Model, texts: list[str | None], keys: list[int | None], drop
     off = np.flatnonzero(cut)
     size = np.diff(off, append=len(cp))
     owner = doc[off]
-    # what a word is: a hash of its characters, and of the variant that document and place give it
+    # what a word is: a hash of its characters
     place = np.arange(len(cp)) - np.repeat(off, size)
     power = np.cumprod(np.full(int(size.max()), np.uint64(0x9E3779B97F4A7C15)))
     h = mix(np.add.reduceat(mix(cp.astype(np.uint64) + np.uint64(1)) * power[place], off) + size.astype(np.uint64))
-    if limit:
-        number = np.array([(k or 0) & (2**64 - 1) for k in keys], np.uint64)
-        nth = (np.arange(len(off)) - np.searchsorted(owner, owner)).astype(np.uint64)
-        h += mix(mix(number[owner] + np.uint64(seed)) + nth) % np.uint64(variants)
-        h = mix(h + np.uint64(seed))
+    # what its draws are: a hash of the seed, the document and its place there
+    number = np.array([(k or 0) & (2**64 - 1) for k in keys], np.uint64)
+    nth = (np.arange(len(off)) - np.searchsorted(owner, owner)).astype(np.uint64)
+    draw = mix(mix(mix(number + np.uint64(1)) + np.uint64(seed))[owner] + nth)
     found, index, inverse = np.unique(h, return_index=True, return_inverse=True)
     u_off, u_size = off[index], size[index]
     memo = memo or Memo()
     known, place = memo.find(found)
-    plain = ~odd[u_off] & (u_size < LONG) & ~known
-    got_len = np.zeros(len(found), np.int64)
-    got_at = np.zeros(len(found), np.int64)
+    got_len, got_at, path_len, path_at = (np.zeros(len(found), np.int64) for _ in range(4))
     got_len[known], got_at[known] = memo.n[place[known]], memo.at[place[known]]
-    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # which words, their lengths, their flat ids
-    p = np.flatnonzero(plain)
-    if len(p):
-        n = u_size[p]
-        at = np.cumsum(n) - n
-        where = np.repeat(u_off[p] - at, n) + np.arange(n.sum())
-        flat, count = _merge(m, sym[where], at, n, found[p], limit)
-        parts.append((p, count, flat))
-    for i in np.flatnonzero(~plain & ~known):
-        a, b = u_off[i], u_off[i] + u_size[i]
-        if odd[a]:
-            ids = m.byte[np.frombuffer(chr(cp[a]).encode("utf-8", "surrogatepass"), np.uint8)]
-        else:
-            ids = np.array(_agenda(m, sym[a:b].tolist(), int(found[i]), int(limit)), np.int64)
-        parts.append((np.array([i]), np.array([len(ids)]), ids))
-    base = len(memo.pool)
-    for which, count, flat in parts:
-        got_len[which] = count
-        got_at[which] = base + np.cumsum(count) - count
-        base += len(flat)
-    pool = np.concatenate([memo.pool, *(x[2] for x in parts)]).astype(np.int32)
-    fresh = ~known & (u_size < LONG)
-    memo.add(found[fresh], got_at[fresh], got_len[fresh], pool)
-    n = got_len[inverse]
-    to = np.cumsum(n) - n
-    out = pool[np.repeat(got_at[inverse] - to, n) + np.arange(n.sum())]
+    path_len[known], path_at[known] = memo.path_n[place[known]], memo.path_at[place[known]]
+    pool, steps = [memo.pool], [memo.steps]
+    base, path_base = len(memo.pool), len(memo.steps)
+
+    def blocks(which: np.ndarray):
+        return (which[i : i + BLOCK] for i in range(0, len(which), BLOCK))
+
+    def put(which, count, ids, lens, ats) -> None:
+        nonlocal base
+        lens[which] = count
+        ats[which] = base + np.cumsum(count) - count
+        pool.append(ids.astype(np.int32))
+        base += len(ids)
+
+    def merged(of_off, of_size, key, limit):
+        return _merge(m, sym[_spread(of_off, of_size)], np.cumsum(of_size) - of_size, of_size, key, limit)
+
+    u_odd, u_long = odd[u_off], u_size >= LONG
+    for p in blocks(np.flatnonzero(~u_odd & ~u_long & ~known)):
+        flat, count, path = merged(u_off[p], u_size[p], found[p], np.uint64(0))
+        put(p, count, flat, got_len, got_at)
+        path_len[p] = u_size[p] - count
+        path_at[p] = path_base + np.cumsum(path_len[p]) - path_len[p]
+        steps.append(path)
+        path_base += len(path)
+    for i in np.flatnonzero(u_odd & ~known):
+        ids = m.byte[np.frombuffer(chr(cp[u_off[i]]).encode("utf-8", "surrogatepass"), np.uint8)]
+        put(np.array([i]), np.array([len(ids)]), ids, got_len, got_at)
+    if not limit:
+        for i in np.flatnonzero(~u_odd & u_long):
+            ids = np.array(_agenda(m, sym[u_off[i] : u_off[i] + u_size[i]].tolist(), 0, 0), np.int64)
+            put(np.array([i]), np.array([len(ids)]), ids, got_len, got_at)
+    fresh = ~known & ~u_long
+    path = np.concatenate(steps)
+    memo.add(found[fresh], got_at[fresh], got_len[fresh], np.concatenate(pool), path_at[fresh], path_len[fresh], path)
+    n, at = got_len[inverse], got_at[inverse]
+    if limit:
+        for p in blocks(np.flatnonzero(path_len[inverse] > 0)):
+            turns = path_len[inverse[p]]
+            skipped = mix(np.repeat(draw[p], turns) + path[_spread(path_at[inverse[p]], turns)]) < limit
+            p = p[np.logical_or.reduceat(skipped, np.cumsum(turns) - turns)]
+            if len(p):
+                flat, count, _ = merged(off[p], size[p], draw[p], limit)
+                put(p, count, flat, n, at)
+        for i in np.flatnonzero(u_long[inverse] & ~odd[off]):
+            ids = np.array(_agenda(m, sym[off[i] : off[i] + size[i]].tolist(), int(draw[i]), int(limit)), np.int64)
+            put(np.array([i]), np.array([len(ids)]), ids, n, at)
+    out = np.concatenate(pool)[_spread(at, n)]
     per_doc = np.bincount(owner, n, len(texts)).astype(np.int64)
     return np.split(out, np.cumsum(per_doc)[:-1])
 
@@ -257,7 +301,7 @@ def decode_ids(m: Model, ids) -> str:
 
 
 @lru_cache(maxsize=2)
-def _memo(model: str, dropout: float, seed: int) -> Memo:
+def _memo(model: str) -> Memo:
     """One for all tasks of a worker."""
     return Memo()
 
@@ -273,7 +317,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id",
     """
 
     def make():
-        m, memo = load(model), _memo(model, dropout, seed)
+        m, memo = load(model), _memo(model)
 
         def f(b):
             texts, keys = b.column(text).to_pylist(), b.column(key).to_pylist()

@@ -150,6 +150,33 @@ def test_pieces_equal_library_and_round_trip(docs):
     assert len(varied) > 1
 
 
+def test_pieces_drop_out_by_occurrence():
+    m = pieces.load(MODEL)
+    text = "international " * 4000
+    plain = pieces.encode_texts(m, ["international"], [1], 0.0)[0].tolist()
+    ids = pieces.encode_texts(m, [text], [5])[0].tolist()
+    assert pieces.decode_ids(m, ids) == text
+    seen, word = {}, []
+    for i in ids:  # a word starts with its space
+        if m.text[i][:1] == b" " and word:
+            seen[tuple(word)] = seen.get(tuple(word), 0) + 1
+            word = []
+        word.append(i)
+    assert len(seen) > 20
+    merges = len(" international") - len(plain)
+    assert seen[tuple(plain)] / 4000 > (1 - pieces.DROPOUT) ** merges  # other merges lead to the same pieces as well
+    memo, texts, keys = pieces.Memo(), [text[:700], "a communication, " * 50, None, text[:700]], [1, 2, 3, 4]
+    first, again = (pieces.encode_texts(m, texts, keys, 0.2, 3, memo=memo) for _ in range(2))
+    long_way = pieces.LONG
+    try:
+        pieces.LONG = 2  # nothing is remembered
+        b = pieces.encode_texts(m, texts, keys, 0.2, 3)
+    finally:
+        pieces.LONG = long_way
+    assert [x.tolist() for x in first] == [x.tolist() for x in again] == [x.tolist() for x in b]
+    assert first[0].tolist() != first[3].tolist()
+
+
 def test_id_files(spark, docs):
     t = Tokenizer.from_file(WORDS)
     d = docs.select("doc_id", "text")
