@@ -17,13 +17,16 @@ from math import ceil, log, sqrt
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.strands import BASES, passes_rules
+from strandlake.sources.scratch import fresh_path
 
 #: Parameters of the degree distribution, bytes of a seed and of its checksum.
 C, DELTA, SEED_BYTES, CHECK_BYTES = 0.1, 0.5, 4, 2
+#: Seeds that a slot tries before the rules count as too strict.
+MOST_TRIES = 20000
 
 
 def soliton_weights(n: int, c: float = C, delta: float = DELTA) -> list[float]:
@@ -63,8 +66,8 @@ def chunks_of_seed(seed: int, n: int) -> list[int]:
 
 def to_strand(seed: int, value: bytes) -> str:
     head = seed.to_bytes(SEED_BYTES, "big")
-    data = head + crc_hqx(head + value, 0xFFFF).to_bytes(CHECK_BYTES, "big") + value
-    return "".join(BASES[b >> s & 3] for b in _mask(data) for s in (6, 4, 2, 0))
+    data = _mask(head, b"whiten") + _mask(crc_hqx(head + value, 0xFFFF).to_bytes(CHECK_BYTES, "big") + value, b"whiten" + head)
+    return "".join(BASES[b >> s & 3] for b in data for s in (6, 4, 2, 0))
 
 
 def from_strand(strand: str | None, size: int) -> tuple[int, bytes] | None:
@@ -74,14 +77,16 @@ def from_strand(strand: str | None, size: int) -> tuple[int, bytes] | None:
     if any(c not in BASES for c in strand):
         return None
     digits = [BASES.index(c) for c in strand]
-    data = _mask(bytes(digits[i] << 6 | digits[i + 1] << 4 | digits[i + 2] << 2 | digits[i + 3] for i in range(0, len(digits), 4)))
-    head, check, value = data[:SEED_BYTES], data[SEED_BYTES : SEED_BYTES + CHECK_BYTES], data[SEED_BYTES + CHECK_BYTES :]
+    data = bytes(digits[i] << 6 | digits[i + 1] << 4 | digits[i + 2] << 2 | digits[i + 3] for i in range(0, len(digits), 4))
+    head = _mask(data[:SEED_BYTES], b"whiten")
+    rest = _mask(data[SEED_BYTES:], b"whiten" + head)
+    check, value = rest[:CHECK_BYTES], rest[CHECK_BYTES:]
     return (int.from_bytes(head, "big"), value) if crc_hqx(head + value, 0xFFFF) == int.from_bytes(check, "big") else None
 
 
-def _mask(data: bytes) -> bytes:
-    """Whitening, its own inverse."""
-    key = hashlib.shake_128(b"whiten").digest(len(data))
+def _mask(data: bytes, key: bytes) -> bytes:
+    """Whitening, its own inverse. What follows a seed is whitened by it, so that each try is another strand even where all carry one chunk."""
+    key = hashlib.shake_128(key).digest(len(data))
     return bytes(a ^ b for a, b in zip(data, key))
 
 
@@ -136,14 +141,75 @@ def chunked(files: DataFrame, size: int) -> DataFrame:
 
 
 def encode(files: DataFrame, size: int = 20, redundancy: float = 0.5, tries: int = 8, max_homopolymer: int | None = None, gc_min: float | None = None, gc_max: float | None = None) -> DataFrame:
-    """(file_id, n_chunks, n_bytes, slot, seed, strand): ceil(n_chunks * (1 + redundancy)) strands for each file.
+    """(file_id, n_chunks, n_bytes, slot, seed, strand): ceil(n_chunks * (1 + redundancy)) strands for each file; all keep the rules, and together they
+    give the file back.
 
-    Each slot tries so many seeds and takes the first whose strand keeps the rules; if none does, the first one with the shortest run.
+    Each slot takes the first seed whose strand keeps the rules. It tries so many seeds; slots without a strand try twice as many new ones, and so on.
+    Where a file's strands don't determine its chunks, strands that add nothing are exchanged for those of new seeds. A ValueError after MOST_TRIES.
+    Rounds run, and are written to the shared folder, when this is called.
     """
     chunks = chunked(files, size)
     plan = chunks.select("file_id", "n_chunks", "n_bytes").distinct()
-    slots = plan.withColumn("slot", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_chunks") * (1 + redundancy)).cast("int") - 1)))
-    seeds = slots.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("seed", (F.col("slot") * tries + F.col("attempt")).cast("long"))
+    n_slots = F.ceil(F.col("n_chunks") * (1 + redundancy)).cast("int")
+    ok = passes_rules(F.col("strand"), max_homopolymer, gc_min, gc_max)
+    left = plan.withColumn("slot", F.explode(F.sequence(F.lit(0), n_slots - 1)))
+    done, before, n = None, 0, tries
+    while True:
+        best = _written(_first_strands(left, chunks, size, n_slots, before, n, ok), "strands")
+        good = best.where("bad = 0").drop("bad")
+        done = good if done is None else done.union(good)
+        before += n
+        again = best.where("bad = 1").select("file_id", "slot")
+        n_again, n = again.count(), 2 * n
+        if not n_again:
+            again = _written(_redundant(done.join(plan, "file_id")), "redundant")
+            n_again, n = again.count(), tries
+            if not n_again:
+                return done.join(plan, "file_id").select("file_id", "n_chunks", "n_bytes", "slot", "seed", "strand")
+            done = _written(done.join(again, ["file_id", "slot"], "left_anti"), "strands")
+        if before >= MOST_TRIES:
+            raise ValueError(f"{n_again} strands don't keep the rules, or add nothing, in {MOST_TRIES} tries (max_homopolymer={max_homopolymer}, gc_min={gc_min}, gc_max={gc_max}): too strict")
+        left, n = again.join(plan, "file_id"), min(n, MOST_TRIES - before)
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def redundant(seeds: list[int], n: int) -> list[int]:
+    """Places of strands that add nothing to the others, as many as these lack to determine all n chunks."""
+    if solve(dict.fromkeys(seeds, b""), n, 0) is not None:
+        return []
+    pivots: dict[int, int] = {}
+    idle = []
+    for i, s in enumerate(seeds):
+        cs = sum(1 << c for c in chunks_of_seed(s, n))
+        while cs and (top := cs.bit_length() - 1) in pivots:
+            cs ^= pivots[top]
+        if cs:
+            pivots[top] = cs
+        else:
+            idle.append(i)
+    return idle[: n - len(pivots)]
+
+
+def _redundant(strands: DataFrame) -> DataFrame:
+    """(file_id, slot) of strands (file_id, n_chunks, slot, seed) to exchange; a file's seeds meet in one task, as its strands do in recover()."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("slot").reset_index(drop=True)
+        return g.loc[redundant(g["seed"].tolist(), int(g["n_chunks"].iloc[0])), ["file_id", "slot"]]
+
+    file_type = dict(strands.dtypes)["file_id"]
+    return strands.select("file_id", "n_chunks", "slot", "seed").groupBy("file_id").applyInPandas(run, f"file_id {file_type}, slot int")
+
+
+def _first_strands(slots: DataFrame, chunks: DataFrame, size: int, n_slots: Column, before: int, tries: int, ok: Column) -> DataFrame:
+    """(file_id, slot, bad, seed, strand): of the next so many seeds of each slot, after so many before, the first whose strand is ok; bad is 1 where none is."""
+    attempts = slots.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+    seeds = attempts.withColumn("seed", n_slots.cast("long") * before + F.col("slot").cast("long") * tries + F.col("attempt"))
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -155,7 +221,7 @@ def encode(files: DataFrame, size: int = 20, redundancy: float = 0.5, tries: int
             t = b.take(pa.array(row, pa.int64()))
             yield pa.RecordBatch.from_arrays([t.column("file_id"), t.column("seed"), pa.array(chunk, pa.int32())], names=["file_id", "seed", "chunk"])
 
-    file_type = dict(files.dtypes)["file_id"]
+    file_type = dict(slots.dtypes)["file_id"]
     graph = seeds.select("file_id", "seed", "n_chunks").mapInArrow(edges, f"file_id {file_type}, seed long, chunk int")
     # values as 64-bit limbs, so that the exclusive or is an aggregate of Spark's
     limbs = range(0, size, 7)
@@ -169,9 +235,10 @@ def encode(files: DataFrame, size: int = 20, redundancy: float = 0.5, tries: int
             yield pa.RecordBatch.from_arrays([b.column("file_id"), b.column("seed"), pa.array(out, pa.string())], names=["file_id", "seed", "strand"])
 
     made = sums.select("file_id", "seed", value.alias("value")).mapInArrow(strands, f"file_id {file_type}, seed long, strand string")
-    ok = passes_rules(F.col("strand"), max_homopolymer, gc_min, gc_max)
-    ranked = made.withColumn("slot", F.floor(F.col("seed") / tries).cast("int")).groupBy("file_id", "slot").agg(F.min(F.struct((~ok).cast("int").alias("bad"), "seed", "strand")).alias("b"))
-    return ranked.join(plan, "file_id").select("file_id", "n_chunks", "n_bytes", "slot", "b.seed", "b.strand")
+    slot = F.floor((F.col("seed") - n_slots.cast("long") * before) / tries).cast("int")
+    made = made.join(chunks.select("file_id", "n_chunks").distinct(), "file_id").withColumn("slot", slot)
+    ranked = made.groupBy("file_id", "slot").agg(F.min(F.struct((~ok).cast("int").alias("bad"), "seed", "strand")).alias("b"))
+    return ranked.select("file_id", "slot", "b.bad", "b.seed", "b.strand")
 
 
 def recover_bytes(strands: list[str | None], n_chunks: int, n_bytes: int, size: int) -> bytes | None:

@@ -65,7 +65,7 @@ def first_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("c3_encode")
 def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strands of every benchmark text, with the rules kept where a try allows it."""
+    """Strands of every benchmark text; all keep the rules, and together they give it back."""
     s = L.encode(_files(spark, sf_dir), max_homopolymer=3, gc_min=0.4, gc_max=0.6)
     return s.select("file_id", "slot", "seed", "strand", max_run_length(F.col("strand")).alias("max_run"))
 

@@ -65,6 +65,29 @@ def test_fountain_round_trip(spark):
     assert L.from_strand("N" * len(s), 20) is None and L.from_strand(None, 20) is None
 
 
+def test_fountain_strands_keep_the_rules(spark):
+    rng = random.Random(4)
+    files = [(i, bytes(rng.randbytes(n))) for i, n in enumerate((0, 21, 900, 3000))]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in files], "file_id int, content binary")
+    strands = L.encode(df, redundancy=1.5, max_homopolymer=3, gc_min=0.4, gc_max=0.6).cache()
+    bad = strands.where(~S.passes_rules(F.col("strand")))
+    n = strands.count()
+    assert bad.count() == 0
+    assert n == strands.select("file_id", "n_chunks").distinct().agg(F.sum(F.ceil(F.col("n_chunks") * 2.5))).first()[0] == strands.select("file_id", "slot").distinct().count() == strands.select("file_id", "seed").distinct().count()
+    assert {r.file_id: bytes(r.content) for r in L.recover(strands).collect()} == dict(files)
+    assert L.redundant([s for s in range(4000) if L.chunks_of_seed(s, 3) == [1]][:5], 3) == [1, 2]
+    most = L.MOST_TRIES
+    try:
+        L.MOST_TRIES = 20
+        L.encode(df.where("file_id = 1"), max_homopolymer=0)
+    except ValueError as e:
+        assert "too strict" in str(e)
+    else:
+        raise AssertionError("rules that no strand keeps were taken")
+    finally:
+        L.MOST_TRIES = most
+
+
 def test_soliton_ends_at_one():
     w = L.soliton_weights(50)
     assert w[-1] == 1 and all(a <= b for a, b in zip(w, w[1:]))
