@@ -87,6 +87,42 @@ def crc16(data: bytes) -> int:
     return v
 
 
+def _crc_bits(data: bytes, n: int) -> int:
+    """crc16 of the first n bits."""
+    v = crc16(data[: n // 8])
+    for i in range(n % 8):
+        v = v << 1 ^ (0x8005 if (v >> 15 ^ data[n // 8] >> 7 - i) & 1 else 0)
+    return v & 0xFFFF
+
+
+def _bands(h: Header, mode: int) -> tuple[int, ...]:
+    """Bits of an allocation in each band (layers I and II)."""
+    if h.layer == 1:
+        return (4,) * 32
+    if h.version != 3:
+        return (4,) * 4 + (3,) * 7 + (2,) * 19
+    kbps = h.kbps if mode == 3 else h.kbps // 2
+    if kbps < 56:
+        return (4,) * 2 + (3,) * (10 if h.rate == 32000 else 6)
+    return (4,) * 11 + (3,) * 12 + (2,) * (7 if kbps >= 96 and h.rate != 48000 else 4)
+
+
+def checksum(frame: bytes, h: Header) -> int:
+    """What a protected frame's checksum must be: over half the header and the side information (layer III), the allocations (layer I), or these and
+    the choices of scale factors (layer II)."""
+    if h.layer == 3:
+        return crc16(frame[2:4] + frame[6 : 6 + h.side])
+    mode, both = frame[3] >> 6, 4 * (frame[3] >> 4 & 3) + 4  # joint stereo has one allocation for two channels from this band on
+    channels = 1 if mode == 3 else 2
+    bits, at, chosen = int.from_bytes(frame[6 : 6 + 48].ljust(48, b"\0"), "big"), 0, 0
+    for i, n in enumerate(_bands(h, mode)):
+        for _ in range(1 if channels == 1 or mode == 1 and i >= both else 2):
+            if bits >> 384 - at - n & (1 << n) - 1:
+                chosen += channels if mode == 1 and i >= both else 1
+            at += n
+    return _crc_bits(frame[2:4] + frame[6 : 6 + 48].ljust(48, b"\0"), 16 + at + (2 * chosen if h.layer == 2 else 0))
+
+
 @dataclass
 class Stream:
     offsets: list[int] = field(default_factory=list)  # of each frame, the table's included
@@ -144,11 +180,7 @@ def parse(data: bytes) -> Stream:
     """Everything about a stream; damaged or foreign bytes are skipped and counted, never an error."""
     out = Stream()
     at, stop = 0, len(data)
-    if stop >= 128 and data[stop - 128 : stop - 125] == b"TAG":
-        stop -= 128
-        for name, a, b in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93)):
-            if value := data[stop + a : stop + b].decode("latin-1").rstrip("\0 "):
-                out.tags[name] = value
+    last = stop - 128 if data[max(0, stop - 128) : stop - 125] == b"TAG" else stop  # an ID3v1 tag, unless a frame holds this place
     locked = None
     while at < stop:
         if data[at : at + 3] == b"ID3" and at + 10 <= stop:
@@ -156,15 +188,22 @@ def parse(data: bytes) -> Stream:
             continue
         h = header(data[at : at + 4])
         fits = h is not None and at + h.size <= stop
-        if fits and (locked is None or (h.version, h.layer, h.rate) != locked):
-            # a first header, or one after damage, counts only if another follows, or the end
+        if fits and (locked is None or (h.version, h.layer, h.rate) != locked or at <= last < at + h.size):
+            # a first header, one after damage, or one whose frame holds what looks like a tag, counts only if another follows, or the end
             after = at + h.size
             nxt = header(data[after : after + 4])
-            fits = after == stop or data[after : after + 3] == b"ID3" or (nxt is not None and (nxt.version, nxt.layer, nxt.rate) == (h.version, h.layer, h.rate))
+            fits = after in (last, stop) or data[after : after + 3] == b"ID3" or (nxt is not None and (nxt.version, nxt.layer, nxt.rate) == (h.version, h.layer, h.rate))
+        if not fits and at == last:
+            for name, a, b in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93)):
+                if value := data[at + a : at + b].decode("latin-1").rstrip("\0 "):
+                    out.tags[name] = value
+            break
         if not fits:
             ahead = data.find(b"\xff", at + 1, stop)
             tag = data.find(b"ID3", at + 1, ahead if ahead >= 0 else stop)
             ahead = tag if tag >= 0 else ahead if ahead >= 0 else stop
+            if at < last < ahead:
+                ahead = last
             out.skipped += ahead - at
             at, locked = ahead, None
             continue
@@ -172,10 +211,9 @@ def parse(data: bytes) -> Stream:
         start = at + 4
         if h.protected:
             start += 2
-            if h.layer == 3:
-                out.checked += 1
-                if crc16(data[at + 2 : at + 4] + data[start : start + h.side]) != int.from_bytes(data[at + 4 : at + 6], "big"):
-                    out.damaged += 1
+            out.checked += 1
+            if checksum(data[at : at + h.size], h) != int.from_bytes(data[at + 4 : at + 6], "big"):
+                out.damaged += 1
         start += h.side
         table = _vbr(data, at, h) if not out.offsets else None
         if table is not None:

@@ -215,6 +215,55 @@ def test_media(spark, docs):
     assert mpeg_audio.parse(bytes(flipped)).damaged == 1
 
 
+def test_media_holds_tag_at_each_place():
+    for n in (192, 384):
+        for at in range(n - 2):
+            payload = (b"x" * at + b"TAG").ljust(n, b"y")
+            s = mpeg_audio.parse(data := mpeg_audio.pack(payload))
+            assert mpeg_audio.unpack(data, s) == payload and s.skipped == 0 and set(s.tags) == {"payload"}
+    tag = b"TAG" + b"title".ljust(30, b"\0") + b"artist".ljust(30, b"\0") + bytes(65)
+    data = mpeg_audio.pack(b"x" * 500)
+    for whole in (data, data[:-9], data + b"junk"):  # the tag counts after whole frames, after a cut one, and after bytes of no frame
+        s = mpeg_audio.parse(whole + tag)
+        assert (s.tags["TIT2"], s.tags["TPE1"]) == ("title", "artist") and len(s.body) == len(mpeg_audio.parse(whole).body)
+
+
+def test_media_checksums_of_layers_one_and_two():
+    def crc(bits):
+        v = 0xFFFF
+        for b in bits:
+            v = (v << 1 & 0xFFFF) ^ (0x8005 if (v >> 15) ^ int(b) else 0)
+        return v
+
+    rng = random.Random(5)
+    # header, allocations by hand (bits of each band, channels that share it) and whether scale factors are chosen
+    kinds = [
+        (bytes([0xFF, 0xFE, 0x80, 0xC0]), [(4, 1)] * 32, False),  # layer I, mono
+        (bytes([0xFF, 0xFE, 0x80, 0x50]), [(4, 1)] * 16 + [(4, 2)] * 24, False),  # layer I, joint stereo from band 8
+        (bytes([0xFF, 0xFC, 0xA0, 0x00]), [(4, 1)] * 22 + [(3, 1)] * 24 + [(2, 1)] * 14, True),  # layer II, stereo, 192 kbit/s: 30 bands
+        (bytes([0xFF, 0xFC, 0x80, 0x40]), [(4, 1)] * 8 + [(4, 2)] * 7 + [(3, 2)] * 12 + [(2, 2)] * 4, True),  # layer II, joint stereo from band 4, 128 kbit/s: 27 bands
+        (bytes([0xFF, 0xFC, 0x10, 0xC0]), [(4, 1)] * 2 + [(3, 1)] * 6, True),  # layer II, mono, 32 kbit/s: 8 bands
+        (bytes([0xFF, 0xF4, 0x80, 0xC0]), [(4, 1)] * 4 + [(3, 1)] * 7 + [(2, 1)] * 19, True),  # MPEG-2 layer II, mono
+    ]
+    for head, allocations, chosen in kinds:
+        h = mpeg_audio.header(head)
+        bits, extra = "", 0
+        for n, channels in allocations:
+            v = rng.randrange(1 << n) * rng.randrange(2)
+            bits += f"{v:0{n}b}"
+            extra += 2 * channels * (v > 0)
+        bits += "".join(rng.choice("01") for _ in range(extra * chosen))
+        value = crc(f"{int.from_bytes(head[2:], 'big'):016b}" + bits)
+        body = int(bits.ljust(-(-len(bits) // 8) * 8, "1"), 2).to_bytes(-(-len(bits) // 8), "big")
+        frame = (head + value.to_bytes(2, "big") + body).ljust(h.size, b"\xaa")
+        assert len(frame) == h.size
+        s = mpeg_audio.parse(frame * 3)
+        assert (len(s.offsets), s.checked, s.damaged) == (3, 3, 0)
+        flipped = bytearray(frame * 3)
+        flipped[h.size + 6 + (len(bits) - 1) // 8] ^= 0x80 >> (len(bits) - 1) % 8
+        assert mpeg_audio.parse(bytes(flipped)).damaged == 1
+
+
 def test_chat_pairs(spark):
     schema = "pair_id long, turn long, role string, text string, extra int"
     c = spark.createDataFrame([(1, 0, "user", "hi", 1), (1, 1, "assistant", "yes", 1), (2, 0, "user", None, 1), (3, 0, "user", "q", 1), (3, 0, "user", "q", 1), (None, 0, "user", "z", 1)], schema)
