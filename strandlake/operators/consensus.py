@@ -137,8 +137,8 @@ def reconstruct(reads: list[str], length: int, rounds: int = 3, most: int = 16)
     return draft.ljust(length, "A")
 
 
-def decode(strands: DataFrame, reads: DataFrame, length: int, most: int = 16) -> DataFrame:
-    """(strand_id, decoded, n_reads) for every strand; decoded is null where no read came.
+def decode(strands: DataFrame, reads: DataFrame, most: int = 16) -> DataFrame:
+    """(strand_id, decoded, n_reads) for every one of strands (strand_id, length as designed); decoded is null where no read came.
 
     Only the reads that the consensus takes go to a strand's row: they are chosen before they are gathered, evenly spaced in their order.
     """
@@ -148,14 +148,14 @@ def decode(strands: DataFrame, reads: DataFrame, length: int, most: int = 16) ->
     first = F.row_number().over(Window.partitionBy("strand_id", "slot").orderBy("i"))
     r = r.withColumn("slot", F.when(F.col("n") > most, slot).otherwise(F.col("i"))).withColumn("f", first).where("f = 1")
     g = r.groupBy("strand_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "read"))), lambda x: x.read).alias("reads"), F.max("n").alias("n_reads"))
-    g = strands.select("strand_id").join(g, "strand_id", "left")
+    g = strands.select("strand_id", "length").join(g, "strand_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [reconstruct(x or [], length) for x in b.column("reads").to_pylist()]
+            out = [reconstruct(x or [], n) for x, n in zip(b.column("reads").to_pylist(), b.column("length").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("strand_id"), pa.array(out, pa.string()), pa.array([n or 0 for n in b.column("n_reads").to_pylist()], pa.int64())], names=["strand_id", "decoded", "n_reads"])
 
-    return g.select(F.col("strand_id").cast("long"), "reads", "n_reads").mapInArrow(run, "strand_id long, decoded string, n_reads long")
+    return g.select(F.col("strand_id").cast("long"), "length", "reads", "n_reads").mapInArrow(run, "strand_id long, decoded string, n_reads long")
 
 
 def evaluate(decoded: DataFrame, by: list[str]) -> DataFrame:

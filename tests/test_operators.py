@@ -1,4 +1,5 @@
 import random
+import tempfile
 
 from pyspark.sql import functions as F
 
@@ -43,6 +44,25 @@ def test_reconstruct():
     assert len(C.reconstruct(["ACG"], 8)) == 8
 
 
+def test_decode_to_each_strands_length(spark):
+    rng = random.Random(5)
+    right = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (112, 40, 2)]
+    strands = spark.createDataFrame([(i, len(x)) for i, x in enumerate(right)] + [(3, 8)], "strand_id long, length int")
+    reads = spark.createDataFrame([(i, k, x) for i, x in enumerate(right) for k in range(1, 4)] + [(1, 4, right[1][:-1])], "strand_id long, read_no int, read string")
+    got = {r.strand_id: (r.decoded, r.n_reads) for r in C.decode(strands, reads).collect()}
+    assert got == {0: (right[0], 3), 1: (right[1], 4), 2: (right[2], 3), 3: (None, 0)}
+
+
+def test_reconstruct_covers_every_strand(spark, sf_dir):
+    from strandlake.plans import channel
+    from strandlake.plans.base import benchmark_strands
+
+    few = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").limit(4)
+    folder = tempfile.mkdtemp(prefix="strandlake-tests-")
+    few.write.parquet(f"{folder}/benchmark.parquet")
+    assert sum(r.n for r in channel.reconstructed(spark, folder).collect()) == benchmark_strands(spark, folder).count()
+
+
 def test_evaluate(spark):
     df = spark.createDataFrame([(0, "ACGT", "ACGT", 1), (0, "TTGA", "TTGA", 2), (1, "ACGT", None, 0), (1, "AAAA", "AAAT", 3)], "part int, reference string, decoded string, n_reads int")
     r = {x.part: x for x in C.evaluate(df, ["part"]).collect()}
