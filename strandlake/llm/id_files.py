@@ -2,10 +2,12 @@
 
 A data set is a folder with three Parquet tables, written by Spark to any file system it can write to:
   dictionary  one row: the dictionary and its hash (the first 16 hex digits of its SHA-256)
-  blocks      one row for each block: its number (ascending with doc_id, with gaps), the dictionary's hash, and a container: the magic bytes, that hash, the number of frames, an index
-              of their ends (32-bit) and ids (32-bit), then the frames, in ascending order of doc_id
-  index       one row for each document: doc_id, block, place in it, first id's number in the whole, number of ids
-Ids are little-endian 32-bit numbers before compression. A document is read from its block's index and its own frame.
+  blocks      one row for each block, in ascending order of block_no within and across files (part-00000 first): its number, the dictionary's hash, the doc_ids, the numbers of ids, where
+              each begins within the block, and a container: the magic bytes, that hash, the number of frames, an index of their ends (32-bit) and ids (32-bit), then the
+              frames. Blocks ascend with doc_id, and so do the frames of a block; block numbers have gaps
+  index       one row for each document, in the same order: doc_id, block, place in it, first id's number in the whole, number of ids
+Ids are little-endian 32-bit numbers before compression. A document is read from its block's index and its own frame; the statistics of the sorted
+files let a reader skip all row groups but those that may hold it.
 """
 
 from __future__ import annotations
@@ -15,13 +17,14 @@ import os
 import struct
 import uuid
 import zlib
+from collections.abc import Callable
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm.common import running_start, shared_dir, slices, stage, unstage
@@ -30,10 +33,14 @@ MAGIC = b"SLID1\0\0\0"
 #: Documents whose ids train the dictionary, at most (those whose doc_id hashes lowest); the dictionary's bytes.
 SAMPLE_ROWS, DICTIONARY_BYTES = 2000, 64 << 10
 LEVEL = 3
-#: Documents of a block at most, and of a range of doc_id on average.
-BLOCK_ROWS, RANGE_ROWS = 256, 4096
-#: Words whose ids a worker remembers, and words encoded at a time (the library's results are large).
-MEMO, BATCH = 1 << 19, 1024
+#: Documents of a block at most, and of a range of doc_id on average; rows of the index in one file on average.
+BLOCK_ROWS, RANGE_ROWS, INDEX_ROWS = 256, 4096, 1 << 20
+#: Words, and pieces of words, whose ids a worker remembers; pieces encoded as one text (the library's results are large).
+MEMO, BATCH = 1 << 19, 128
+#: Words that are cut into pieces here; all others, and those with a special token's first two characters, go whole through the library. The pieces are
+#: those of the vocabulary's own pattern, on characters where lower case and classes are beyond doubt.
+PLAIN = r"\A[\x09-\x0D!-~À-ÖØ-öø-ÿ]*\z"
+PIECES = r"('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ a-z0-9ß-öø-ÿ]+)"
 
 
 @lru_cache(maxsize=2)
@@ -44,26 +51,76 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-@lru_cache(maxsize=2)
-def _known(path: str) -> dict[str, list[int]]:
-    return {}
-
+class Encoder:
+    """Ids of texts by one vocabulary, with what a worker remembers of words and of their pieces."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole, self.cut = _tokenizer(path), Tokenizer.from_file(path)
+        # pieces come cut and in lower case; each ends with an id of a word's end
+        self.cut.normalizer = normalizers.Sequence([])
+        self.cut.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for v, i in vocabulary.items() if v.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {"": b""}
+
+    def _slowly(self, word: str) -> bytes:
+        return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _of(self, values: pa.Array, known: dict[str, bytes], learn: Callable[[pa.Array], list[bytes]]) -> pa.Array:
+        """Ids of each of values; those of new ones are learned, and remembered while there is room."""
+        d = values.dictionary_encode()
+        unique = d.dictionary.to_numpy(zero_copy_only=False).tolist()
+        got = list(map(known.get, unique))
+        new = [i for i, x in enumerate(got) if x is None]
+        for i, x in zip(new, learn(d.dictionary.take(pa.array(new, pa.int64())))):
+            got[i] = x
+            if len(known) < MEMO:
+                known[unique[i]] = x
+        return pa.array(got, pa.binary()).take(d.indices)
+
+    @staticmethod
+    def _joined(lists: pa.ListArray, ids: pa.Array) -> list[bytes]:
+        """The ids of each list's items, one after another."""
+        ends = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1) if len(ids) else np.zeros(1, np.int32)
+        at = ends[np.asarray(lists.offsets)].tolist()
+        raw = memoryview(ids.buffers()[2] or b"")
+        return [bytes(raw[a:b]) for a, b in zip(at, at[1:])]
+
+    def _learn_pieces(self, pieces: pa.Array) -> list[bytes]:
+        new, out = pieces.to_numpy(zero_copy_only=False).tolist(), []
+        for at in range(0, len(new), BATCH):
+            part = new[at : at + BATCH]
+            ids = np.array(self.cut.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            stop = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            # one by one, if pieces and word ends don't match
+            out += [raw[a:b] for a, b in zip([0, *stop], stop)] if len(stop) == len(part) else map(self._slowly, part)
+        return out
+
+    def _learn_words(self, words: pa.Array) -> list[bytes]:
+        plain = pc.and_(pc.match_substring_regex(words, PLAIN), pc.invert(pc.match_substring(words, "<|")))
+        low = pc.replace_substring_regex(pc.utf8_lower(words.filter(plain)), r"[\x09-\x0D]+", " ")
+        cut = pc.split_pattern(pc.replace_substring_regex(low, PIECES, r"\1 "), " ")
+        found = iter(self._joined(cut, self._of(cut.values, self.pieces, self._learn_pieces)))
+        return [next(found) if p else self._slowly(w) for w, p in zip(words.to_pylist(), plain.to_pylist())] if len(low) < len(words) else list(found)
+
+    def encode(self, texts: pa.Array, end_id: int) -> list[bytes]:
+        """Ids of whole texts (32-bit, little-endian) without special tokens, each with the end id. Null counts as empty.
+
+        The vocabulary drops white space and never joins what it separates, so words between spaces are encoded one by one and remembered.
+        """
+        words, end = pc.split_pattern(texts.fill_null(""), " "), struct.pack("<I", end_id)
+        return [x + end for x in self._joined(words, self._of(words.values, self.words, self._learn_words))]
 
-def encode_texts(path: str, texts: list[str | None], end_id: int) -> list[np.ndarray]:
-    """Ids of whole texts without special tokens, each with the end id.
 
-    The vocabulary drops white space and never joins what it separates, so words between spaces are encoded one by one and remembered.
-    """
-    known, words = _known(path), [(t or "").split(" ") for t in texts]
-    new = list(set().union(*words) - known.keys())
-    for at in range(0, len(new), BATCH):
-        part = new[at : at + BATCH]
-        known.update(zip(part, (e.ids for e in _tokenizer(path).encode_batch_fast(part, add_special_tokens=False))))
-    out = [np.array([*chain.from_iterable(map(known.__getitem__, ws)), end_id], "<u4") for ws in words]
-    if len(known) > MEMO:
-        for w in new:
-            del known[w]
-    return out
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path)
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
@@ -72,7 +129,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
     share = min(1.0, 2 * SAMPLE_ROWS / max(1, docs.count()))
     drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
     rows = drawn.where("text is not null").orderBy(F.xxhash64("doc_id"), "text").limit(SAMPLE_ROWS).collect()
-    samples = [x.tobytes() for x in encode_texts(tokenizer, [r.text for r in rows], end_id)]
+    samples = encoder(tokenizer).encode(pa.array([r.text for r in rows], pa.string()), end_id)
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
@@ -112,9 +169,10 @@ def read_frame(block: bytes, place: int, dictionary: bytes) -> np.ndarray:
 
 
 def write(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None = None) -> str:
-    """Write the ids of docs (doc_id, text) and return the data set's folder.
+    """Write the ids of docs (doc_id, text; other columns are not read) and return the data set's folder.
 
-    Rows are in the order of doc_id (null first), equal ids in the order of a hash of their frames. Null texts count as empty and have the end id only.
+    Rows are in the order of doc_id (null first), those of one doc_id in the order of a hash of their frames. Null texts count as empty and have the
+    end id only; long ones are one frame like any other. An empty table gives a data set without blocks.
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
@@ -128,8 +186,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None =
         for batch in batches:
             for b in slices(batch, "text"):
                 c = c or _compressor(dictionary)
-                ids = encode_texts(tokenizer, b.column("text").to_pylist(), end_id)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([c.compress(x.tobytes()) for x in ids], pa.binary())], names=["doc_id", "n_tokens", "frame"])
+                ids = encoder(tokenizer).encode(b.column("text"), end_id)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(c.compress, ids), pa.binary())], names=["doc_id", "n_tokens", "frame"])
 
     frames = stage(docs.mapInArrow(encode, "doc_id long, n_tokens long, frame binary"), "frames")
     # ranges of doc_id of about RANGE_ROWS rows; a doc_id on very many rows gets ranges of its own by the frame's hash
@@ -137,12 +195,15 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None =
     parts = max(1, -(-n // RANGE_ROWS))
     ranged = frames.withColumn("h", F.xxhash64("frame", "n_tokens")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "h").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h")
     ranged = ranged.withColumn("part", F.spark_partition_id()).drop("h")
+    size = BLOCK_ROWS
 
     def blocks(batches):
         number, part, ids, counts, made = 0, None, [], [], []
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([sum(counts)], pa.int64()), pa.array([pack(made, counts, name)], pa.binary()), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))], names=["part", "number", "n_tokens", "block", "doc_ids", "counts"])
+            starts = (np.cumsum(counts) - counts).tolist()
+            cols = [([(part << 20) + number], pa.int64()), ([name], pa.string()), ([part], pa.int32()), ([sum(counts)], pa.int64()), ([ids], pa.list_(pa.int64())), ([counts], pa.list_(pa.int64())), ([starts], pa.list_(pa.int64())), ([pack(made, counts, name)], pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array(*c) for c in cols], names=["block_no", "dictionary", "part", "n_tokens", "doc_ids", "counts", "starts", "block"])
 
         for b in batches:
             for d, n, f, p in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n_tokens", "frame", "part"))):
@@ -150,27 +211,23 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None =
                 ids.append(d)
                 counts.append(n)
                 made.append(f)
-                if len(made) == BLOCK_ROWS:
+                if len(made) == size:
                     yield flush()
                     number, ids, counts, made = number + 1, [], [], []
         if made:
             yield flush()
 
-    made = stage(ranged.mapInArrow(blocks, "part int, number int, n_tokens long, block binary, doc_ids array<long>, counts array<long>"), "blocks")
+    # each task writes its range as it comes, so files and rows are in the order of doc_id
+    ranged.mapInArrow(blocks, "block_no long, dictionary string, part int, n_tokens long, doc_ids array<long>, counts array<long>, starts array<long>, block binary").write.option("compression", "none").parquet(f"{folder}/blocks")
+    made = spark.read.parquet(f"{folder}/blocks").drop("block")
     # where each block's ids begin: sums of ranges in two levels, then within a range
-    order = made.select("part", "number", "n_tokens")
-    ranges = running_start(order.groupBy("part").agg(F.sum("n_tokens").alias("sum")), "part", "sum", "before").drop("sum")
-    within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("number")) - F.col("n_tokens")
-    order = order.join(ranges, "part").withColumn("first", F.col("before") + within).drop("before", "n_tokens")
-    order = stage(order.withColumn("k", F.col("part").cast("long") * (1 << 20) + F.col("number")), "order")
-    numbered = made.drop("n_tokens").join(order, ["part", "number"])
-    numbered.select(F.col("k").alias("block_no"), F.lit(name).alias("dictionary"), "block").write.option("compression", "none").parquet(f"{folder}/blocks")
-    each = numbered.select(F.col("k").alias("block_no"), "first", "counts", F.posexplode("doc_ids").alias("place", "doc_id"))
-    each = each.withColumn("n_tokens", F.element_at("counts", F.col("place") + 1)).drop("counts")
-    each = each.withColumn("start", F.col("first") + F.sum("n_tokens").over(Window.partitionBy("block_no").orderBy("place")) - F.col("n_tokens"))
-    each.select("doc_id", "block_no", "place", "start", "n_tokens").write.parquet(f"{folder}/index")
-    for x in (frames, made, order):
-        unstage(x)
+    ranges = running_start(made.groupBy("part").agg(F.sum("n_tokens").alias("sum")), "part", "sum", "before").drop("sum")
+    within = F.expr("sum(n_tokens) OVER (PARTITION BY part ORDER BY block_no) - n_tokens")
+    first = made.select("block_no", "part", within.alias("within")).join(ranges, "part").select("block_no", (F.col("before") + F.col("within")).alias("first"))
+    each = made.join(first, "block_no").select("block_no", "first", F.posexplode(F.arrays_zip("doc_ids", "counts", "starts")).alias("place", "d"))
+    each = each.select("d.doc_ids", "block_no", "place", (F.col("first") + F.col("d.starts")).alias("start"), F.col("d.counts").alias("n_tokens")).withColumnRenamed("doc_ids", "doc_id")
+    each.repartitionByRange(max(1, -(-n // INDEX_ROWS)), "block_no", "place").sortWithinPartitions("block_no", "place").write.parquet(f"{folder}/index")
+    unstage(frames)
     return folder
 
 
@@ -202,7 +259,10 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lookup(spark: SparkSession, folder: str, doc_id: int) -> list[np.ndarray]:
-    """Ids of one document (of each row with its doc_id), by the index and its frame."""
+    """Ids of one document (of each row with its doc_id): its rows of the index first, then only their blocks, then only its frames."""
     dictionary = bytes(spark.read.parquet(f"{folder}/dictionary").first().dictionary)
-    at = spark.read.parquet(f"{folder}/index").where(F.col("doc_id") == doc_id).join(spark.read.parquet(f"{folder}/blocks"), "block_no")
-    return [read_frame(bytes(r.block), r.place, dictionary) for r in at.orderBy("start").collect()]
+    rows = spark.read.parquet(f"{folder}/index").where(F.col("doc_id") == doc_id).orderBy("start").collect()
+    numbers = sorted({r.block_no for r in rows})
+    held = spark.read.parquet(f"{folder}/blocks").where(F.col("block_no").isin(numbers)).select("block_no", "block").collect() if numbers else []
+    blocks = {r.block_no: bytes(r.block) for r in held}
+    return [read_frame(blocks[r.block_no], r.place, dictionary) for r in rows]
