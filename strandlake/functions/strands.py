@@ -8,24 +8,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BASES = "ACGT"
+#: Runs that are looked for one length after another.
+SHORT = 8
 
 
 def gc_fraction(s: Column) -> Column:
     """Share of G and C; 0 for an empty strand."""
-    return (F.length(s) - F.length(F.translate(s, "GC", ""))) / F.greatest(F.lit(1), F.length(s))
+    others = F.replace(F.replace(s, F.lit("G"), F.lit("")), F.lit("C"), F.lit(""))
+    return (F.length(s) - F.length(others)) / F.greatest(F.lit(1), F.length(s))
 
 
-def max_run_length(s: Column) -> Column:
-    """Longest run of one letter; 0 for an empty strand. A null strand gives null."""
-    # a mark between neighbours that differ leaves the runs as words
-    runs = F.regexp_extract_all(s, F.lit("(A+|C+|G+|T+|N+)"), F.lit(1))
-    return F.coalesce(F.array_max(F.transform(runs, F.length)), F.when(s.isNotNull(), F.lit(0)))
+def has_run(s: Column, longer_than: int, letters: str = BASES) -> Column:
+    """Whether a letter repeats more than so often in a row."""
+    return reduce(lambda a, b: a | b, [s.contains(b * (longer_than + 1)) for b in letters])
 
 
-def has_run(s: Column, longer_than: int) -> Column:
-    """Whether a letter repeats more than so often in a row."""
-    n = longer_than + 1
-    return s.rlike("|".join(f"{b}{{{n},}}" for b in BASES))
+def max_run_length(s: Column) -> Column:
+    """Longest run of one letter; 0 for an empty strand. A null strand gives null."""
+    # runs of up to SHORT letters, nearly all there are, by plain searches; the others by their words
+    out = F.when(s.isNull(), None)
+    for n in range(SHORT + 1):
+        out = out.when(~has_run(s, n, BASES + "N"), n)
+    return out.otherwise(F.array_max(F.transform(F.regexp_extract_all(s, F.lit("(A+|C+|G+|T+|N+)"), F.lit(1)), F.length)))
 
 
 def codes(s: Column) -> Column:
@@ -48,11 +52,9 @@ def kmer_ids(s: Column, k: int) -> Column:
 
 
 def hex_to_bases(h: Column) -> Column:
-    """Two bases for each hex digit, high bits first."""
-    out = F.lower(h)
-    for n in range(16):
-        out = F.replace(out, F.lit(f"{n:x}"), F.lit(BASES[n >> 2] + BASES[n & 3]))
-    return out
+    """Two bases for each hex digit, high bits first: numbers of up to 14 digits written to the base four."""
+    groups = F.regexp_extract_all(h, F.lit("[0-9A-Fa-f]{1,14}"), F.lit(0))
+    return F.translate(F.array_join(F.transform(groups, lambda g: F.lpad(F.conv(g, 16, 4), 2 * F.length(g), F.lit("0"))), ""), "0123", BASES)
 
 
 def bases_to_hex(s: Column) -> Column:

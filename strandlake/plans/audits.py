@@ -18,7 +18,7 @@ _BAD = f"CASE WHEN length(strand) = 0 OR {SQL_RUN} > 3 OR {SQL_GC} NOT BETWEEN 0
 def rule_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of strands that break a rule."""
     bad = F.when(S.passes_rules(F.col("strand")) & (F.length("strand") > 0), 0.0).otherwise(1.0)
-    return document_strands(spark, sf_dir).groupBy("source").agg(F.round(F.avg(bad), 9).alias("violations"), F.count("*").alias("n"))
+    return document_strands(spark, sf_dir, "source").groupBy("source").agg(F.round(F.avg(bad), 9).alias("violations"), F.count("*").alias("n"))
 
 
 @query("p3_p11_finite_scores", """WITH s AS (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'nan'::DOUBLE WHEN c_acctbal > 9000 THEN NULL ELSE c_acctbal / 5000 END AS score FROM customer)
@@ -42,7 +42,7 @@ def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p9_modal_length", f"""WITH {SQL_STRANDS}, n AS (SELECT lang, length(strand) AS len, count(*) AS n FROM strands GROUP BY 1, 2), m AS (SELECT lang, len, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, len) AS k FROM n) SELECT lang, len::INT AS len, n FROM m WHERE k = 1""")
 def modal_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most frequent length, the smallest on a tie."""
-    n = document_strands(spark, sf_dir).groupBy("lang", F.length("strand").alias("len")).agg(F.count("*").alias("n"))
+    n = document_strands(spark, sf_dir, "lang").groupBy("lang", F.length("strand").alias("len")).agg(F.count("*").alias("n"))
     return n.groupBy("lang").agg(F.max(F.struct("n", (-F.col("len")).alias("neg"))).alias("m")).select("lang", (-F.col("m.neg")).alias("len"), "m.n")
 
 
@@ -201,7 +201,7 @@ def mock_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failure probability of a strand at six reads by a stand-in for difficulty."""
     s = F.col("strand")
     d = 0.02 * F.length(s) * F.pow(F.lit(1.3), F.pow(F.greatest(F.lit(0), S.max_run_length(s) - 2).cast("double"), F.lit(1.5))) * (1 + 2 * F.abs(S.gc_fraction(s) - 0.5))
-    return document_strands(spark, sf_dir).select("doc_id", "chunk", F.round(F.exp(-6.0 / F.greatest(F.lit(1e-9), d)), 9).alias("p"))
+    return document_strands(spark, sf_dir, "doc_id").select("doc_id", "chunk", F.round(F.exp(-6.0 / F.greatest(F.lit(1e-9), d)), 9).alias("p"))
 
 
 @query("m3_m5_moments", f"""WITH {SQL_STRANDS}, v AS (SELECT lang, {SQL_RUN}::DOUBLE AS run, abs({SQL_GC} - 0.5) AS dev, length(strand)::DOUBLE AS len FROM strands)
@@ -209,7 +209,7 @@ SELECT lang, round(corr(run, dev), 6) AS run_dev, round(regr_slope(run, dev), 6)
 def feature_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moments of hand-made features, from which a least-squares scorer follows."""
     s = F.col("strand")
-    v = document_strands(spark, sf_dir).select("lang", S.max_run_length(s).cast("double").alias("run"), F.abs(S.gc_fraction(s) - 0.5).alias("dev"))
+    v = document_strands(spark, sf_dir, "lang").select("lang", S.max_run_length(s).cast("double").alias("run"), F.abs(S.gc_fraction(s) - 0.5).alias("dev"))
     return v.groupBy("lang").agg(F.round(F.corr("run", "dev"), 6).alias("run_dev"), F.round(F.regr_slope("run", "dev"), 6).alias("slope"), F.round(F.avg(F.col("run") * F.col("dev")), 6).alias("cross_moment"), F.round(F.avg(F.col("dev") * F.col("dev")), 9).alias("second"))
 
 

@@ -4,31 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strandlake.functions.strands import hex_to_bases
+from strandlake.functions.cutting import count_kmers, cut_batches
 
-#: Hex digits of one strand (28 bytes, 112 bases).
-DIGITS = 56
+#: Bases of one strand (28 bytes), and what an item's number is multiplied by to leave room for the numbers of its strands.
+LENGTH, ROOM = 112, 1 << 31
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def strands(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """df with each text cut into strands: chunk (0, 1, ...) and strand. Null and empty texts have none."""
-    h = F.hex(F.encode(F.col(text), "UTF-8"))
-    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("__h") - 1) / DIGITS).cast("int")), lambda i: F.substring(F.col("__h"), i * DIGITS + 1, F.lit(DIGITS)))
-    cut = df.withColumn("__h", h).where(F.length("__h") > 0).select(*[c for c in df.columns if c != text], F.posexplode(pieces).alias("chunk", "__piece"))
-    return cut.withColumn("strand", hex_to_bases(F.col("__piece"))).drop("__piece")
+def strands(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with each text cut into strands: chunk (0, 1, ...) and strand. Null and empty texts have none.
 
+    Bytes become bases by one look-up of Arrow buffers, whose cost grows with the text; built-in functions take some fifty times as long, as they know
+    no base four. Select the columns to keep before, as each strand's row repeats them.
+    """
+    schema = T.StructType([*(f for f in df.schema.fields if f.name != text), T.StructField("chunk", T.IntegerType()), T.StructField("strand", T.StringType())])
+    return df.mapInArrow(lambda batches: cut_batches(batches, text, LENGTH), schema)
 
-def document_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return strands(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
+
+def document_strands(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Strands of all documents, with these columns of theirs."""
+    return strands(table(spark, sf_dir, "documents").select(*columns, "text"))
+
+
+def kmer_counts(strands_: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """(group, k, kmer, n) of strands (group, strand), counted within each batch first."""
+    kind = dict(strands_.dtypes)["group"]
+    n = strands_.select("group", "strand").mapInArrow(lambda batches: count_kmers(batches, ks), f"group {kind}, k int, kmer string, n long")
+    return n.groupBy("group", "k", "kmer").agg(F.sum("n").alias("n"))
 
 
 def benchmark_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return strands(table(spark, sf_dir, "benchmark"), "item_id").withColumn("strand_id", F.col("item_id") * 1000 + F.col("chunk"))
+    return strands(table(spark, sf_dir, "benchmark").select("item_id", "text")).withColumn("strand_id", F.col("item_id") * ROOM + F.col("chunk"))
 
 
 _PAIRS = "lower(substr(h, i * 56 + 1, 56))"
@@ -37,7 +48,7 @@ for _n in range(16):
 
 SQL_STRANDS = f"""strands AS (SELECT doc_id, lang, source, i AS chunk, {_PAIRS} AS strand FROM (
 SELECT doc_id, lang, source, hex(encode(text)) AS h, unnest(range(CAST((length(hex(encode(text))) + 55) // 56 AS BIGINT))) AS i FROM documents WHERE length(text) > 0))"""
-SQL_BENCH = f"""strands AS (SELECT item_id, item_id * 1000 + i AS strand_id, i AS chunk, {_PAIRS} AS strand FROM (
+SQL_BENCH = f"""strands AS (SELECT item_id, item_id * {ROOM} + i AS strand_id, i AS chunk, {_PAIRS} AS strand FROM (
 SELECT item_id, hex(encode(text)) AS h, unnest(range(CAST((length(hex(encode(text))) + 55) // 56 AS BIGINT))) AS i FROM benchmark WHERE length(text) > 0))"""
 SQL_GC = "(length(strand) - length(translate(strand, 'GC', '')))::DOUBLE / greatest(1, length(strand))"
 SQL_RUN = "coalesce(list_max(list_transform(regexp_extract_all(strand, 'A+|C+|G+|T+|N+'), lambda x: length(x))), 0)"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import strands as S
 from strandlake.operators import experiments as E
-from strandlake.plans.base import SQL_GC, SQL_RUN, SQL_STRANDS, document_strands, query, table
+from strandlake.plans.base import SQL_GC, SQL_RUN, SQL_STRANDS, document_strands, kmer_counts, query, table
 
 # Trials from orders: the codec is the customer's segment, coverage the order's priority, recovered the status.
 _RATES = """rates AS (SELECT c_mktsegment AS codec, (o_custkey % 12 + 1)::DOUBLE AS coverage, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0 END)::DOUBLE AS rate, count(*) AS n
@@ -129,7 +129,7 @@ b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY abs(gc - 0.5), c
 def least_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the first five strands of each text that pass the run rule the one of least risk, the earliest on a tie."""
     s = F.col("strand")
-    ok = document_strands(spark, sf_dir).select("doc_id", "chunk", S.gc_fraction(s).alias("gc"), S.max_run_length(s).alias("run")).where("run <= 3")
+    ok = document_strands(spark, sf_dir, "doc_id").where(~S.has_run(s, 3)).select("doc_id", "chunk", S.gc_fraction(s).alias("gc"))
     k = ok.withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk"))).where("k <= 5")
     best = k.groupBy("doc_id").agg(F.min(F.struct(F.abs(F.col("gc") - 0.5).alias("risk"), "chunk", "gc")).alias("b"))
     return best.select("doc_id", "b.chunk", F.round("b.gc", 9).alias("gc"))
@@ -138,8 +138,8 @@ def least_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("t6_t12_top_kmers", f"""WITH {SQL_STRANDS}, k AS (SELECT unnest(list_transform(range(1, length(strand) - 3), lambda i: substr(strand, i, 5))) AS kmer FROM strands) SELECT kmer, count(*) AS n FROM k GROUP BY 1 ORDER BY n DESC, kmer LIMIT 20""")
 def top_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty most frequent 5-mers."""
-    k = F.transform(F.sequence(F.lit(1), F.length("strand") - 4), lambda i: F.substring("strand", i, F.lit(5)))
-    return document_strands(spark, sf_dir).where(F.length("strand") >= 5).select(F.explode(k).alias("kmer")).groupBy("kmer").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kmer").limit(20)
+    n = kmer_counts(document_strands(spark, sf_dir).withColumn("group", F.lit(0)), (5,))
+    return n.select("kmer", "n").orderBy(F.desc("n"), "kmer").limit(20)
 
 
 @query("t7_p4_candidate_examples", """WITH m AS (SELECT median(p_retailprice) AS m FROM part), c AS (SELECT p_partkey, p_size, p_retailprice, p_size <= 25 AS rules, p_retailprice <= m AS model FROM part, m),

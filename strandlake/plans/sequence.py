@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import strands as S
-from strandlake.plans.base import SQL_BENCH, SQL_GC, SQL_RUN, SQL_STRANDS, benchmark_strands, document_strands, query, sql_uniform, table
+from strandlake.plans.base import SQL_BENCH, SQL_GC, SQL_RUN, SQL_STRANDS, benchmark_strands, document_strands, kmer_counts, query, sql_uniform, table
 
 
 @query("p01_rule_acceptance", f"""WITH {SQL_STRANDS}, r AS (SELECT lang, {SQL_GC} AS gc, regexp_matches(strand, 'A{{4,}}|C{{4,}}|G{{4,}}|T{{4,}}') AS run FROM strands)
@@ -15,19 +15,19 @@ round(count(*) FILTER (WHERE NOT run AND gc BETWEEN 0.4 AND 0.6)::DOUBLE / count
 def rule_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("strand")
     ok = S.passes_rules(s)
-    return document_strands(spark, sf_dir).groupBy("lang").agg(
+    return document_strands(spark, sf_dir, "lang").groupBy("lang").agg(
         F.count("*").alias("n"), F.count_if(~S.has_run(s, 3)).alias("n_no_run"), F.count_if(ok).alias("n_accepted"), F.round(F.count_if(ok) / F.count("*"), 9).alias("rate")
     )
 
 
 @query("f01_f03_gc_and_run", f"WITH {SQL_STRANDS} SELECT doc_id, chunk, round({SQL_GC}, 9) AS gc, {SQL_RUN} AS max_run FROM strands")
 def gc_and_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_strands(spark, sf_dir).select("doc_id", "chunk", F.round(S.gc_fraction(F.col("strand")), 9).alias("gc"), S.max_run_length(F.col("strand")).alias("max_run"))
+    return document_strands(spark, sf_dir, "doc_id").select("doc_id", "chunk", F.round(S.gc_fraction(F.col("strand")), 9).alias("gc"), S.max_run_length(F.col("strand")).alias("max_run"))
 
 
 @query("f03_run_histogram", f"WITH {SQL_STRANDS} SELECT source, {SQL_RUN} AS max_run, count(*) AS n FROM strands GROUP BY 1, 2")
 def run_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_strands(spark, sf_dir).groupBy("source", S.max_run_length(F.col("strand")).alias("max_run")).agg(F.count("*").alias("n"))
+    return document_strands(spark, sf_dir, "source").groupBy("source", S.max_run_length(F.col("strand")).alias("max_run")).agg(F.count("*").alias("n"))
 
 
 @query("f04_w4_run_islands", f"""WITH {SQL_BENCH}, p AS (SELECT strand_id, unnest(range(1, length(strand) + 1)) AS pos, strand FROM strands),
@@ -56,7 +56,7 @@ def kmer_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("f06_code_counts", f"""WITH {SQL_STRANDS} SELECT lang, sum(length(strand) - length(replace(strand, 'A', '')))::BIGINT AS n0, sum(length(strand) - length(replace(strand, 'C', '')))::BIGINT AS n1,
 sum(length(strand) - length(replace(strand, 'G', '')))::BIGINT AS n2, sum(length(strand) - length(replace(strand, 'T', '')))::BIGINT AS n3 FROM strands GROUP BY lang""")
 def code_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_strands(spark, sf_dir).groupBy("lang").agg(*(F.sum(F.length("strand") - F.length(F.replace("strand", F.lit(b), F.lit("")))).alias(f"n{i}") for i, b in enumerate(S.BASES)))
+    return document_strands(spark, sf_dir, "lang").groupBy("lang").agg(*(F.sum(F.length("strand") - F.length(F.replace("strand", F.lit(b), F.lit("")))).alias(f"n{i}") for i, b in enumerate(S.BASES)))
 
 
 @query("f07_hex_round_trip", """SELECT item_id, lower(hex(encode(text))) AS hex, true AS same FROM benchmark""")
@@ -96,7 +96,7 @@ def packed_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("f18_reverse_complement", f"WITH {SQL_STRANDS} SELECT doc_id, chunk, md5(translate(reverse(strand), 'ACGT', 'TGCA')) AS digest, round({SQL_GC}, 9) AS gc FROM strands")
 def reverse_complements(spark: SparkSession, sf_dir: str) -> DataFrame:
     rc = S.reverse_complement(F.col("strand"))
-    return document_strands(spark, sf_dir).select("doc_id", "chunk", F.md5(rc.cast("binary")).alias("digest"), F.round(S.gc_fraction(rc), 9).alias("gc"))
+    return document_strands(spark, sf_dir, "doc_id").select("doc_id", "chunk", F.md5(rc.cast("binary")).alias("digest"), F.round(S.gc_fraction(rc), 9).alias("gc"))
 
 
 @query("f19_subsample", """WITH r AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS l FROM orders GROUP BY o_custkey),
@@ -131,7 +131,7 @@ def density_and_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, chunk, round(least(0.99, greatest(0, least(0.99, 0.02 + 0.001 * (chunk % 50)) + 0.05 * abs(gc - 0.5) / 0.1)), 9) AS p FROM g""")
 def dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = S.total_dropout(F.lit(0.02), F.lit(0.001), F.col("chunk") % 50)
-    return document_strands(spark, sf_dir).select("doc_id", "chunk", F.round(S.dropout_probability(S.gc_fraction(F.col("strand")), base, F.lit(0.05)), 9).alias("p"))
+    return document_strands(spark, sf_dir, "doc_id").select("doc_id", "chunk", F.round(S.dropout_probability(S.gc_fraction(F.col("strand")), base, F.lit(0.05)), 9).alias("p"))
 
 
 @query("f25_f27_error_multipliers", f"""WITH {SQL_BENCH}, p AS (SELECT strand_id, strand, length(strand) AS n, unnest(range(0, length(strand))) AS pos FROM strands),
@@ -152,13 +152,21 @@ def highlighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_strands(spark, sf_dir).select("strand_id", F.regexp_replace("strand", "(A{4,}|C{4,}|G{4,}|T{4,})", "[$1]").alias("shown"))
 
 
-@query("f34_kmer_features", f"""WITH {SQL_STRANDS}, k AS (SELECT lang, unnest(list_transform(range(1, length(strand) - 1), lambda i: substr(strand, i, 3))) AS kmer FROM strands)
-SELECT lang, kmer, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY lang), 9) AS frequency FROM k GROUP BY lang, kmer""")
+@query("f34_kmer_features", f"""WITH {SQL_STRANDS}, k AS (SELECT lang, k, unnest(list_transform(range(1, length(strand) - k + 2), lambda i: substr(strand, i, k))) AS kmer FROM strands, (SELECT unnest(range(1, 5)) AS k)),
+n AS (SELECT lang, k, kmer, count(*) AS n FROM k GROUP BY ALL), r AS (SELECT lang, least(10, {SQL_RUN}) AS run, {SQL_GC} AS gc, length(strand) AS len FROM strands), m AS (SELECT lang, count(*) AS n, avg(gc) AS gc, avg(gc * gc) AS gc2, avg(len) AS len FROM r GROUP BY 1)
+SELECT lang, kmer AS feature, round(n::DOUBLE / sum(n) OVER (PARTITION BY lang, k), 9) AS value FROM n UNION ALL SELECT lang, 'run' || run, round(count(*)::DOUBLE / any_value(m.n), 9) FROM r JOIN m USING (lang) GROUP BY 1, 2
+UNION ALL SELECT lang, unnest(['gc', 'gc2', 'length']), round(unnest([gc, gc2, len])::DOUBLE, 9) FROM m""")
 def kmer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frequencies of 3-mers by language."""
-    k = F.transform(F.sequence(F.lit(1), F.length("strand") - 2), lambda i: F.substring("strand", i, F.lit(3)))
-    n = document_strands(spark, sf_dir).where(F.length("strand") >= 3).select("lang", F.explode(k).alias("kmer")).groupBy("lang", "kmer").agg(F.count("*").alias("n"))
-    return n.withColumn("frequency", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("lang")), 9))
+    """Features of a scorer by language, in long form: frequencies of k-mers for k of 1 to 4, shares of longest runs (10 stands for more), means of GC, its square and the length."""
+    s = document_strands(spark, sf_dir, "lang")
+    n = kmer_counts(s.withColumnRenamed("lang", "group"), (1, 2, 3, 4))
+    kmers = n.select(F.col("group").alias("lang"), F.col("kmer").alias("feature"), F.round(F.col("n") / F.sum("n").over(Window.partitionBy("group", "k")), 9).alias("value"))
+    gc = S.gc_fraction(F.col("strand"))
+    each = s.groupBy("lang", F.least(F.lit(10), S.max_run_length(F.col("strand"))).alias("run")).agg(F.count("*").alias("n"), F.sum(gc).alias("gc"), F.sum(gc * gc).alias("gc2"), F.sum(F.length("strand")).alias("length"))
+    w = Window.partitionBy("lang")
+    runs = each.select("lang", F.concat(F.lit("run"), "run").alias("feature"), F.round(F.col("n") / F.sum("n").over(w), 9).alias("value"))
+    means = each.groupBy("lang").agg(*(F.round(F.sum(c) / F.sum("n"), 9).alias(c) for c in ("gc", "gc2", "length"))).unpivot("lang", ["gc", "gc2", "length"], "feature", "value")
+    return kmers.union(runs).union(means)
 
 
 _CONTEXT = "1 + ((kmer * 37) % 101) / 100.0"

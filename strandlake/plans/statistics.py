@@ -112,7 +112,7 @@ SELECT lang, bucket, round(rel, 9) AS relative, round(rel / sum(rel * n / total)
 def shrunk_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates by run length relative to the language's, shrunk towards 1, and normalised to a weighted mean of 1."""
     s = F.col("strand")
-    e = document_strands(spark, sf_dir).groupBy("lang", S.max_run_length(s).alias("bucket")).agg(F.count("*").alias("n"), F.count_if(S.gc_fraction(s) > 0.5).alias("e"))
+    e = document_strands(spark, sf_dir, "lang").groupBy("lang", S.max_run_length(s).alias("bucket")).agg(F.count("*").alias("n"), F.count_if(S.gc_fraction(s) > 0.5).alias("e"))
     w = Window.partitionBy("lang")
     g = e.withColumn("rate", F.sum("e").over(w) / F.sum("n").over(w)).withColumn("total", F.sum("n").over(w)).where("rate > 0")
     r = g.withColumn("rel", (F.col("e") + 2000 * F.col("rate")) / (F.col("n") + 2000) / F.col("rate"))
@@ -122,7 +122,7 @@ def shrunk_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("a20_reference_stats", f"""WITH {SQL_STRANDS}, v AS (SELECT source, {SQL_GC} AS gc, {SQL_RUN} AS run FROM strands)
 SELECT source, count(*) AS n, round(avg(gc), 9) AS gc_mean, round(stddev_pop(gc), 9) AS gc_sd, round(min(gc), 9) AS gc_min, round(max(gc), 9) AS gc_max, round(avg(CASE WHEN run >= 4 THEN 1.0 ELSE 0 END), 9) AS run4_share FROM v GROUP BY 1""")
 def reference_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = document_strands(spark, sf_dir).select("source", S.gc_fraction(F.col("strand")).alias("gc"), S.max_run_length(F.col("strand")).alias("run"))
+    v = document_strands(spark, sf_dir, "source").select("source", S.gc_fraction(F.col("strand")).alias("gc"), S.max_run_length(F.col("strand")).alias("run"))
     return v.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("gc"), 9).alias("gc_mean"), F.round(F.stddev_pop("gc"), 9).alias("gc_sd"), F.round(F.min("gc"), 9).alias("gc_min"), F.round(F.max("gc"), 9).alias("gc_max"), F.round(F.avg((F.col("run") >= 4).cast("double")), 9).alias("run4_share"))
 
 
@@ -155,7 +155,7 @@ SELECT q.lang, q.q::DOUBLE AS q, round(CASE WHEN any_value(a.n) >= 20 THEN CASE
 ELSE CASE q.q WHEN 0.1 THEN quantile_cont(score, 0.1) WHEN 0.25 THEN quantile_cont(score, 0.25) ELSE quantile_cont(score, 0.5) END END, 9) AS threshold FROM q JOIN v USING (lang) JOIN a USING (lang) GROUP BY q.lang, q.q""")
 def threshold_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score quantiles of strands that pass the run rule, or of all where fewer than 20 do."""
-    v = document_strands(spark, sf_dir).select("lang", S.gc_fraction(F.col("strand")).alias("score"), (S.max_run_length(F.col("strand")) <= 3).alias("ok"))
+    v = document_strands(spark, sf_dir, "lang").select("lang", S.gc_fraction(F.col("strand")).alias("score"), (S.max_run_length(F.col("strand")) <= 3).alias("ok"))
     qs = F.array(*map(F.lit, (0.1, 0.25, 0.5)))
     t = v.groupBy("lang").agg(F.count_if("ok").alias("n"), F.percentile(F.when(F.col("ok"), F.col("score")), qs).alias("own"), F.percentile("score", qs).alias("every"))
     z = F.arrays_zip(qs.alias("q"), F.when(F.col("n") >= 20, F.col("own")).otherwise(F.col("every")).alias("t"))
