@@ -266,10 +266,11 @@ def pack(payload: bytes) -> bytes:
     return b"ID3\4\0\0" + _synchsafe(len(tag)) + tag + _frame(6, vbr) + b"".join(frames)
 
 
-def unpack(data: bytes, stream: Stream | None = None) -> bytes:
+def unpack(data: bytes, stream: Stream | None = None) -> bytes | None:
+    """The payload of a stream of pack(); None for one without its tag, or with less main data than that says."""
     s = stream or parse(data)
-    raw = b"".join([data[a:b] for a, b in s.body])
-    return raw[: int(s.tags["payload"])]
+    length, raw = s.tags.get("payload", ""), b"".join([data[a:b] for a, b in s.body])
+    return raw[: int(length)] if length.isascii() and length.isdecimal() and int(length) <= len(raw) else None
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -294,14 +295,21 @@ READ = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, ta
 
 
 def read(media: DataFrame) -> DataFrame:
-    """What the stored streams of media (doc_id, n_bytes, media) hold: payload digests, exact duration, frame offsets, and a feature string."""
+    """What the stored streams of media (doc_id, n_bytes, media) hold: payload digests, exact duration, frame offsets, and a feature string.
+
+    Any bytes can be read. Null media have null in all columns but doc_id and n_bytes. Foreign streams, and bytes without a frame, have null payload columns; the others
+    say what was found (no frames: 0 samples, 0 seconds, no offsets). Rows are taken one by one: equal media have equal values.
+    """
 
     def one(doc, n, data):
+        if data is None:
+            return (doc, n, *[None] * 11)
         s = parse(data)
         payload = unpack(data, s)
-        good = s.table is not None and s.table["frames"] == len(s.body) and s.table["bytes"] == len(data) - s.offsets[0]
-        feature = f"frames={len(s.body)};samples={s.samples};rate={s.rate};kbps={min(s.kbps)}-{max(s.kbps)};checked={s.checked};damaged={s.damaged};skipped={s.skipped};table={'ok' if good else 'bad'}"
-        return (doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature, len(s.body), s.samples, s.rate, s.seconds, s.offsets)
+        good = s.table is not None and s.table.get("frames") == len(s.body) and s.table.get("bytes") == len(data) - s.offsets[0]
+        feature = f"frames={len(s.body)};samples={s.samples};rate={s.rate};kbps={min(s.kbps, default=0)}-{max(s.kbps, default=0)};checked={s.checked};damaged={s.damaged};skipped={s.skipped};table={'ok' if good else 'bad'}"
+        held = (None, None, None) if payload is None else (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        return (doc, n, *held, len(data), hashlib.sha256(data).hexdigest(), feature, len(s.body), s.samples, s.rate, s.seconds, s.offsets)
 
     def run(batches):
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int64())]

@@ -22,7 +22,7 @@ def op2_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mpeg_audio.stored_features(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("offsets")
+    return mpeg_audio.stored_features(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
