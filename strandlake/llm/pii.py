@@ -1,10 +1,10 @@
 """Personal data by weak supervision.
 
-Candidates come from strict patterns (the base spans, which always stay) and from looser ones. Four labelers vote on each candidate:
-its format, word lists, the words around it, and its borders. The votes and a few features of each candidate form a pattern; patterns
-are counted over all documents, and expectation-maximisation on the counts estimates for each kind how often it is personal and how
-reliable each labeler is. A logistic classifier on the features is trained on the resulting probabilities and decides which of the
-looser candidates are spans as well.
+Candidates come from strict patterns (the base spans, which always stay) and from looser ones: addresses spelt out, local phone numbers, national ids, bank accounts,
+names of persons, streets with a number. Four labelers vote on each candidate: its format (patterns and check digits), gazetteers (domains, calling codes, card issuers,
+account lengths, names, street words), the words around it, and its borders. The votes and a few features of each candidate form a pattern; patterns are counted over
+all documents, and expectation-maximisation on the counts estimates for each kind how often it is personal and how reliable each labeler is. A logistic classifier is trained
+on the resulting probabilities and decides which of the looser candidates are spans as well. Its features are none of the votes, nor what a vote is made of.
 
 Everything that leaves the executors is the table of patterns. Its size is bounded by the product of the kinds, votes and feature values
 (MAX_PATTERNS), whatever the size of the corpus.
@@ -13,7 +13,9 @@ Everything that leaves the executors is the table of patterns. Its size is bound
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +26,9 @@ from pyspark.sql import types as T
 from strandlake.llm.common import slices, with_arrow_columns
 
 #: Kinds in the order of the results; the first four have base spans.
-KINDS = ("email", "ip", "card", "phone", "email_words", "phone_local", "national_id")
+KINDS = ("email", "ip", "card", "phone", "email_words", "phone_local", "national_id", "iban", "name", "address")
 BASE = KINDS[:4]
-LABELERS = ("format", "words", "context", "borders")
+LABELERS = ("format", "gazetteer", "context", "borders")
 
 # The base patterns.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -40,20 +42,100 @@ PHONE_LOCAL = re.compile(r"[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
 NATIONAL_ID = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 EMAIL_WORDS = re.compile(r"[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++)* ?[\[(]at[\])] ?[A-Za-z0-9-]++ ?(?:\.|[\[(]dot[\])]) ?[A-Za-z]{2,10}")
 
-TOP_DOMAINS = frozenset("com org net edu gov io co uk de fr es it nl ch at be eu us ca au jp info biz".split())
-CALLING_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "54", "55", "56", "57", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "351", "352", "353", "358", "420", "421")
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+NAME_TAIL = re.compile(r"\.?(?: [A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'-]+){1,2}")
+NUMBER_BEFORE = re.compile(r"(?<![0-9A-Za-z])[0-9]{1,5}[A-Za-z]?,?(?: [A-ZÀ-ÖØ-Þ][\w.'-]*){1,3} $")
+NUMBER_AFTER = re.compile(r"(?: (?:de|du|des|la|le|del|los|las))*(?: [A-ZÀ-ÖØ-Þ][\w'-]+){1,3},? [0-9]{1,5}(?![0-9A-Za-z])")
+HOUSE_AFTER = re.compile(r" [0-9]{1,4}[a-z]?(?![0-9A-Za-z])")
+
+# The gazetteers.
+TOP_DOMAINS = frozenset("""com org net edu gov mil int info biz name pro io co ai app dev me tv xyz online site shop blog cloud eu
+uk ie fr de at ch li nl be lu es pt it gr mt cy dk se no fi is ee lv lt pl cz sk hu ro bg hr si rs ba mk al ua by md ru ge am az tr
+us ca mx gt cu do cr pa br ar cl pe ve ec bo py uy au nz jp cn hk tw kr in pk bd lk np th vn my sg id ph il ae sa qa kw ir iq eg ma dz tn ng ke gh za""".split())
+#: Calling codes of one and two digits, and the first two digits of those of three.
+CALLING_SHORT = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+CALLING_LONG = frozenset("21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99".split())
+#: Characters of an account number by country.
+ACCOUNTS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "BA": 20, "BE": 16, "BG": 22, "BR": 29, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GE": 22,
+    "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27, "KW": 30, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MT": 31, "NL": 18, "NO": 15, "PL": 28,
+    "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29,
+}
+HONORIFICS = frozenset("Mr Mrs Ms Miss Dr Prof Sir Herr Frau Señor Señora Sr Sra Don Doña Monsieur Madame Mme Mlle".split())
+GIVEN = frozenset("""James Mary John Patricia Robert Jennifer Michael Linda William Elizabeth David Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Christopher Nancy Daniel Lisa Matthew Betty Anthony Margaret Mark Sandra
+Hans Peter Klaus Jürgen Wolfgang Stefan Andreas Markus Ursula Monika Sabine Petra Claudia Katharina Brigitte Heike Jean Pierre Michel Philippe Jacques Nicolas François Marie Nathalie Isabelle Sylvie Catherine Sophie Camille
+José Antonio Manuel Francisco Juan Javier Carlos Miguel Alejandro Pedro Carmen María Isabel Dolores Pilar Teresa Lucía Elena Cristina Laura""".split())
+SURNAMES = frozenset("""Smith Johnson Williams Brown Jones Miller Davis Wilson Anderson Taylor Moore Jackson Martin Lee Thompson White Harris Clark Lewis Robinson Walker Young Allen King Wright Scott Hill Green Adams Baker
+Müller Schmidt Schneider Fischer Weber Meyer Wagner Becker Schulz Hoffmann Koch Bauer Richter Klein Wolf Schröder Neumann Schwarz Zimmermann Braun Bernard Dubois Durand Moreau Laurent Simon Lefebvre Leroy Roux Fournier
+García González Rodríguez Fernández López Martínez Sánchez Pérez Gómez Ruiz Hernández Díaz Moreno Muñoz Álvarez Romero Alonso Gutiérrez Navarro Torres""".split())
+STREETS_LAST = frozenset("Street St Avenue Ave Road Rd Lane Ln Drive Dr Boulevard Blvd Court Ct Square Terrace Parkway Highway".split())
+STREETS_FIRST = frozenset("Rue Avenue Boulevard Place Quai Impasse Calle Avenida Plaza Paseo Camino Carretera".split())
+STREETS_END = ("straße", "strasse", "gasse", "platz", "allee")
+
 NEAR = 40
 CUES = {
-    "email": ("mail", "contact", "write", "kontakt", "correo", "courriel"),
-    "ip": ("ip", "host", "server", "address", "login"),
-    "card": ("card", "visa", "credit", "payment", "karte", "carte", "tarjeta"),
-    "phone": ("phone", "tel", "call", "fax", "mobile", "anruf", "appel", "llam"),
+    "email": ("mail", "contact", "write", "reach", "kontakt", "schreib", "correo", "escrib", "courriel", "adresse"),
+    "ip": ("ip", "host", "server", "address", "login", "router", "gateway", "servidor", "serveur"),
+    "card": ("card", "visa", "credit", "debit", "payment", "expir", "karte", "zahlung", "carte", "paiement", "tarjeta", "pago"),
+    "phone": ("phone", "tel", "call", "fax", "mobile", "cell", "anruf", "handy", "appel", "portable", "llam", "móvil"),
+    "national_id": ("ssn", "social", "tax", "passport", "identity", "ausweis", "steuer", "identité", "seguridad", "dni"),
+    "iban": ("iban", "account", "bank", "transfer", "konto", "überweis", "compte", "virement", "cuenta", "transferencia"),
+    "name": ("name", "dear", "regards", "sincerely", "signed", "contact", "born", "grüße", "geehrte", "cordialement", "nombre", "saludos", "patient", "customer"),
+    "address": ("address", "live", "street", "zip", "postal", "ship", "deliver", "home", "wohn", "adresse", "habite", "domicilio", "dirección", "vive"),
 }
-CUES |= {"email_words": CUES["email"], "phone_local": CUES["phone"], "national_id": ("ssn", "social", "tax", "id", "passport")}
-AGAINST = ("version", "isbn", "order", "invoice", "sha", "build", "serial")
+CUES |= {"email_words": CUES["email"], "phone_local": CUES["phone"]}
+AGAINST = ("version", "isbn", "order", "invoice", "sha", "build", "serial", "chapter", "figure")
+
+#: kinds * 3 votes of 4 labelers * features (length, separators, what stands before, share of digits, first character)
+FEATURES = (4, 4, 3, 4, 4)
+MAX_PATTERNS = len(KINDS) * 3 ** len(LABELERS) * int(np.prod(FEATURES))
+
+
+@lru_cache(maxsize=1)
+def _gazetteer():
+    """One automaton for all words of names and streets."""
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    for w in HONORIFICS | GIVEN | STREETS_LAST | STREETS_FIRST | {*STREETS_END}:
+        a.add_word(w, w)
+    a.make_automaton()
+    return a
+
+
+def named(text: str) -> list[tuple[int, int, int]]:
+    """Candidates (kind, start, end) that gazetteer words lead to: persons and streets with a number, leftmost and non-overlapping for each kind."""
+    out, name_end, street_end = [], 0, 0
+    for last, w in _gazetteer().iter(text):
+        end, start = last + 1, last + 1 - len(w)
+        if end < len(text) and text[end].isalnum():
+            continue
+        first = start
+        while first > 0 and text[first - 1].isalpha():
+            first -= 1
+        if w in STREETS_END:
+            if first >= street_end and text[first].isupper() and (m := HOUSE_AFTER.match(text, end)):
+                street_end = m.end()
+                out.append((9, first, street_end))
+            continue
+        if first < start or start > 0 and text[start - 1].isalnum():
+            continue
+        if (w in HONORIFICS or w in GIVEN) and start >= name_end and (m := NAME_TAIL.match(text, end)):
+            name_end = m.end()
+            out.append((8, start, name_end))
+        if w in STREETS_LAST and start >= street_end and (m := NUMBER_BEFORE.search(text[max(street_end, start - 60) : start])):
+            out.append((9, max(street_end, start - 60) + m.start(), end))
+            street_end = end
+        elif w in STREETS_FIRST and start >= street_end and (m := NUMBER_AFTER.match(text, end)):
+            street_end = m.end()
+            out.append((9, start, street_end))
+    return out
+
 
-#: kinds * 3 votes of 4 labelers * (left, right, length, separators, cue)
-MAX_PATTERNS = len(KINDS) * 3**4 * (3 * 3 * 4 * 4 * 3)
+def account(span: str) -> bool:
+    """Whether the check digits of an account number are right."""
+    s = span.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
 def luhn(digits: str) -> bool:
@@ -94,7 +176,10 @@ def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
             card_end = m.end()
             if card_end - at >= 13 and 13 <= len(d := _digits(m[0])) <= 19 and luhn(d):
                 base.append((2, at, card_end))
-        if end - at == 3 and at >= more_end:
+        if end - at >= 2 and at >= 2 and at >= more_end and text[at - 1].isupper() and not text[at - 3 : at - 2].isalnum() and (m := IBAN.match(text, at - 2)):
+            more_end = m.end()
+            more.append((7, at - 2, more_end))
+        elif end - at == 3 and at >= more_end:
             if m := PHONE_LOCAL.match(text, at):
                 more_end = m.end()
                 more.append((5, at - (text[at - 1 : at] == "("), more_end))
@@ -107,11 +192,19 @@ def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
                 base.append((3, *m.span()))
     if "at)" in text or "at]" in text:
         more += [(4, *m.span()) for m in EMAIL_WORDS.finditer(text)]
+    more += named(text)
     if base and more:
-        more = [x for x in more if not any(x[1] < e and s < x[2] for _, s, e in base)]
+        # of the base spans that start before a candidate ends, the furthest end
+        spans = sorted((s, e) for _, s, e in base)
+        furthest = np.maximum.accumulate([0, *(e for _, e in spans)]).tolist()
+        more = [x for x in more if furthest[bisect_left(spans, (x[2],))] <= x[1]]
     return base, more
 
 
+def _calling(digits: str) -> bool:
+    return digits[:1] in CALLING_SHORT or digits[:2] in CALLING_SHORT or digits[:2] in CALLING_LONG
+
+
 def pattern(text: str, kind: int, start: int, end: int) -> int:
     """Votes and features of a candidate as one number."""
     name, span = KINDS[kind], text[start:end]
@@ -128,18 +221,30 @@ def pattern(text: str, kind: int, start: int, end: int) -> int:
     elif kind == 6:
         form = 2 if digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" or digits[5:] == "0000" else 1
         words = 0
+    elif kind == 7:
+        form = 1 if account(span) else 2
+        words = 1 if ACCOUNTS.get(span[:2]) == len(span.replace(" ", "")) else 2
+    elif kind == 8:
+        parts = span.replace(".", "").split(" ")
+        form = 1 if len(parts) > 2 or parts[0] in HONORIFICS else 2
+        words = 1 if parts[-1] in SURNAMES or len(parts) > 2 and parts[1] in GIVEN else 0
+    elif kind == 9:
+        form = 1 if digits[0] != "0" else 2
+        words = 1 if any(w in STREETS_LAST or w in STREETS_FIRST or w.endswith(STREETS_END) for w in re.split("[ ,]+", span) if len(w) > 3) else 0
     else:
         form = 1 if span.count("(") == span.count(")") and "  " not in span and 10 <= len(digits) else 2
-        words = (1 if digits.startswith(CALLING_CODES) else 2) if kind == 3 else (2 if digits[0] in "01" else 1)
+        words = (1 if _calling(digits) else 2) if kind == 3 else (2 if digits[0] in "01" else 1)
     around = (text[max(0, start - NEAR) : start] + " " + text[end : end + NEAR]).lower()
     cue = 1 if any(c in around for c in CUES[name]) else 2 if any(c in around for c in AGAINST) else 0
-    left = 0 if start == 0 or text[start - 1].isspace() else 1 if text[start - 1].isalnum() else 2
-    right = 0 if end == len(text) or text[end].isspace() else 1 if text[end].isalnum() else 2
-    borders = 2 if 1 in (left, right) else 1
+    borders = 2 if start and text[start - 1].isalnum() or end < len(text) and text[end].isalnum() else 1
     length = min(3, max(0, (end - start - 8) // 6))
     separators = (1 if any(c in span for c in " ().") else 0) + (2 if "-" in span else 0)
+    before = text[max(0, start - 2) : start].strip()[-1:]
+    stands = 0 if not before else 1 if before in ":=#" else 2
+    share = min(3, 4 * len(digits) // len(span))
+    first = 0 if span[0].isdigit() else 1 if span[0].isupper() else 2 if span[0].isalpha() else 3
     out = kind
-    for value, of in ((form, 3), (words, 3), (cue, 3), (borders, 3), (left, 3), (right, 3), (length, 4), (separators, 4), (cue, 3)):
+    for value, of in zip((form, words, cue, borders, length, separators, stands, share, first), (3, 3, 3, 3, *FEATURES)):
         out = out * of + value
     return out
 
@@ -147,7 +252,7 @@ def pattern(text: str, kind: int, start: int, end: int) -> int:
 def _parts(code: int) -> tuple[int, list[int], list[int]]:
     """kind, votes (0 none, 1 for, 2 against), features of a pattern."""
     values = []
-    for of in (3, 4, 4, 3, 3, 3, 3, 3, 3):
+    for of in (*reversed(FEATURES), 3, 3, 3, 3):
         code, v = divmod(code, of)
         values.append(v)
     values.reverse()
@@ -157,15 +262,31 @@ def _parts(code: int) -> tuple[int, list[int], list[int]]:
 def _row(code: int) -> np.ndarray:
     """One-hot features of a pattern, with an intercept; votes are not among them."""
     kind, _, feats = _parts(code)
-    x = np.zeros(1 + len(KINDS) + 3 + 3 + 4 + 4 + 3)
+    x = np.zeros(1 + len(KINDS) + sum(FEATURES))
     x[0] = x[1 + kind] = 1
     at = 1 + len(KINDS)
-    for v, of in zip(feats, (3, 3, 4, 4, 3)):
+    for v, of in zip(feats, FEATURES):
         x[at + v] = 1
         at += of
     return x
 
 
+def reliabilities(votes: np.ndarray, n: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, float, np.ndarray]:
+    """Expectation-maximisation for candidates of one kind with these votes (0 none, 1 for, 2 against), n of each.
+
+    Returns how likely each is personal, the share of all, and how often each labeler gives each vote where it isn't and where it is. Starts from the majority.
+    The priors stand for ten candidates, half of them personal, on which a labeler is right in eight of ten votes.
+    """
+    q = 1 / (1 + np.exp(-1.0 * ((votes == 1).sum(1) - (votes == 2).sum(1))))
+    for _ in range(rounds):
+        prior = (q @ n + 5) / (n.sum() + 10)
+        table = np.array([[np.bincount(votes[:, j], w * n, 3) + right for j in range(votes.shape[1])] for w, right in ((1 - q, (1.0, 1.0, 8.0)), (q, (1.0, 8.0, 1.0)))])
+        table /= table.sum(2, keepdims=True)
+        score = np.log(prior / (1 - prior)) + sum(np.log(table[1, j, votes[:, j]] / table[0, j, votes[:, j]]) for j in range(votes.shape[1]))
+        q = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+    return q, float(prior), table
+
+
 def fit(counts: dict[int, int], rounds: int = 50) -> tuple[np.ndarray, dict]:
     """Weights of the span classifier, and the estimated reliabilities, from the number of candidates of each pattern."""
     codes = sorted(counts)
@@ -176,21 +297,9 @@ def fit(counts: dict[int, int], rounds: int = 50) -> tuple[np.ndarray, dict]:
     told: dict = {}
     for kind in range(len(KINDS)):
         k = np.flatnonzero(kinds == kind)
-        if not len(k):
-            continue
-        q = 1 / (1 + np.exp(-1.0 * ((votes[k] == 1).sum(1) - (votes[k] == 2).sum(1))))
-        for _ in range(rounds):
-            # the priors stand for ten candidates on which a labeler is right in eight of ten votes
-            prior = (q @ n[k] + 5) / (n[k].sum() + 10)
-            table = np.zeros((2, len(LABELERS), 3))
-            for y, weight in ((1, q * n[k]), (0, (1 - q) * n[k])):
-                for j in range(len(LABELERS)):
-                    table[y, j] = np.bincount(votes[k, j], weight, 3) + (np.array([1, 8, 1.0]) if y else np.array([1, 1.0, 8]))
-            table /= table.sum(2, keepdims=True)
-            score = np.log(prior / (1 - prior)) + sum(np.log(table[1, j, votes[k, j]] / table[0, j, votes[k, j]]) for j in range(len(LABELERS)))
-            q = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        p[k] = q
-        told[KINDS[kind]] = {"share": float(prior), **{name: [float(table[1, j, 1]), float(table[0, j, 2])] for j, name in enumerate(LABELERS)}}
+        if len(k):
+            p[k], prior, table = reliabilities(votes[k], n[k], rounds)
+            told[KINDS[kind]] = {"share": prior, **{name: [float(table[1, j, 1]), float(table[0, j, 2])] for j, name in enumerate(LABELERS)}}
     w = np.zeros(len(_row(0)))
     if codes:
         x = np.array([_row(c) for c in codes])
