@@ -93,31 +93,60 @@ def running_start(df: DataFrame, key: str, value: str, out: str, block: int = 10
     return out_df.drop("__block", "__before")
 
 
+def running_sums(df: DataFrame, order: list, sums: dict[str, Column]) -> DataFrame:
+    """df in a total order, as a staged table with sums over all rows up to and with each one: within ranges of the order, after those of the ranges before.
+
+    The only window without a partition sees a row for each range.
+    """
+    ranged = stage(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy("__part").agg(*(F.sum(v).alias(f"__{n}") for n, v in sums.items()))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("__part", *(F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums))
+    inner = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = ranged.select("*", *(F.sum(v).over(inner).alias(n) for n, v in sums.items()))
+    out = stage(within.join(totals, "__part").select(*df.columns, *((F.col(n) + F.col(f"__{n}")).alias(n) for n in sums)), "summed")
+    unstage(ranged)
+    return out
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of edges (a, b); component is the smallest node reachable.
+    """(node, component) for every node of edges (a, b), as a staged table; component is the smallest node reachable.
 
     Alternating large-star and small-star steps; each result is written to the shared folder, so no lineage grows and a lost
-    executor costs a step at most. Edges between a hub and its nodes are aggregated with a combining min, never collected.
+    executor costs a step at most. Edges between a hub and its nodes are aggregated with a combining min, never collected; the minima are a table of
+    their own, so that Spark can split a hub's edges in the join with it.
     """
-    now = stage(edges.where("a <> b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct(), "cc")
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+
+    def sign(df):
+        return df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
+
+    given = stage(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct(), "cc")
+    now = given.where("u <> v")
+    known = sign(now)
     for _ in range(max_rounds):
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).union(now.select("v", "u"))
-        low = both.groupBy("x").agg(F.min("y").alias("m")).withColumn("m", F.least("x", "m"))
-        large = both.join(low, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v"))
+        hubs = stage(both.groupBy("x").agg(F.min("y").alias("m")).withColumn("m", F.least("x", "m")), "hubs")
+        large = both.join(hubs, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v"))
         down = large.where("u <> v").distinct()
         low = down.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
         small = down.select(F.col("u").alias("x"), "v").join(low, "x")
         after = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select(F.col("x").alias("u"), F.col("m").alias("v")))
         after = stage(after.distinct(), "cc")
-        same = after.groupBy().agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).collect() == now.groupBy().agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).collect()
-        unstage(now)
+        before, known = known, sign(after)
+        unstage(hubs)
+        if hasattr(now, "staged_at"):
+            unstage(now)
         now = after
-        if same:
+        if before == known:
             break
     else:
         raise RuntimeError("components did not settle")
-    return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("c")), "node", "left").select("node", F.coalesce("c", "node").alias("component"))
+    stars = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+    alone = given.where("u = v").select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out = stage(stars.union(alone.join(stars, "node", "left_anti")), "parts")
+    unstage(given)
+    unstage(now)
+    return out
 
 
 def crc_text(c: Column) -> Column:
