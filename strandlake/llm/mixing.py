@@ -16,14 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import stage
+from strandlake.llm.common import running_sums, stage, unstage
 
 #: Weights of sources in the order of their names, repeating (fixed values); a source's words are taken this often at most.
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Undecided documents of one block; a task never holds more than a few such blocks.
 BLOCK = 4096
-#: Single decisions that landing may exchange in a source's last block.
-MOVES = 3
 #: Words, for sizes.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -33,22 +31,28 @@ def word_count(text: str = "text"):
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """source, source_size, target of the sources in sizes (source, source_size).
+    """source, source_size, target of the sources in sizes (source, source_size), as a staged table.
 
     Sources count in the order of their code points, null last. Words above MOST times a source's size go to the others by weight:
     with the sources in the order of size / weight, the capped ones are a prefix, and the level that the rest share follows from sums.
     """
     n = len(WEIGHTS)
-    named = sizes.withColumn("k", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    named = named.withColumn("w", F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.col("k") - 1) % n + 1).cast("int")).cast("double"))
-    order = Window.orderBy(F.col("source_size") / F.col("w"), "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy()
-    ran = named.select("*", F.sum("source_size").over(every).alias("total"), F.sum("w").over(every).alias("ws"), F.sum("source_size").over(order).alias("s_to"), F.sum("w").over(order).alias("w_to"))
+    numbered = running_sums(sizes, [F.col("source").asc_nulls_first()], {"k": F.lit(1)})
+    # null comes last, so those before it keep their numbers and it takes the last one
+    nulls = sizes.agg(F.count_if(F.col("source").isNull()).alias("nulls"), F.count("*").alias("sources"))
+    named = numbered.crossJoin(F.broadcast(nulls)).withColumn("k", F.when(F.col("source").isNull(), F.col("sources")).otherwise(F.col("k") - F.col("nulls"))).drop("nulls", "sources")  # one row
+    named = named.withColumn("w", F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.col("k") - 1) % n + 1).cast("int")).cast("double")).withColumn("ratio", F.col("source_size") / F.col("w"))
+    ran = running_sums(named, ["ratio", "k"], {"s_to": F.col("source_size"), "w_to": F.col("w")})
+    all_ = ran.agg(F.sum("source_size").alias("total"), F.sum("w").alias("ws"))
     # the level if this source and those after it share what the capped ones before leave
     level = (F.col("total") - MOST * (F.col("s_to") - F.col("source_size"))) / (F.col("ws") - F.col("w_to") + F.col("w"))
     fits = F.col("w") * level <= MOST * F.col("source_size")
-    ran = ran.withColumn("level", F.min(F.when(fits, F.struct(F.col("source_size") / F.col("w"), "k", level))).over(every))
-    return ran.select("source", "source_size", F.least(F.col("w") * F.col("level.col3"), MOST * F.col("source_size").cast("double")).alias("target"))
+    first = ran.crossJoin(F.broadcast(all_)).agg(F.min(F.when(fits, F.struct("ratio", "k", level.alias("level")))).alias("first"))  # one row, as is the next
+    out = ran.crossJoin(F.broadcast(first)).select("source", "source_size", F.least(F.col("w") * F.col("first.level"), MOST * F.col("source_size").cast("double")).alias("target"))
+    out = stage(out, "targets")
+    for t in (numbered, ran):
+        unstage(t)
+    return out
 
 
 def flight(p: list[float], x: list[int], draw) -> list[float]:
@@ -80,8 +84,8 @@ def flight(p: list[float], x: list[int], draw) -> list[float]:
 
 
 def landing(p: list[float], x: list[int], words: float) -> list[float]:
-    """Decide the last few undecided so that the total comes nearest to words; then exchange up to MOVES single decisions that bring it
-    nearer still (sources of a few documents need it; in larger ones the first choice is within a fraction of a document)."""
+    """Decide the last few undecided so that the total comes nearest to words; then exchange the single decision that brings it nearest, until none
+    brings it nearer (sources of a few documents need it; in larger ones the first choice is within a fraction of a document)."""
     undecided = [i for i, v in enumerate(p) if 0 < v < 1]
     number = sum(p)
     settled = [sum(p[i] * x[i] for i in range(len(p)) if i not in undecided), sum(v for i, v in enumerate(p) if i not in undecided)]
@@ -93,7 +97,7 @@ def landing(p: list[float], x: list[int], words: float) -> list[float]:
     for i, v in zip(undecided, min(product((0, 1), repeat=len(undecided)), key=off)):
         out[i] = float(v)
     over = sum(v * s for v, s in zip(out, x)) - words
-    for _ in range(MOVES):
+    while True:  # each exchange brings whole words
         gain, i = min(((abs(over + (1 - 2 * out[i]) * x[i]), i) for i in range(len(x))), default=(0, -1))
         if gain >= abs(over):
             break
@@ -115,10 +119,10 @@ def _drawn(seed: int, key: str):
     return draw
 
 
-def balanced_extra(units: DataFrame, seed: int = 7) -> DataFrame:
+def balanced_extra(units: DataFrame, seed: int = 7, staged: list | None = None) -> DataFrame:
     """(row, extra 0 or 1) for units (row, source, size, p): extra is 1 with probability p, balanced within each source.
 
-    Rows with p of 0 or 1 are decided at once. row must be unique.
+    Rows with p of 0 or 1 are decided at once. row must be unique. staged: gets the tables that the result reads.
     """
     undecided = units.where("p > 0 and p < 1")
     done = units.where("not (p > 0 and p < 1)").select("row", F.col("p").alias("extra"))
@@ -141,6 +145,8 @@ def balanced_extra(units: DataFrame, seed: int = 7) -> DataFrame:
             return g.iloc[order].assign(p=p)[["row", "source", "size", "p"]]
 
         moved = stage(keyed.groupBy("source", "block").applyInPandas(run, "row string, source string, size long, p double"), "cube")
+        if staged is not None:
+            staged.append(moved)
         done = done.union(moved.where("p = 0 or p = 1").select("row", F.col("p").alias("extra")))
         undecided = moved.where("p > 0 and p < 1")
         level += 1
@@ -153,27 +159,36 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
 
     size: words of the text (null: 0). taken: words the mix takes of the document, repeats counted, at most MOST times its size. Rows
     without words take 0. Equal rows may fare differently but are told apart by a counter, so that reruns agree; a null doc_id counts
-    as an id. A table without words has targets of 0.
+    as an id; long texts count whole; other columns are not read, whatever their names. A table without words has targets of 0, an empty one no rows.
+    The result is a staged table.
     """
     sized = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count().alias("size"))
     groups = stage(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")), "sizes")
     rows = groups.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     by = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    goal = targets(by).withColumnRenamed("source", "s")
+    goal = targets(by)
+    used = [groups, goal]
+    goal = goal.withColumnRenamed("source", "s")
     rows = rows.join(goal, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST)))).otherwise(0.0)
     rows = rows.withColumn("rate", rate).withColumn("row", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "i", "size", F.coalesce("source", F.lit("\0null"))))
     whole = F.when(F.col("rate") - F.floor("rate") > 1 - 1e-9, F.ceil("rate")).otherwise(F.floor("rate"))
     part = F.when((F.col("rate") - whole) > 1e-9, F.col("rate") - whole).otherwise(0.0)
     rows = stage(rows.withColumn("whole", whole).withColumn("p", F.when(F.col("size") > 0, part).otherwise(0.0)), "rates")
-    extra = balanced_extra(rows.select("row", "source", "size", "p"), seed)
+    used.append(rows)
+    extra = balanced_extra(rows.select("row", "source", "size", "p"), seed, used)
     copies = (F.col("whole") + F.col("extra")).cast("int")
-    out = rows.join(extra, "row").select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.alias("copies"), "source", "i")
+    out = stage(rows.join(extra, "row").select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.alias("copies"), "source", "i"), "mix")
+    for t in used:
+        unstage(t)
     return out
 
 
 def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it."""
+    """The rows of docs, each as often as the mix takes it, with its columns; rows without words (null and empty texts among them) go.
+
+    Of rows with equal doc_id, source and number of words, the mix decides for the first, second, ... in the order of their texts. An empty table gives no rows.
+    """
     taken = mix(docs, seed).where("taken > 0").select(*(F.col(c).alias(f"__{c}") for c in ("doc_id", "source", "size", "i", "copies")))
     same = Window.partitionBy("doc_id", "source", "__words").orderBy("text")
     rows = docs.withColumn("__words", word_count()).where("__words > 0").withColumn("__nth", F.row_number().over(same))
