@@ -18,10 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import connected_components, stage
+from strandlake.llm.common import connected_components, stage, unstage
 
 #: Vectors the codebooks are trained on, at most; passes; share of the hardest pairs that the visited cells hold.
 SAMPLE, PASSES, RECALL = 8192, 12, 0.97
+#: Codes of a half, at most: an eighth of the square root of the number of vectors up to there (some 64 vectors to a cell), which 268 million reach.
+CODES = SAMPLE // 4
 #: Most rows of one block of members, and of visitors.
 MEMBERS, VISITORS = 2048, 4096
 
@@ -45,7 +47,7 @@ class Index:
     def __init__(self, sample: np.ndarray, count: int, least: float, seed: int = 11):
         x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
         self.half = max(1, x.shape[1] // 2)
-        k = int(min(256, max(2, 2 ** np.ceil(np.log2(max(2.0, np.sqrt(count) / 8))))))
+        k = int(min(CODES, max(2, 2 ** np.ceil(np.log2(max(2.0, np.sqrt(count) / 8))))))
         self.books = [codebook(h, k, seed + i) for i, h in enumerate((x[:, : self.half], x[:, self.half :]))]
         self.visits = 1
         rng = np.random.default_rng(seed)
@@ -56,7 +58,8 @@ class Index:
         a, b = self.distances(x), [d.argmin(1) for d in self.distances(y)]
         r = np.arange(len(x))
         own = a[0][r, b[0]] + a[1][r, b[1]]
-        rank = np.concatenate([(a[0][i : i + 64, :, None] + a[1][i : i + 64, None, :] < own[i : i + 64, None, None]).sum((1, 2)) + 1 for i in range(0, len(x), 64)])
+        # cells that are nearer than the partner's: for each code of one half, those of the other within what is left
+        rank = [np.searchsorted(np.sort(v), o - u).sum() + 1 for u, v, o in zip(a[0], a[1], own)]
         self.visits = int(np.quantile(rank, RECALL, method="higher"))
 
     def distances(self, x: np.ndarray) -> list[np.ndarray]:
@@ -71,9 +74,9 @@ class Index:
         d = self.distances(x)
         order = [v.argsort(1) for v in d]
         t = min(self.visits, d[0].shape[1] * d[1].shape[1])
-        a, b = np.meshgrid(*(np.arange(v.shape[1]) for v in d), indexing="ij")
-        near = (a + 1) * (b + 1) <= t
-        a, b = a[near], b[near]
+        rows = np.minimum(t // np.arange(1, min(t, d[0].shape[1]) + 1), d[1].shape[1])
+        a = np.repeat(np.arange(len(rows)), rows)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(rows) - rows, rows)
         i, j = order[0][:, a], order[1][:, b]
         total = np.take_along_axis(d[0], i, 1) + np.take_along_axis(d[1], j, 1)
         pick = np.argpartition(total, t - 1, axis=1)[:, :t] if total.shape[1] > t else np.tile(np.arange(total.shape[1]), (len(x), 1))
@@ -139,9 +142,11 @@ def near_vectors(table: DataFrame, least: float = 0.93) -> DataFrame:
 
     Links: equal labels and cosine of at least least. Vectors that are null, empty, zero, of another length than most, or hold null or non-finite components link
     with nothing, nor do rows without label or vec_id (a null vec_id has a null component and is kept). Repeated rows link with each other; a
-    vec_id on several rows is one node.
+    vec_id on several rows is one node. Doubles are compared as they are, and as long as given; other columns are not read, whatever their names. An empty table gives no rows. The
+    result is a staged table.
     """
-    rows = table.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>"), F.col("label").cast("long"))
+    kind = "array<double>" if "double" in dict(table.dtypes)["embedding"] else "array<float>"
+    rows = table.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind), F.col("label").cast("long"))
     fine = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.coalesce(F.size("embedding") > 0, F.lit(False))
     fine &= F.coalesce(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("embedding", lambda v: v != 0), F.lit(False))
     good = rows.where(fine)
@@ -166,7 +171,7 @@ def near_vectors(table: DataFrame, least: float = 0.93) -> DataFrame:
                 cell, cells = index.cells(x / np.linalg.norm(x, axis=1, keepdims=True))
                 yield p.assign(cell=cell, cells=list(cells))
 
-    placed = stage(classes.mapInPandas(place, "label long, embedding array<float>, id long, n long, cell long, cells array<long>"), "placed")
+    placed = stage(classes.mapInPandas(place, f"label long, embedding {kind}, id long, n long, cell long, cells array<long>"), "placed")
     first = F.floor(F.col("cell") / width)
     visits = placed.withColumn("i", F.explode(F.array_distinct(F.transform("cells", lambda c: F.floor(c / width))))).withColumn("visits", F.lit(True))
     members = placed.withColumn("i", first).withColumn("visits", F.lit(False))
@@ -174,7 +179,8 @@ def near_vectors(table: DataFrame, least: float = 0.93) -> DataFrame:
     def blocks(side, most, name):
         return side.groupBy("label", "i").agg(F.ceil(F.count("*") / most).alias(name))
 
-    size = blocks(members, MEMBERS, "mb").join(blocks(visits, VISITORS, "vb"), ["label", "i"])
+    # a table of its own, so that Spark can split a code of very many vectors in the joins
+    size = stage(blocks(members, MEMBERS, "mb").join(blocks(visits, VISITORS, "vb"), ["label", "i"]), "blocks")
     both = visits.join(size, ["label", "i"]).withColumn("v", F.pmod(F.xxhash64("id"), "vb")).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)))
     both = both.unionByName(members.join(size, ["label", "i"]).withColumn("m", F.pmod(F.xxhash64("id", F.lit(1)), "mb")).withColumn("v", F.explode(F.sequence(F.lit(0), F.col("vb") - 1))))
     met = stage(both.select("label", "i", "v", "m", "visits", "id", "n", "embedding", "cell", "cells").groupBy("label", "i", "v", "m").applyInPandas(_meet(width, least), "a long, b long, n long"), "met")
@@ -184,7 +190,10 @@ def near_vectors(table: DataFrame, least: float = 0.93) -> DataFrame:
     ids = ids.select(F.col("label").alias("l"), F.col("embedding").alias("e"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "id").alias("component"))
     known = good.join(ids, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e"))).select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"), (F.col("vec_id") == F.col("component")).alias("kept"))
     rest = rows.where(~fine | (F.size("embedding") != dims.d)).select(*out)
-    return known.union(rest)
+    out = stage(known.union(rest), "near")
+    for t in (classes, placed, size, met, parts):
+        unstage(t)
+    return out
 
 
 def classes_twice(good: DataFrame) -> DataFrame:
