@@ -36,7 +36,7 @@ LEVEL = 3
 #: Documents of a block at most, and of a range of doc_id on average; rows of the index in one file on average.
 BLOCK_ROWS, RANGE_ROWS, INDEX_ROWS = 256, 4096, 1 << 20
 #: Words, and pieces of words, whose ids a worker remembers; pieces encoded as one text (the library's results are large).
-MEMO, BATCH = 1 << 19, 128
+MEMO, BATCH = 1 << 18, 128
 #: Words that are cut into pieces here; all others, and those with a special token's first two characters, go whole through the library. The pieces are
 #: those of the vocabulary's own pattern, on characters where lower case and classes are beyond doubt.
 PLAIN = r"\A[\x09-\x0D!-~À-ÖØ-öø-ÿ]*\z"
