@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,16 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where that is unset (tests)."""
-    known = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir, or the checkpoint folder that the SparkContext was given. Where neither is set: a local folder if driver and executors are one
+    process (as in tests), else an error, as executors wouldn't see each other's files."""
+    sc = spark.sparkContext
+    known = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    given = sc._jsc.sc().getCheckpointDir()
+    if not known and given.isDefined():
+        known = given.get()
     if not known:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = tempfile.mkdtemp(prefix="strandlake-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
