@@ -1,7 +1,8 @@
 """Corpus pipeline: quality classifier, near-duplicates, personal data, mixing of sources, token ids.
 
-Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the columns of documents. Between
-stages the rows are written as Parquet and read again, so a lost executor costs one stage at most.
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the columns of documents, and any others that docs
+has, whatever their names. Between stages the rows are written as Parquet and read again, so a lost executor costs one stage at most. Every stage takes an empty
+table, and texts of any length whole.
 """
 
 from __future__ import annotations
@@ -19,7 +20,10 @@ LEAST_QUALITY = 0.5
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, trained on the labelled ones among docs, doesn't reject. Empty ones are scored as well."""
+    """Documents that the quality classifier, trained on the labelled ones among docs, doesn't reject.
+
+    Null and empty texts are scored as well, as texts without features; rows without doc_id count like others. Equal texts fare alike.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model, column="__score").where(F.col("__score") >= LEAST_QUALITY).select(docs.columns)
 
@@ -27,17 +31,28 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near-duplicates (five words, similarity 0.8).
 
-    Of rows with one doc_id the one with the smallest text stays; rows without doc_id stay.
+    Of rows with equal doc_id and text one stays. Different texts under one doc_id are documents of their own; the one whose hash is smallest has the doc_id's place in a
+    group, the others come after all doc_ids. Null and empty texts resemble nothing; rows without doc_id stay.
     """
-    kept = near_duplicates(docs, words=5, percent=80).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, docs.doc_id == F.col("__kept")).drop("__kept")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-    rows = rows.withColumn("__row", first).where("__row = 1").select(docs.columns)
-    return rows.union(docs.where("doc_id is null"))
+    known = docs.where("doc_id is not null").withColumn("__hash", F.xxhash64("text"))
+    of = known.groupBy(F.col("doc_id").alias("__id")).agg(F.min("__hash").alias("__low"), F.max("__hash").alias("__high"))
+    several = of.where("__low <> __high").select("__id", "__low")
+    later = F.shiftrightunsigned(F.xxhash64("doc_id", "__hash"), 2).bitwiseOR(F.lit(1 << 62))
+    node = F.when(F.col("__low").isNull() | (F.col("__hash") == F.col("__low")), F.col("doc_id").cast("long")).otherwise(later)
+    rows = known.join(several, known.doc_id == F.col("__id"), "left").withColumn("__node", node).select(*docs.columns, "__node")
+    rows = stage(rows, "nodes")
+    kept = near_duplicates(rows.select(F.col("__node").alias("doc_id"), "text"), words=5, percent=80).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    kept = rows.join(kept, rows["__node"] == F.col("__kept")).drop("__kept")
+    first = F.row_number().over(Window.partitionBy("__node").orderBy(*(F.col(c).asc_nulls_last() for c, kind in docs.dtypes if not kind.startswith("map"))))
+    one = kept.withColumn("__row", first).where("__row = 1").select(docs.columns)
+    return one.union(docs.where("doc_id is null"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with spans of personal data replaced by their kind; n_chars follows."""
+    """Documents with spans of personal data replaced by their kind; n_chars follows.
+
+    Null and empty texts stay as they are, with their n_chars; texts without personal data too. Equal texts fare alike.
+    """
     weights, _ = pii.train(docs)
     out = pii.detect(docs, weights, redact=True)
     if "n_chars" in docs.columns:
@@ -46,12 +61,15 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; those that it doesn't take, and those without words, go."""
+    """Documents as often as the mix takes them; those that it doesn't take, and those without words (null and empty texts), go.
+
+    A null source is a source, a null doc_id counts as an id, and equal rows are decided one by one.
+    """
     return mixing.mixed(docs)
 
 
 def to_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids, ids_crc32, lossless of every row."""
+    """doc_id, source, n_tokens, ids, ids_crc32, lossless of every row. Null and empty texts have no ids; rows with equal doc_id and text have equal ids."""
     model = public_tokenizers.path("piece_bpe_32k.model")
     return pieces.encode(docs.select("doc_id", "source", "text"), model).select("doc_id", "source", "n_tokens", "ids", "ids_crc32", "lossless")
 
