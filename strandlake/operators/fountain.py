@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.strands import BASES, passes_rules
-from strandlake.sources.scratch import fresh_path
+from strandlake.sources.scratch import written
 
 #: Parameters of the degree distribution, bytes of a seed and of its checksum.
 C, DELTA, SEED_BYTES, CHECK_BYTES = 0.1, 0.5, 4, 2
@@ -133,11 +133,11 @@ def solve(equations: dict[int, bytes], n: int, size: int) -> list[bytes] | None:
 
 def chunked(files: DataFrame, size: int) -> DataFrame:
     """(file_id, n_chunks, n_bytes, chunk, value) of files (file_id, content): a checksum, the content, zeros to a whole chunk."""
+    # cut by one expression, so that the work grows with the file
     framed = F.concat(F.lpad(F.hex(F.crc32("content")), 8, "0"), F.hex("content"))
-    h = files.select("file_id", F.octet_length("content").alias("n_bytes"), framed.alias("h"))
-    h = h.withColumn("n_chunks", F.ceil(F.length("h") / (2 * size)).cast("int"))
-    parts = F.transform(F.sequence(F.lit(0), F.col("n_chunks") - 1), lambda i: F.unhex(F.rpad(F.substring("h", i * 2 * size + 1, F.lit(2 * size)), 2 * size, "0")))
-    return h.select("file_id", "n_chunks", "n_bytes", F.posexplode(parts).alias("chunk", "value"))
+    parts = F.transform(F.regexp_extract_all(framed, F.lit(f"[0-9A-F]{{1,{2 * size}}}"), F.lit(0)), lambda h: F.unhex(F.rpad(h, 2 * size, "0")))
+    n = F.octet_length("content")
+    return files.select("file_id", F.ceil((n + 4) / size).cast("int").alias("n_chunks"), n.alias("n_bytes"), F.posexplode(parts).alias("chunk", "value"))
 
 
 def encode(files: DataFrame, size: int = 20, redundancy: float = 0.5, tries: int = 8, max_homopolymer: int | None = None, gc_min: float | None = None, gc_max: float | None = None) -> DataFrame:
@@ -155,29 +155,23 @@ def encode(files: DataFrame, size: int = 20, redundancy: float = 0.5, tries: int
     left = plan.withColumn("slot", F.explode(F.sequence(F.lit(0), n_slots - 1)))
     done, before, n = None, 0, tries
     while True:
-        best = _written(_first_strands(left, chunks, size, n_slots, before, n, ok), "strands")
+        best = written(_first_strands(left, chunks, size, n_slots, before, n, ok), "strands")
         good = best.where("bad = 0").drop("bad")
         done = good if done is None else done.union(good)
         before += n
         again = best.where("bad = 1").select("file_id", "slot")
         n_again, n = again.count(), 2 * n
         if not n_again:
-            again = _written(_redundant(done.join(plan, "file_id")), "redundant")
+            again = written(_redundant(done.join(plan, "file_id")), "redundant")
             n_again, n = again.count(), tries
             if not n_again:
                 return done.join(plan, "file_id").select("file_id", "n_chunks", "n_bytes", "slot", "seed", "strand")
-            done = _written(done.join(again, ["file_id", "slot"], "left_anti"), "strands")
+            done = written(done.join(again, ["file_id", "slot"], "left_anti"), "strands")
         if before >= MOST_TRIES:
             raise ValueError(f"{n_again} strands don't keep the rules, or add nothing, in {MOST_TRIES} tries (max_homopolymer={max_homopolymer}, gc_min={gc_min}, gc_max={gc_max}): too strict")
         left, n = again.join(plan, "file_id"), min(n, MOST_TRIES - before)
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def redundant(seeds: list[int], n: int) -> list[int]:
     """Places of strands that add nothing to the others, as many as these lack to determine all n chunks."""
     if solve(dict.fromkeys(seeds, b""), n, 0) is not None:
@@ -269,16 +263,16 @@ def recover(strands: DataFrame, size: int = 20) -> DataFrame:
     return strands.select("file_id", "n_chunks", "n_bytes", "slot", "strand").groupBy("file_id").applyInPandas(run, f"file_id {file_type}, content binary")
 
 
-def peel(edges: DataFrame, rounds: int) -> DataFrame:
+def peel(edges: DataFrame) -> DataFrame:
     """(chunk, round) of the chunks that peeling frees in each round, from edges (eq, chunk): an equation with one unknown chunk gives it.
 
-    Each round is one aggregate and two joins over all equations of all systems at once; stop is when a round frees nothing.
+    Each round is an aggregate and a join over what is left of all systems at once, written to the shared folder; a round that frees nothing is the last.
     """
-    freed = None
-    left = edges
-    for r in range(1, rounds + 1):
+    freed, left, r = None, written(edges.distinct(), "edges"), 1
+    while True:
         single = left.groupBy("eq").agg(F.count("*").alias("n"), F.min("chunk").alias("chunk")).where("n = 1").select("chunk").distinct()
-        found = single.withColumn("round", F.lit(r))
+        found = written(single.withColumn("round", F.lit(r)), "freed")
         freed = found if freed is None else freed.union(found)
-        left = left.join(single, "chunk", "left_anti")
-    return freed
+        if not found.limit(1).count():
+            return freed
+        left, r = written(left.join(found, "chunk", "left_anti"), "edges"), r + 1

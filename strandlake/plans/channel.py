@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.operators import channel as X
 from strandlake.operators import consensus as C
+from strandlake.operators.ordering import numbered
 from strandlake.plans.base import SQL_BENCH, SQL_GC, benchmark_strands, query, sql_uniform
 
 SEED, MEAN, LENGTH = 7, 6.0, 112
@@ -60,9 +61,7 @@ _DENSE = f"dense AS (SELECT row_number() OVER (ORDER BY strand_id) - 1 AS strand
 @query("j3_misassigned_reads", f"""WITH {SQL_BENCH}, {_DENSE}, s AS (SELECT strand_id, read_no, CASE WHEN {_u("strand_id", "read_no", "'wrong'", "7")} < 0.1 THEN (strand_id + 1 + floor({_u("strand_id", "read_no", "'shift'", "7")} * (n - 1))::BIGINT) % n ELSE strand_id END AS source_id FROM reads, n)
 SELECT s.strand_id, read_no::INT AS read_no, source_id::BIGINT AS source_id, d.strand FROM s JOIN dense d ON d.strand_id = s.source_id""")
 def misassigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    dense = benchmark_strands(spark, sf_dir).select((F.row_number().over(Window.orderBy("strand_id")) - 1).cast("long").alias("strand_id"), "strand")
+    dense = numbered(benchmark_strands(spark, sf_dir).select("strand_id", "strand"), ["strand_id"]).select(F.col("i").cast("long").alias("strand_id"), "strand")
     r = dense.withColumn("read_no", F.explode(F.sequence(F.lit(1), F.lit(3))))
     return X.misassigned(r, dense, 0.1, SEED).select("strand_id", "read_no", F.col("source_id").cast("long").alias("source_id"), "strand")
 
@@ -71,11 +70,9 @@ def misassigned(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT c.strand_id, substr(c.strand, 1, cut) || substr(o.strand, cut + 1) AS strand FROM c JOIN dense o ON o.strand_id = c.other""")
 def chimeras(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A strand's own prefix with the suffix of the next one, cut at the same place."""
-    from pyspark.sql import Window
-
     from strandlake.functions.strands import uniform
 
-    dense = benchmark_strands(spark, sf_dir).select((F.row_number().over(Window.orderBy("strand_id")) - 1).cast("long").alias("strand_id"), "strand")
+    dense = numbered(benchmark_strands(spark, sf_dir).select("strand_id", "strand"), ["strand_id"]).select(F.col("i").cast("long").alias("strand_id"), "strand")
     n = dense.agg(F.count("*").alias("n"))
     c = dense.crossJoin(F.broadcast(n)).withColumn("other", (F.col("strand_id") + 1) % F.col("n")).withColumn("cut", F.floor(uniform(F.col("strand_id"), "cut", SEED) * F.length("strand")).cast("int"))  # n is one row
     o = dense.select(F.col("strand_id").alias("other"), F.col("strand").alias("suffix"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import strands as S
 from strandlake.operators import experiments as E
+from strandlake.operators.ordering import numbered
 from strandlake.plans.base import SQL_GC, SQL_RUN, SQL_STRANDS, document_strands, kmer_counts, query, table
 
 # Trials from orders: the codec is the customer's segment, coverage the order's priority, recovered the status.
@@ -149,7 +150,8 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates on which rules and model disagree most."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
     m = p.agg(F.median("p_retailprice").alias("m"), (F.count("*") - 1).alias("last"))
-    place = [(F.row_number().over(Window.orderBy(c, "p_partkey")) - 1) / F.col("last") for c in ("p_size", "p_retailprice")]
+    place = [F.col(c) / F.col("last") for c in ("by_size", "by_price")]
+    p = numbered(numbered(p, ["p_size", "p_partkey"], "by_size"), ["p_retailprice", "p_partkey"], "by_price")
     o = p.crossJoin(F.broadcast(m)).select("p_partkey", ((F.col("p_size") <= 25) != (F.col("p_retailprice") <= F.col("m"))).alias("disagree"), F.round(F.abs(place[0] - place[1]), 9).alias("spread"))  # m is one row
     return o.orderBy(F.desc("disagree"), F.desc("spread"), "p_partkey").limit(8)
 

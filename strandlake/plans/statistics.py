@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import ranking as R
 from strandlake.functions import strands as S
+from strandlake.operators.ordering import ntile, numbered
 from strandlake.plans.base import SQL_BENCH, SQL_GC, SQL_RUN, SQL_STRANDS, benchmark_strands, document_strands, query, sql_uniform, table
 
 _LABELLED = "scored AS (SELECT lang, source, quality = 1 AS good, n_chars AS score FROM documents JOIN labels USING (doc_id))"
@@ -134,18 +135,19 @@ def band_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.join(F.broadcast(bins), (F.col("gc") >= F.col("lo")) & (F.col("gc") < F.col("hi"))).groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg("run"), 9).alias("mean_run"), F.round(F.avg("gc"), 9).alias("mean_gc"))
 
 
-@query("a27_paired_bootstrap", f"""WITH d AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, (o_orderstatus = 'F')::INT - (o_orderpriority < '3')::INT AS diff FROM orders),
-n AS (SELECT count(*) AS n FROM d), draws AS (SELECT b.b, floor({sql_uniform("b.b", "k.k")} * n)::BIGINT AS i FROM n, range(200) b(b), (SELECT i AS k FROM d) k),
+@query("a27_paired_bootstrap", f"""WITH x AS (SELECT o_custkey % 1000 AS seed, avg((o_orderstatus = 'F')::INT) AS r FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1), y AS (SELECT o_custkey % 1000 AS seed, avg((o_orderstatus = 'F')::INT) AS r FROM orders WHERE o_orderpriority = '5-LOW' GROUP BY 1),
+d AS (SELECT row_number() OVER (ORDER BY seed) - 1 AS i, y.r - x.r AS diff FROM x JOIN y USING (seed)),
+n AS (SELECT count(*) AS n FROM d), draws AS (SELECT b.b, floor({sql_uniform("b.b", "k.k")} * n)::BIGINT AS i FROM n, range(2000) b(b), (SELECT i AS k FROM d) k),
 m AS (SELECT b, avg(diff) AS mean FROM draws JOIN d USING (i) GROUP BY b) SELECT (SELECT round(avg(diff), 9) FROM d) AS mean, round(quantile_cont(mean, 0.025), 9) AS low, round(quantile_cont(mean, 0.975), 9) AS high FROM m""")
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean of paired differences with a 95% interval from resamples that keyed numbers draw."""
-    o = table(spark, sf_dir, "orders")
-    diff = (F.col("o_orderstatus") == "F").cast("int") - (F.col("o_orderpriority") < "3").cast("int")
-    d = o.select((F.row_number().over(Window.orderBy("o_orderkey")) - 1).cast("long").alias("i"), diff.alias("diff"))
+    """Mean difference of trials that are paired by seed, with a 95% interval from 2,000 resamples of the pairs that keyed numbers draw."""
+    o = table(spark, sf_dir, "orders").withColumn("seed", F.col("o_custkey") % 1000).withColumn("ok", (F.col("o_orderstatus") == "F").cast("int"))
+    x, y = (o.where(F.col("o_orderpriority") == p).groupBy("seed").agg(F.avg("ok").alias(n)) for p, n in (("1-URGENT", "x"), ("5-LOW", "y")))
+    d = x.join(y, "seed").select((F.row_number().over(Window.orderBy("seed")) - 1).cast("long").alias("i"), (F.col("y") - F.col("x")).alias("diff"))
     n = d.agg(F.count("*").alias("n"), F.round(F.avg("diff"), 9).alias("whole"))
-    draws = d.select(F.col("i").alias("k")).crossJoin(F.broadcast(n)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(199))))  # n is one row
+    draws = spark.range(2000).select(F.col("id").alias("b")).repartition(32, "b").crossJoin(F.broadcast(d.select(F.col("i").alias("k")).crossJoin(n)))  # a pair for each of 1,000 seeds at most
     draws = draws.withColumn("i", F.floor(S.uniform(F.col("b"), F.col("k")) * F.col("n")))
-    means = draws.join(d, "i").groupBy("b", "whole").agg(F.avg("diff").alias("m"))
+    means = draws.join(F.broadcast(d), "i").groupBy("b", "whole").agg(F.avg("diff").alias("m"))
     return means.groupBy(F.col("whole").alias("mean")).agg(F.round(F.percentile("m", F.lit(0.025)), 9).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 9).alias("high"))
 
 
@@ -164,7 +166,9 @@ def threshold_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("w3_deciles", """WITH d AS (SELECT o_totalprice, ntile(10) OVER (ORDER BY o_totalprice, o_orderkey) AS decile FROM orders) SELECT decile::INT AS decile, count(*) AS n, min(o_totalprice) AS low, max(o_totalprice) AS high FROM d GROUP BY 1""")
 def deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "orders").select("o_totalprice", F.ntile(10).over(Window.orderBy("o_totalprice", "o_orderkey")).alias("decile"))
+    o = numbered(table(spark, sf_dir, "orders").select("o_totalprice", "o_orderkey"), ["o_totalprice", "o_orderkey"])
+    n = o.agg(F.count("*").alias("rows"))
+    d = o.crossJoin(F.broadcast(n)).select("o_totalprice", ntile(F.col("i"), F.col("rows"), 10).alias("decile"))  # one row
     return d.groupBy("decile").agg(F.count("*").alias("n"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
 
 
@@ -187,8 +191,10 @@ def pooled_and_by_trial(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upper median where a missing value counts as infinite."""
     v = F.when(F.col("o_orderstatus") == "P", float("inf")).otherwise(F.col("o_totalprice"))
-    l = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 100).alias("block")).agg(F.sort_array(F.collect_list(v)).alias("l"))
-    return l.select("block", F.expr("l[size(l) div 2]").alias("median"))
+    o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("block"), v.alias("median"))
+    w = Window.partitionBy("block")
+    o = o.withColumn("k", F.row_number().over(w.orderBy("median"))).withColumn("n", F.count("*").over(w))
+    return o.where("k = n div 2 + 1").select("block", "median")
 
 
 @query("w7_forward_fill", """SELECT o_orderkey, last_value(CASE WHEN o_orderstatus <> 'O' THEN o_totalprice END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS filled FROM orders""")
