@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandlake.functions.strands import gc_fraction
 from strandlake.operators import channel as X
 from strandlake.plans import channel as P
-from strandlake.plans.base import SQL_BENCH, SQL_GC, benchmark_strands, query, table
+from strandlake.plans.base import SQL_BENCH, SQL_GC, benchmark_strands, kmer_counts, query, table
 from strandlake.sources import payloads as S
 from strandlake.sources.scratch import fresh_path
 
@@ -51,3 +51,54 @@ def payload_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "strands")
     benchmark_strands(spark, sf_dir).write.parquet(path)
     return spark.read.parquet(path).agg(F.count("*").alias("n"), F.round(F.avg(gc_fraction(F.col("strand"))), 9).alias("gc"))
+
+
+_CLUSTERS = f"""WITH {P.SQL_READS}, {P._mutated(0.02, 0.0, 0.0)}, d AS (SELECT strand_id, strand, row_number() OVER (ORDER BY strand_id) - 1 AS cluster FROM strands)
+SELECT cluster, d.strand AS reference, (m.read_no - 1)::INT AS read_no, m.read FROM d LEFT JOIN mutated m USING (strand_id)"""
+
+
+def _starred(spark: SparkSession, sf_dir: str, cut: bool) -> str:
+    s = benchmark_strands(spark, sf_dir).select("strand_id", F.col("strand").alias("reference"))
+    r = X.mutate(P.reads(spark, sf_dir), 0.02, 0.0, 0.0, P.SEED).select("strand_id", "read_no", "read")
+    path = fresh_path(spark, "starred")
+    S.write_starred_clusters(s.join(r, "strand_id", "left"), "strand_id", path, cut)
+    return path
+
+
+@query("s2_starred_clusters", _CLUSTERS)
+def starred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters in records with a starred line, the last one without its end, written and read back."""
+    return S.read_starred_clusters(spark, _starred(spark, sf_dir, True))
+
+
+@query("s3_complete_clusters", f"{_CLUSTERS} WHERE d.cluster < (SELECT max(cluster) FROM d)")
+def complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without a last record that may be cut."""
+    return S.read_starred_clusters(spark, _starred(spark, sf_dir, True), complete_only=True)
+
+
+@query("s5_s6_context_table", f"""WITH {SQL_BENCH}, k AS (SELECT unnest(list_transform(range(1, length(strand) - 1), lambda i: substr(strand, i, 3))) AS kmer FROM strands), n AS (SELECT kmer, count(*) AS n FROM k GROUP BY 1),
+d AS (SELECT i AS kmer_id, substr('ACGT', i // 16 + 1, 1) || substr('ACGT', i // 4 % 4 + 1, 1) || substr('ACGT', i % 4 + 1, 1) AS kmer FROM range(64) r(i)), m AS (SELECT kmer_id, coalesce(n, 0) * 64.0::DOUBLE / (SELECT count(*) FROM k) AS m FROM d LEFT JOIN n USING (kmer)),
+t AS (SELECT *, unnest([0, 1, 2]) AS e FROM m) SELECT ['sub', 'ins', 'del'][e + 1] AS err_type, kmer_id::INT AS kmer_id, round(m / (e + 1), 4) AS mult FROM t""")
+def context_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multipliers of contexts by how often each is met, written as a context table and read back with its checks."""
+    n = kmer_counts(benchmark_strands(spark, sf_dir).select(F.lit(0).alias("group"), "strand"), (3,)).select("kmer", "n")
+    i = F.col("id")
+    kmer = F.concat(*(F.substring(F.lit("ACGT"), F.floor(i / 4**p).cast("int") % 4 + 1, F.lit(1)) for p in (2, 1, 0)))
+    every = spark.range(64).select(i.cast("int").alias("kmer_id"), kmer.alias("kmer")).join(n, "kmer", "left").crossJoin(F.broadcast(n.agg(F.sum("n").alias("all"))))  # one row
+    kinds = F.array(*(F.struct(F.lit(c).alias("err_type"), F.lit(d).alias("d")) for c, d in (("sub", 1), ("ins", 2), ("del", 3))))
+    t = every.withColumn("e", F.explode(kinds)).select("e.err_type", "kmer_id", (F.coalesce("n", F.lit(0)) * 64.0 / F.col("all") / F.col("e.d")).alias("mult"))
+    path = fresh_path(spark, "contexts")
+    S.write_context_table(t, path)
+    return S.read_context_table(spark, path, 3)
+
+
+@query("s12_payloads_of_files", """WITH t AS (SELECT c_mktsegment AS segment, string_agg(c_name || chr(10), '' ORDER BY c_custkey) AS t FROM customer GROUP BY 1)
+SELECT segment, length(t)::BIGINT AS n_bytes, md5(substr(t, 1, 1000)) AS head, 'text' AS kind FROM t""")
+def payloads_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names written to a file for each segment, and read as payloads cut to a thousand bytes."""
+    path = fresh_path(spark, "payloads")
+    c = table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey", "c_name")
+    c.repartition("c_mktsegment").sortWithinPartitions("c_mktsegment", "c_custkey").select("c_mktsegment", "c_name").write.partitionBy("c_mktsegment").text(path)
+    p = S.read_payloads(spark, path, 1000)
+    return p.select(F.regexp_extract("path", "c_mktsegment=([A-Z]+)", 1).alias("segment"), "n_bytes", F.md5("content").alias("head"), "kind")

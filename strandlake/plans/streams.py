@@ -28,7 +28,8 @@ def _run(df: DataFrame, mode: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
 
     df.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}-log").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(path).select(df.columns)
+    found = spark.read.parquet(path)
+    return found.select("batch", *df.columns) if mode == "update" else found.select(df.columns)
 
 
 @query("w5_r2_running_totals", """SELECT user_id AS key, event_id, count(*) OVER w AS done, round(sum(value) OVER w, 6) AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)""")
@@ -45,8 +46,9 @@ def running_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("r1_event_windows_stream", """SELECT time_bucket(INTERVAL 1 HOUR, ts)::VARCHAR AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2""")
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly windows of event time, as a stream in complete mode."""
-    w = _run(ticker.windowed(_streamed(spark, sf_dir).select("ts", "event_type", "value")), "complete")
+    """Hourly windows of event time, as a stream in update mode: the watermark drops the state of old windows, and a window's last update counts."""
+    w = _run(ticker.windowed(_streamed(spark, sf_dir).select("ts", "event_type", "value")), "update")
+    w = w.groupBy("start", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("m")).select("start", "event_type", "m.n", "m.total")
     return w.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
@@ -57,7 +59,17 @@ def compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.to_json(F.struct(F.col("event_type").alias("t"), F.col("event_id").alias("i"))).alias("compact"))
 
 
-@query("r3_pass_completion", """WITH c AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 10 AS pass FROM events) SELECT user_id, pass::BIGINT AS pass, max(event_id) AS last_event, round(sum(value), 6) AS total FROM c GROUP BY 1, 2 HAVING count(*) = 10""")
+_PASSES = """WITH c AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 10 AS pass FROM events) SELECT user_id, pass::BIGINT AS pass, max(event_id) AS last_event, round(sum(value), 6) AS total FROM c GROUP BY 1, 2 HAVING count(*) = 10"""
+
+
+@query("r3_pass_completion_stream", _PASSES)
+def passes_of_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same passes from a stream that keeps each user's unfinished pass as state."""
+    s = _streamed(spark, sf_dir).select(F.col("user_id").alias("key"), "event_id", "value")
+    return _run(ticker.passes_stream(s), "append").select(F.col("key").alias("user_id"), "pass", "last_event", F.round("total", 6).alias("total"))
+
+
+@query("r3_pass_completion", _PASSES)
 def passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complete passes of ten events of a user."""
     c = table(spark, sf_dir, "events").withColumn("pass", F.expr("(row_number() over (partition by user_id order by event_id) - 1) div 10"))

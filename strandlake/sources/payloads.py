@@ -66,18 +66,47 @@ def read_delimited_clusters(spark: SparkSession, centers: str, clusters: str) ->
     return refs.join(reads, "cluster", "left").select("cluster", "reference", "read_no", "read")
 
 
-def read_starred_clusters(spark: SparkSession, path: str) -> DataFrame:
-    """(cluster, reference, read_no, read) of a text file of records: a reference, a line of *, reads, two empty lines. Records are split by Spark's reader, so a large
-    file is read in parallel."""
-    records = spark.read.option("lineSep", "\n\n\n").text(path).where(F.trim("value") != "")
+def read_starred_clusters(spark: SparkSession, path: str, complete_only: bool = False) -> DataFrame:
+    """(cluster, reference, read_no, read) of text files of records: a reference, a line of *, reads, two empty lines. Records are split by Spark's reader, so a large
+    file is read in parallel; clusters count from 0 in the order of files and of places in them, and a cluster without reads has one row with nulls.
+
+    A last record that no empty lines end may be cut: it counts, unless complete_only. A record without its line of * is none.
+    """
+    r = _lines(spark, path, "\n\n\n")
+    sizes = r.groupBy("file").agg(F.max("size").alias("size"), F.sum(F.octet_length("value") + 3).alias("ended"), F.max(F.struct("block", "line")).alias("last"))
+    r = r.join(sizes.select("file", "last", (F.col("ended") > F.col("size")).alias("open")), "file")
     lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
-    split = records.select(F.monotonically_increasing_id().alias("cluster"), lines.alias("l")).where(F.element_at("l", 2).startswith("*"))
+    good = F.element_at(lines, 2).startswith("*")
+    if complete_only:
+        good &= ~(F.col("open") & (F.struct("block", "line") == F.col("last")))
+    r = _counted(r.select("file", "block", "line", lines.alias("l"), F.coalesce(good, F.lit(False)).alias("good")), F.col("good").cast("int"))
+    split = r.where("good").select((F.col("count") - 1).alias("cluster"), "l")
     return split.select("cluster", F.element_at("l", 1).alias("reference"), F.posexplode_outer(F.slice("l", F.lit(3), F.greatest(F.size("l") - 2, F.lit(0)))).alias("read_no", "read"))
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
-    return spark.read.text(path).select(*meta, F.monotonically_increasing_id().alias("line"), "value")
+def write_starred_clusters(reads: DataFrame, key: str, path: str, cut: bool = False) -> None:
+    """Text files in the same form from reads (key, reference, read_no, read) in the order of key; a null read is a cluster without reads. A cluster's reads stand in one
+    record, as the format has it. cut: the last record lacks the lines that end it."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("read").isNotNull(), F.struct("read_no", "read")))), lambda x: x.read), "\n")
+    r = reads.groupBy(key, "reference").agg(text.alias("text"))
+    end = F.lit("\n\n")
+    if cut:
+        r = r.crossJoin(F.broadcast(r.agg(F.max(key).alias("__last"))))  # one row
+        end = F.when(F.col(key) < F.col("__last"), end).otherwise("")
+    body = F.concat("reference", F.lit("\n*****************************"), F.when(F.col("text") != "", F.concat(F.lit("\n"), "text")).otherwise(""), end)
+    r.repartitionByRange(key).sortWithinPartitions(key).select(body.alias("value")).write.text(path)
+
+
+def write_context_table(table: DataFrame, path: str) -> None:
+    """One JSON file of a table (err_type, kmer_id, mult), multipliers to four decimal places; a table has 4 ** k of them for each error type."""
+    lists = table.groupBy("err_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("kmer_id", F.round("mult", 4).alias("mult")))), lambda x: x.mult).alias("m"))
+    one = lists.groupBy().pivot("err_type", ["sub", "ins", "del"]).agg(F.first("m"))
+    one.coalesce(1).write.json(path)
+
+
+def _lines(spark: SparkSession, path: str, separator: str = "\n") -> DataFrame:
+    meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block")]
+    return spark.read.option("lineSep", separator).text(path).select(*meta, F.monotonically_increasing_id().alias("line"), "value")
 
 
 def _counted(lines: DataFrame, flag: Column) -> DataFrame:

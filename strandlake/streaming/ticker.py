@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "key long, event_id long, done long, total double"
-STATE = "done long, total double"
+STATE = "done long, total double, last long"
 
 
 def running_totals(events: DataFrame) -> DataFrame:
@@ -19,20 +19,51 @@ def running_totals(events: DataFrame) -> DataFrame:
     return events.select("key", "event_id", F.count("*").over(w).alias("done"), F.sum("value").over(w).alias("total"))
 
 
+def _in_order(parts: Iterator[pd.DataFrame], last: int, key: tuple) -> pd.DataFrame:
+    """Rows of a key in one batch by event_id; an event that should have come in an earlier batch is an error, as what it changes has been given out."""
+    rows = pd.concat(list(parts)).sort_values("event_id", ignore_index=True)
+    if rows["event_id"].iloc[0] <= last:
+        raise ValueError(f"event {rows['event_id'].iloc[0]} of key {key[0]} came after event {last}")
+    return rows
+
+
 def running_totals_stream(events: DataFrame) -> DataFrame:
-    """The same over a stream (key, event_id, value), with each key's totals as state; within a batch events count in the order of event_id."""
+    """The same over a stream (key, event_id, value), with each key's totals and last event as state. A key's events come in batches in the order of event_id, as
+    a recording or a log gives them; within a batch they may come in any."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, total = state.get if state.exists else (0, 0.0)
-        rows = pd.concat(list(parts)).sort_values("event_id")
+        done, total, last = state.get if state.exists else (0, 0.0, -(2**63))
+        rows = _in_order(parts, last, key)
         n = rows["value"].fillna(0.0)
-        out = pd.DataFrame({"key": rows["key"], "event_id": rows["event_id"], "done": done + pd.Series(range(1, len(rows) + 1), index=rows.index), "total": total + n.cumsum()})
-        state.update((int(done + len(rows)), float(total + n.sum())))
+        out = pd.DataFrame({"key": rows["key"], "event_id": rows["event_id"], "done": done + rows.index + 1, "total": total + n.cumsum()})
+        state.update((int(done + len(rows)), float(total + n.sum()), int(rows["event_id"].iloc[-1])))
         yield out
 
     return events.groupBy("key").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def passes_stream(events: DataFrame, size: int = 10) -> DataFrame:
+    """(key, pass, last_event, total) of each complete pass of so many events of a key, over a stream (key, event_id, value) in the order of event_id. The state is the
+    pass that is not complete: its number, events, sum and last event."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        number, done, total, last = state.get if state.exists else (0, 0, 0.0, -(2**63))
+        rows = _in_order(parts, last, key)
+        at = done + rows.index
+        g = rows.assign(value=rows["value"].fillna(0.0), number=number + at // size).groupby("number").agg(n=("event_id", "size"), last_event=("event_id", "max"), total=("value", "sum"))
+        if done and len(g):
+            g.loc[number, "n"] += done
+            g.loc[number, "total"] += total
+        full = g[g["n"] == size].reset_index()
+        part = g[g["n"] < size]
+        number += len(full)
+        n, sum_ = (int(part["n"].iloc[0]), float(part["total"].iloc[0])) if len(part) else (0, 0.0)
+        state.update((int(number), n, sum_, int(rows["event_id"].iloc[-1])))
+        yield pd.DataFrame({"key": key[0], "pass": full["number"], "last_event": full["last_event"], "total": full["total"]})
+
+    return events.groupBy("key").applyInPandasWithState(step, "key long, pass long, last_event long, total double", "number long, n long, total double, last long", "append", GroupStateTimeout.NoTimeout)
+
+
 def windowed(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """Counts and sums of events (ts, event_type, value) by window of event time; works on tables and streams."""
     e = events.withColumn("ts", F.col("ts").cast("timestamp"))
