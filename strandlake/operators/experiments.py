@@ -56,3 +56,57 @@ def select_best(found: DataFrame, by: list[str]) -> DataFrame:
     """Of candidates (by, i, target_met, bits_per_base, strength) the one that meets the target, is densest, strongest, earliest."""
     best = F.max(F.struct("target_met", "bits_per_base", "strength", (-F.col("i")).alias("neg"))).alias("b")
     return found.groupBy(*by).agg(best).select(*by, (-F.col("b.neg")).alias("i"), "b.target_met", "b.bits_per_base", "b.strength")
+
+
+def grid_step(reads: Column, grid: list[float]) -> Column:
+    """Place of the first grid point that is not below reads (a value between two belongs to the upper one); the grid's size where there is none, or reads is null."""
+    points = sorted(grid)
+    out = F.when(reads.isNull(), len(points))
+    for i, g in enumerate(points):
+        out = out.when(reads - 1e-9 <= g, i)
+    return out.otherwise(len(points))
+
+
+def matched_verdict(default: Column, tuned: Column, grid: list[float]) -> Column:
+    """Whether tuned settings are better at equal density, by whole steps of the grid of reads."""
+    steps = grid_step(default, grid) - grid_step(tuned, grid)
+    return F.when(steps >= 1, "tuned is better").when(steps <= -1, "harmful").otherwise("no measurable benefit")
+
+
+def redundancy_verdict(budget: Column, default: Column, default_bits: Column, tuned: Column, tuned_bits: Column, grid: list[float]) -> Column:
+    """Whether tuned settings are better: the target within the budget first, then bits per base; where neither meets it, by whole steps of reads."""
+    old, new = F.coalesce(default <= budget, F.lit(False)), F.coalesce(tuned <= budget, F.lit(False))
+    better = F.when(new & old, tuned_bits > default_bits + 1e-9).when(new, True).when(old, False).otherwise(grid_step(default, grid) - grid_step(tuned, grid) >= 1)
+    return F.when(better, "tuned is better").otherwise("default is fine")
+
+
+def tradeoff(default_bits: Column, tuned_bits: Column, matched: Column, tuned: Column) -> Column:
+    """What tuned settings pay and why they win: their density, then whether the default rules reach the target with as few reads at that density."""
+    density = F.when(tuned_bits < default_bits - 1e-9, "sparser").when(tuned_bits > default_bits + 1e-9, "denser")
+    cause = F.when(matched.isNull() | tuned.isNull(), None).when(matched <= tuned, "settings").otherwise("rules")
+    return F.concat_ws(", ", density, cause)
+
+
+def in_order(name: Column, order: list[str]) -> list[Column]:
+    """Sort keys: names of the list by their place in it, then all others by name."""
+    place = F.array_position(F.array(*map(F.lit, order)), name)
+    return [F.when(place > 0, place).otherwise(len(order) + 1), name]
+
+
+def rounded(df: DataFrame, places: dict[str, int]) -> DataFrame:
+    """df with columns rounded, numbers and arrays of numbers alike."""
+    kinds = dict(df.dtypes)
+
+    def one(c: str, n: int) -> Column:
+        return F.transform(c, lambda x: F.round(x, n)) if kinds[c].startswith("array") else F.round(c, n)
+
+    return df.withColumns({c: one(c, n) for c, n in places.items()})
+
+
+def per_trial(trials: DataFrame, seeds: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, accuracy, recovered): means of trials (by, seed, accuracy, recovered); an error where a group's trials are not one for each of seeds (seed)."""
+    n = seeds.agg(F.count_distinct("seed").alias("expected"))
+    t = trials.join(seeds.distinct(), "seed", "left_semi").groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct("seed").alias("seeds"), F.avg("accuracy").alias("accuracy"), F.avg("recovered").alias("recovered"))
+    t = t.crossJoin(F.broadcast(n))  # one row
+    wrong = F.concat(F.lit("per-trial results for "), F.col("n"), F.lit(" trials, expected "), F.col("expected"))
+    return t.where(F.when((F.col("n") == F.col("expected")) & (F.col("seeds") == F.col("expected")), True).otherwise(F.raise_error(wrong))).select(*by, "n", "accuracy", "recovered")
