@@ -46,7 +46,7 @@ CODE[[ord(b) for b in "ACGT"]] = range(4)
 def count_kmers(batches: Iterator[pa.RecordBatch], ks: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
     """(group, k, kmer, n) of batches (group, strand): how often each k-mer over A, C, G, T is in a batch's strands of a group; k-mers don't cross strands."""
     for batch in batches:
-        column, groups = batch.column("strand"), batch.column("group").dictionary_encode()
+        column, groups = batch.column("strand"), batch.column("group").dictionary_encode(null_encoding="encode")
         bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
         codes = CODE[np.frombuffer(column.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]].astype(np.int64)
         group = np.repeat(np.asarray(groups.indices), np.diff(bounds))

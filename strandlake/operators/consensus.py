@@ -18,12 +18,22 @@ def votes(reads: DataFrame) -> DataFrame:
     return p.groupBy("strand_id", (F.col("p") + 1).alias("pos"), "symbol").agg(F.count("*").alias("n"))
 
 
-def plurality(votes_: DataFrame) -> DataFrame:
-    """(strand_id, consensus): the symbol with most votes in each position, ties by letter."""
-    top = votes_.groupBy("strand_id", "pos").agg(F.min(F.struct((-F.col("n")).alias("n"), "symbol")).alias("t"))
+def plurality(votes_: DataFrame, drafts: DataFrame | None = None) -> DataFrame:
+    """(strand_id, consensus): the symbol with most votes in each position. A tie keeps the draft's letter (drafts: strand_id, draft), else goes by letter."""
+    v = votes_ if drafts is None else votes_.join(drafts.select("strand_id", "draft"), "strand_id", "left")
+    other = F.lit(False) if drafts is None else ~F.col("symbol").eqNullSafe(F.substring("draft", F.col("pos"), F.lit(1)))
+    top = v.groupBy("strand_id", "pos").agg(F.min(F.struct((-F.col("n")).alias("n"), other.alias("other"), "symbol")).alias("t"))
     return top.groupBy("strand_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t.symbol"))), lambda x: x.symbol), "").alias("consensus"))
 
 
+def evenly(reads: DataFrame, most: int = 16) -> DataFrame:
+    """reads (strand_id, read_no, ...) with at most so many of each strand, evenly spaced in the order of read_no (the first and last among them), with their place i and the number n of all."""
+    w = Window.partitionBy("strand_id")
+    r = reads.withColumn("i", F.row_number().over(w.orderBy("read_no")) - 1).withColumn("n", F.count("*").over(w))
+    taken = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.rint(k * (F.col("n") - 1) / F.lit(most - 1)).cast("int"))
+    return r.where((F.col("n") <= most) | F.array_contains(taken, F.col("i")))
+
+
 def medoids(reads: DataFrame, length: int) -> DataFrame:
     """(strand_id, read_no, read) of the read with the least total distance to the others; ties by nearness to the designed length, then order.
     Clusters of one or two reads go by length only. A cluster's reads are compared with each other, so take a bounded number of each first."""
@@ -142,11 +152,7 @@ def decode(strands: DataFrame, reads: DataFrame, most: int = 16) -> DataFrame:
 
     Only the reads that the consensus takes go to a strand's row: they are chosen before they are gathered, evenly spaced in their order.
     """
-    w = Window.partitionBy("strand_id")
-    r = reads.select("strand_id", "read_no", "read").withColumn("i", F.row_number().over(w.orderBy("read_no")) - 1).withColumn("n", F.count("*").over(w))
-    slot = F.floor(F.col("i") * (most - 1) / F.greatest(F.col("n") - 1, F.lit(1)))
-    first = F.row_number().over(Window.partitionBy("strand_id", "slot").orderBy("i"))
-    r = r.withColumn("slot", F.when(F.col("n") > most, slot).otherwise(F.col("i"))).withColumn("f", first).where("f = 1")
+    r = evenly(reads.select("strand_id", "read_no", "read"), most)
     g = r.groupBy("strand_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "read"))), lambda x: x.read).alias("reads"), F.max("n").alias("n_reads"))
     g = strands.select("strand_id", "length").join(g, "strand_id", "left")
 

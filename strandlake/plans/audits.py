@@ -52,14 +52,14 @@ def enough_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("p12_a39_hotspots", f"""WITH {P.SQL_READS}, {P._mutated(0.08, 0.0, 0.0)}, e AS (SELECT m.strand_id, i.pos, substr(m.read, i.pos, 1) <> substr(s.strand, i.pos, 1) AS wrong FROM mutated m JOIN strands s USING (strand_id), LATERAL (SELECT unnest(range(1, length(s.strand) + 1)) AS pos) i),
-p AS (SELECT strand_id, pos, count(*) AS n, count(*) FILTER (WHERE wrong) AS bad FROM e GROUP BY 1, 2) SELECT strand_id, count(*) FILTER (WHERE n >= 5 AND bad >= 0.2 * n) AS hotspots, sum(bad)::BIGINT AS errors FROM p GROUP BY 1""")
+p AS (SELECT strand_id, pos, count(*) AS n, count(*) FILTER (WHERE wrong) AS bad FROM e GROUP BY 1, 2) SELECT strand_id, count(*) FILTER (WHERE n >= 10 AND bad >= 0.2 * n) AS hotspots, sum(bad)::BIGINT AS errors FROM p GROUP BY 1""")
 def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions at which a fifth of at least five reads err."""
+    """Positions at which a fifth of at least ten reads err."""
     v = C.votes(P.substituted(spark, sf_dir))
     s = benchmark_strands(spark, sf_dir).select("strand_id", "strand")
     wrong = F.when(F.col("symbol") != F.substring("strand", F.col("pos"), F.lit(1)), F.col("n")).otherwise(0)
     p = v.join(s, "strand_id").groupBy("strand_id", "pos").agg(F.sum("n").alias("n"), F.sum(wrong).alias("bad"))
-    return p.groupBy("strand_id").agg(F.count_if((F.col("n") >= 5) & (F.col("bad") >= 0.2 * F.col("n"))).alias("hotspots"), F.sum("bad").alias("errors"))
+    return p.groupBy("strand_id").agg(F.count_if((F.col("n") >= 10) & (F.col("bad") >= 0.2 * F.col("n"))).alias("hotspots"), F.sum("bad").alias("errors"))
 
 
 @query("a3_a5_weighted_pooling", """WITH t AS (SELECT o_custkey, c_mktsegment AS codec, count(*) AS n, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0 END) AS rate FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
@@ -271,3 +271,16 @@ def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = b.withColumn("ends", ends).withColumn("starts", starts)
     e = e.withColumn("run", F.col("pos") - F.max(F.when(F.col("starts"), F.col("pos"))).over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1).where("ends")
     return e.select("strand_id", "pos", "run", F.round(1 - F.exp(-0.05 * (F.col("run") - 1)), 9).alias("p"))
+
+
+@query("m2_kmer_risk")
+def learned_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scorer of strands learned from two of three items, and how well it ranks the strands of the others by whether they break a rule."""
+    from strandlake.functions.ranking import roc_auc
+    from strandlake.operators import risk
+
+    s = benchmark_strands(spark, sf_dir)
+    s = s.withColumn("bad", ~S.passes_rules(F.col("strand"))).withColumn("held_out", F.crc32(F.col("item_id").cast("string").cast("binary")) % 3 == 1)
+    model = risk.fit(s.where("not held_out").select("strand", F.when(F.col("bad"), 0.95).otherwise(0.05).alias("risk")))
+    scored = risk.score(s.select("strand_id", "strand", "bad", "held_out"), model).withColumn("risk_score", F.round("risk_score", 6))
+    return roc_auc(scored, "risk_score", "bad", ["held_out"]).select("held_out", "n_pos", "n_neg", F.round("auc", 4).alias("auc"))

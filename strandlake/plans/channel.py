@@ -94,10 +94,12 @@ def vote_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.votes(substituted(spark, sf_dir))
 
 
-@query("a9_d3_plurality", f"""WITH {_SUBSTITUTED}, {_VOTES}, best AS (SELECT *, row_number() OVER (PARTITION BY strand_id, pos ORDER BY n DESC, symbol) AS k FROM votes)
+@query("a9_d3_plurality", f"""WITH {_SUBSTITUTED}, {_VOTES}, drafts AS (SELECT strand_id, arg_min(read, read_no) AS draft FROM mutated GROUP BY 1), best AS (SELECT v.*, row_number() OVER (PARTITION BY v.strand_id, pos ORDER BY n DESC, (symbol = substr(draft, pos, 1)) DESC, symbol) AS k FROM votes v JOIN drafts USING (strand_id))
 SELECT strand_id, string_agg(symbol, '' ORDER BY pos) AS consensus FROM best WHERE k = 1 GROUP BY 1""")
 def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.plurality(C.votes(substituted(spark, sf_dir)))
+    """Plurality of the reads of each strand; a tie keeps the letter of the first read."""
+    r = substituted(spark, sf_dir)
+    return C.plurality(C.votes(r), r.groupBy("strand_id").agg(F.min_by("read", "read_no").alias("draft")))
 
 
 @query("a1_evaluate", f"""WITH {_SUBSTITUTED}, {_VOTES}, best AS (SELECT *, row_number() OVER (PARTITION BY strand_id, pos ORDER BY n DESC, symbol) AS k FROM votes),
@@ -115,10 +117,12 @@ def evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NOISY = f"{SQL_READS}, {_mutated(0.02, 0.01, 0.015)}"
 
 
-@query("t3_j6_medoids", f"""WITH {_NOISY}, few AS (SELECT * FROM mutated WHERE read_no <= 8), d AS (SELECT a.strand_id, a.read_no, a.read, sum(levenshtein(a.read, b.read)) AS d, count(*) AS n FROM few a JOIN few b USING (strand_id) GROUP BY 1, 2, 3),
+@query("t3_j6_medoids", f"""WITH {_NOISY}, placed AS (SELECT *, row_number() OVER (PARTITION BY strand_id ORDER BY read_no) - 1 AS i, count(*) OVER (PARTITION BY strand_id) AS all_reads FROM mutated),
+few AS (SELECT strand_id, read_no, read FROM placed WHERE all_reads <= 16 OR list_contains(list_transform(range(16), lambda k: round_even(k * (all_reads - 1) / 15.0::DOUBLE, 0)::BIGINT), i)), d AS (SELECT a.strand_id, a.read_no, a.read, sum(levenshtein(a.read, b.read)) AS d, count(*) AS n FROM few a JOIN few b USING (strand_id) GROUP BY 1, 2, 3),
 k AS (SELECT *, row_number() OVER (PARTITION BY strand_id ORDER BY CASE WHEN n > 2 THEN d ELSE 0 END, abs(length(read) - 112), read_no) AS k FROM d) SELECT strand_id, read_no::INT AS read_no, read FROM k WHERE k = 1""")
 def medoid_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = X.mutate(reads(spark, sf_dir), 0.02, 0.01, 0.015, SEED).where("read_no <= 8")
+    """The medoid of each strand's reads, of which at most sixteen, evenly spaced, are compared."""
+    few = C.evenly(X.mutate(reads(spark, sf_dir), 0.02, 0.01, 0.015, SEED).select("strand_id", "read_no", "read"))
     return C.medoids(few, LENGTH)
 
 
