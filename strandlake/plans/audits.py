@@ -147,16 +147,16 @@ SELECT n.user_id, n.k, 0.98 * r.ema + 0.02 * n.value, CASE WHEN n.value > 75 THE
 z AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k DESC) AS last FROM r) SELECT user_id, round(ema, 6) AS ema, flips::INT AS flips FROM z WHERE last = 1""")
 def sequential_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A smoothed value, and the changes of a two-state burst, along each user's events."""
-    g = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x.value).alias("v"))
-    first = F.col("v")[0]
-    start = F.struct(first.alias("ema"), F.when(first > 50, 1).otherwise(0).alias("state"), F.lit(0).alias("flips"))
-
-    def step(a, x):
-        state = F.when(x > 75, 1).when(x < 25, 0).otherwise(a.state)
-        return F.struct((0.98 * a.ema + 0.02 * x).alias("ema"), state.alias("state"), (a.flips + (state != a.state).cast("int")).alias("flips"))
-
-    out = F.aggregate(F.slice("v", F.lit(2), F.greatest(F.size("v") - 1, F.lit(0))), start, step)
-    return g.select("user_id", F.round(out.ema, 6).alias("ema"), out.flips.alias("flips"))
+    w = Window.partitionBy("user_id")
+    e = table(spark, sf_dir, "events").select("user_id", "value", F.row_number().over(w.orderBy("event_id")).alias("k"), F.count("*").over(w).alias("n"))
+    v, first = F.col("value"), F.col("k") == 1
+    # the smoothed value is a weighted sum; the state changes where a value beyond the bounds differs from what the last such value said
+    weighted = F.when(first, v).otherwise(0.02 * v) * F.pow(F.lit(0.98), F.col("n") - F.col("k"))
+    says = F.when(first, (v > 50).cast("int")).when(v > 75, 1).when(v < 25, 0)
+    e = e.withColumn("weighted", weighted).withColumn("says", says)
+    said = F.last("says", ignorenulls=True).over(w.orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
+    e = e.withColumn("flip", (F.col("says") != said).cast("int"))
+    return e.groupBy("user_id").agg(F.round(F.sum("weighted"), 6).alias("ema"), F.coalesce(F.sum("flip"), F.lit(0)).cast("int").alias("flips"))
 
 
 @query("w12_forward_path", """SELECT o_custkey, o_orderkey, lag(o_orderkey) OVER w AS before, round(o_totalprice - lag(o_totalprice) OVER w, 2) AS gain FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)""")
