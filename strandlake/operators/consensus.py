@@ -34,15 +34,15 @@ def evenly(reads: DataFrame, most: int = 16) -> DataFrame:
     return r.where((F.col("n") <= most) | F.array_contains(taken, F.col("i")))
 
 
-def medoids(reads: DataFrame, length: int) -> DataFrame:
-    """(strand_id, read_no, read) of the read with the least total distance to the others; ties by nearness to the designed length, then order.
-    Clusters of one or two reads go by length only. A cluster's reads are compared with each other, so take a bounded number of each first."""
+def medoids(reads: DataFrame, length: int | DataFrame) -> DataFrame:
+    """(strand_id, read_no, read) of the read with the least total distance to the others; ties by nearness to the designed length (one for all, or a table strand_id, length), then order.
+    Clusters of one or two reads go by length only. A cluster's reads are compared with each other, so take a bounded number of each first (evenly())."""
     a = reads.select("strand_id", "read_no", "read")
     b = reads.select("strand_id", F.col("read_no").alias("other_no"), F.col("read").alias("other"))
     d = a.join(b, "strand_id").groupBy("strand_id", "read_no", "read").agg(F.sum(F.levenshtein("read", "other")).alias("d"), F.count("*").alias("n"))
-    cost = F.when(F.col("n") > 2, F.col("d")).otherwise(0)
-    w = Window.partitionBy("strand_id").orderBy(cost, F.abs(F.length("read") - length), "read_no")
-    return d.withColumn("k", F.row_number().over(w)).where("k = 1").select("strand_id", "read_no", "read")
+    d = d.withColumn("length", F.lit(length)) if isinstance(length, int) else d.join(length.select("strand_id", "length"), "strand_id")
+    best = F.min(F.struct(F.when(F.col("n") > 2, F.col("d")).otherwise(0).alias("d"), F.abs(F.length("read") - F.col("length")).alias("off"), "read_no", "read")).alias("b")
+    return d.groupBy("strand_id").agg(best).select("strand_id", "b.read_no", "b.read")
 
 
 def edit_script(a: str, b: str) -> list[tuple[str, int, int]]:
@@ -108,20 +108,20 @@ def _aligned_votes(draft: str, reads: list[str]) -> tuple[list[Counter], list[Co
     return at, before
 
 
-def reconstruct(reads: list[str], length: int, rounds: int = 3, most: int = 16) -> str | None:
-    """Consensus of reads: the medoid, voted on until it stays as it is, then brought to the designed length. No reads: None."""
+def reconstruct(reads: list[str], length: int, rounds: int = 3, most: int = 16, draft: str | None = None) -> str | None:
+    """Consensus of reads: the draft (by default their medoid), voted on until it stays as it is, then brought to the designed length. No reads: None."""
     if not reads:
         return None
     if len(reads) > most:
         reads = [reads[round(i * (len(reads) - 1) / (most - 1))] for i in range(most)]
     total = [0] * len(reads)
-    if len(reads) > 2:
+    if len(reads) > 2 and draft is None:
         for i in range(len(reads)):
             for j in range(i):
                 d = len(edit_script(reads[i], reads[j]))
                 total[i] += d
                 total[j] += d
-    draft = reads[min(range(len(reads)), key=lambda i: (total[i], abs(len(reads[i]) - length), i))]
+    draft = draft if draft is not None else reads[min(range(len(reads)), key=lambda i: (total[i], abs(len(reads[i]) - length), i))]
     at, before = _aligned_votes(draft, reads)
     for _ in range(rounds):
         out = []
@@ -154,14 +154,15 @@ def decode(strands: DataFrame, reads: DataFrame, most: int = 16) -> DataFrame:
     """
     r = evenly(reads.select("strand_id", "read_no", "read"), most)
     g = r.groupBy("strand_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "read"))), lambda x: x.read).alias("reads"), F.max("n").alias("n_reads"))
-    g = strands.select("strand_id", "length").join(g, "strand_id", "left")
+    drafts = medoids(r, strands).select("strand_id", F.col("read").alias("draft"))
+    g = strands.select("strand_id", "length").join(g, "strand_id", "left").join(drafts, "strand_id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [reconstruct(x or [], n) for x, n in zip(b.column("reads").to_pylist(), b.column("length").to_pylist())]
+            out = [reconstruct(x or [], n, draft=d) for x, n, d in zip(*(b.column(c).to_pylist() for c in ("reads", "length", "draft")))]
             yield pa.RecordBatch.from_arrays([b.column("strand_id"), pa.array(out, pa.string()), pa.array([n or 0 for n in b.column("n_reads").to_pylist()], pa.int64())], names=["strand_id", "decoded", "n_reads"])
 
-    return g.select(F.col("strand_id").cast("long"), "length", "reads", "n_reads").mapInArrow(run, "strand_id long, decoded string, n_reads long")
+    return g.select(F.col("strand_id").cast("long"), "length", "reads", "n_reads", "draft").mapInArrow(run, "strand_id long, decoded string, n_reads long")
 
 
 def evaluate(decoded: DataFrame, by: list[str]) -> DataFrame:

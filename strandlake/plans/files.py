@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions.strands import gc_fraction
 from strandlake.operators import channel as X
+from strandlake.operators.experiments import rounded
 from strandlake.plans import channel as P
 from strandlake.plans.base import SQL_BENCH, SQL_GC, benchmark_strands, kmer_counts, query, table
 from strandlake.sources import payloads as S
@@ -102,3 +103,13 @@ def payloads_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     c.repartition("c_mktsegment").sortWithinPartitions("c_mktsegment", "c_custkey").select("c_mktsegment", "c_name").write.partitionBy("c_mktsegment").text(path)
     p = S.read_payloads(spark, path, 1000)
     return p.select(F.regexp_extract("path", "c_mktsegment=([A-Z]+)", 1).alias("segment"), "n_bytes", F.md5("content").alias("head"), "kind")
+
+
+@query("s4_profiles", """SELECT n_name AS name, round(avg(s_acctbal) / 1e6, 5) AS sub_rate, count(*)::DOUBLE AS coverage_mean, [1.0::DOUBLE, round(max(s_acctbal) / 1000, 3)] AS homopolymer_run_factors, NULL::VARCHAR AS context_table FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1""")
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A profile for each nation, rounded, saved as a JSON file and loaded again."""
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    p = s.groupBy(F.col("n_name").alias("name")).agg((F.avg("s_acctbal") / 1e6).alias("sub_rate"), F.count("*").cast("double").alias("coverage_mean"), F.array(F.lit(1.0), F.max("s_acctbal") / 1000).alias("homopolymer_run_factors"))
+    path = fresh_path(spark, "profiles")
+    S.write_profiles(rounded(p, {"sub_rate": 5, "homopolymer_run_factors": 3}), path)
+    return S.read_profiles(spark, path).select("name", "sub_rate", "coverage_mean", "homopolymer_run_factors", "context_table")

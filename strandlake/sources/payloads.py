@@ -38,7 +38,8 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_profiles(profiles: DataFrame, path: str) -> None:
-    profiles.write.json(path)
+    """A JSON file for each profile; fields that are null are left out."""
+    profiles.write.option("maxRecordsPerFile", 1).json(path)
 
 
 def read_context_table(spark: SparkSession, path: str, k: int = 5) -> DataFrame:
