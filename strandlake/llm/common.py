@@ -16,7 +16,7 @@ from strandlake.sources.scratch import shared_dir
 #: Rows of documents that one slice of an Arrow batch holds while Python works on it; bounds a worker's memory.
 SLICE_ROWS = 512
 #: Text bytes after which a slice is cut earlier.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

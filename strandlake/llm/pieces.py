@@ -27,7 +27,7 @@ from strandlake.llm.shingles import mix
 #: Share of candidates that are skipped, and symbols from which a word has an agenda of its own; words that a task remembers, and words that
 #: are merged together.
 DROPOUT, LONG = 0.1, 48
-MEMO, BLOCK = 1 << 19, 1 << 14
+MEMO, BLOCK = 1 << 17, 1 << 14
 SPACE, MARK = 0x20, 0x2581
 NONE = np.int64(1) << np.int64(62)
 _PLACE = np.int64(24)  # bits of a place in a word below the rank
@@ -184,7 +184,7 @@ def _spread(at: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class Memo:
-    """Segmentations without dropout of the first MEMO words met, and their merges, for one model (some 60 MB when full)."""
+    """Segmentations without dropout of the first MEMO words met, and their merges, for one model (some 15 MB when full)."""
 
     def __init__(self):
         self.keys, self.pool, self.steps = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.uint64)
