@@ -209,13 +209,16 @@ class Memo:
             self.pool, self.steps = np.append(self.pool, pool[_spread(at, n)]), np.append(self.steps, steps[_spread(path_at, path_n)])
 
 
-def encode_texts(m: Model, texts: list[str | None], keys: list[int | None], dropout: float = DROPOUT, seed: int = 0, memo: Memo | None = None) -> list[np.ndarray]:
-    """Ids of each text. keys: a number for each document, on which its draws depend. memo: kept from call to call with the same model."""
-    limit = np.uint64(min(int(dropout * 2**64), 2**64 - 1)) if dropout > 0 else np.uint64(0)
+def _limit(dropout: float) -> np.uint64:
+    return np.uint64(min(int(dropout * 2**64), 2**64 - 1)) if dropout > 0 else np.uint64(0)
+
+
+def _words(m: Model, texts: list[str | None], keys: list[int | None], seed: int) -> tuple[np.ndarray, ...] | None:
+    """Code points and symbols of all texts, where their words begin, how long each is, whose it is, whether it is a character that the model lacks, and what its draws are."""
     full = [" " + t if t else "" for t in texts]
-    cp = np.frombuffer("".join(full).encode("utf-32-le"), np.uint32).astype(np.int64)
+    cp = np.frombuffer("".join(full).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     if not len(cp):
-        return [np.zeros(0, np.int32) for _ in texts]
+        return None
     lengths = np.array([len(t) for t in full])
     first = np.cumsum(lengths) - lengths
     doc = np.repeat(np.arange(len(texts)), lengths)
@@ -226,16 +229,38 @@ def encode_texts(m: Model, texts: list[str | None], keys: list[int | None], drop
     cut[1:] |= odd[:-1] | (space[1:] & ~space[:-1])
     cut[first[lengths > 0]] = True
     off = np.flatnonzero(cut)
-    size = np.diff(off, append=len(cp))
     owner = doc[off]
+    # the draws: a hash of the seed, the document and the word's place there
+    number = np.array([(k or 0) & (2**64 - 1) for k in keys], np.uint64)
+    nth = (np.arange(len(off)) - np.searchsorted(owner, owner)).astype(np.uint64)
+    draw = mix(mix(mix(number + np.uint64(1)) + np.uint64(seed))[owner] + nth)
+    return cp, sym, off, np.diff(off, append=len(cp)), owner, odd[off], draw
+
+
+def _bytes_of(m: Model, cp: int) -> np.ndarray:
+    return m.byte[np.frombuffer(chr(cp).encode("utf-8", "surrogatepass"), np.uint8)]
+
+
+def encode_slowly(m: Model, text: str | None, key: int | None, dropout: float = DROPOUT, seed: int = 0) -> np.ndarray:
+    """Ids of one text, each word by an agenda of its own; nothing is remembered, and no word is told from others by a hash."""
+    if (w := _words(m, [text], [key], seed)) is None:
+        return np.zeros(0, np.int32)
+    cp, sym, off, size, _, odd, draw = w
+    limit = int(_limit(dropout))
+    parts = [_bytes_of(m, int(cp[a])) if o else _agenda(m, sym[a : a + n].tolist(), int(d), limit) for a, n, o, d in zip(off, size, odd, draw)]
+    return np.concatenate(parts).astype(np.int32)
+
+
+def encode_texts(m: Model, texts: list[str | None], keys: list[int | None], dropout: float = DROPOUT, seed: int = 0, memo: Memo | None = None) -> list[np.ndarray]:
+    """Ids of each text. keys: a number for each document, on which its draws depend. memo: kept from call to call with the same model."""
+    limit = _limit(dropout)
+    if (w := _words(m, texts, keys, seed)) is None:
+        return [np.zeros(0, np.int32) for _ in texts]
+    cp, sym, off, size, owner, odd, draw = w
     # what a word is: a hash of its characters
     place = np.arange(len(cp)) - np.repeat(off, size)
     power = np.cumprod(np.full(int(size.max()), np.uint64(0x9E3779B97F4A7C15)))
     h = mix(np.add.reduceat(mix(cp.astype(np.uint64) + np.uint64(1)) * power[place], off) + size.astype(np.uint64))
-    # what its draws are: a hash of the seed, the document and its place there
-    number = np.array([(k or 0) & (2**64 - 1) for k in keys], np.uint64)
-    nth = (np.arange(len(off)) - np.searchsorted(owner, owner)).astype(np.uint64)
-    draw = mix(mix(mix(number + np.uint64(1)) + np.uint64(seed))[owner] + nth)
     found, index, inverse = np.unique(h, return_index=True, return_inverse=True)
     u_off, u_size = off[index], size[index]
     memo = memo or Memo()
@@ -259,7 +284,7 @@ def encode_texts(m: Model, texts: list[str | None], keys: list[int | None], drop
     def merged(of_off, of_size, key, limit):
         return _merge(m, sym[_spread(of_off, of_size)], np.cumsum(of_size) - of_size, of_size, key, limit)
 
-    u_odd, u_long = odd[u_off], u_size >= LONG
+    u_odd, u_long = odd[index], u_size >= LONG
     for p in blocks(np.flatnonzero(~u_odd & ~u_long & ~known)):
         flat, count, path = merged(u_off[p], u_size[p], found[p], np.uint64(0))
         put(p, count, flat, got_len, got_at)
@@ -268,7 +293,7 @@ def encode_texts(m: Model, texts: list[str | None], keys: list[int | None], drop
         steps.append(path)
         path_base += len(path)
     for i in np.flatnonzero(u_odd & ~known):
-        ids = m.byte[np.frombuffer(chr(cp[u_off[i]]).encode("utf-8", "surrogatepass"), np.uint8)]
+        ids = _bytes_of(m, int(cp[u_off[i]]))
         put(np.array([i]), np.array([len(ids)]), ids, got_len, got_at)
     if not limit:
         for i in np.flatnonzero(~u_odd & u_long):
@@ -286,7 +311,7 @@ def encode_texts(m: Model, texts: list[str | None], keys: list[int | None], drop
             if len(p):
                 flat, count, _ = merged(off[p], size[p], draw[p], limit)
                 put(p, count, flat, n, at)
-        for i in np.flatnonzero(u_long[inverse] & ~odd[off]):
+        for i in np.flatnonzero(u_long[inverse] & ~odd):
             ids = np.array(_agenda(m, sym[off[i] : off[i] + size[i]].tolist(), int(draw[i]), int(limit)), np.int64)
             put(np.array([i]), np.array([len(ids)]), ids, n, at)
     out = np.concatenate(pool)[_spread(at, n)]
@@ -312,8 +337,8 @@ FIELDS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayT
 def encode(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id", dropout: float = DROPOUT, seed: int = 0) -> DataFrame:
     """docs with n_tokens, ids, ids_crc32 (of the ids as little-endian 32-bit numbers) and lossless (decoding gives the text).
 
-    Null and empty texts have no ids and are lossless. A null key counts as 0; rows with equal key and text have equal ids. Columns of docs with
-    the name of a new one are replaced.
+    Null and empty texts have no ids and are lossless; long ones are taken whole. A null key counts as 0; rows with equal key and text have equal ids. Columns of docs with
+    the name of a new one are replaced. An empty table gives no rows. A text that does not come back, as where two of its words have one hash, is encoded again word by word.
     """
 
     def make():
@@ -322,10 +347,14 @@ def encode(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id",
         def f(b):
             texts, keys = b.column(text).to_pylist(), b.column(key).to_pylist()
             ids = encode_texts(m, texts, keys, dropout, seed, memo=memo)
+            good = [decode_ids(m, x.tolist()) == (t or "") for t, x in zip(texts, ids)]
+            for i, t in enumerate(texts):
+                if not good[i]:  # two words with one hash
+                    ids[i] = encode_slowly(m, t, keys[i], dropout, seed)
+                    good[i] = decode_ids(m, ids[i].tolist()) == t
             n = np.array([len(x) for x in ids])
             offsets = pa.array(np.append(0, np.cumsum(n)), pa.int32())
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32()), type=pa.list_(pa.field("element", pa.int32(), False)))
-            good = [decode_ids(m, x.tolist()) == (t or "") for t, x in zip(texts, ids)]
             return [n.tolist(), lists, [zlib.crc32(x.astype("<u4").tobytes()) for x in ids], good]
 
         return f
