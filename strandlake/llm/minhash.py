@@ -135,13 +135,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, sketch:
     if many:
         # Members of long lists with their hashes in one order: those that few members hold first, rarest first, then the others. Two sets that are similar
         # enough share one of the first n - ceil(n * percent / 100) + 1, and what stands before their first common hash is in one of them only: an
-        # exact bound for each pair. Only hashes of few members are joined with their counts, so no key of that join is hot.
+        # exact bound for each pair. A class's own hashes are known from the counts; only those of a few members are joined with them, so no key of that join is hot.
         inside = sets.join(lists.select("digest"), "digest")
         held = inside.select("digest", F.explode("members").alias("x"))
-        few = held.groupBy("x").agg(F.count("*").alias("c")).where(F.col("c") <= FEW)
-        few = held.join(few, "x").groupBy("digest").agg(F.count_if(F.col("c") == 1).alias("u"), F.transform(F.sort_array(F.collect_list(F.struct("c", "x"))), lambda e: e.x).alias("rare"))
-        rare = F.coalesce("rare", F.array().cast("array<long>"))
-        ordered = inside.join(few, "digest", "left").select("digest", F.coalesce("u", F.lit(0)).alias("u"), (F.size(rare) / F.size("members")).alias("odd"), F.concat(rare, F.array_except("members", rare)).alias("o"))
+        counts = keep(held.groupBy("x").agg(F.count("*").alias("c"), F.min("digest").alias("one")).where(F.col("c") <= FEW), "rare")
+        own = counts.where("c = 1").groupBy(F.col("one").alias("digest")).agg(F.sort_array(F.collect_list("x")).alias("own"))
+        few = held.join(counts.where("c > 1"), "x").groupBy("digest").agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "x"))), lambda e: e.x).alias("few"))
+        none = F.array().cast("array<long>")
+        ordered = inside.join(own, "digest", "left").join(few, "digest", "left").select("digest", "members", F.coalesce("own", none).alias("own"), F.coalesce("few", none).alias("few"))
+        ordered = ordered.select("digest", F.size("own").alias("u"), "members", F.concat("own", "few").alias("rare"))
+        ordered = ordered.select("digest", "u", (F.size("rare") / F.size("members")).alias("odd"), F.concat("rare", F.array_except("members", "rare")).alias("o"))
         first_ones = F.slice("o", 1, (F.size("o") - F.ceil(F.size("o") * percent / 100) + 1).cast("int"))
         lists = keep(lists.join(ordered.withColumn("o", first_ones), "digest"), "members")
 

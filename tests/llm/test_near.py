@@ -122,3 +122,19 @@ def test_vectors_empty(spark):
     t = spark.createDataFrame([(1, None, 1)], "vec_id long, embedding array<float>, label int")
     assert vectors.near_vectors(t).collect()[0].n_links == 0
     assert vectors.near_vectors(t.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("short_list,group", [(40, 2), (1, 3)])
+def test_links_at_exactly_the_threshold_are_found(spark, monkeypatch, short_list, group):
+    monkeypatch.setattr(minhash, "SHORT_LIST", short_list)
+    rng = random.Random(group)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    texts, links = [], 0
+    for _ in range(150):
+        d = rng.randint(1, 40)  # 8 d shingles in common, d of each text's own: 8 d of 10 d
+        common = [word() for _ in range(8 * d + 3)]
+        texts += [" ".join(common + [word() for _ in range(d)]) for _ in range(group)]
+        links += group - 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = minhash.near_duplicates(docs, words=4).collect()
+    assert all(r.component_id == r.doc_id // group * group for r in got) and sum(not r.kept for r in got) == links
