@@ -1,6 +1,6 @@
 """SQL for the numbered queries that it can express, over whole tables."""
 
-from strandlake.llm import chat
+from strandlake.llm import chat, codes, warc
 
 NEAR_DUPLICATES = r"""
 WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -25,4 +25,4 @@ low AS (SELECT a AS vec_id, min(b) AS m FROM reach GROUP BY 1), n AS (SELECT a A
 SELECT t.vec_id, coalesce(n, 0)::BIGINT AS n_links, least(t.vec_id, coalesce(m, t.vec_id)) AS component_id, t.vec_id <= coalesce(m, t.vec_id) AS kept FROM embeddings t LEFT JOIN n USING (vec_id) LEFT JOIN low USING (vec_id)
 """
 
-ORACLES = {"op2_chat_preferences": chat.ORACLE, "op7_multi_index": NEAR_VECTORS, "op10_minhash": NEAR_DUPLICATES}
+ORACLES = {"op2_chat_preferences": chat.ORACLE, "op7_multi_index": NEAR_VECTORS, "op10_minhash": NEAR_DUPLICATES, "op11_vector_codes": codes.ORACLE, "op13_warc": warc.ORACLE}

@@ -1,4 +1,4 @@
-"""The queries op1 to op10: each operator with production parameters over its whole table."""
+"""The queries op1 to op13: each operator with production parameters over its whole table."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import chat, id_files, mixing, mpeg_audio, pieces, pii, quality, secret_scan, vectors
+from strandlake.llm import alignment, chat, codes, id_files, mixing, mpeg_audio, pieces, pii, quality, secret_scan, vectors, warc
 from strandlake.llm.common import table
 from strandlake.llm.minhash import near_duplicates
 from strandlake.llm.oracles import ORACLES  # noqa: F401  for the entry point
@@ -59,6 +59,20 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.digest(*codes.compress(table(spark, sf_dir, "embeddings")))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_chat_preferences": op2_chat_preferences,
@@ -70,4 +84,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_mix": op9_mix,
     "op10_minhash": op10_minhash,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_alignment": op12_alignment,
+    "op13_warc": op13_warc,
 }
