@@ -1,8 +1,9 @@
 """Personal data by weak supervision.
 
 Candidates come from strict patterns (the base spans, which always stay) and from looser ones: addresses spelt out, local phone numbers, national ids, bank accounts,
-names of persons, streets with a number. Four labelers vote on each candidate: its format (patterns and check digits), gazetteers (domains, calling codes, card issuers,
-account lengths, names, street words), the words around it, and its borders. The votes and a few features of each candidate form a pattern; patterns are counted over
+names of persons, streets with a number. Persons are found by titles and given names, by words that introduce one ("Dear", "name:"), and by a gazetteer that is learned from all
+documents: first and last words of names that a title or such a word introduced in several documents, as a table of bits of fixed size. Four labelers vote on each candidate:
+its format (patterns, check digits, shape of the words), gazetteers (domains, calling codes, card issuers, account lengths, names, street words), the words around it, and its borders. The votes and a few features of each candidate form a pattern; patterns are counted over
 all documents, and expectation-maximisation on the counts estimates for each kind how often it is personal and how reliable each labeler is. A logistic classifier is trained
 on the resulting probabilities and decides which of the looser candidates are spans as well. Its features are none of the votes, nor what a vote is made of.
 
@@ -13,9 +14,11 @@ Everything that leaves the executors is the table of patterns. Its size is bound
 from __future__ import annotations
 
 import re
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +43,15 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 RUN = re.compile(r"[0-9]+")
 PHONE_LOCAL = re.compile(r"[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
 NATIONAL_ID = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-EMAIL_WORDS = re.compile(r"[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++)* ?[\[(]at[\])] ?[A-Za-z0-9-]++ ?(?:\.|[\[(]dot[\])]) ?[A-Za-z]{2,10}")
+AT_WORD = re.compile(r" ?[\[(]at[\])] ?")
+AFTER_AT = re.compile(r"[A-Za-z0-9-]++ ?(?:\.|[\[(]dot[\])]) ?[A-Za-z]{2,10}")
+BEFORE_AT = LOCAL - frozenset("%+")
 
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 NAME_TAIL = re.compile(r"\.?(?: [A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'-]+){1,2}")
+NAME_PAIR = re.compile(r"(?<![\w'-])[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'-]+(?: [A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'-]+){1,2}")
+TITLE_AFTER = re.compile(r"\.? ")
+NAME_AFTER = re.compile(r"(?::|,)? {1,2}(?=[A-ZÀ-ÖØ-Þ])")
 NUMBER_BEFORE = re.compile(r"(?<![0-9A-Za-z])[0-9]{1,5}[A-Za-z]?,?(?: [A-ZÀ-ÖØ-Þ][\w.'-]*){1,3} $")
 NUMBER_AFTER = re.compile(r"(?: (?:de|du|des|la|le|del|los|las))*(?: [A-ZÀ-ÖØ-Þ][\w'-]+){1,3},? [0-9]{1,5}(?![0-9A-Za-z])")
 HOUSE_AFTER = re.compile(r" [0-9]{1,4}[a-z]?(?![0-9A-Za-z])")
@@ -62,6 +70,8 @@ ACCOUNTS = {
     "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29,
 }
 HONORIFICS = frozenset("Mr Mrs Ms Miss Dr Prof Sir Herr Frau Señor Señora Sr Sra Don Doña Monsieur Madame Mme Mlle".split())
+#: Words that a name follows.
+INTRODUCED = frozenset("name Name named regards Regards sincerely Sincerely Dear dear signed Signed contact Contact geehrte geehrter Grüße cordialement Cordialement nombre Nombre saludos Saludos Patient Customer".split())
 GIVEN = frozenset("""James Mary John Patricia Robert Jennifer Michael Linda William Elizabeth David Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Christopher Nancy Daniel Lisa Matthew Betty Anthony Margaret Mark Sandra
 Hans Peter Klaus Jürgen Wolfgang Stefan Andreas Markus Ursula Monika Sabine Petra Claudia Katharina Brigitte Heike Jean Pierre Michel Philippe Jacques Nicolas François Marie Nathalie Isabelle Sylvie Catherine Sophie Camille
 José Antonio Manuel Francisco Juan Javier Carlos Miguel Alejandro Pedro Carmen María Isabel Dolores Pilar Teresa Lucía Elena Cristina Laura""".split())
@@ -91,21 +101,43 @@ FEATURES = (4, 4, 3, 4, 4)
 MAX_PATTERNS = len(KINDS) * 3 ** len(LABELERS) * int(np.prod(FEATURES))
 
 
+#: Bits of the learned gazetteer; documents in which a word must have been introduced.
+NAME_BITS, NAME_DOCS = 1 << 20, 3
+
+
+def _bit(role: str, word: str) -> int:
+    """A word's place in the learned gazetteer, by the role (first or last) it has in a name."""
+    return zlib.crc32(f"{role}{word}".encode()) % NAME_BITS
+
+
+def _knows(names: np.ndarray | None, role: str, word: str) -> bool:
+    """Whether the learned gazetteer (packed bits) has a word."""
+    return names is not None and bool(names[(b := _bit(role, word)) >> 3] >> (b & 7) & 1)
+
+
 @lru_cache(maxsize=1)
 def _gazetteer():
     """One automaton for all words of names and streets."""
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for w in HONORIFICS | GIVEN | STREETS_LAST | STREETS_FIRST | {*STREETS_END}:
+    for w in HONORIFICS | INTRODUCED | GIVEN | STREETS_LAST | STREETS_FIRST | {*STREETS_END}:
         a.add_word(w, w)
     a.make_automaton()
     return a
 
 
-def named(text: str) -> list[tuple[int, int, int]]:
-    """Candidates (kind, start, end) that gazetteer words lead to: persons and streets with a number, leftmost and non-overlapping for each kind."""
-    out, name_end, street_end = [], 0, 0
+def named(text: str, names: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """Candidates (kind, start, end): persons and streets with a number, leftmost and non-overlapping for each kind.
+
+    Words of the fixed gazetteers lead to them, and pairs of words that the learned one has as first and last words of names.
+    """
+    out, people, street_end = [], [], 0
+    if names is not None:
+        for m in NAME_PAIR.finditer(text):
+            words = m[0].split(" ")
+            if _knows(names, "first", words[0]) and _knows(names, "last", words[-1]):
+                people.append(m.span())
     for last, w in _gazetteer().iter(text):
         end, start = last + 1, last + 1 - len(w)
         if end < len(text) and text[end].isalnum():
@@ -120,15 +152,37 @@ def named(text: str) -> list[tuple[int, int, int]]:
             continue
         if first < start or start > 0 and text[start - 1].isalnum():
             continue
-        if (w in HONORIFICS or w in GIVEN) and start >= name_end and (m := NAME_TAIL.match(text, end)):
-            name_end = m.end()
-            out.append((8, start, name_end))
+        if (w in HONORIFICS or w in GIVEN) and (m := NAME_TAIL.match(text, end)):
+            people.append((start, m.end()))
+        elif w in INTRODUCED and (m := NAME_AFTER.match(text, end)) and (m := NAME_PAIR.match(text, m.end())):
+            people.append(m.span())
         if w in STREETS_LAST and start >= street_end and (m := NUMBER_BEFORE.search(text[max(street_end, start - 60) : start])):
             out.append((9, max(street_end, start - 60) + m.start(), end))
             street_end = end
         elif w in STREETS_FIRST and start >= street_end and (m := NUMBER_AFTER.match(text, end)):
             street_end = m.end()
             out.append((9, start, street_end))
+    name_end = 0
+    for start, end in sorted(people, key=lambda x: (x[0], -x[1])):
+        if start >= name_end:
+            name_end = end
+            out.append((8, start, end))
+    return out
+
+
+def introduced(text: str) -> set[int]:
+    """Bits of the first and last words of names that a title or an introducing word stands before."""
+    out = set()
+    for last, w in _gazetteer().iter(text):
+        end = last + 1
+        if (w in HONORIFICS or w in INTRODUCED) and not text[last - len(w) : last + 1 - len(w)].isalnum():
+            m = TITLE_AFTER.match(text, end) if w in HONORIFICS else NAME_AFTER.match(text, end)
+            if m and (m := NAME_PAIR.match(text, m.end())):
+                words = [x for x in m[0].split(" ") if x not in HONORIFICS]
+                if words:
+                    out.add(_bit("last", words[-1]))
+                if len(words) > 1:
+                    out.add(_bit("first", words[0]))
     return out
 
 
@@ -149,7 +203,22 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
-def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def emails_in_words(text: str) -> list[tuple[int, int, int]]:
+    """Addresses like joe [at] web [dot] org: found by what stands for the at sign, so that a long run of letters is walked over once."""
+    out, low = [], 0
+    for at in AT_WORD.finditer(text):
+        i = at.start()
+        while i > low and text[i - 1] in BEFORE_AT and not (text[i - 1] == "." and text[i : i + 1] in (".", " ", "(", "[")):
+            i -= 1
+        if text[i : i + 1] == ".":
+            i += 1
+        if i < at.start() and (m := AFTER_AT.match(text, at.end())):
+            low = m.end()
+            out.append((4, i, low))
+    return out
+
+
+def candidates(text: str, names: np.ndarray | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans (kind, start, end): strict matches, leftmost and non-overlapping for each kind; and looser ones that overlap none.
 
     Patterns of digits are tried only where a run of digits starts: a match that could start inside a run would start at its first digit.
@@ -191,8 +260,8 @@ def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
             if 9 <= len(_digits(m[0])) <= 15:
                 base.append((3, *m.span()))
     if "at)" in text or "at]" in text:
-        more += [(4, *m.span()) for m in EMAIL_WORDS.finditer(text)]
-    more += named(text)
+        more += emails_in_words(text)
+    more += named(text, names)
     if base and more:
         # of the base spans that start before a candidate ends, the furthest end
         spans = sorted((s, e) for _, s, e in base)
@@ -205,7 +274,7 @@ def _calling(digits: str) -> bool:
     return digits[:1] in CALLING_SHORT or digits[:2] in CALLING_SHORT or digits[:2] in CALLING_LONG
 
 
-def pattern(text: str, kind: int, start: int, end: int) -> int:
+def pattern(text: str, kind: int, start: int, end: int, names: np.ndarray | None = None) -> int:
     """Votes and features of a candidate as one number."""
     name, span = KINDS[kind], text[start:end]
     digits = _digits(span)
@@ -226,8 +295,8 @@ def pattern(text: str, kind: int, start: int, end: int) -> int:
         words = 1 if ACCOUNTS.get(span[:2]) == len(span.replace(" ", "")) else 2
     elif kind == 8:
         parts = span.replace(".", "").split(" ")
-        form = 1 if len(parts) > 2 or parts[0] in HONORIFICS else 2
-        words = 1 if parts[-1] in SURNAMES or len(parts) > 2 and parts[1] in GIVEN else 0
+        form = 1 if all(2 <= len(p) <= 12 and p[-1].isalpha() for p in parts) and not re.search(r"([a-zß-öø-ÿ])\1\1", span) else 2
+        words = 1 if parts[0] in HONORIFICS or parts[-1] in SURNAMES or _knows(names, "last", parts[-1]) and (parts[0] in GIVEN or _knows(names, "first", parts[0])) else 2
     elif kind == 9:
         form = 1 if digits[0] != "0" else 2
         words = 1 if any(w in STREETS_LAST or w in STREETS_FIRST or w.endswith(STREETS_END) for w in re.split("[ ,]+", span) if len(w) > 3) else 0
@@ -311,7 +380,26 @@ def fit(counts: dict[int, int], rounds: int = 50) -> tuple[np.ndarray, dict]:
     return w, told
 
 
-def count_patterns(docs: DataFrame, text: str = "text") -> DataFrame:
+def learn_names(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """The gazetteer (packed bits) of words that are introduced as first or last words of names in at least NAME_DOCS of all documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(NAME_BITS, np.int64)
+        for whole in batches:
+            for b in slices(whole, text):
+                for t in b.column(text).to_pylist():
+                    if t:
+                        seen[list(introduced(t))] += 1
+        bits = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(bits, pa.int64()), pa.array(seen[bits], pa.int64())], names=["bit", "n"])
+
+    known = docs.select(text).mapInArrow(run, "bit long, n long").groupBy("bit").agg(F.sum("n").alias("n")).where(F.col("n") >= NAME_DOCS)
+    bits = np.zeros(NAME_BITS, bool)
+    bits[[r.bit for r in known.select("bit").collect()]] = True  # at most NAME_BITS rows
+    return np.packbits(bits, bitorder="little")
+
+
+def count_patterns(docs: DataFrame, text: str = "text", names: np.ndarray | None = None) -> DataFrame:
     """(pattern, n): how many candidates of all documents have each pattern."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,9 +407,9 @@ def count_patterns(docs: DataFrame, text: str = "text") -> DataFrame:
         for whole in batches:
             for b in slices(whole, text):
                 for t in b.column(text).to_pylist():
-                    for spans in candidates(t or ""):
+                    for spans in candidates(t or "", names):
                         for s in spans:
-                            code = pattern(t, *s)
+                            code = pattern(t, *s, names)
                             seen[code] = seen.get(code, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
 
@@ -331,11 +419,19 @@ def count_patterns(docs: DataFrame, text: str = "text") -> DataFrame:
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("base", T.BooleanType())]))
 
 
-def find_spans(text: str, weights: np.ndarray) -> list[tuple[int, int, int, bool]]:
+class Model(NamedTuple):
+    """Weights of the span classifier, and the learned gazetteer of names."""
+
+    weights: np.ndarray
+    names: np.ndarray | None = None
+
+
+def find_spans(text: str, model: Model | np.ndarray) -> list[tuple[int, int, int, bool]]:
     """All spans (kind, start, end, whether base) by kind, then start."""
-    base, more = candidates(text)
+    weights, names = model if isinstance(model, Model) else Model(model)
+    base, more = candidates(text, names)
     out = [(*s, True) for s in base]
-    out += [(*s, False) for s in more if _row(pattern(text, *s)) @ weights >= 0]
+    out += [(*s, False) for s in more if _row(pattern(text, *s, names)) @ weights >= 0]
     return sorted(out)
 
 
@@ -349,15 +445,19 @@ def redacted(text: str, spans: list[tuple[int, int, int, bool]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def train(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, dict]:
-    return fit({r.pattern: r.n for r in count_patterns(docs, text).collect()})  # at most MAX_PATTERNS rows
+def train(docs: DataFrame, text: str = "text") -> tuple[Model, dict]:
+    """The model, and the estimated reliabilities by kind, from all rows of docs (repeated ones count each; null and empty texts hold no candidates; an empty table gives a model
+    that keeps no looser span). Long texts are searched in time that grows with their length."""
+    names = learn_names(docs, text)
+    weights, told = fit({r.pattern: r.n for r in count_patterns(docs, text, names).collect()})  # at most MAX_PATTERNS rows
+    return Model(weights, names), told
 
 
-def detect(docs: DataFrame, weights: np.ndarray, text: str = "text", redact: bool = False) -> DataFrame:
+def detect(docs: DataFrame, weights: Model | np.ndarray, text: str = "text", redact: bool = False) -> DataFrame:
     """docs with pii_spans (kind, start, end in code points, base), and with the text redacted if asked.
 
-    Null and empty texts have no spans (null stays null). Rows are taken one by one: repeated rows have equal results. Columns of docs
-    with the name of a new one are replaced.
+    Null and empty texts have no spans (null stays null). Rows are taken one by one: repeated rows have equal results; texts are searched whole, in time that
+    grows with their length. An empty table gives no rows. Columns of docs with the name of a new one are replaced.
     """
     fields = [T.StructField("pii_spans", SPAN)]
     if redact:

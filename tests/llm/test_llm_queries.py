@@ -12,6 +12,9 @@ COLUMNS = {
     "op4": {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"},
     "op5": {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"},
     "op6": {"doc_id", "start", "n_tokens", "ids_crc32"},
+    "op11": {"vec_id", "code", "error", "label_error", "codebooks_sha256"},
+    "op12": {"doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"},
+    "op13": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"},
     "op7": {"vec_id", "n_links", "component_id", "kept"},
     "op8": {"doc_id", "held_out", "score", "predicted"},
     "op9": {"doc_id", "size", "source_size", "target", "taken"},
@@ -24,7 +27,7 @@ def test_query(spark, sf_dir, name):
     df = QUERIES[name](spark, sf_dir)
     op = name.split("_")[0]
     assert COLUMNS.get(op, set()) <= set(df.columns)
-    source, key = ("embeddings", "vec_id") if op == "op7" else ("conversations", "pair_id") if op == "op2" else ("documents", "doc_id")
+    source, key = ("embeddings", "vec_id") if op in ("op7", "op11") else ("pages", "page_id") if op == "op13" else ("conversations", "pair_id") if op == "op2" else ("documents", "doc_id")
     rows = table(spark, sf_dir, source)
     assert df.count() == (rows.select("conv_id").distinct().count() if op == "op2" else rows.count())
     assert df.select(key).distinct().count() == df.count()

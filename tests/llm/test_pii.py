@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import time
 
 import numpy as np
@@ -66,6 +67,42 @@ def test_looser_kinds():
     assert kinds("mail me [at] home.com or joe[at]web[dot]org") == [("email_words", "me [at] home.com"), ("email_words", "joe[at]web[dot]org")]
 
 
+OLD_EMAIL_WORDS = re.compile(r"[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)* ?[\[(]at[\])] ?[A-Za-z0-9-]+ ?(?:\.|[\[(]dot[\])]) ?[A-Za-z]{2,10}")
+
+
+def test_emails_in_words_equal_one_pattern():
+    rng = random.Random(8)
+    parts = ["a", "b.c", ".", "..", " ", "(at)", "[at]", "(dot)", "[dot]", "web", "org", "-", "_", ",", "x.y.z", "%"]
+    for _ in range(20000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(2, 12)))
+        assert pii.emails_in_words(text) == [(4, *m.span()) for m in OLD_EMAIL_WORDS.finditer(text)], text
+
+
+def test_names_beyond_lists(spark):
+    lines = [f"Dear Zorvan Quillfeather, your order is here. {i}" for i in range(4)] + ["so Zorvan Quillfeather wrote", "Green Garden Hoses are here", "name: Ulka Brandvold"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")
+    names = pii.learn_names(docs)
+    assert [(pii.KINDS[k], lines[4][s:e]) for k, s, e in pii.candidates(lines[4], names)[1]] == [("name", "Zorvan Quillfeather")]
+    assert pii.candidates(lines[4])[1] == [] and pii.candidates(lines[5], names)[1] == [] and kinds(lines[6]) == [("name", "Ulka Brandvold")]
+    span = pii.candidates(lines[4], names)[1][0]
+    assert pii._parts(pii.pattern(lines[4], *span, names))[1][1] == 1 and pii._parts(pii.pattern(lines[4], *span))[1][1] == 2
+    assert pii._parts(pii.pattern(lines[4], *span, names))[1][0] == pii._parts(pii.pattern(lines[4], *span))[1][0] == 1  # the shape alone
+    spread = pii.learn_names(spark.createDataFrame([(1, lines[0]), (1, None), (2, "")], "doc_id long, text string"))
+    assert not spread.any()  # one document isn't enough
+
+
+def test_runs_take_linear_time():
+    for run in ("a", "A", "Ab", "1", ".", "a.", "1.", "+1", "@", "a@", "Mr ", "St", "Rue A", "Dear A", "name", "(at)", "a(at)", "-", "1-", "DE89", "É", " A"):
+        took = []
+        for n in (100_000, 1_000_000):
+            text = "x@y.zz 1.2.3.4 a(at)b.cc " + run * (n // len(run)) + " (at)b.cc +1 555 123 4567"
+            t = time.process_time()
+            pii.candidates(text, np.full(pii.NAME_BITS // 8, 255, np.uint8))
+            pii.introduced(text)
+            took.append(time.process_time() - t)
+        assert took[1] < 30 * took[0] + 0.3, (run, took)
+
+
 def test_looser_spans_overlap_no_base():
     rng = random.Random(6)
     parts = ["123-456-7890", "4111 1111 1111 1111", "+1 743 555 3824", " ", "123-45-6789", "a@b.cd", "Dr. John Smith", ",", "1.2.3.4", "x"]
