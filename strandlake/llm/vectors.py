@@ -4,8 +4,8 @@ Each half of the unit vectors has a codebook of its own; the pairs of codes are
 its distance to them (the sum over both halves) until as many are seen as reach the target recall, and what is in them with the same
 label is verified by cosine in double precision.
 
-The codebooks are trained on a bounded sample; all vectors are indexed and all are queries. The number of cells to visit is measured on the
-sample against brute force: for each sampled vector a partner at exactly the least similarity, the hardest case, is drawn.
+The codebooks are trained on a bounded sample that grows with the number of codes; all vectors are indexed and all are queries. The number of cells to visit is measured on
+other sampled vectors, which the codebooks were not fitted to, against brute force: for each a partner at exactly the least similarity, the hardest case, is drawn.
 
 Equal vectors of a label are one class. Classes meet in tasks of (label, first code), in blocks of bounded size on both sides, so a dense group
 is spread over many tasks; a task returns counts, and a spanning forest in place of all links.
@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from strandlake.llm.common import connected_components, stage, unstage
 
-#: Vectors the codebooks are trained on, at most; passes; share of the hardest pairs that the visited cells hold.
-SAMPLE, PASSES, RECALL = 8192, 12, 0.97
 #: Codes of a half, at most: an eighth of the square root of the number of vectors up to there (some 64 vectors to a cell), which 268 million reach.
-CODES = SAMPLE // 4
+CODES = 2048
+#: Sampled vectors the codebooks are trained on: so many for each code, and at least; those that visits are measured on; passes; share of the hardest pairs that the visited cells hold.
+PER_CODE, LEAST, HELD_OUT, PASSES, RECALL = 40, 4096, 4096, 12, 0.97
 #: Most rows of one block of members, and of visitors.
 MEMBERS, VISITORS = 2048, 4096
 
@@ -33,33 +33,45 @@ def codebook(h: np.ndarray, k: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     c = h[rng.choice(len(h), min(k, len(h)), replace=False)]
     for _ in range(PASSES):
-        near = ((c**2).sum(1) - 2 * h @ c.T).argmin(1)
+        near = np.concatenate([((c**2).sum(1) - 2 * h[at : at + VISITORS] @ c.T).argmin(1) for at in range(0, len(h), VISITORS)])
         n = np.bincount(near, minlength=len(c))
-        total = np.zeros_like(c)
-        np.add.at(total, near, h)
+        total = np.stack([np.bincount(near, column, len(c)) for column in h.T], 1)
         c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
     return c
 
 
+def codes_for(count: int) -> int:
+    """Codes of each half for so many vectors."""
+    return int(min(CODES, max(2, 2 ** np.ceil(np.log2(max(2.0, np.sqrt(count) / 8))))))
+
+
+def sample_rows(count: int) -> int:
+    """Vectors to draw for an index of so many."""
+    return max(LEAST, PER_CODE * codes_for(count)) + HELD_OUT
+
+
 class Index:
-    """Codebooks for two halves, and how many cells a query visits."""
+    """Codebooks for two halves, and how many cells a query visits. Of the sample a part trains the codebooks, the rest (at most HELD_OUT, a third) tells the visits."""
 
     def __init__(self, sample: np.ndarray, count: int, least: float, seed: int = 11):
         x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
         self.half = max(1, x.shape[1] // 2)
-        k = int(min(CODES, max(2, 2 ** np.ceil(np.log2(max(2.0, np.sqrt(count) / 8))))))
-        self.books = [codebook(h, k, seed + i) for i, h in enumerate((x[:, : self.half], x[:, self.half :]))]
-        self.visits = 1
         rng = np.random.default_rng(seed)
-        u = rng.normal(size=x.shape)
-        u -= (u * x).sum(1, keepdims=True) * x
+        held = min(HELD_OUT, len(x) // 3)
+        apart = rng.permutation(len(x))
+        fresh, fitted = (x[apart[:held]] if held else x), x[apart[held:]]
+        self.books = [codebook(h, codes_for(count), seed + i) for i, h in enumerate((fitted[:, : self.half], fitted[:, self.half :]))]
+        u = rng.normal(size=fresh.shape)
+        u -= (u * fresh).sum(1, keepdims=True) * fresh
         u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-300)
-        y = least * x + np.sqrt(1 - least**2) * u
-        a, b = self.distances(x), [d.argmin(1) for d in self.distances(y)]
-        r = np.arange(len(x))
-        own = a[0][r, b[0]] + a[1][r, b[1]]
-        # cells that are nearer than the partner's: for each code of one half, those of the other within what is left
-        rank = [np.searchsorted(np.sort(v), o - u).sum() + 1 for u, v, o in zip(a[0], a[1], own)]
+        rank = []
+        for at in range(0, len(fresh), 1024):
+            v = fresh[at : at + 1024]
+            a, b = self.distances(v), [d.argmin(1) for d in self.distances(least * v + np.sqrt(1 - least**2) * u[at : at + 1024])]
+            r = np.arange(len(v))
+            own = a[0][r, b[0]] + a[1][r, b[1]]
+            # cells that are nearer than the partner's: for each code of one half, those of the other within what is left
+            rank += [np.searchsorted(np.sort(q), o - p).sum() + 1 for p, q, o in zip(a[0], a[1], own)]
         self.visits = int(np.quantile(rank, RECALL, method="higher"))
 
     def distances(self, x: np.ndarray) -> list[np.ndarray]:
@@ -158,10 +170,11 @@ def near_vectors(table: DataFrame, least: float = 0.93) -> DataFrame:
     classes = stage(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "vectors")
     count = classes.count()
     # about twice the sample goes to the sort, so that what tasks send doesn't grow with their number
-    share = min(1.0, 2 * SAMPLE / max(1, count))
+    rows_drawn = sample_rows(count)
+    share = min(1.0, 2 * rows_drawn / max(1, count))
     drawn = classes.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
-    sample = drawn.select("embedding").orderBy(F.xxhash64("id", "label"), "id").limit(SAMPLE).collect()
-    index = Index(np.array([r.embedding for r in sample], np.float64), count, least)
+    sample = drawn.select("embedding").orderBy(F.xxhash64("id", "label"), "id").limit(rows_drawn).toArrow().column("embedding").combine_chunks()
+    index = Index(sample.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sample), -1), count, least)
     width = len(index.books[1])
 
     def place(batches):

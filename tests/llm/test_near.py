@@ -138,3 +138,25 @@ def test_links_at_exactly_the_threshold_are_found(spark, monkeypatch, short_list
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = minhash.near_duplicates(docs, words=4).collect()
     assert all(r.component_id == r.doc_id // group * group for r in got) and sum(not r.kept for r in got) == links
+
+
+@pytest.mark.parametrize("k", [32, 256, 1024, 2048])
+def test_recall_of_vectors_that_codebooks_were_not_fitted_to(monkeypatch, k):
+    """Partners at exactly the least similarity of fresh vectors, for an index of as many vectors as have k codes; a pair is found from either side."""
+    monkeypatch.setattr(vectors, "PASSES", 3)
+    rng = np.random.default_rng(k)
+    count, centres = (8 * k) ** 2, rng.normal(size=(300, 32))
+    assert vectors.codes_for(count) == k
+
+    def drawn(n):
+        return np.concatenate([rng.normal(size=(n // 2, 32)), centres[rng.integers(0, 300, n - n // 2)] + 0.5 * rng.normal(size=(n - n // 2, 32))])
+
+    index = vectors.Index(drawn(vectors.sample_rows(count)), count, 0.93)
+    x = drawn(800)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u = rng.normal(size=x.shape)
+    u -= (u * x).sum(1, keepdims=True) * x
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * u / np.linalg.norm(u, axis=1, keepdims=True)
+    (own, seen), (other, theirs) = index.cells(x), index.cells(y)
+    met = (seen == other[:, None]).any(1) | (theirs == own[:, None]).any(1)
+    assert met.mean() >= 0.95
