@@ -19,6 +19,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from strandlake.llm.common import stage, unstage
 #: Text of a slice at most, if it has more than one document; rows of it.
 SLICE_BYTES, SLICE_ROWS = 4 << 20, 4096
 #: Units that a worker remembers, and the longest that it does; bytes of new units that are encoded at once.
-MEMO, LONGEST, BATCH = 1 << 17, 64, 1 << 14
+MEMO, LONGEST, BATCH = 1 << 17, 64, 1 << 15
 CUT = re.compile(r"(?<=\S) (?=\S)")
 MARK = "▁"
 _BITS = 32
@@ -43,43 +44,30 @@ def byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
-def links(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Indexes of all pairs of a slice whose byte ranges overlap; a and b are cumulative ends that begin at one place and end at one place."""
-    i = j = 0
-    out = []
-    while i < len(a) and j < len(b):
-        out.append((i, j))
-        if a[i] < b[j]:
-            i += 1
-        elif b[j] < a[i]:
-            j += 1
-        else:
-            i, j = i + 1, j + 1
-    return out
+def groups(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+    """How many tokens of each list end at or before each end that both share, in order: where slices of both lists are cut."""
+    at_a, at_b = dict(zip(a, range(1, len(a) + 1))), dict(zip(b, range(1, len(b) + 1)))
+    shared = sorted(at_a.keys() & at_b.keys())
+    return list(map(at_a.__getitem__, shared)), list(map(at_b.__getitem__, shared))
 
 
-def groups(a: list[int], b: list[int]) -> Iterator[tuple[slice, slice]]:
-    """Slices of both lists of cumulative ends between the ends that they share."""
-    at_a, at_b = {e: i for i, e in enumerate(a)}, {e: i for i, e in enumerate(b)}
-    x = y = 0
-    for end in sorted(at_a.keys() & at_b.keys()):
-        u, v = at_a[end] + 1, at_b[end] + 1
-        yield slice(x, u), slice(y, v)
-        x, y = u, v
+def links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indexes of all pairs of tokens whose byte ranges overlap, and where each overlap ends; a and b are cumulative ends.
 
+    Within a slice every end of either list closes one overlap: of the tokens that cover the byte before it.
+    """
+    ends = np.union1d(a, b)
+    return np.searchsorted(a, ends), np.searchsorted(b, ends), ends
 
-class Unit:
-    """Groups of a unit as text, numbers of tokens and groups, and the linked ids (first id << 32 | second id, one for each link); text None: no alignment."""
 
-    __slots__ = ("text", "n_a", "n_b", "n_groups", "pairs")
+class Unit(NamedTuple):
+    """Groups of a unit as text, numbers of tokens and groups, and the linked ids (first id << 32 | second id, one for each link)."""
 
-    def __init__(self, a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]):
-        parts, pairs = [], []
-        for x, y in groups(ends_a, ends_b):
-            p, q = a[x], b[y]
-            parts.append(f"{','.join(map(str, p))}|{','.join(map(str, q))}")
-            pairs += [p[i] << _BITS | q[j] for i, j in links(ends_a[x], ends_b[y])] if len(p) > 1 and len(q) > 1 else [i << _BITS | j for i in p for j in q]
-        self.text, self.n_a, self.n_b, self.n_groups, self.pairs = ";".join(parts), len(a), len(b), len(parts), np.array(pairs, np.int64)
+    text: str
+    n_a: int
+    n_b: int
+    n_groups: int
+    pairs: np.ndarray
 
 
 class Pair:
@@ -94,63 +82,82 @@ class Pair:
         self.a.encode_special_tokens = True
         letters = byte_of_letter()
         self.bytes_a = [bytes(letters[c] for c in self.a.id_to_token(i)) if all(c in letters for c in self.a.id_to_token(i) or "") else b"" for i in range(self.a.get_vocab_size())]
-        n = self.b.get_piece_size()
-        names = [self.b.id_to_piece(i) for i in range(n)]
+        names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in names):
             raise ValueError("a vocabulary with pieces across spaces")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(names)]
         self.length_a, self.length_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
+        # an id and what comes after it in the text of groups
+        self.written = [f"{i}{mark}" for i in range(max(len(self.bytes_a), len(self.bytes_b))) for mark in ",|;"]
         self.known: dict[str, Unit | None] = {}
 
-    def _ids(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a text that begins with a space, by both."""
-        return np.array(self.a.encode(text, add_special_tokens=False).ids, np.int64), np.array(self.b.encode(text[1:]), np.int64)
-
-    def _unit(self, raw: bytes, a: np.ndarray, b: np.ndarray) -> Unit | None:
-        ids_a, ids_b = a.tolist(), b.tolist()
-        if b"".join(map(self.bytes_a.__getitem__, ids_a)) != raw or b"".join(map(self.bytes_b.__getitem__, ids_b)) != raw:
+    def _aligned(self, raw: bytes, stops: np.ndarray) -> list[Unit] | None:
+        """Units of bytes that begin with a space, cut where stops (the last is their length) tell; None if tokens of either vocabulary don't give the bytes back, or cross a stop."""
+        text = raw.decode()
+        a, b = np.array(self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64), np.array(self.b.encode(text[1:]), np.int64)
+        if b"".join(map(self.bytes_a.__getitem__, a.tolist())) != raw or b"".join(map(self.bytes_b.__getitem__, b.tolist())) != raw:
             return None
-        return Unit(ids_a, ids_b, self.length_a[a].cumsum().tolist(), self.length_b[b].cumsum().tolist())
+        ends_a, ends_b = self.length_a[a].cumsum(), self.length_b[b].cumsum()
+        to_a, to_b = (np.array(x, np.int64) for x in groups(ends_a.tolist(), ends_b.tolist()))
+        last = np.searchsorted(ends_a[to_a - 1], stops)  # the group that ends at each stop
+        if (ends_a[to_a[last] - 1] != stops).any():
+            return None
+        # groups as text: first ids of a group, then second ids; each has its place among all
+        group_a, group_b = np.searchsorted(to_a, np.arange(len(a)), side="right"), np.searchsorted(to_b, np.arange(len(b)), side="right")
+        before_b = np.concatenate([[0], to_b[:-1]])
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + before_b[group_a]] = 3 * a
+        order[to_a - 1 + before_b] += 1
+        order[np.arange(len(b)) + to_a[group_b]] = 3 * b
+        order[to_a + to_b - 1] += 2
+        words = list(map(self.written.__getitem__, order.tolist()))
+        x, y, closed = links(ends_a, ends_b)
+        pairs = a[x] << _BITS | b[y]
+        cut = np.searchsorted(closed, stops, side="right").tolist()
+        up_a, up_b, up_g = to_a[last].tolist(), to_b[last].tolist(), (last + 1).tolist()
+        out, p, q, g, k = [], 0, 0, 0, 0
+        for u, v, h, c in zip(up_a, up_b, up_g, cut):
+            out.append(Unit("".join(words[p + q : u + v])[:-1], u - p, v - q, h - g, pairs[k:c]))
+            p, q, g, k = u, v, h, c
+        return out
 
     def _alone(self, word: str) -> Unit | None:
-        return self._unit(f" {word}".encode(), *self._ids(f" {word}"))
+        raw = f" {word}".encode()
+        return (self._aligned(raw, np.array([len(raw)])) or [None])[0]
 
     def _learn(self, words: list[str]) -> list[Unit | None]:
         """Units of words (each without the space that comes before it): those without white space at their ends together, all others one by one."""
-        out: dict[int, Unit | None] = {}
-        plain = []
+        out: list[Unit | None] = [None] * len(words)
+        part: list[int] = []
+        size = 0
         for i, w in enumerate(words):
-            if w and not w[0].isspace() and not w[-1].isspace() and MARK not in w:
-                plain.append(i)
-            else:
+            if not w or w[0].isspace() or w[-1].isspace() or MARK in w:
                 out[i] = self._alone(w)
-        at = 0
-        while at < len(plain):
-            part, size = [], 0
-            while at < len(plain) and (not part or size < BATCH):
-                part.append((plain[at], f" {words[plain[at]]}".encode()))
-                size += len(part[-1][1])
-                at += 1
-            a, b = self._ids(b"".join(raw for _, raw in part).decode())
-            stops = np.cumsum([len(raw) for _, raw in part])
-            ends = [self.length_a[a].cumsum(), self.length_b[b].cumsum()]
-            cuts = [np.searchsorted(e, stops) + 1 for e in ends]
-            fits = all(len(e) and len(e) >= c[-1] and (e[c - 1] == stops).all() for e, c in zip(ends, cuts))
-            before = [np.concatenate([[0], c[:-1]]) for c in cuts]
-            for k, (i, raw) in enumerate(part):
-                out[i] = self._unit(raw, a[before[0][k] : cuts[0][k]], b[before[1][k] : cuts[1][k]]) if fits else self._alone(words[i])
-        return [out[i] for i in range(len(words))]
-
-    def units(self, words: list[str]) -> list[Unit | None]:
-        """The unit of each of words; short ones are remembered while there is room."""
-        unique = dict.fromkeys(words)
-        new = [w for w in unique if w not in self.known]
-        unique.update((w, self.known[w]) for w in unique.keys() - set(new))
-        for w, u in zip(new, self._learn(new)):
-            unique[w] = u
-            if len(w) <= LONGEST and len(self.known) < MEMO:
-                self.known[w] = u
-        return list(map(unique.__getitem__, words))
+                continue
+            part.append(i)
+            size += len(w)
+            if size >= BATCH:
+                self._together(words, part, out)
+                part, size = [], 0
+        if part:
+            self._together(words, part, out)
+        return out
+
+    def _together(self, words: list[str], part: list[int], out: list[Unit | None]) -> None:
+        raw = [f" {words[i]}".encode() for i in part]
+        made = self._aligned(b"".join(raw), np.cumsum([len(r) for r in raw])) or [self._alone(words[i]) for i in part]
+        for i, u in zip(part, made):
+            out[i] = u
+
+    def units(self, unique: list[str]) -> list[Unit | None]:
+        """The unit of each of different words; short ones are remembered while there is room."""
+        out = list(map(self.known.get, unique))
+        new = [i for i, u in enumerate(out) if u is None and unique[i] not in self.known]
+        for i, u in zip(new, self._learn([unique[i] for i in new])):
+            out[i] = u
+            if len(unique[i]) <= LONGEST and len(self.known) < MEMO:
+                self.known[unique[i]] = u and u._replace(pairs=u.pairs.copy())
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -159,6 +166,12 @@ def pair(byte_level: str, pieces: str) -> Pair:
     return Pair(byte_level, pieces)
 
 
+def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for each start and length."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def _aligned(p: Pair, texts: list[str | None]) -> tuple[dict[str, list], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a slice: columns by document; distinct pairs, number of documents with each; and by document the end, places of its pairs among them, and how often."""
     words, ends = [], []
@@ -166,25 +179,36 @@ def _aligned(p: Pair, texts: list[str | None]) -> tuple[dict[str, list], np.ndar
         if t:
             words += CUT.split(t)
         ends.append(len(words))
-    units = p.units(words)
-    cols: dict[str, list] = {c: [] for c in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")}
-    which: list[np.ndarray] = []
-    start = 0
-    for end in ends:
-        mine = units[start:end]
+    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    units = p.units(list(number))
+    which = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    fine = np.array([u is not None for u in units], bool)
+    none = Unit("", 0, 0, 0, np.zeros(0, np.int64))
+    units = [u or none for u in units]
+    of_doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    kept = np.bincount(of_doc, minlength=len(ends)) > 0  # documents with tokens
+    kept[of_doc[~fine[which]]] = False
+    many = np.array([len(u.pairs) for u in units], np.int64)
+    distinct, place = np.unique(np.concatenate([u.pairs for u in units]) if units else np.zeros(0, np.int64), return_inverse=True)
+    counted = kept[of_doc]
+    which_kept, doc_kept = which[counted], of_doc[counted]
+    sums = [np.bincount(doc_kept, np.array(v, np.int64)[which_kept], len(ends)).astype(np.int64) if units else np.zeros(len(ends), np.int64) for v in ([u.n_a for u in units], [u.n_b for u in units], [u.n_groups for u in units], many)]
+    cols: dict[str, list] = dict(zip(("n_a", "n_b", "n_groups", "n_links"), (v.tolist() for v in sums)))
+    texts_of, sha, start = [u.text for u in units], [], 0
+    for end, fits in zip(ends, kept.tolist()):
+        sha.append(hashlib.sha256(";".join([texts_of[i] for i in which[start:end].tolist()]).encode()).hexdigest() if fits else "")
         start = end
-        fine = bool(mine) and None not in mine
-        mine = mine if fine else []
-        mine_pairs = np.concatenate([u.pairs for u in mine]) if fine else np.zeros(0, np.int64)
-        which.append(mine_pairs)
-        for c, v in zip(cols, (sum(u.n_a for u in mine), sum(u.n_b for u in mine), sum(u.n_groups for u in mine), len(mine_pairs))):
-            cols[c].append(v)
-        cols["groups_sha256"].append(hashlib.sha256(";".join([u.text for u in mine]).encode()).hexdigest() if fine else "")
-    distinct, place = np.unique(np.concatenate(which) if which else np.zeros(0, np.int64), return_inverse=True)
-    doc = np.repeat(np.arange(len(which)), [len(w) for w in which])
-    both, often = np.unique(doc * max(1, len(distinct)) + place, return_counts=True)
-    doc, place = both // max(1, len(distinct)), both % max(1, len(distinct))
-    return cols, distinct, np.bincount(place, minlength=len(distinct)), np.searchsorted(doc, np.arange(len(which)), side="right"), place, often
+    cols["groups_sha256"] = sha
+    size = max(1, len(distinct))
+    lengths = many[which_kept]
+    keys = np.repeat(doc_kept, lengths) * size + place[_runs((np.cumsum(many) - many)[which_kept], lengths)]
+    both, often = np.unique(keys, return_counts=True)
+    doc, place = both // size, both % size
+    docs = np.bincount(place, minlength=len(distinct))
+    if (docs == 0).any():  # pairs of documents that have no alignment only
+        left = np.flatnonzero(docs)
+        distinct, docs, place = distinct[left], docs[left], np.searchsorted(left, place)
+    return cols, distinct, docs, np.searchsorted(doc, np.arange(len(ends)), side="right"), place, often
 
 
 _DOC = ("doc_id", "n_a", "n_b", "n_groups", "n_links")
