@@ -38,6 +38,18 @@ def mutate(reads: DataFrame, sub: float, ins: float, dele: float, seed: int) ->
     return reads.withColumn("read", F.array_join(F.transform(F.sequence(F.lit(1), F.length("strand")), piece), ""))
 
 
+def edits(reads: DataFrame, sub: float, ins: float, dele: float, seed: int) -> DataFrame:
+    """(strand_id, read_no, tag, src_pos, dest_pos, letter) of what the channel does to the strand of each of reads (strand_id, read_no, strand); a quarter of the insertions are of two letters."""
+    u, v = (uniform(F.col("strand_id"), F.col("read_no"), F.col("i"), *more, seed) for more in ((), ("base",)))
+    sites = reads.select("strand_id", "read_no", "strand", F.explode(F.sequence(F.lit(1), F.length("strand"))).alias("i")).withColumn("u", u).where(F.col("u") < sub + ins + dele).withColumn("v", v)
+    base = lambda x: F.substring(F.lit(BASES), (F.floor(x * 4) + 1).cast("int"), F.lit(1))
+    other = F.substring(F.lit(BASES), ((F.instr(F.lit(BASES), F.substring("strand", F.col("i"), F.lit(1))) + F.floor(F.col("v") * 3)) % 4 + 1).cast("int"), F.lit(1))
+    edit = lambda tag, more, letter: F.struct(F.lit(tag).alias("tag"), (F.col("i") - 1 + more).alias("dest_pos"), letter.alias("letter"))
+    first, second = edit("insert", 0, base(F.col("v"))), edit("insert", 1, base(F.col("v") * 4))
+    made = F.when(F.col("u") < dele, F.array(edit("delete", 0, F.lit(None).cast("string")))).when(F.col("u") >= dele + ins, F.array(edit("replace", 0, other))).when(F.col("v") < 0.25, F.array(first, second)).otherwise(F.array(first))
+    return sites.select("strand_id", "read_no", (F.col("i") - 1).alias("src_pos"), F.explode(made).alias("e")).select("strand_id", "read_no", "e.tag", "src_pos", "e.dest_pos", "e.letter")
+
+
 def misassigned(reads: DataFrame, strands: DataFrame, rate: float, seed: int) -> DataFrame:
     """reads with the strand that each is read from: for a share of them another strand of the same key space (0 to n - 1)."""
     n = strands.agg(F.count("*").alias("n"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from strandlake.functions.strands import BASES
+from strandlake.operators.editing import edit_operations, edit_script  # noqa: F401  the script of one pair, beside its rows
+from strandlake.sources.scratch import discard, written
 
 
 def votes(reads: DataFrame) -> DataFrame:
@@ -45,124 +45,125 @@ def medoids(reads: DataFrame, length: int | DataFrame) -> DataFrame:
     return d.groupBy("strand_id").agg(best).select("strand_id", "b.read_no", "b.read")
 
 
-def edit_script(a: str, b: str) -> list[tuple[str, int, int]]:
-    """Fewest edits from a to b as (tag, place in a, place in b). Ties: a match or replacement before a deletion before an insertion, from the ends back."""
-    n, m = len(a), len(b)
-    cost = np.zeros((n + 1, m + 1), np.int32)
-    cost[:, 0], cost[0] = np.arange(n + 1), np.arange(m + 1)
-    y = np.frombuffer(b.encode("utf-32-le"), np.uint32)
-    steps = np.arange(m + 1)
-    for i, c in enumerate(a, 1):
-        row = np.minimum(cost[i - 1, 1:] + 1, cost[i - 1, :-1] + (y != ord(c)))
-        cost[i, 1:] = row
-        cost[i] = np.minimum.accumulate(cost[i] - steps) + steps  # insertions run along the row
-    out, i, j = [], n, m
-    while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
-            i, j = i - 1, j - 1
-            if a[i] != b[j]:
-                out.append(("replace", i, j))
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
-            i -= 1
-            out.append(("delete", i, j))
-        else:
-            j -= 1
-            out.append(("insert", i, j))
-    return out[::-1]
-
-
-def edit_operations(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """pairs with a row for each edit (tag, src_pos, dest_pos) from column a to column b; equal pairs have none, nulls count as empty."""
-    schema = T.StructType([*pairs.schema.fields, T.StructField("tag", T.StringType()), T.StructField("src_pos", T.IntegerType()), T.StructField("dest_pos", T.IntegerType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, tags, src, dest = [], [], [], []
-            for i, (x, y) in enumerate(zip(batch.column(a).to_pylist(), batch.column(b).to_pylist())):
-                for tag, s, d in edit_script(x or "", y or ""):
-                    row.append(i)
-                    tags.append(tag)
-                    src.append(s)
-                    dest.append(d)
-            kept = batch.take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(tags, pa.string()), pa.array(src, pa.int32()), pa.array(dest, pa.int32())], names=[*batch.schema.names, "tag", "src_pos", "dest_pos"])
-
-    return pairs.mapInArrow(run, schema)
-
-
-def _aligned_votes(draft: str, reads: list[str]) -> tuple[list[Counter], list[Counter]]:
-    """Votes on each position of the draft (a base or "-"), and on what to insert before each."""
-    at = [Counter() for _ in draft]
-    before = [Counter() for _ in range(len(draft) + 1)]
-    for r in reads:
-        said = list(draft)
-        for tag, s, d in edit_script(draft, r):
-            if tag == "replace":
-                said[s] = r[d]
-            elif tag == "delete":
-                said[s] = "-"
-            else:
-                before[s][r[d]] += 1
-        for i, c in enumerate(said):
-            at[i][c] += 1
-    return at, before
-
-
-def reconstruct(reads: list[str], length: int, rounds: int = 3, most: int = 16, draft: str | None = None) -> str | None:
-    """Consensus of reads: the draft (by default their medoid), voted on until it stays as it is, then brought to the designed length. No reads: None."""
-    if not reads:
-        return None
-    if len(reads) > most:
-        reads = [reads[round(i * (len(reads) - 1) / (most - 1))] for i in range(most)]
-    total = [0] * len(reads)
-    if len(reads) > 2 and draft is None:
-        for i in range(len(reads)):
-            for j in range(i):
-                d = len(edit_script(reads[i], reads[j]))
-                total[i] += d
-                total[j] += d
-    draft = draft if draft is not None else reads[min(range(len(reads)), key=lambda i: (total[i], abs(len(reads[i]) - length), i))]
-    at, before = _aligned_votes(draft, reads)
-    for _ in range(rounds):
-        out = []
-        for i, c in enumerate(draft):
-            if before[i].total() * 2 > len(reads):
-                out.append(before[i].most_common(1)[0][0])
-            base = max("ACGT", key=lambda b: (at[i][b], b == c))  # a tie keeps the draft
-            if at[i]["-"] <= at[i][base]:
-                out.append(base)
-        if before[len(draft)].total() * 2 > len(reads):
-            out.append(before[len(draft)].most_common(1)[0][0])
-        new = "".join(out)
-        if new == draft:
-            break
-        draft = new
-        at, before = _aligned_votes(draft, reads)
-    if len(draft) > length:
-        gone = set(sorted(range(len(draft)), key=lambda i: (-at[i]["-"], i))[: len(draft) - length])
-        draft = "".join(c for i, c in enumerate(draft) if i not in gone)
-    elif len(draft) < length:
-        gaps = sorted((i for i in range(len(draft) + 1) if before[i]), key=lambda i: (-before[i].total(), i))[: length - len(draft)]
-        draft = "".join((before[i].most_common(1)[0][0] if i in gaps else "") + draft[i : i + 1] for i in range(len(draft) + 1))
-    return draft.ljust(length, "A")
+def vote_table(drafts: DataFrame, ops: DataFrame) -> DataFrame:
+    """(strand_id, pos, gap, symbol, n): what reads say of every place and gap of their draft.
+
+    drafts (strand_id, draft, n_reads), ops (strand_id, read_no, tag, src_pos, dest_pos, letter) from drafts to reads. Places have gap false and votes for A, C, G, T or - (the read lacks
+    it); a read without an edit there votes for the draft's letter. Gap pos stands before place pos (the last after the end) and has gap true and, for each read with more letters
+    there, a vote for the first of them. Symbols without votes have no row.
+    """
+    said = _said(ops)
+    away = said.where("not gap").groupBy("strand_id", "pos").agg(F.sum("n").alias("away"))
+    places = drafts.select("strand_id", "n_reads", F.posexplode(F.split("draft", "")).alias("pos", "symbol")).where("symbol <> ''")
+    stay = places.join(away, ["strand_id", "pos"], "left").select("strand_id", "pos", F.lit(False).alias("gap"), "symbol", (F.col("n_reads") - F.coalesce("away", F.lit(0))).cast("long").alias("n"))
+    return stay.where("n > 0").unionByName(said)
+
+
+def _said(ops: DataFrame) -> DataFrame:
+    """(strand_id, pos, gap, symbol, n): the votes that edits are; of the letters that a read has more in one gap the first."""
+    letter = F.when(F.col("tag") == "delete", F.lit("-")).otherwise(F.col("letter"))
+    each = ops.groupBy("strand_id", "read_no", F.col("src_pos").cast("int").alias("pos"), (F.col("tag") == "insert").alias("gap")).agg(F.min_by(letter, "dest_pos").alias("symbol"))
+    return each.groupBy("strand_id", "pos", "gap", "symbol").agg(F.count("*").alias("n"))
+
+
+def _cells(drafts: DataFrame, ops: DataFrame) -> DataFrame:
+    """(strand_id, pos, n_A, ..., n_del, i_A, ...), a row for each place or gap of drafts with edits, and the draft's own letter with its votes among them."""
+    count = lambda gap, s: F.coalesce(F.sum(F.when((F.col("gap") == gap) & (F.col("symbol") == s), F.col("n"))), F.lit(0))
+    votes_ = _said(ops).groupBy("strand_id", "pos").agg(*(count(False, s).alias(f"n_{s}") for s in BASES), count(False, "-").alias("n_del"), *(count(True, s).alias(f"i_{s}") for s in BASES))
+    cells = votes_.join(drafts.select("strand_id", "draft", "n_reads"), "strand_id").withColumn("own", F.substring("draft", F.col("pos") + 1, F.lit(1)))
+    stay = F.col("n_reads") - sum((F.col(f"n_{s}") for s in BASES), F.col("n_del"))
+    return cells.select("strand_id", "pos", "own", "n_reads", *((F.col(f"n_{s}") + F.when(F.col("own") == s, stay).otherwise(0)).alias(f"n_{s}") for s in BASES), "n_del", *(f"i_{s}" for s in BASES))
 
 
-def decode(strands: DataFrame, reads: DataFrame, most: int = 16) -> DataFrame:
-    """(strand_id, decoded, n_reads) for every one of strands (strand_id, length as designed); decoded is null where no read came.
+def _most(prefix: str, first: Column | None = None) -> Column:
+    """The letter with most votes; ties go to first where it is one of them, else by letter."""
+    top = F.greatest(*(F.col(f"{prefix}{s}") for s in BASES))
+    out = F.when(F.coalesce(F.element_at(F.create_map(*(x for s in BASES for x in (F.lit(s), F.col(f"{prefix}{s}")))), first) == top, F.lit(False)), first) if first is not None else F.when(F.lit(False), "")
+    for s in BASES:
+        out = out.when(F.col(f"{prefix}{s}") == top, s)
+    return out
 
-    Only the reads that the consensus takes go to a strand's row: they are chosen before they are gathered, evenly spaced in their order.
+
+def rebuilt(drafts: DataFrame, ops: DataFrame) -> DataFrame:
+    """(strand_id, rebuilt) of drafts that edits of their reads change.
+
+    A place takes the letter with most votes (a tie keeps the draft's) and goes if more reads lack it than have that letter; a gap takes its most frequent first letter if more than half
+    of the reads have letters there.
     """
-    r = evenly(reads.select("strand_id", "read_no", "read"), most)
-    g = r.groupBy("strand_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "read"))), lambda x: x.read).alias("reads"), F.max("n").alias("n_reads"))
-    drafts = medoids(r, strands).select("strand_id", F.col("read").alias("draft"))
-    g = strands.select("strand_id", "length").join(g, "strand_id", "left").join(drafts, "strand_id", "left")
+    best = F.greatest(*(F.col(f"n_{s}") for s in BASES))
+    place = F.when(F.col("own") == "", "").when(F.col("n_del") > best, "").otherwise(_most("n_", F.col("own")))
+    more = F.when(2 * sum((F.col(f"i_{s}") for s in BASES), F.lit(0)) > F.col("n_reads"), _most("i_")).otherwise("")
+    cells = _cells(drafts, ops).select("strand_id", "pos", F.concat(more, place).alias("now"), "own").where(F.col("now") != F.col("own"))
+    changes = cells.groupBy("strand_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "now"))).alias("changes"))
+    letters = F.transform(F.sequence(F.lit(0), F.length("draft")), lambda i: F.coalesce(F.element_at("changes", i), F.substring("draft", i + 1, F.lit(1))))
+    return changes.join(drafts.select("strand_id", "draft"), "strand_id").select("strand_id", F.array_join(letters, "").alias("rebuilt"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [reconstruct(x or [], n, draft=d) for x, n, d in zip(*(b.column(c).to_pylist() for c in ("reads", "length", "draft")))]
-            yield pa.RecordBatch.from_arrays([b.column("strand_id"), pa.array(out, pa.string()), pa.array([n or 0 for n in b.column("n_reads").to_pylist()], pa.int64())], names=["strand_id", "decoded", "n_reads"])
 
-    return g.select(F.col("strand_id").cast("long"), "length", "reads", "n_reads", "draft").mapInArrow(run, "strand_id long, decoded string, n_reads long")
+def fixed_lengths(drafts: DataFrame, ops: DataFrame) -> DataFrame:
+    """(strand_id, fixed) of drafts (strand_id, draft, n_reads, length) that aren't as long as designed, by the votes of ops.
+
+    Too long: the places that most reads lack go (then those with the least support, then the last). Too short: the gaps in which most reads have letters take their most frequent
+    first letter (A where none has one; then the last gap), and the rest is filled with A. A row for each place of such a draft, which is as long as a strand.
+    """
+    off = drafts.where(F.length("draft") != F.col("length"))
+    cells = _cells(off, ops).drop("own", "n_reads").withColumn("inserted", _most("i_"))
+    counts = [f"{p}{s}" for p in ("n_", "i_") for s in BASES] + ["n_del"]
+    at = off.withColumn("pos", F.explode(F.sequence(F.lit(0), F.length("draft")))).join(cells, ["strand_id", "pos"], "left").fillna(0, counts)
+    own = F.substring("draft", F.col("pos") + 1, F.lit(1))
+    edited = F.col("inserted").isNotNull()
+    support = F.when(edited, F.greatest(*(F.col(f"n_{s}") for s in BASES))).otherwise(F.col("n_reads"))
+    long_ = F.length("draft") > F.col("length")
+    over = F.abs(F.length("draft") - F.col("length"))
+    rank = F.row_number().over(Window.partitionBy("strand_id").orderBy(F.when(long_, -F.col("n_del")).otherwise(-(F.col("i_A") + F.col("i_C") + F.col("i_G") + F.col("i_T"))), F.when(long_, F.when(own == "", F.lit(1 << 40)).otherwise(support)).otherwise(0), F.desc("pos")))
+    piece = F.when(long_, F.when((rank <= over) & (own != ""), "").otherwise(own)).otherwise(F.concat(F.when(rank <= over, F.coalesce("inserted", F.lit("A"))).otherwise(""), own))
+    pieces = at.select("strand_id", "length", "pos", piece.alias("piece"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x.piece), "")
+    whole = pieces.groupBy("strand_id").agg(joined.alias("s"), F.first("length").alias("length"))
+    return whole.select("strand_id", F.rpad("s", F.col("length"), F.lit("A")).alias("fixed"))
+
+
+def _edits(drafts: DataFrame, reads: DataFrame) -> DataFrame:
+    """Edits from drafts to those of their reads that differ from them, with the letter each brings."""
+    pairs = drafts.select("strand_id", "draft").join(reads.select("strand_id", "read_no", "read"), "strand_id").where("draft <> read")
+    letter = F.when(F.col("tag") != "delete", F.substring("read", F.col("dest_pos") + 1, F.lit(1)))
+    return edit_operations(pairs, "draft", "read").select("strand_id", "read_no", "tag", "src_pos", "dest_pos", letter.alias("letter"))
+
+
+def decode(strands: DataFrame, reads: DataFrame, rounds: int = 3, most: int = 16) -> DataFrame:
+    """(strand_id, decoded, n_reads) for every one of strands (strand_id, length as designed); decoded is null where no read came. A staged table.
+
+    Of each strand's reads at most so many, evenly spaced in their order, take part. The draft is their medoid; each round aligns the reads to it and rebuilds it by votes. Only
+    strands whose draft a round has changed enter the next one; tables between rounds are written to the shared folder. What is settled is brought to its length by its last votes.
+    """
+    r = written(evenly(reads.select("strand_id", "read_no", "read"), most).select(F.col("strand_id").cast("long"), "read_no", "read", "n"), "reads")
+    counts = r.groupBy("strand_id").agg(F.max("n").alias("n_reads"), F.count("*").alias("used"))
+    lengths = strands.select(F.col("strand_id").cast("long"), "length")
+    first = medoids(r, lengths).join(counts, "strand_id").join(lengths, "strand_id")
+    active = written(first.select("strand_id", F.col("read").alias("draft"), F.col("used").alias("n_reads"), "length"), "drafts")
+    tables, settled, last = [r, active], [], []
+    for k in range(rounds + 1):
+        wanted = active if k < rounds else active.where(F.length("draft") != F.col("length"))  # votes of a last draft are for its length only
+        ops = written(_edits(wanted, r), "edits")
+        tables.append(ops)
+        if k == rounds:
+            settled.append(active)
+            last.append(ops)
+            break
+        after = written(active.join(rebuilt(active, ops), "strand_id", "left").withColumn("changed", F.coalesce(F.col("rebuilt") != F.col("draft"), F.lit(False))), "rebuilt")
+        tables.append(after)
+        done = after.where("not changed").drop("rebuilt", "changed")
+        settled.append(done)
+        last.append(ops.join(done.where(F.length("draft") != F.col("length")).select("strand_id"), "strand_id", "left_semi"))
+        active = after.where("changed").select("strand_id", F.col("rebuilt").alias("draft"), "n_reads", "length")
+        if active.isEmpty():
+            break
+    drafts, ops = reduce(DataFrame.union, settled), reduce(DataFrame.unionByName, last)
+    final = drafts.join(fixed_lengths(drafts, ops), "strand_id", "left").select("strand_id", F.coalesce("fixed", "draft").alias("decoded"))
+    out = lengths.select("strand_id").join(final, "strand_id", "left").join(counts.select("strand_id", F.col("n_reads").cast("long").alias("n_reads")), "strand_id", "left")
+    out = written(out.select("strand_id", "decoded", F.coalesce("n_reads", F.lit(0)).cast("long").alias("n_reads")), "decoded")
+    for t in tables:
+        discard(t)
+    return out
 
 
 def evaluate(decoded: DataFrame, by: list[str]) -> DataFrame:

@@ -102,6 +102,53 @@ def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.plurality(C.votes(r), r.groupBy("strand_id").agg(F.min_by("read", "read_no").alias("draft")))
 
 
+_SUB, _INS, _DEL = 0.1, 0.2, 0.2
+_EDITED = f"""{SQL_READS}, sites AS (SELECT strand_id, read_no, i, substr(strand, i, 1) AS b, {_u("strand_id", "read_no", "i", "7")} AS u, {_u("strand_id", "read_no", "i", "'base'", "7")} AS v
+FROM (SELECT *, unnest(range(1, length(strand) + 1)) AS i FROM reads)),
+ops AS (SELECT strand_id, read_no, CASE WHEN u < {_DEL} THEN 'delete' WHEN u < {_DEL} + {_INS} THEN 'insert' ELSE 'replace' END AS tag, i - 1 AS pos, i - 1 AS dest,
+CASE WHEN u < {_DEL} THEN '-' WHEN u < {_DEL} + {_INS} THEN substr('ACGT', floor(v * 4)::INT + 1, 1) ELSE substr('ACGT', (strpos('ACGT', b) + floor(v * 3)::INT) % 4 + 1, 1) END AS letter FROM sites WHERE u < {_DEL} + {_INS} + {_SUB}
+UNION ALL SELECT strand_id, read_no, 'insert', i - 1, i, substr('ACGT', floor(v * 16)::INT + 1, 1) FROM sites WHERE u >= {_DEL} AND u < {_DEL} + {_INS} AND v < 0.25),
+drafts AS (SELECT strand_id, any_value(strand) AS draft, count(*) AS n_reads FROM reads GROUP BY 1),
+said AS (SELECT strand_id, pos, gap, symbol, count(*) AS n FROM (SELECT strand_id, read_no, pos, tag = 'insert' AS gap, arg_min(letter, dest) AS symbol FROM ops GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3, 4),
+stay AS (SELECT p.strand_id, p.pos, substr(p.draft, p.pos::INT + 1, 1) AS symbol, n_reads - coalesce(away, 0) AS n FROM (SELECT *, unnest(range(length(draft))) AS pos FROM drafts) p LEFT JOIN (SELECT strand_id, pos, sum(n) AS away FROM said WHERE NOT gap GROUP BY 1, 2) a ON a.strand_id = p.strand_id AND a.pos = p.pos)"""
+_ALL_VOTES = f"{_EDITED}, votes AS (SELECT strand_id, pos, false AS gap, symbol, n FROM stay WHERE n > 0 UNION ALL SELECT * FROM said)"
+_LETTERS = ", ".join(f"coalesce(sum(n) FILTER (symbol = '{s}' AND {'' if g else 'NOT '}gap), 0) AS {'i' if g else 'n'}_{s}" for g in (False, True) for s in "ACGT")
+_MOST = "CASE greatest(i_A, i_C, i_G, i_T) WHEN i_A THEN 'A' WHEN i_C THEN 'C' WHEN i_G THEN 'G' ELSE 'T' END"
+_CELLS = f"""{_ALL_VOTES}, cells AS (SELECT p.strand_id, p.pos, p.draft, p.n_reads, substr(p.draft, p.pos::INT + 1, 1) AS own, {_LETTERS}, coalesce(sum(n) FILTER (symbol = '-'), 0) AS n_del
+FROM (SELECT *, unnest(range(length(draft) + 1)) AS pos FROM drafts) p LEFT JOIN votes v ON v.strand_id = p.strand_id AND v.pos = p.pos GROUP BY ALL)"""
+
+
+def _drafts_and_edits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Strands as drafts, with the numbers of their reads, and the edits that lead from them to the reads, insertions of two letters among them."""
+    r = reads(spark, sf_dir)
+    return r.groupBy("strand_id").agg(F.first("strand").alias("draft"), F.count("*").alias("n_reads")), X.edits(r, _SUB, _INS, _DEL, SEED)
+
+
+@query("a8_indel_votes", f"WITH {_ALL_VOTES} SELECT strand_id, pos::INT AS pos, gap, symbol, n FROM votes")
+def indel_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes of aligned reads: five symbols a place, and the first letter that is more in a gap."""
+    return C.vote_table(*_drafts_and_edits(spark, sf_dir))
+
+
+@query("a9_rebuilt", f"""WITH {_CELLS}, pieces AS (SELECT strand_id, pos, draft, CASE WHEN 2 * (i_A + i_C + i_G + i_T) > n_reads THEN {_MOST} ELSE '' END || CASE WHEN own = '' OR n_del > greatest(n_A, n_C, n_G, n_T) THEN ''
+WHEN greatest(n_A, n_C, n_G, n_T) = CASE own WHEN 'A' THEN n_A WHEN 'C' THEN n_C WHEN 'G' THEN n_G ELSE n_T END THEN own ELSE CASE greatest(n_A, n_C, n_G, n_T) WHEN n_A THEN 'A' WHEN n_C THEN 'C' WHEN n_G THEN 'G' ELSE 'T' END END AS piece FROM cells)
+SELECT strand_id, string_agg(piece, '' ORDER BY pos) AS rebuilt FROM pieces GROUP BY strand_id, draft""")
+def rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every draft after one round of votes: a tie keeps its letter, a place goes if more reads lack it than have the best letter, a gap needs more than half of the reads."""
+    drafts, ops = _drafts_and_edits(spark, sf_dir)
+    return drafts.join(C.rebuilt(drafts, ops), "strand_id", "left").select("strand_id", F.coalesce("rebuilt", "draft").alias("rebuilt"))
+
+
+@query("t5_fixed_lengths", f"""WITH {_CELLS}, off AS (SELECT *, length(draft) + strand_id % 5 - 2 AS designed, length(draft) > designed AS long FROM cells WHERE strand_id % 5 <> 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY strand_id ORDER BY CASE WHEN long THEN -n_del ELSE -(i_A + i_C + i_G + i_T) END, CASE WHEN NOT long THEN 0 WHEN own = '' THEN 1000000 ELSE greatest(n_A, n_C, n_G, n_T) END, pos DESC) AS k FROM off),
+pieces AS (SELECT strand_id, pos, designed, CASE WHEN long THEN CASE WHEN k <= length(draft) - designed AND own <> '' THEN '' ELSE own END ELSE CASE WHEN k > designed - length(draft) THEN '' WHEN i_A + i_C + i_G + i_T = 0 THEN 'A' ELSE {_MOST} END || own END AS piece FROM ranked)
+SELECT strand_id, rpad(string_agg(piece, '' ORDER BY pos), any_value(designed)::INT, 'A') AS fixed FROM pieces GROUP BY 1""")
+def fixed_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drafts brought to designed lengths up to two letters off, by the votes of their reads."""
+    drafts, ops = _drafts_and_edits(spark, sf_dir)
+    return C.fixed_lengths(drafts.withColumn("length", (F.length("draft") + F.col("strand_id") % 5 - 2).cast("int")), ops)
+
+
 @query("a1_evaluate", f"""WITH {_SUBSTITUTED}, {_VOTES}, best AS (SELECT *, row_number() OVER (PARTITION BY strand_id, pos ORDER BY n DESC, symbol) AS k FROM votes),
 d AS (SELECT strand_id, string_agg(symbol, '' ORDER BY pos) AS decoded FROM best WHERE k = 1 GROUP BY 1), e AS (SELECT item_id % 4 AS part, s.strand AS reference, d.decoded, c.n_reads FROM strands s JOIN counted c USING (strand_id) LEFT JOIN d USING (strand_id))
 SELECT part, count(*) AS n, round(avg(CASE WHEN decoded = reference AND n_reads > 0 THEN 1.0 ELSE 0 END), 9) AS accuracy, round(avg(levenshtein(reference, decoded)), 9) AS mean_distance, round(avg(CASE WHEN n_reads = 0 THEN 1.0 ELSE 0 END), 9) AS dropout_rate,

@@ -35,15 +35,6 @@ def test_edit_scripts_are_shortest(spark):
     assert C.edit_script("ACGT", "ACTGT") == [("insert", 2, 2)]
 
 
-def test_reconstruct():
-    rng = random.Random(2)
-    right = "".join(rng.choice("ACGT") for _ in range(60))
-    reads = [right[:i] + right[i + 1 :] for i in (5, 20, 33, 41)] + [right, right[:10] + "G" + right[10:]]
-    assert C.reconstruct(reads, 60) == right
-    assert C.reconstruct([], 60) is None
-    assert len(C.reconstruct(["ACG"], 8)) == 8
-
-
 def test_decode_to_each_strands_length(spark):
     rng = random.Random(5)
     right = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (112, 40, 2)]
