@@ -17,7 +17,7 @@ from math import ceil, log, sqrt
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions.strands import BASES, passes_rules
@@ -46,6 +46,18 @@ def soliton_weights(n: int, c: float = C, delta: float = DELTA) -> list[float]:
     return out
 
 
+def soliton_table(sizes: DataFrame) -> DataFrame:
+    """(n, cdf) for each number of chunks of sizes (n): the cumulative distribution over degrees 1 to n, to nine places."""
+    n, d = F.col("n").cast("double"), F.col("d")
+    p = sizes.withColumn("s", C * F.log(n / DELTA) * F.sqrt(n)).withColumn("d", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    pivot = F.least(n, F.greatest(F.lit(1.0), F.rint(n / F.col("s"))))
+    ideal = F.when(d == 1, 1 / n).otherwise(1 / F.nullif(d * (d - 1), F.lit(0)))
+    extra = F.when(d < pivot, F.col("s") / (d * n)).when(d == pivot, F.greatest(F.lit(0.0), F.col("s") * F.log(F.col("s") / DELTA) / n)).otherwise(0.0)
+    by = Window.partitionBy("n")
+    w = p.withColumn("w", ideal + extra).select("n", "d", F.round(F.sum("w").over(by.orderBy("d")) / F.sum("w").over(by), 9).alias("c"))
+    return w.groupBy("n").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "c"))), lambda x: x.c).alias("cdf"))
+
+
 _weights = lru_cache(maxsize=64)(soliton_weights)
 
 
