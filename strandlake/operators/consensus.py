@@ -166,6 +166,19 @@ def decode(strands: DataFrame, reads: DataFrame, rounds: int = 3, most: int = 16
     return out
 
 
+def position_errors(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """(by, pos, rate): errors at each place (from 0) of the longest reference of a group, zeros among them, divided by the group's decoded strands; added up they are the mean distance.
+
+    pairs (by, reference, decoded); a null decoded doesn't count. An insertion counts for the base it is before, one after the last base for that.
+    """
+    given = pairs.where(F.col("decoded").isNotNull())
+    groups = given.groupBy(*by).agg(F.count("*").alias("n"), F.max(F.length("reference")).alias("longest"))
+    ops = edit_operations(given.where("reference <> decoded").select(*by, "reference", "decoded"), "reference", "decoded")
+    at = ops.groupBy(*by, F.greatest(F.lit(0), F.least("src_pos", F.length("reference") - 1)).alias("pos")).agg(F.count("*").alias("e"))
+    places = groups.withColumn("pos", F.explode(F.sequence(F.lit(0), F.greatest(F.col("longest") - 1, F.lit(0)))))
+    return places.join(at, [*by, "pos"], "left").select(*by, "pos", (F.coalesce("e", F.lit(0)) / F.col("n")).alias("rate"))
+
+
 def evaluate(decoded: DataFrame, by: list[str]) -> DataFrame:
     """Metrics of decoded (by, reference, decoded, n_reads): no decoded strand, or no read, counts as wrong; distances are over decoded strands only."""
     right = F.coalesce((F.col("decoded") == F.col("reference")) & (F.col("n_reads") > 0), F.lit(False))

@@ -45,6 +45,23 @@ def error_counts(strands: DataFrame, reads: DataFrame, ops: DataFrame) -> DataFr
     return every.join(met, ["scope", "key", "tag"], "left").select("scope", "key", "tag", F.coalesce("events", F.lit(0)).alias("events"), "bases")
 
 
+def shared_errors(reads: DataFrame, ops: DataFrame, share: float = 0.2, least: int = 10) -> DataFrame:
+    """(tag, hot, places, share, of_errors) for each kind of error: places of strands with at least so many reads at which that share of the reads or more have it; of all such strands'
+    places, and of all its errors there (once a read and place).
+
+    reads (strand_id, read_no, strand), ops (strand_id, read_no, tag, src_pos) of all of them; outliers don't count. An insertion after the last base counts for it.
+    """
+    used = without_outliers(reads, ops).select("strand_id", "read_no", "strand")
+    strands = used.groupBy("strand_id").agg(F.count("*").alias("n_reads"), F.first(F.length("strand")).alias("length")).where(F.col("n_reads") >= least)
+    met = ops.select("strand_id", "read_no", "tag", "src_pos").join(used.select("strand_id", "read_no"), ["strand_id", "read_no"], "left_semi").join(strands, "strand_id")
+    once = met.select("strand_id", "read_no", "tag", "n_reads", F.least("src_pos", F.col("length") - 1).alias("pos")).distinct()
+    hits = once.groupBy("strand_id", "tag", "pos").agg(F.count("*").alias("n"), F.first("n_reads").alias("n_reads"))
+    hot = F.col("n") >= share * F.col("n_reads")
+    by = hits.groupBy("tag").agg(F.count_if(hot).alias("hot"), F.sum("n").alias("errors"), F.coalesce(F.sum(F.when(hot, F.col("n"))), F.lit(0)).alias("shared"))
+    by = by.crossJoin(F.broadcast(strands.agg(F.sum("length").cast("long").alias("places"))))  # one row
+    return by.select("tag", "hot", "places", F.round(F.col("hot") / F.col("places"), 9).alias("share"), F.round(F.col("shared") / F.col("errors"), 9).alias("of_errors"))
+
+
 def read_errors(reads: DataFrame) -> list[Column]:
     """Aggregates over reads (strand, n_edits): their number, the mean, deviation and percentiles of errors per base."""
     rate = F.col("n_edits") / F.length("strand")

@@ -23,12 +23,10 @@ def crossing(rates: DataFrame, by: list[str], target: float) -> DataFrame:
     return r.groupBy(*by).agg(F.min_by(at, "coverage").alias("needed"))
 
 
-def rule_verdict(on: Column, off: Column) -> Column:
-    """Whether a rule pays off by the reads needed with it and without; null means never."""
-    return (
-        F.when(on.isNull() & off.isNull(), "no target met").when(off.isNull(), "pays off").when(on.isNull(), "harmful")
-        .when(off > on, "pays off").when(off < on, "harmful").otherwise("no measurable benefit")
-    )
+def rule_verdict(on: Column, off: Column, grid: list[float]) -> Column:
+    """Whether a rule pays off by the reads needed with it and without, in whole steps of the grid of reads (a value between two points belongs to the upper one); null means never."""
+    steps = grid_step(off, grid) - grid_step(on, grid)
+    return F.when(steps >= 1, "pays off").when(steps <= -1, "harmful").otherwise("no measurable benefit")
 
 
 def single_step(on: Column, off: Column) -> Column:

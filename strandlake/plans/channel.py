@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from strandlake.operators import channel as X
 from strandlake.operators import consensus as C
+from strandlake.operators.editing import dense_classes
+from strandlake.operators.errors import shared_errors
 from strandlake.operators.ordering import numbered
 from strandlake.plans.base import SQL_BENCH, SQL_GC, benchmark_strands, query, sql_uniform
 
@@ -102,12 +104,16 @@ def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.plurality(C.votes(r), r.groupBy("strand_id").agg(F.min_by("read", "read_no").alias("draft")))
 
 
-_SUB, _INS, _DEL = 0.1, 0.2, 0.2
-_EDITED = f"""{SQL_READS}, sites AS (SELECT strand_id, read_no, i, substr(strand, i, 1) AS b, {_u("strand_id", "read_no", "i", "7")} AS u, {_u("strand_id", "read_no", "i", "'base'", "7")} AS v
+def _sql_ops(sub: float, ins: float, dele: float) -> str:
+    return f"""{SQL_READS}, sites AS (SELECT strand_id, read_no, i, substr(strand, i, 1) AS b, {_u("strand_id", "read_no", "i", "7")} AS u, {_u("strand_id", "read_no", "i", "'base'", "7")} AS v
 FROM (SELECT *, unnest(range(1, length(strand) + 1)) AS i FROM reads)),
-ops AS (SELECT strand_id, read_no, CASE WHEN u < {_DEL} THEN 'delete' WHEN u < {_DEL} + {_INS} THEN 'insert' ELSE 'replace' END AS tag, i - 1 AS pos, i - 1 AS dest,
-CASE WHEN u < {_DEL} THEN '-' WHEN u < {_DEL} + {_INS} THEN substr('ACGT', floor(v * 4)::INT + 1, 1) ELSE substr('ACGT', (strpos('ACGT', b) + floor(v * 3)::INT) % 4 + 1, 1) END AS letter FROM sites WHERE u < {_DEL} + {_INS} + {_SUB}
-UNION ALL SELECT strand_id, read_no, 'insert', i - 1, i, substr('ACGT', floor(v * 16)::INT + 1, 1) FROM sites WHERE u >= {_DEL} AND u < {_DEL} + {_INS} AND v < 0.25),
+ops AS (SELECT strand_id, read_no, CASE WHEN u < {dele} THEN 'delete' WHEN u < {dele} + {ins} THEN 'insert' ELSE 'replace' END AS tag, i - 1 AS pos, i - 1 AS dest,
+CASE WHEN u < {dele} THEN '-' WHEN u < {dele} + {ins} THEN substr('ACGT', floor(v * 4)::INT + 1, 1) ELSE substr('ACGT', (strpos('ACGT', b) + floor(v * 3)::INT) % 4 + 1, 1) END AS letter FROM sites WHERE u < {dele} + {ins} + {sub}
+UNION ALL SELECT strand_id, read_no, 'insert', i - 1, i, substr('ACGT', floor(v * 16)::INT + 1, 1) FROM sites WHERE u >= {dele} AND u < {dele} + {ins} AND v < 0.25)"""
+
+
+_SUB, _INS, _DEL = 0.1, 0.2, 0.2
+_EDITED = f"""{_sql_ops(_SUB, _INS, _DEL)},
 drafts AS (SELECT strand_id, any_value(strand) AS draft, count(*) AS n_reads FROM reads GROUP BY 1),
 said AS (SELECT strand_id, pos, gap, symbol, count(*) AS n FROM (SELECT strand_id, read_no, pos, tag = 'insert' AS gap, arg_min(letter, dest) AS symbol FROM ops GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3, 4),
 stay AS (SELECT p.strand_id, p.pos, substr(p.draft, p.pos::INT + 1, 1) AS symbol, n_reads - coalesce(away, 0) AS n FROM (SELECT *, unnest(range(length(draft))) AS pos FROM drafts) p LEFT JOIN (SELECT strand_id, pos, sum(n) AS away FROM said WHERE NOT gap GROUP BY 1, 2) a ON a.strand_id = p.strand_id AND a.pos = p.pos)"""
@@ -196,3 +202,35 @@ def reconstructed(spark: SparkSession, sf_dir: str) -> DataFrame:
     noisy = X.mutate(X.reads_of(s.select("strand_id", "strand"), MEAN, SEED, 0.02, 0.05), 0.02, 0.01, 0.015, SEED)
     d = C.decode(s.select("strand_id", F.length("strand").alias("length")), noisy)
     return C.evaluate(d.join(s.select("strand_id", F.col("strand").alias("reference"), (F.col("item_id") % 4).alias("part")), "strand_id"), ["part"])
+
+
+@query("a2_dense_errors", f"""WITH {_NOISY}, d AS (SELECT item_id % 4 AS part, s.strand, levenshtein(s.strand, m.read) AS d FROM mutated m JOIN strands s USING (strand_id))
+SELECT part, max(length(strand))::BIGINT AS positions, count(*)::BIGINT AS decoded, round(sum(d)::DOUBLE / count(*), 6) AS mean_distance, round(sum(d)::DOUBLE / count(*), 6) AS total FROM d GROUP BY 1""")
+def dense_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors by position of every read, zeros among them, divided by the number of reads: added up they are the mean distance."""
+    s = benchmark_strands(spark, sf_dir).select("strand_id", (F.col("item_id") % 4).alias("part"))
+    pairs = X.mutate(reads(spark, sf_dir), 0.02, 0.01, 0.015, SEED).join(s, "strand_id").select("part", F.col("strand").alias("reference"), F.col("read").alias("decoded"))
+    p = C.position_errors(pairs, ["part"])
+    d = pairs.groupBy("part").agg(F.count("*").alias("decoded"), F.round(F.avg(F.levenshtein("reference", "decoded")), 6).alias("mean_distance"))
+    return p.groupBy("part").agg(F.count("*").alias("positions"), F.round(F.sum("rate"), 6).alias("total")).join(d, "part")
+
+
+@query("d5_edit_classes", f"""WITH {_sql_ops(_SUB, _INS, _DEL)}, met AS (SELECT strand_id, read_no, pos, max(CASE WHEN tag <> 'insert' THEN letter END) AS said, arg_min(letter, dest) FILTER (tag = 'insert') AS before FROM ops GROUP BY 1, 2, 3),
+places AS (SELECT strand_id, read_no, length(strand) AS n, unnest(range(length(strand) + 1)) AS pos FROM reads)
+SELECT CASE WHEN p.pos < n THEN coalesce(said, '=') ELSE 'end' END AS class, coalesce(before, '') AS before, count(*) AS n FROM places p LEFT JOIN met m ON m.strand_id = p.strand_id AND m.read_no = p.read_no AND m.pos = p.pos GROUP BY 1, 2""")
+def edit_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A class for every place of every strand, by what the channel did to each of its reads: kept, another letter, or gone; and what came in before it."""
+    r = reads(spark, sf_dir)
+    dense = dense_classes(r.select("strand_id", "read_no", "strand"), X.edits(r, _SUB, _INS, _DEL, SEED), ["strand_id", "read_no"], "strand")
+    return dense.groupBy(F.coalesce("class", F.lit("end")).alias("class"), F.coalesce("before", F.lit("")).alias("before")).agg(F.count("*").alias("n"))
+
+
+@query("p12_a39_shared_by_kind", f"""WITH {_sql_ops(0.04, 0.03, 0.04)}, e AS (SELECT strand_id, read_no, length(strand) AS len, (SELECT count(*) FROM ops o WHERE o.strand_id = r.strand_id AND o.read_no = r.read_no) AS n FROM reads r),
+used AS (SELECT strand_id, read_no, len FROM e WHERE n <= floor(0.3 * len)), s AS (SELECT strand_id, any_value(len) AS len, count(*) AS reads FROM used GROUP BY 1 HAVING count(*) >= 10),
+hits AS (SELECT tag, o.strand_id, least(o.pos, len - 1) AS pos, count(DISTINCT read_no) AS n FROM ops o JOIN used u USING (strand_id, read_no) GROUP BY 1, 2, 3),
+hot AS (SELECT tag, count(*) FILTER (n >= 0.2 * reads) AS hot, sum(n) AS errors, sum(CASE WHEN n >= 0.2 * reads THEN n ELSE 0 END) AS shared FROM hits JOIN s USING (strand_id) GROUP BY 1)
+SELECT tag, hot, (SELECT sum(len) FROM s)::BIGINT AS places, round(hot / (SELECT sum(len) FROM s), 9) AS share, round(shared / errors, 9) AS of_errors FROM hot""")
+def shared_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places at which a fifth of at least ten reads have the same kind of error, and the share of that kind's errors that are there."""
+    r = reads(spark, sf_dir)
+    return shared_errors(r.select("strand_id", "read_no", "strand"), X.edits(r, 0.04, 0.03, 0.04, SEED))

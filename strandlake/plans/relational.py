@@ -103,14 +103,20 @@ def interpolated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.crossing(rates(spark, sf_dir), ["codec"], 0.34).withColumn("needed", F.round("needed", 9))
 
 
-@query("e7_q1_rule_audit", f"""WITH {_RATES}, m AS (SELECT codec, min(CASE WHEN rate >= 0.34 AND coverage % 2 = 0 THEN coverage END) AS off_reads, min(CASE WHEN rate >= 0.34 AND coverage % 2 = 1 THEN coverage END) AS on_reads FROM rates GROUP BY 1)
-SELECT codec, on_reads, off_reads, CASE WHEN on_reads IS NULL AND off_reads IS NULL THEN 'no target met' WHEN off_reads IS NULL THEN 'pays off' WHEN on_reads IS NULL THEN 'harmful' WHEN off_reads > on_reads THEN 'pays off' WHEN off_reads < on_reads THEN 'harmful' ELSE 'no measurable benefit' END AS verdict,
-coalesce(abs(on_reads - off_reads) BETWEEN 0.05 AND 1.0, false) AS one_step FROM m""")
+_GRID = (2, 4, 6, 8, 10, 12)
+_STEP = "CASE WHEN {0} IS NULL THEN 6 ELSE ceil(({0} - 1e-9) / 2)::INT - 1 END"
+
+
+@query("e7_q1_rule_audit", f"""WITH {_RATES}, m AS (SELECT codec, min(CASE WHEN rate >= 0.34 AND coverage % 2 = 0 THEN coverage END) AS off_reads, min(CASE WHEN rate >= 0.34 AND coverage % 2 = 1 THEN coverage + 0.5 END) AS on_reads FROM rates GROUP BY 1),
+s AS (SELECT *, {_STEP.format("off_reads")} - {_STEP.format("on_reads")} AS steps FROM m)
+SELECT codec, on_reads, off_reads, CASE WHEN steps >= 1 THEN 'pays off' WHEN steps <= -1 THEN 'harmful' ELSE 'no measurable benefit' END AS verdict,
+coalesce(abs(on_reads - off_reads) BETWEEN 0.05 AND 1.0, false) AS one_step FROM s""")
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each codec with its rule (reads refined to half steps) and without, by whole steps of the grid."""
     met = F.when(F.col("rate") >= 0.34, F.col("coverage"))
-    m = rates(spark, sf_dir).groupBy("codec").agg(F.min(F.when(F.col("coverage") % 2 == 1, met)).alias("on_reads"), F.min(F.when(F.col("coverage") % 2 == 0, met)).alias("off_reads"))
+    m = rates(spark, sf_dir).groupBy("codec").agg(F.min(F.when(F.col("coverage") % 2 == 1, met + 0.5)).alias("on_reads"), F.min(F.when(F.col("coverage") % 2 == 0, met)).alias("off_reads"))
     on, off = F.col("on_reads"), F.col("off_reads")
-    return m.select("codec", on, off, E.rule_verdict(on, off).alias("verdict"), E.single_step(on, off).alias("one_step"))
+    return m.select("codec", on, off, E.rule_verdict(on, off, list(_GRID)).alias("verdict"), E.single_step(on, off).alias("one_step"))
 
 
 @query("e13_recovery_curve_pivot", f"""WITH {_RATES} SELECT codec, {", ".join(f"round(max(CASE WHEN coverage = {c} THEN rate END), 9) AS c{c}" for c in (1, 4, 8, 12))} FROM rates GROUP BY codec""")

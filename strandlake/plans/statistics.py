@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import ranking as R
@@ -107,6 +109,39 @@ def shape_by_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select(F.col("i").cast("long").alias("grid_point"), F.round("k", 6).alias("shape"))
 
 
+_RISING = "list_sum(list_transform(range(0, v::BIGINT), lambda j: ln(k + j)))"
+
+
+@query("a15_refined_shape", f"""WITH c AS (SELECT l_orderkey, ceil(sum(l_quantity) / 10)::BIGINT AS v FROM lineitem GROUP BY 1), h AS (SELECT v, count(*) AS n FROM c GROUP BY 1), m AS (SELECT sum(n * v)::DOUBLE / sum(n) AS mu FROM h),
+g AS (SELECT i, exp(ln(0.05::DOUBLE) + i * (ln(1000::DOUBLE) - ln(0.05::DOUBLE)) / 399) AS k FROM range(400) t(i)),
+l AS (SELECT i, k, sum(n * ({_RISING} + k * ln(k / (k + mu)) + v * ln(mu / (k + mu)))) AS loglik FROM h, g, m GROUP BY 1, 2),
+b AS (SELECT i FROM l ORDER BY loglik DESC, i LIMIT 1), e AS (SELECT b.i, (SELECT k FROM g WHERE g.i = greatest(b.i - 1, 0)) AS lo, (SELECT k FROM g WHERE g.i = least(b.i + 1, 399)) AS hi FROM b),
+f AS (SELECT e.i, j, lo + j * (hi - lo) / 199 AS k FROM e, range(200) t(j)),
+r AS (SELECT i, j, k, sum(n * ({_RISING} + k * ln(k / (k + mu)) + v * ln(mu / (k + mu)))) AS loglik FROM h, f, m GROUP BY 1, 2, 3)
+SELECT i::INT AS coarse, j::INT AS fine, round(k, 6) AS shape FROM r ORDER BY loglik DESC, j LIMIT 1""")
+def refined_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shape of greatest likelihood: the best of 400 points a constant factor apart, then of 200 evenly between its neighbours. Only the histogram (of tens of units an order) meets either."""
+    h = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.ceil(F.sum("l_quantity") / 10).alias("v")).groupBy("v").agg(F.count("*").alias("n"))
+    mu = h.agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("mu"))
+    each = h.crossJoin(F.broadcast(mu))  # mu is one row
+    low, high = math.log(0.05), math.log(1000.0)
+    point = lambda i: F.exp(F.lit(low) + i * F.lit(high - low) / 399)
+
+    def loglik(k: Column) -> Column:
+        rising = F.when(F.col("v") > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(F.col("v") - 1, F.lit(0)).cast("int")), F.lit(0.0), lambda a, j: a + F.log(k + j))).otherwise(0.0)
+        return F.sum(F.col("n") * (rising + k * F.log(k / (k + F.col("mu"))) + F.col("v") * F.log(F.col("mu") / (k + F.col("mu")))))
+
+    def best(points: DataFrame, by: list[str]) -> DataFrame:
+        found = points.groupBy(*by, "k").agg(loglik(F.col("k")).alias("l"))
+        return found.agg(F.max_by(F.struct(*by, "k"), F.struct("l", (-F.col(by[-1])).alias("first"))).alias("b")).select("b.*")
+
+    coarse = best(each.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(399)))).withColumn("k", point(F.col("i"))), ["i"])
+    ends = coarse.select("i", point(F.greatest(F.col("i") - 1, F.lit(0))).alias("lo"), point(F.least(F.col("i") + 1, F.lit(399))).alias("hi"))
+    fine = each.crossJoin(F.broadcast(ends)).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(199))))  # ends is one row
+    b = best(fine.withColumn("k", F.col("lo") + F.col("j") * (F.col("hi") - F.col("lo")) / 199), ["i", "j"])
+    return b.select(F.col("i").alias("coarse"), F.col("j").alias("fine"), F.round("k", 6).alias("shape"))
+
+
 @query("a11_a12_shrunk_rates", f"""WITH {SQL_STRANDS}, e AS (SELECT lang, {SQL_RUN} AS bucket, count(*) AS n, count(*) FILTER (WHERE {SQL_GC} > 0.5) AS e FROM strands GROUP BY 1, 2),
 g AS (SELECT *, sum(e) OVER (PARTITION BY lang)::DOUBLE / sum(n) OVER (PARTITION BY lang) AS rate, sum(n) OVER (PARTITION BY lang) AS total FROM e), r AS (SELECT *, (e + 2000 * rate) / (n + 2000) / rate AS rel FROM g WHERE rate > 0)
 SELECT lang, bucket, round(rel, 9) AS relative, round(rel / sum(rel * n / total) OVER (PARTITION BY lang), 9) AS normalised FROM r""")
