@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from strandlake.functions import strands as S
 from strandlake.operators import channel as X
 from strandlake.operators import consensus as C
+from strandlake.operators.guards import SeedGuard
 from strandlake.plans import channel as P
 from strandlake.plans.base import SQL_BENCH, SQL_GC, SQL_RUN, SQL_STRANDS, benchmark_strands, document_strands, query, sql_uniform, table
+from strandlake.sources.scratch import written
 
 _BAD = f"CASE WHEN length(strand) = 0 OR {SQL_RUN} > 3 OR {SQL_GC} NOT BETWEEN 0.4 AND 0.6 THEN 1.0 ELSE 0.0 END"
 
@@ -284,3 +286,13 @@ def learned_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = risk.fit(s.where("not held_out").select("strand", F.when(F.col("bad"), 0.95).otherwise(0.05).alias("risk")))
     scored = risk.score(s.select("strand_id", "strand", "bad", "held_out"), model).withColumn("risk_score", F.round("risk_score", 6))
     return roc_auc(scored, "risk_score", "bad", ["held_out"]).select("held_out", "n_pos", "n_neg", F.round("auc", 4).alias("auc"))
+
+
+@query("p7_guarded_seeds", "SELECT o_orderpriority, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders WHERE o_orderkey NOT BETWEEN 900000 AND 900999 GROUP BY 1")
+def guarded_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means over trials whose seeds may be trained on: the one pass that makes them counts wrong seeds too, and the result is given out only if there were none."""
+    guard = SeedGuard()
+    trials = table(spark, sf_dir, "orders").where(~F.col("o_orderkey").between(guard.start, guard.start + guard.count - 1))
+    out = written(guard.watch(trials, "o_orderkey").groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean")), "guarded")
+    guard.check()
+    return out

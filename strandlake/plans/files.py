@@ -11,6 +11,7 @@ from strandlake.operators.experiments import rounded
 from strandlake.plans import channel as P
 from strandlake.plans.base import SQL_BENCH, SQL_GC, benchmark_strands, kmer_counts, query, table
 from strandlake.sources import payloads as S
+from strandlake.sources import trees
 from strandlake.sources.scratch import fresh_path
 
 
@@ -113,3 +114,24 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "profiles")
     S.write_profiles(rounded(p, {"sub_rate": 5, "homopolymer_run_factors": 3}), path)
     return S.read_profiles(spark, path).select("name", "sub_rate", "coverage_mean", "homopolymer_run_factors", "context_table")
+
+
+@query("f37_run_trees", """SELECT o_custkey, count(*) AS iterations, round(arg_max(o_totalprice, o_orderkey), 2) AS last_bits, count(*) FILTER (o_orderkey % 2 = 0) AS staged, round(sum(o_totalprice / 1000 + 0.25), 4) AS risk,
+round(sum(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 7 + 1.5 END), 4) AS reads FROM orders GROUP BY 1""")
+def run_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders as the nested result of a run, written as JSON lines and read back; fields that came later are missing from some of them."""
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    kmers = F.array(F.array(F.lit("ACG"), (F.col("o_totalprice") / 1000).cast("string")), F.array(F.lit("TTT"), F.lit("0.25")))
+    iteration = F.struct(
+        key.cast("int").alias("iteration"), F.struct(F.col("o_totalprice").alias("bits_per_base"), F.lit(3.0).alias("reads")).alias("metrics"), kmers.alias("risky_kmers"), F.lit("a \"note\"\n").alias("notes"),
+        F.when(key % 2 == 0, F.lit("tier1")).alias("stage"), F.when(key % 3 == 0, key % 7 + 1.5).alias("min_reads_at_target"),
+    )
+    run = F.struct(F.col("o_custkey").cast("string").alias("situation"), F.lit(0.99).alias("recovery_target"), F.lit(100).alias("n_trials"), F.array_sort(F.collect_list(iteration)).alias("iterations"), F.lit(False).alias("is_mock"))
+    path = fresh_path(spark, "runs")
+    o.groupBy("o_custkey").agg(F.to_json(run).alias("value")).select("value").write.text(path)
+    r = trees.read_runs(spark, path)
+    each = r.select(F.col("situation").cast("bigint").alias("o_custkey"), F.explode("iterations").alias("i"))
+    return each.groupBy("o_custkey").agg(
+        F.count("*").alias("iterations"), F.round(F.max_by("i.metrics.bits_per_base", "i.iteration"), 2).alias("last_bits"), F.count_if(F.col("i.stage") == "tier1").alias("staged"),
+        F.round(F.sum(F.aggregate("i.risky_kmers", F.lit(0.0), lambda a, k: a + k.risk)), 4).alias("risk"), F.round(F.sum("i.min_reads_at_target"), 4).alias("reads"),
+    )

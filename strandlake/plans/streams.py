@@ -74,3 +74,18 @@ def passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complete passes of ten events of a user."""
     c = table(spark, sf_dir, "events").withColumn("pass", F.expr("(row_number() over (partition by user_id order by event_id) - 1) div 10"))
     return c.groupBy("user_id", "pass").agg(F.max("event_id").alias("last_event"), F.round(F.sum("value"), 6).alias("total"), F.count("*").alias("n")).where("n = 10").drop("n")
+
+
+@query("r1_r8_strand_events_stream", """WITH e AS (SELECT user_id AS key, date_trunc('day', ts) AS pass, ts, event_id, event_type = 'error' AS drop, event_type <> 'error' AND value < 50 AS ok FROM events),
+closed AS (SELECT * FROM e WHERE pass + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR),
+s AS (SELECT 's' AS t, key, pass, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY key, pass) AS n, event_id, drop, ok, row_number() OVER w AS done, sum(ok::INT) OVER w AS oks, sum(drop::INT) OVER w AS drops FROM closed WINDOW w AS (PARTITION BY key, pass ORDER BY ts, event_id)),
+f AS (SELECT 'file' AS t, key, pass, count(*) AS i, count(*) AS n, NULL::BIGINT AS event_id, false AS drop, bool_and(ok) AS ok, count(*) AS done, sum(ok::INT) AS oks, sum(drop::INT) AS drops FROM closed GROUP BY key, pass)
+SELECT t, key, strftime(pass, '%Y-%m-%d') AS pass, i::INT AS i, n::INT AS n, event_id, drop, ok, done::INT AS done, oks::INT AS oks, drops::INT AS drops FROM (SELECT * FROM s UNION ALL SELECT * FROM f)""")
+def strand_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's day as a pass: an event for each strand, dropouts among them, with the totals so far, and one for the file, once the watermark is beyond the day."""
+    strands = _streamed(spark, sf_dir).select(
+        F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.when(F.col("event_type") == "error", 0).otherwise(3).alias("reads"), F.coalesce(F.col("value") < 50, F.lit(False)).alias("ok"),
+    )
+    with ticker.rocksdb(spark):
+        out = _run(ticker.strand_events_stream(strands), "append")
+    return out.withColumn("pass", F.date_format("pass", "yyyy-MM-dd"))

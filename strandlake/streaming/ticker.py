@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "key long, event_id long, done long, total double"
@@ -80,3 +82,69 @@ def replay(spark: SparkSession, path: str, schema: str, files_per_step: int = 1)
 def record(events: DataFrame, path: str, checkpoint: str):
     """Write a stream as JSON lines until it has no more; returns the query."""
     return events.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: What a pass gives: an event for each strand (t: s), in order, and one at its end (t: file).
+PASS_OUT = "t string, key long, pass timestamp, i int, n int, event_id long, drop boolean, ok boolean, done int, oks int, drops int"
+
+
+def pass_events(rows: pd.DataFrame) -> pd.DataFrame:
+    """The events of one pass from its strands (key, pass, ts, event_id, reads, ok): one for each in the order of ts and event_id, with the totals so far, and one for the file.
+
+    A strand without reads is a dropout and never ok; a file is ok if all its strands are.
+    """
+    rows = rows.sort_values(["ts", "event_id"], ignore_index=True)
+    drop = rows["reads"].eq(0)
+    ok = rows["ok"].astype(bool) & ~drop
+    out = pd.DataFrame({"t": "s", "key": rows["key"], "pass": rows["pass"], "i": rows.index, "n": len(rows), "event_id": rows["event_id"], "drop": drop, "ok": ok, "done": rows.index + 1, "oks": ok.cumsum(), "drops": drop.cumsum()})
+    end = out.tail(1).assign(t="file", i=len(rows), event_id=None, drop=False, ok=bool(ok.all()))
+    return pd.concat([out.astype({"event_id": "object"}), end], ignore_index=True)
+
+
+class PassProcessor(StatefulProcessor):
+    """Strands of a key's pass wait in list state until the watermark has reached the pass's end; then its events are given out in order and the state is dropped."""
+
+    def __init__(self, seconds: int):
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ts timestamp, event_id long, reads int, ok boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if not self.waiting.exists():
+            self.handle.registerTimer(int(pd.Timestamp(key[1]).timestamp() * 1000) + 1000 * self.seconds)
+        for part in rows:
+            self.waiting.appendList([(ts.to_pydatetime(), int(e), int(r), bool(o)) for ts, e, r, o in zip(part["ts"], part["event_id"], part["reads"], part["ok"])])
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame(list(self.waiting.get()), columns=["ts", "event_id", "reads", "ok"])
+        self.waiting.clear()
+        yield pass_events(held.assign(key=key[0], **{"pass": key[1]}))
+
+    def close(self) -> None:
+        pass
+
+
+def strand_events_stream(strands: DataFrame, size: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """A stream of pass_events() from strands (key, ts, event_id, reads, ok); a pass is a key's window of event time.
+
+    Strands may come in any order as long as they are no later than the watermark; later ones are dropped, as their pass may be out already. A pass is held until the watermark
+    reaches its end, so what is kept is the open passes only. Needs the RocksDB state store (`rocksdb()`).
+    """
+    seconds = int(pd.Timedelta(size).total_seconds())
+    s = strands.withWatermark("ts", late).withColumn("pass", F.window("ts", size).start)
+    return s.groupBy("key", "pass").transformWithStateInPandas(PassProcessor(seconds), PASS_OUT, "Append", "EventTime")
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The state store that list state and timers need, for streams that start within."""
+    name, was = "spark.sql.streaming.stateStore.providerClass", None
+    was = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
