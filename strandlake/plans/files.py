@@ -116,8 +116,8 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.read_profiles(spark, path).select("name", "sub_rate", "coverage_mean", "homopolymer_run_factors", "context_table")
 
 
-@query("f37_run_trees", """SELECT o_custkey, count(*) AS iterations, round(arg_max(o_totalprice, o_orderkey), 2) AS last_bits, count(*) FILTER (o_orderkey % 2 = 0) AS staged, round(sum(o_totalprice / 1000 + 0.25), 4) AS risk,
-round(sum(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 7 + 1.5 END), 4) AS reads FROM orders GROUP BY 1""")
+@query("f37_run_trees", """SELECT o_custkey, count(*) AS iterations, round(arg_max(o_totalprice, o_orderkey), 2) AS last_bits, count(*) FILTER (o_orderkey % 2 = 0) AS staged, round(sum(o_totalprice / 1000 + 0.25), 6) AS risk,
+round(sum(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 7 + 1.5::DOUBLE END), 4) AS reads FROM orders GROUP BY 1""")
 def run_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer's orders as the nested result of a run, written as JSON lines and read back; fields that came later are missing from some of them."""
     o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
@@ -133,5 +133,5 @@ def run_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = r.select(F.col("situation").cast("bigint").alias("o_custkey"), F.explode("iterations").alias("i"))
     return each.groupBy("o_custkey").agg(
         F.count("*").alias("iterations"), F.round(F.max_by("i.metrics.bits_per_base", "i.iteration"), 2).alias("last_bits"), F.count_if(F.col("i.stage") == "tier1").alias("staged"),
-        F.round(F.sum(F.aggregate("i.risky_kmers", F.lit(0.0), lambda a, k: a + k.risk)), 4).alias("risk"), F.round(F.sum("i.min_reads_at_target"), 4).alias("reads"),
+        F.round(F.sum(F.aggregate("i.risky_kmers", F.lit(0.0), lambda a, k: a + k.risk)), 6).alias("risk"), F.round(F.sum("i.min_reads_at_target"), 4).alias("reads"),
     )
