@@ -285,9 +285,9 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     """Header fields and block of a record."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     first, *lines = head.decode().split("\r\n")
-    fields = dict(line.split(": ", 1) for line in lines)
-    n = int(fields["Content-Length"])
-    if not first.startswith("WARC/1.") or rest[n:] != b"\r\n\r\n":
+    fields = dict(line.partition(": ")[::2] for line in lines)
+    n = int(fields.get("Content-Length", -1))
+    if not first.startswith("WARC/1.") or n < 0 or rest[n:] != b"\r\n\r\n":
         raise ValueError("not a record")
     return fields, rest[:n]
 
