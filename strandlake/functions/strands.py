@@ -32,6 +32,15 @@ def max_run_length(s: Column) -> Column:
     return out.otherwise(F.array_max(F.transform(F.regexp_extract_all(s, F.lit("(A+|C+|G+|T+|N+)"), F.lit(1)), F.length)))
 
 
+def runs(s: Column) -> Column:
+    """Array of struct(base, first_pos (from 1), run) of the runs of one letter in a strand, in order; empty for an empty strand."""
+    at = lambda i: F.substring(s, i, F.lit(1))
+    places = F.when(F.length(s) > 0, F.sequence(F.lit(1), F.length(s))).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(places, lambda i: (i == 1) | (at(i) != at(i - 1)))
+    each = F.transform(F.arrays_zip(starts.alias("a"), F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.length(s) + 1)).alias("b")), lambda x: F.struct(at(x.a).alias("base"), x.a.alias("first_pos"), (x.b - x.a).alias("run")))
+    return F.filter(each, lambda x: x.first_pos.isNotNull())
+
+
 def codes(s: Column) -> Column:
     """Array of 0 to 3 for A, C, G, T; -1 for anything else."""
     return F.transform(F.split(s, ""), lambda c: F.instr(F.lit(BASES), c) - 1)

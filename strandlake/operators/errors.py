@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.functions.strands import kmer_ids, pack_marks
+from strandlake.functions.strands import kmer_ids, pack_marks, runs
 
 #: Reads farther from their strand than this share of its length are outliers; runs from this length on count together; length of a context.
 OUTLIER, MAX_RUN, CONTEXT = 0.3, 7, 5
@@ -13,11 +13,9 @@ OUTLIER, MAX_RUN, CONTEXT = 0.3, 7, 5
 
 def bases(strands: DataFrame) -> DataFrame:
     """(strand_id, pos, run, kmer) of every base of strands (strand_id, strand), pos from 0; run: length of the run it is in, up to MAX_RUN; kmer: number of the context around it, or -1."""
-    p = strands.select("strand_id", F.posexplode(F.arrays_zip(F.split("strand", "").alias("b"), kmer_ids(F.col("strand"), CONTEXT).alias("k"))).alias("pos", "x")).select("strand_id", "pos", "x.b", F.col("x.k").alias("kmer"))
-    w = Window.partitionBy("strand_id").orderBy("pos")
-    p = p.withColumn("island", F.sum(F.when(F.lag("b").over(w).eqNullSafe(F.col("b")), 0).otherwise(1)).over(w))
-    run = F.least(F.lit(MAX_RUN).cast("long"), F.count("*").over(Window.partitionBy("strand_id", "island")))
-    return p.select("strand_id", "pos", run.cast("int").alias("run"), "kmer")
+    run = F.flatten(F.transform(runs(F.col("strand")), lambda r: F.array_repeat(F.least(F.lit(MAX_RUN), r.run), r.run)))
+    p = strands.select("strand_id", F.posexplode(F.arrays_zip(run.alias("run"), kmer_ids(F.col("strand"), CONTEXT).alias("kmer"))).alias("pos", "x"))
+    return p.select("strand_id", "pos", "x.run", "x.kmer")
 
 
 def without_outliers(reads: DataFrame, ops: DataFrame) -> DataFrame:

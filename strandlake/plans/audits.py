@@ -9,6 +9,7 @@ from strandlake.functions import strands as S
 from strandlake.operators import channel as X
 from strandlake.operators import consensus as C
 from strandlake.operators.guards import SeedGuard
+from strandlake.operators.ordering import ntile, placed
 from strandlake.plans import channel as P
 from strandlake.plans.base import SQL_BENCH, SQL_GC, SQL_RUN, SQL_STRANDS, benchmark_strands, document_strands, query, sql_uniform, table
 from strandlake.sources.scratch import written
@@ -119,7 +120,7 @@ SELECT 'fifth' AS kind, fifth::INT AS bucket, count(*) FILTER (WHERE a) AS n FRO
 def position_fifths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One table of labelled rows: a letter by fifth of the strand, and strands by longest run."""
     b = benchmark_strands(spark, sf_dir)
-    p = b.select("strand_id", F.posexplode(F.split("strand", "")).alias("pos", "base")).withColumn("bucket", F.ntile(5).over(Window.partitionBy("strand_id").orderBy("pos")))
+    p = b.select("strand_id", F.length("strand").cast("long").alias("n"), F.posexplode(F.split("strand", "")).alias("pos", "base")).withColumn("bucket", ntile(F.col("pos"), F.col("n"), 5))
     fifths = p.groupBy(F.lit("fifth").alias("kind"), "bucket").agg(F.count_if(F.col("base") == "A").alias("n"))
     runs = b.groupBy(F.lit("run").alias("kind"), F.least(F.lit(7), S.max_run_length(F.col("strand"))).alias("bucket")).agg(F.count("*").alias("n"))
     return fifths.unionByName(runs)
@@ -219,9 +220,8 @@ def feature_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
 c AS (SELECT *, sum(miss::INT) OVER (PARTITION BY coverage ORDER BY k) AS misses FROM t) SELECT coverage, min(k) FILTER (WHERE misses > floor(0.4 * n + 1e-9))::BIGINT AS stopped_at, max(misses) <= floor(0.4 * max(n) + 1e-9) AS meets FROM c GROUP BY 1""")
 def early_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trial, in seed order, at which a target can no longer be met, for each coverage."""
-    w = Window.partitionBy("coverage")
     t = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 12 + 1).alias("coverage"), "o_orderkey", (F.col("o_orderstatus") == "O").cast("int").alias("miss"))
-    c = t.select("coverage", F.row_number().over(w.orderBy("o_orderkey")).alias("k"), F.sum("miss").over(w.orderBy("o_orderkey")).alias("misses"), F.floor(0.4 * F.count("*").over(w) + 1e-9).alias("allowed"))
+    c = placed(t, ["coverage"], ["o_orderkey"], {"misses": F.col("miss")}).select("coverage", (F.col("i") + 1).alias("k"), "misses", F.floor(0.4 * F.col("n") + 1e-9).alias("allowed"))
     return c.groupBy("coverage").agg(F.min(F.when(F.col("misses") > F.col("allowed"), F.col("k"))).cast("long").alias("stopped_at"), (F.max("misses") <= F.max("allowed")).alias("meets"))
 
 
@@ -267,12 +267,8 @@ e AS (SELECT strand_id, pos, base IS DISTINCT FROM lead(base) OVER (PARTITION BY
 r AS (SELECT *, pos - max(CASE WHEN run_start THEN pos END) OVER (PARTITION BY strand_id ORDER BY pos ROWS UNBOUNDED PRECEDING) + 1 AS run FROM e) SELECT strand_id, pos::INT AS pos, run::INT AS run, round(1 - exp(-0.05 * (run - 1)), 9) AS p FROM r WHERE run_end""")
 def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability of an extra event at the end of each run."""
-    w = Window.partitionBy("strand_id").orderBy("pos")
-    b = benchmark_strands(spark, sf_dir).select("strand_id", F.posexplode(F.split("strand", "")).alias("p", "base")).withColumn("pos", F.col("p") + 1)
-    ends, starts = ~F.lead("base").over(w).eqNullSafe(F.col("base")), ~F.lag("base").over(w).eqNullSafe(F.col("base"))
-    e = b.withColumn("ends", ends).withColumn("starts", starts)
-    e = e.withColumn("run", F.col("pos") - F.max(F.when(F.col("starts"), F.col("pos"))).over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1).where("ends")
-    return e.select("strand_id", "pos", "run", F.round(1 - F.exp(-0.05 * (F.col("run") - 1)), 9).alias("p"))
+    r = benchmark_strands(spark, sf_dir).select("strand_id", F.explode(S.runs(F.col("strand"))).alias("r"))
+    return r.select("strand_id", (F.col("r.first_pos") + F.col("r.run") - 1).alias("pos"), "r.run", F.round(1 - F.exp(-0.05 * (F.col("r.run") - 1)), 9).alias("p"))
 
 
 @query("m2_kmer_risk")

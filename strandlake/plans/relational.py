@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import strands as S
 from strandlake.operators import experiments as E
-from strandlake.operators.ordering import numbered
+from strandlake.operators.ordering import numbered, placed
 from strandlake.plans.base import SQL_GC, SQL_RUN, SQL_STRANDS, document_strands, kmer_counts, query, table
 
 # Trials from orders: the codec is the customer's segment, coverage the order's priority, recovered the status.
@@ -200,7 +200,6 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q17_learning_rate", """SELECT o_orderkey, round(CASE WHEN k < 100 THEN (k + 1) / 100.0 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * (k - 100) / greatest(1, n - 100))) END, 9) AS rate FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS k, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)""")
 def learning_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("o_orderpriority")
-    s = table(spark, sf_dir, "orders").select("o_orderkey", (F.row_number().over(w.orderBy("o_orderkey")) - 1).alias("k"), F.count("*").over(w).alias("n"))
+    s = placed(table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey"), ["o_orderpriority"], ["o_orderkey"]).withColumnRenamed("i", "k")
     cosine = 0.1 + 0.9 * 0.5 * (1 + F.cos(F.pi() * (F.col("k") - 100) / F.greatest(F.lit(1), F.col("n") - 100)))
     return s.select("o_orderkey", F.round(F.when(F.col("k") < 100, (F.col("k") + 1) / 100.0).otherwise(cosine), 9).alias("rate"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import strands as S
+from strandlake.operators.consensus import evenly
 from strandlake.plans.base import SQL_BENCH, SQL_GC, SQL_RUN, SQL_STRANDS, benchmark_strands, document_strands, kmer_counts, query, sql_uniform, table
 
 
@@ -37,10 +38,9 @@ i AS (SELECT *, sum(starts) OVER (PARTITION BY strand_id ORDER BY pos) AS island
 SELECT strand_id, CAST(island AS BIGINT) AS island, min(base) AS base, min(pos)::BIGINT AS first_pos, count(*) AS run FROM i GROUP BY 1, 2""")
 def run_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs as gaps and islands; they never cross strands."""
-    w = Window.partitionBy("strand_id").orderBy("pos")
-    b = benchmark_strands(spark, sf_dir).select("strand_id", F.posexplode(F.split("strand", "")).alias("p", "base")).withColumn("pos", F.col("p") + 1)
-    starts = F.when(F.lag("base").over(w).eqNullSafe(F.col("base")), 0).otherwise(1)
-    return b.withColumn("starts", starts).withColumn("island", F.sum("starts").over(w)).groupBy("strand_id", "island").agg(F.min("base").alias("base"), F.min("pos").cast("long").alias("first_pos"), F.count("*").alias("run"))
+    r = benchmark_strands(spark, sf_dir).select("strand_id", F.posexplode(S.runs(F.col("strand"))).alias("k", "r"))
+    return r.select("strand_id", (F.col("k") + 1).cast("long").alias("island"), "r.base", F.col("r.first_pos").cast("long").alias("first_pos"), F.col("r.run").cast("long").alias("run"))
+
 
 
 _KMER = " + ".join(f"(strpos('ACGT', substr(strand, pos + {j - 2}, 1)) - 1) * {4 ** (4 - j)}" for j in range(5))
@@ -104,8 +104,8 @@ k AS (SELECT o_custkey, l, CASE WHEN len(l) <= 4 THEN l ELSE list_transform(rang
 SELECT o_custkey, array_to_string(s, ',') AS kept FROM k""")
 def subsampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four evenly spaced orders of each customer, first and last among them."""
-    r = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("l"))
-    return r.select("o_custkey", F.array_join(S.subsample(F.col("l"), 4), ",").alias("kept"))
+    few = evenly(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("strand_id"), F.col("o_orderkey").alias("read_no")), 4)
+    return few.groupBy(F.col("strand_id").alias("o_custkey")).agg(F.array_join(F.array_sort(F.collect_list("read_no")).cast("array<string>"), ",").alias("kept"))
 
 
 @query("f20_select_reads", f"""WITH {SQL_BENCH}, t AS (SELECT item_id, chunk, length(strand) AS n FROM strands),
@@ -139,12 +139,16 @@ c AS (SELECT *, (pos + 0.5) / n AS x FROM p), v AS (SELECT strand_id, pos, 1 + (
 SELECT strand_id, pos::BIGINT AS pos, round(linear, 6) AS linear, round(curve * avg(linear) OVER (PARTITION BY strand_id) / avg(curve) OVER (PARTITION BY strand_id), 6) AS scaled FROM v""")
 def multipliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error multipliers along a strand: a linear ramp, and a curve with the ramp's mean."""
-    p = benchmark_strands(spark, sf_dir).select("strand_id", F.length("strand").alias("n"), F.posexplode(F.split("strand", "")).alias("pos", "base"))
-    x = (F.col("pos") + 0.5) / F.col("n")
-    linear = 1 + (3.0 - 1) * F.col("pos") / F.greatest(F.lit(1), F.col("n") - 1)
-    v = p.select("strand_id", "pos", linear.alias("linear"), (1 + 0.5 * F.exp(-x / 0.05) + 4 * (3.0 - 1) * x * x * x).alias("curve"))
-    w = Window.partitionBy("strand_id")
-    return v.select("strand_id", F.col("pos").cast("long").alias("pos"), F.round("linear", 6).alias("linear"), F.round(F.col("curve") * F.avg("linear").over(w) / F.avg("curve").over(w), 6).alias("scaled"))
+    n = F.length("strand")
+
+    def both(pos: Column) -> Column:
+        x = (pos + 0.5) / n
+        return F.struct((1 + (3.0 - 1) * pos / F.greatest(F.lit(1), n - 1)).alias("linear"), (1 + 0.5 * F.exp(-x / 0.05) + 4 * (3.0 - 1) * x * x * x).alias("curve"))
+
+    total = lambda c: F.aggregate("m", F.lit(0.0), lambda a, v: a + v[c])
+    m = benchmark_strands(spark, sf_dir).where(n > 0).select("strand_id", F.transform(F.sequence(F.lit(0), n - 1), both).alias("m"))
+    v = m.withColumn("scale", total("linear") / total("curve")).select("strand_id", "scale", F.posexplode("m").alias("pos", "v"))
+    return v.select("strand_id", F.col("pos").cast("long").alias("pos"), F.round("v.linear", 6).alias("linear"), F.round(F.col("v.curve") * F.col("scale"), 6).alias("scaled"))
 
 
 @query("f32_highlight_runs", f"WITH {SQL_BENCH} SELECT strand_id, regexp_replace(strand, '(A{{4,}}|C{{4,}}|G{{4,}}|T{{4,}})', '[\\1]', 'g') AS shown FROM strands")
@@ -180,10 +184,12 @@ SELECT strand_id, round(avg(mult), 6) AS mean_risk, max(mult) AS max_risk, round
 def context_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multipliers looked up by context (1 where the table has none): mean, largest, and mean of the five largest of each strand."""
     ctx = spark.range(1024).where("id % 5 <> 0").select(F.col("id").alias("kmer"), (1 + ((F.col("id") * 37) % 101) / 100.0).alias("mult"))
-    k = benchmark_strands(spark, sf_dir).select("strand_id", F.posexplode(S.kmer_ids(F.col("strand"), 5)).alias("pos", "kmer"))
-    m = k.join(F.broadcast(ctx), "kmer", "left").withColumn("mult", F.coalesce("mult", F.lit(1.0)))  # 4 ** 5 rows at most
-    r = m.withColumn("rk", F.row_number().over(Window.partitionBy("strand_id").orderBy(F.desc("mult"), "pos")))
-    return r.groupBy("strand_id").agg(F.round(F.avg("mult"), 6).alias("mean_risk"), F.max("mult").alias("max_risk"), F.round(F.avg(F.when(F.col("rk") <= 5, F.col("mult"))), 6).alias("top5_risk"))
+    # a number for each of the 4 ** 5 contexts, as one row, so that a strand's bases stay in its row
+    every = spark.range(1024).join(ctx, F.col("id") == F.col("kmer"), "left").select("id", F.coalesce("mult", F.lit(1.0)).alias("mult"))
+    every = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "mult"))), lambda x: x.mult).alias("mults"))
+    m = benchmark_strands(spark, sf_dir).crossJoin(F.broadcast(every)).select("strand_id", F.transform(S.kmer_ids(F.col("strand"), 5), lambda k: F.when(k >= 0, F.get("mults", k)).otherwise(1.0)).alias("m")).where(F.size("m") > 0)
+    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
+    return m.select("strand_id", F.round(mean(F.col("m")), 6).alias("mean_risk"), F.array_max("m").alias("max_risk"), F.round(mean(F.slice(F.sort_array("m", asc=False), 1, 5)), 6).alias("top5_risk"))
 
 
 @query("f38_uniform", f"SELECT o_orderkey, {sql_uniform('o_orderkey', chr(39) + '7' + chr(39))} AS u FROM orders")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import ranking as R
 from strandlake.functions import strands as S
-from strandlake.operators.ordering import ntile, numbered
+from strandlake.operators.ordering import ntile, numbered, placed
 from strandlake.plans.base import SQL_BENCH, SQL_GC, SQL_RUN, SQL_STRANDS, benchmark_strands, document_strands, query, sql_uniform, table
 
 _LABELLED = "scored AS (SELECT lang, source, quality = 1 AS good, n_chars AS score FROM documents JOIN labels USING (doc_id))"
@@ -210,10 +210,9 @@ def deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("w1_w2_ranks", """WITH n AS (SELECT c_mktsegment, c_custkey, c_acctbal, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS o, count(*) OVER (PARTITION BY c_mktsegment) AS n,
 rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_mktsegment, c_acctbal) - 1) / 2.0 AS midrank FROM customer) SELECT c_custkey, round(midrank, 1)::DOUBLE AS midrank, round((o - 1)::DOUBLE / (n - 1), 9) AS percentile FROM n""")
 def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("c_mktsegment")
     r = R.midrank(table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey", "c_acctbal"), "c_acctbal", ["c_mktsegment"], "midrank")
-    o = F.row_number().over(w.orderBy("c_acctbal", "c_custkey"))
-    return r.select("c_custkey", F.round("midrank", 1).cast("double").alias("midrank"), F.round((o - 1) / (F.count("*").over(w) - 1), 9).alias("percentile"))
+    r = placed(r, ["c_mktsegment"], ["c_acctbal", "c_custkey"])
+    return r.select("c_custkey", F.round("midrank", 1).cast("double").alias("midrank"), F.round(F.col("i") / (F.col("n") - 1), 9).alias("percentile"))
 
 
 @query("a4_grouping_sets", """SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY GROUPING SETS ((o_orderpriority), (o_orderpriority, o_orderstatus))""")
@@ -227,9 +226,7 @@ def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upper median where a missing value counts as infinite."""
     v = F.when(F.col("o_orderstatus") == "P", float("inf")).otherwise(F.col("o_totalprice"))
     o = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("block"), v.alias("median"))
-    w = Window.partitionBy("block")
-    o = o.withColumn("k", F.row_number().over(w.orderBy("median"))).withColumn("n", F.count("*").over(w))
-    return o.where("k = n div 2 + 1").select("block", "median")
+    return placed(o, ["block"], ["median"]).where("i = n div 2").select("block", "median")
 
 
 @query("w7_forward_fill", """SELECT o_orderkey, last_value(CASE WHEN o_orderstatus <> 'O' THEN o_totalprice END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS filled FROM orders""")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.operators import experiments as E
+from strandlake.operators.ordering import placed
 from strandlake.plans.base import query, table
 
 GRID = [2.0, 4.0, 6.0, 8.0, 10.0, 15.0, 20.0, 30.0, 40.0]
@@ -40,10 +41,8 @@ def tradeoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q4_sort_keys", """SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE c_mktsegment WHEN 'MACHINERY' THEN 1 WHEN 'BUILDING' THEN 2 ELSE 3 END, c_mktsegment, c_custkey)::INT AS place FROM customer""")
 def sort_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of customers in a nation, by a list of segments first and then by name."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("c_nationkey").orderBy(*E.in_order(F.col("c_mktsegment"), ["MACHINERY", "BUILDING"]), "c_custkey")
-    return table(spark, sf_dir, "customer").select("c_custkey", F.row_number().over(w).alias("place"))
+    c = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_mktsegment")
+    return placed(c, ["c_nationkey"], [*E.in_order(F.col("c_mktsegment"), ["MACHINERY", "BUILDING"]), "c_custkey"]).select("c_custkey", (F.col("i") + 1).cast("int").alias("place"))
 
 
 @query("q11_rounded", """SELECT l_orderkey, l_linenumber, round(l_quantity / 7, 3) AS rate, [round(l_discount / 3, 2), round(l_tax / 3, 2)] AS factors FROM lineitem""")
@@ -57,9 +56,8 @@ def rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE seed <= (SELECT min(n) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_linenumber)) GROUP BY 1""")
 def trials_by_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means over trials with the seeds that all settings have; a setting with other than one trial for each seed would be an error."""
-    from pyspark.sql import Window
-
-    rows = table(spark, sf_dir, "lineitem").withColumn("seed", F.row_number().over(Window.partitionBy("l_linenumber").orderBy("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice")))
+    rows = table(spark, sf_dir, "lineitem").select("l_linenumber", "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_returnflag")
+    rows = placed(rows, ["l_linenumber"], ["l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice"]).withColumn("seed", F.col("i") + 1)
     trials = rows.select("l_linenumber", "seed", F.col("l_discount").alias("accuracy"), (F.col("l_returnflag") == "R").cast("double").alias("recovered"))
     settings = rows.agg(F.count_distinct("l_linenumber").alias("all"))
     seeds = rows.groupBy("seed").agg(F.count("*").alias("n")).crossJoin(F.broadcast(settings)).where(F.col("n") == F.col("all")).select("seed")  # one row

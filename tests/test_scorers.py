@@ -100,3 +100,19 @@ def test_shared_errors(spark):
     more = reads.union(spark.createDataFrame([(1, 10, "ACGTACGTAC")], reads.schema))
     got = {r.tag: r for r in E.shared_errors(more, spark.createDataFrame(ops, "strand_id int, read_no int, tag string, src_pos int")).collect()}
     assert (got["replace"].hot, got["replace"].places, got["replace"].of_errors) == (1, 10, round(2 / 3, 9)) and got["insert"].hot == 1 and "delete" not in got
+
+
+def test_places_in_groups_and_runs(spark):
+    from strandlake.operators.ordering import placed
+
+    rng = np.random.default_rng(5)
+    rows = [(None if k == 9 else int(k), int(x), i) for i, (k, x) in enumerate(zip(rng.choice([1, 1, 1, 2, 9], 3000), rng.integers(0, 50, 3000)))]
+    df = spark.createDataFrame(rows, "g int, x int, id int").repartition(7)
+    got = {r.id: (r.i, r.n, r.total) for r in placed(df, ["g"], ["x", "id"], {"total": F.col("x")}).collect()}
+    for g in (1, 2, None):
+        group, total = sorted((r for r in rows if r[0] == g), key=lambda r: r[1:]), 0
+        for place, r in enumerate(group):
+            total += r[1]
+            assert got[r[2]] == (place, len(group), total)
+    s = spark.createDataFrame([(0, "AACGGG"), (1, ""), (2, "T"), (3, "ACA")], "i int, s string").select("i", S.runs(F.col("s")).alias("r")).orderBy("i").collect()
+    assert [[tuple(x) for x in r.r] for r in s] == [[("A", 1, 2), ("C", 3, 1), ("G", 4, 3)], [], [("T", 1, 1)], [("A", 1, 1), ("C", 2, 1), ("A", 3, 1)]]
