@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandlake.functions import ranking as R
 from strandlake.functions import strands as S
 from strandlake.operators import least_squares as L
 from strandlake.operators import probes as Q
+from strandlake.plans import channel as P
 from strandlake.plans.base import SQL_BENCH, SQL_GC, SQL_RUN, SQL_STRANDS, benchmark_strands, document_strands, query, sql_uniform
 
 _X = ("1.0::DOUBLE", "run", "pow(greatest(run - 3, 0), 1.5)", "dev", "dev * dev")
@@ -71,3 +73,31 @@ def run_and_gc_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = benchmark_strands(spark, sf_dir).select("strand_id", "strand")
     named = lambda d, kind: Q.effects(d, _scored).select(F.lit(kind).alias("kind"), F.col("probe").cast("double").alias("probe"), "n", F.round("mean", 9).alias("mean"))
     return named(Q.run_designs(s, _RUNS), "run").union(named(Q.gc_designs(s, _SHARES), "gc"))
+
+
+_BANDS = [(1, 2), (3, 4), (5, 6), (7, 9), (10, 14)]
+_BAND = "CASE " + " ".join(f"WHEN n <= {hi} THEN {i}" for i, (_, hi) in enumerate(_BANDS)) + f" ELSE {len(_BANDS)} END"
+
+
+def _auc_sql(name: str, of: str, by: str) -> str:
+    return f"""{name} AS (SELECT {by}, n_pos * n_neg AS w, (ranks - n_pos * (n_pos + 1) / 2.0) / (n_pos * n_neg) AS auc FROM (SELECT {by}, sum(failed::INT)::DOUBLE AS n_pos, sum((NOT failed)::INT)::DOUBLE AS n_neg, sum(CASE WHEN failed THEN r END) AS ranks FROM
+(SELECT *, rank() OVER (PARTITION BY {by} ORDER BY score) + (count(*) OVER (PARTITION BY {by}, score) - 1) / 2.0 AS r FROM {of}) GROUP BY {by}) WHERE n_pos > 0 AND n_neg > 0)"""
+
+
+@query("q9_banded_ranking", f"""WITH {P.SQL_READS}, c AS (SELECT strand_id, any_value(strand) AS strand, count(*) AS n FROM reads GROUP BY 1),
+s AS (SELECT strand_id, n, {SQL_RUN}::DOUBLE AS score, {sql_uniform("strand_id", "'failed'")} < least(0.95, 0.1 * {SQL_RUN} + 1.0 / (1 + n)) AS failed, 1 AS one, {_BAND} AS band FROM c),
+mid AS (SELECT * FROM s WHERE n BETWEEN 5 AND 10), {_auc_sql("a", "s", "one")}, {_auc_sql("m", "mid", "one")}, {_auc_sql("b", "s", "band")}
+SELECT (SELECT count(*) FROM s) AS n, (SELECT round(auc, 9) FROM a) AS auc, (SELECT count(*) FROM mid) AS n_band, (SELECT round(auc, 9) FROM m) AS auc_band, (SELECT round(sum(auc * w) / sum(w), 9) FROM b) AS auc_stratified""")
+def banded_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well runs rank failures: over all strands with reads, over those with five to ten, and among strands with similar numbers of reads (areas weighted by pairs)."""
+    c = P.reads(spark, sf_dir).groupBy("strand_id").agg(F.first("strand").alias("strand"), F.count("*").alias("n"))
+    run = S.max_run_length(F.col("strand"))
+    band = F.lit(len(_BANDS))
+    for i, (_, hi) in reversed(list(enumerate(_BANDS))):
+        band = F.when(F.col("n") <= hi, i).otherwise(band)
+    failed = S.uniform(F.col("strand_id"), "failed") < F.least(F.lit(0.95), 0.1 * run + 1.0 / (1 + F.col("n")))
+    s = c.select("n", run.cast("double").alias("score"), failed.alias("failed"), F.lit(1).alias("one"), band.alias("band"))
+    mid = s.where(F.col("n").between(5, 10))
+    area = lambda df, n, auc: R.roc_auc(df, "score", "failed", ["one"]).select("one", (F.col("n_pos") + F.col("n_neg")).alias(n), F.round("auc", 9).alias(auc))
+    strata = R.stratified_auc(s, "score", "failed", "band", ["one"]).select("one", F.round("auc", 9).alias("auc_stratified"))
+    return area(s, "n", "auc").join(area(mid, "n_band", "auc_band"), "one").join(strata, "one").drop("one")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandlake.functions import probabilities as P
 from strandlake.functions import strands as S
 from strandlake.operators.consensus import evenly
 from strandlake.plans.base import SQL_BENCH, SQL_GC, SQL_RUN, SQL_STRANDS, benchmark_strands, document_strands, kmer_counts, query, sql_uniform, table
@@ -215,3 +216,24 @@ def sniffed(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = F.array(*(F.lit(h) for _, h in MAGIC), F.lit("C3FF"), F.lit(""))
     raw = F.concat(F.unhex(F.element_at(before, (F.col("page_id") % 7 + 1).cast("int"))), F.encode("html", "UTF-8"))
     return table(spark, sf_dir, "pages").select("page_id", sniff_kind(raw).alias("kind"), F.octet_length(raw).cast("long").alias("n_bytes"))
+
+
+_FACTORS = [1.0, 1.2, 2.0, 3.5, 6.0]
+
+
+@query("f26_base_probabilities", f"""WITH {SQL_BENCH}, p AS (SELECT strand_id, strand, unnest(range(1, length(strand) + 1)) AS pos FROM strands),
+b AS (SELECT *, substr(strand, pos, 1) AS base, CASE WHEN pos > 2 AND pos <= length(strand) - 2 THEN {_KMER} ELSE -1 END AS kmer FROM p),
+i AS (SELECT *, pos - row_number() OVER (PARTITION BY strand_id, base ORDER BY pos) AS island FROM b), r AS (SELECT *, count(*) OVER (PARTITION BY strand_id, base, island) AS run FROM i),
+m AS (SELECT strand_id, 1.0::DOUBLE + 2.0::DOUBLE * (pos - 1) / greatest(length(strand) - 1, 1) AS ramp, ({_FACTORS}::DOUBLE[])[least(run, 5)] AS f, CASE WHEN kmer >= 0 THEN 1 + (kmer % 7) / 10.0::DOUBLE ELSE 1 END AS c FROM r),
+v AS (SELECT strand_id, 0.06 * ramp * f * c AS d, 0.02 * ramp AS i, 0.03 * ramp * c AS s FROM m), w AS (SELECT *, CASE WHEN d + i + s > 0.5 THEN 0.5::DOUBLE / (d + i + s) ELSE 1 END AS k FROM v)
+SELECT strand_id, round(sum(d * k), 6) AS deletions, round(sum(i * k), 6) AS insertions, round(sum(s * k), 6) AS substitutions, count(*) FILTER (k < 1) AS capped FROM w GROUP BY 1""")
+def base_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected errors of each strand by kind: a ramp, factors of runs on deletions, factors of contexts, and the joint cap of each base."""
+    s = F.col("strand")
+    context = F.transform(S.kmer_ids(s, 5), lambda k: F.when(k >= 0, 1 + (k % 7) / F.lit(10.0)).otherwise(1.0))
+    context = F.transform(context, lambda c: F.struct(c.alias("sub"), F.lit(1.0).alias("ins"), c.alias("dele")))
+    p = P.base_probabilities(P.error_multipliers(s, 3.0, run_factors=_FACTORS), 0.03, 0.02, 0.06, context)
+    b = benchmark_strands(spark, sf_dir).select("strand_id", p.alias("p")).withColumn("q", P.cap_probabilities(F.col("p")))
+    total = lambda c: F.round(F.aggregate("q", F.lit(0.0), lambda a, x: a + x[c]), 6)
+    capped = F.size(F.filter("p", lambda x: x.dele + x.ins + x.sub > P.MOST)).cast("long")
+    return b.select("strand_id", total("dele").alias("deletions"), total("ins").alias("insertions"), total("sub").alias("substitutions"), capped.alias("capped"))
