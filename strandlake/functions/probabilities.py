@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.strands import runs
@@ -48,3 +48,14 @@ def cap_probabilities(p: Column, most: float = MOST) -> Column:
         return F.struct(*((x[c] * scale).alias(c) for c in ("dele", "ins", "sub")))
 
     return F.transform(p, one)
+
+
+def second_context(table: DataFrame, used: DataFrame, low: float = 0.1, high: float = 10.0) -> DataFrame:
+    """One row with arrays a and b, by number of context: the multipliers of table (kmer, a; all contexts of a length), and a second set of half their log amplitude, clipped to low and high.
+
+    b is scaled so that its mean over used (kmer, n: how often each context is met) is a's; contexts that are never met count for nothing.
+    """
+    t = table.withColumn("b", F.least(F.lit(high), F.greatest(F.lit(low), F.sqrt("a")))).join(used, "kmer", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    scale = F.coalesce(F.sum(F.col("a") * F.col("n")) / F.sum(F.col("b") * F.col("n")), F.lit(1.0))
+    one = t.agg(F.array_sort(F.collect_list(F.struct("kmer", "a", "b"))).alias("t"), scale.alias("scale"))
+    return one.select(F.transform("t", lambda x: x.a).alias("a"), F.transform("t", lambda x: x.b * F.col("scale")).alias("b"))

@@ -29,6 +29,16 @@ def rule_verdict(on: Column, off: Column, grid: list[float]) -> Column:
     return F.when(steps >= 1, "pays off").when(steps <= -1, "harmful").otherwise("no measurable benefit")
 
 
+def crossover_verdict(reads: Column, bits: Column, base_reads: Column, base_bits: Column) -> Column:
+    """1 where a codec is better than the default on a channel in reads or density and worse in neither, -1 where it is worse and better in neither or never meets the target, 0 else.
+
+    Reads differ from 0.05 on, bits per base from 0.005 on; a default that never meets the target needs more reads than any that does; unknown densities are equal.
+    """
+    fewer = F.when(base_reads.isNull(), 1).when(reads < base_reads - 0.05, 1).when(reads > base_reads + 0.05, -1).otherwise(0)
+    denser = F.when(bits.isNull() | base_bits.isNull(), 0).when(bits > base_bits + 0.005, 1).when(bits < base_bits - 0.005, -1).otherwise(0)
+    return F.when(reads.isNull(), -1).when((fewer + denser > 0) & (fewer * denser >= 0), 1).when((fewer + denser < 0) & (fewer * denser >= 0), -1).otherwise(0)
+
+
 def single_step(on: Column, off: Column) -> Column:
     """Whether a verdict rests on a gap of one grid step."""
     return F.coalesce(F.abs(on - off).between(0.05, 1.0), F.lit(False))

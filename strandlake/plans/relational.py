@@ -47,6 +47,22 @@ def crossover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.join(b, "coverage", "left").select("codec", "coverage", F.round("rate", 9).alias("rate"), F.round(gain, 9).alias("gain"), F.when(gain > 0.005, 1).when(gain < -0.005, -1).otherwise(0).alias("verdict"))
 
 
+_TARGETS = [0.2, 0.3, 0.34, 0.4]
+
+
+@query("e2_e9_targets_and_verdicts", f"""WITH {_RATES}, c AS (SELECT codec, target, min(CASE WHEN rate >= target THEN coverage END) AS reads, avg(rate) AS bits FROM rates, (SELECT unnest({_TARGETS}::DOUBLE[]) AS target) GROUP BY 1, 2),
+v AS (SELECT c.*, CASE WHEN b.reads IS NULL THEN 1 WHEN c.reads < b.reads - 0.05 THEN 1 WHEN c.reads > b.reads + 0.05 THEN -1 ELSE 0 END AS fewer, CASE WHEN c.bits > b.bits + 0.005 THEN 1 WHEN c.bits < b.bits - 0.005 THEN -1 ELSE 0 END AS denser
+FROM c JOIN c b ON b.codec = 'BUILDING' AND b.target = c.target)
+SELECT codec, target, reads, round(bits, 9) AS bits, CASE WHEN reads IS NULL THEN -1 WHEN fewer >= 0 AND denser >= 0 AND fewer + denser > 0 THEN 1 WHEN fewer <= 0 AND denser <= 0 AND fewer + denser < 0 THEN -1 ELSE 0 END AS verdict FROM v""")
+def targets_and_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least coverage at which each codec meets each of several targets, and how it compares with the default one by reads and mean rate together."""
+    r = rates(spark, sf_dir).withColumn("target", F.explode(F.array(*map(F.lit, _TARGETS))))
+    c = r.groupBy("codec", "target").agg(F.min(F.when(F.col("rate") >= F.col("target"), F.col("coverage"))).alias("reads"), F.avg("rate").alias("bits"))
+    b = c.where(F.col("codec") == "BUILDING").select("target", F.col("reads").alias("base_reads"), F.col("bits").alias("base_bits"))
+    verdict = E.crossover_verdict(F.col("reads"), F.col("bits"), F.col("base_reads"), F.col("base_bits"))
+    return c.join(b, "target").select("codec", "target", "reads", F.round("bits", 9).alias("bits"), verdict.alias("verdict"))
+
+
 @query("j10_u4_dense_table", """SELECT r_name, p.o_orderpriority AS priority, coalesce(n::VARCHAR, 'not audited') AS cell FROM region CROSS JOIN (SELECT DISTINCT o_orderpriority FROM orders) p LEFT JOIN
 (SELECT n_regionkey, o_orderpriority, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 400000 GROUP BY 1, 2) c ON c.n_regionkey = r_regionkey AND c.o_orderpriority = p.o_orderpriority""")
 def dense_table(spark: SparkSession, sf_dir: str) -> DataFrame:

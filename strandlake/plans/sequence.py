@@ -237,3 +237,20 @@ def base_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = lambda c: F.round(F.aggregate("q", F.lit(0.0), lambda a, x: a + x[c]), 6)
     capped = F.size(F.filter("p", lambda x: x.dele + x.ins + x.sub > P.MOST)).cast("long")
     return b.select("strand_id", total("dele").alias("deletions"), total("ins").alias("insertions"), total("sub").alias("substitutions"), capped.alias("capped"))
+
+
+_A = "1 + ((kmer * 37) % 101) / 5.0::DOUBLE"
+
+
+@query("f35_context_b", f"""WITH {SQL_BENCH}, p AS (SELECT strand_id, strand, unnest(range(1, length(strand) + 1)) AS pos FROM strands), k AS (SELECT strand_id, CASE WHEN pos > 2 AND pos <= length(strand) - 2 THEN {_KMER} ELSE -1 END AS kmer FROM p),
+m AS (SELECT strand_id, kmer, CASE WHEN kmer >= 0 THEN {_A} END AS a, CASE WHEN kmer >= 0 THEN least(4.0::DOUBLE, greatest(1.5::DOUBLE, sqrt({_A}))) END AS b FROM k), s AS (SELECT avg(a) / avg(b) AS scale FROM m)
+SELECT strand_id, round(avg(coalesce(a, 1)), 6) AS mean_a, round(avg(coalesce(b * scale, 1)), 6) AS mean_b FROM m, s GROUP BY 1""")
+def context_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multipliers of contexts, and a second table of half their log amplitude, clipped, and scaled to the same mean over all bases that have a context."""
+    ctx = spark.range(1024).select(F.col("id").alias("kmer"), (1 + ((F.col("id") * 37) % 101) / 5.0).alias("a"))
+    k = benchmark_strands(spark, sf_dir).select("strand_id", S.kmer_ids(F.col("strand"), 5).alias("kmers"))
+    used = k.select(F.explode("kmers").alias("kmer")).where("kmer >= 0").groupBy("kmer").agg(F.count("*").alias("n"))
+    tables = P.second_context(ctx, used, low=1.5, high=4.0)
+    of = lambda name: F.transform("kmers", lambda i: F.when(i >= 0, F.get(name, i)).otherwise(1.0))
+    mean = lambda a: F.round(F.aggregate(a, F.lit(0.0), lambda t, v: t + v) / F.size(a), 6)
+    return k.where(F.size("kmers") > 0).crossJoin(F.broadcast(tables)).select("strand_id", mean(of("a")).alias("mean_a"), mean(of("b")).alias("mean_b"))  # one row
