@@ -35,6 +35,15 @@ def saved_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.load_runs(spark, path).select("situation", F.substring("run_id", 2, 4).alias("run_id"), "n_trials", "mean")
 
 
+@query("s8_run_ids", "SELECT DISTINCT 'y' || year(o_orderdate)::VARCHAR AS run_id FROM orders")
+def saved_run_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of a folder of results, by its files alone."""
+    r = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("situation"), F.concat(F.lit("y"), F.year("o_orderdate")).alias("run_id")).agg(F.count("*").alias("n_trials"))
+    path = fresh_path(spark, "runs")
+    S.save_runs(r, path)
+    return S.run_ids(spark, path).select(F.substring_index("run_id", "=", -1).alias("run_id"))
+
+
 @query("s10_r7_recordings", "SELECT user_id, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1")
 def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events recorded as JSON lines and replayed as a stream."""
