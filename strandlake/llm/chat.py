@@ -25,7 +25,8 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     Both sides have rows (pair_id, turn, role, text). Turns are in the order of turn (null first), then role and text, so that repeated rows and ties have
     a place; numbers need not be consecutive. Turns are equal if role and text are (null equals null); null texts and roles render as
     empty. A side without rows has an empty completion, as has one that is a prefix of the other. Masks are "start:end" in code points
-    of the completion, end exclusive, comma-joined. A null pair_id is a pair. Other columns are not used.
+    of the completion, end exclusive, comma-joined. A null pair_id is a pair. Other columns are not used, whatever their names. Very
+    long conversations and texts are rendered whole. Empty tables give no rows.
     """
     sides = [
         side.select("pair_id", F.struct("turn", "role", "text").alias("t"), F.lit(name).alias("side")) for side, name in ((chosen, "c"), (rejected, "r"))

@@ -187,7 +187,8 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
 def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with its columns; rows without words (null and empty texts among them) go.
 
-    Of rows with equal doc_id, source and number of words, the mix decides for the first, second, ... in the order of their texts. An empty table gives no rows.
+    Of rows with equal doc_id, source and number of words, the mix decides for the first, second, ... in the order of their texts; which of
+    rows that differ in further columns only comes first is open. Names that begin with two underscores are taken. An empty table gives no rows.
     """
     taken = mix(docs, seed).where("taken > 0").select(*(F.col(c).alias(f"__{c}") for c in ("doc_id", "source", "size", "i", "copies")))
     same = Window.partitionBy("doc_id", "source", "__words").orderBy("text")

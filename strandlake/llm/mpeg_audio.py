@@ -280,7 +280,9 @@ def padded(text: str | None) -> tuple[int, bytes]:
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media for every row of docs (doc_id, text); null texts count as empty, equal texts have equal media."""
+    """doc_id, n_bytes, media for every row of docs (doc_id, text); null texts count as empty, equal texts (repeated rows too) have equal media.
+
+    Long texts are stored whole, in as many frames as they need. An empty table gives no rows. Other columns are not read, whatever their names."""
 
     def run(batches):
         for batch in batches:

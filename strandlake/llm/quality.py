@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     """Model from at most rows_per_class labelled rows of each class.
 
     Learned from: rows of labels (doc_id, quality) with one known quality, not held out, and a row of docs. A doc_id with contradicting
-    labels is left out.
+    labels is left out; of a doc_id on several rows the smallest text counts, nulls last. Whole texts of the sample reach the driver: rows are bounded, bytes are not.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")

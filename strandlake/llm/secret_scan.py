@@ -311,7 +311,8 @@ FIELDS = [T.StructField("secret_spans", T.ArrayType(T.StructType([T.StructField(
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with secret_spans (kind, start, end in code points) by start, then rule.
 
-    Null and empty texts have none. Repeated rows have equal results. A column of docs with that name is replaced.
+    Null and empty texts have none. Repeated rows have equal results. Texts are scanned whole, in time that grows with their length. An empty table gives no rows. A column of docs with that
+    name is replaced.
     """
 
     s = scanner()  # compiled once, on the driver

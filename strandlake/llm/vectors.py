@@ -153,7 +153,7 @@ def near_vectors(table: DataFrame, least: float = 0.93) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of table (vec_id, embedding, label).
 
     Links: equal labels and cosine of at least least. Vectors that are null, empty, zero, of another length than most, or hold null or non-finite components link
-    with nothing, nor do rows without label or vec_id (a null vec_id has a null component and is kept). Repeated rows link with each other; a
+    with nothing, nor do rows without label or vec_id (a null vec_id has a null component and is kept). Very long vectors are compared whole. Repeated rows link with each other; a
     vec_id on several rows is one node. Doubles are compared as they are, and as long as given; other columns are not read, whatever their names. An empty table gives no rows. The
     result is a staged table.
     """
