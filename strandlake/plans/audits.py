@@ -177,11 +177,11 @@ def distinct_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("k", F.row_number().over(w)).where("k <= 3").select("strand_id", "read", "weight")
 
 
-@query("t10_refined_targets", """WITH g AS (SELECT DISTINCT o_orderpriority, (o_custkey % 30) AS c FROM orders WHERE o_totalprice > 300000), l AS (SELECT *, lag(c) OVER (PARTITION BY o_orderpriority ORDER BY c) AS before FROM g)
+@query("t10_refined_targets", """WITH g AS (SELECT DISTINCT o_orderpriority, ceil(o_totalprice / 5000) / 2.0::DOUBLE AS c FROM orders), l AS (SELECT *, lag(c) OVER (PARTITION BY o_orderpriority ORDER BY c) AS before FROM g)
 SELECT o_orderpriority, c, CASE WHEN before IS NULL OR c - 0.5 > before THEN c - 0.5 ELSE c END::DOUBLE AS refined FROM l""")
 def refined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half a step below each grid point, where that is above the one before."""
-    g = table(spark, sf_dir, "orders").where("o_totalprice > 300000").select("o_orderpriority", (F.col("o_custkey") % 30).alias("c")).distinct()
+    g = table(spark, sf_dir, "orders").select("o_orderpriority", (F.ceil(F.col("o_totalprice") / 5000) / 2.0).alias("c")).distinct()
     before = F.lag("c").over(Window.partitionBy("o_orderpriority").orderBy("c"))
     return g.select("o_orderpriority", "c", F.when(before.isNull() | (F.col("c") - 0.5 > before), F.col("c") - 0.5).otherwise(F.col("c")).cast("double").alias("refined"))
 

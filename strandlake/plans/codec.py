@@ -40,14 +40,13 @@ def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.crossJoin(F.broadcast(rows.groupBy("l_partkey").agg(F.count("*").alias("n")).agg(F.min("n").alias("least_cover"), F.count("*").alias("chunks"))))  # one row each
 
 
-@query("c6_peel", """WITH RECURSIVE e0 AS (SELECT DISTINCT l_suppkey * 4 + l_linenumber % 4 AS eq, l_partkey AS chunk FROM lineitem WHERE l_quantity <= 2),
+@query("c6_peel", """WITH RECURSIVE e0 AS (SELECT DISTINCT l_orderkey AS eq, l_partkey AS chunk FROM lineitem),
 s AS (SELECT 1 AS round, (SELECT list({'eq': eq, 'chunk': chunk}) FROM e0) AS edges, (SELECT coalesce(list(DISTINCT chunk), []) FROM (SELECT min(chunk) AS chunk FROM e0 GROUP BY eq HAVING count(*) = 1)) AS found
 UNION ALL SELECT round + 1, list_filter(edges, lambda e: NOT list_contains(found, e.chunk)), (SELECT coalesce(list(DISTINCT chunk), []) FROM (SELECT min(x.e.chunk) AS chunk FROM (SELECT unnest(list_filter(edges, lambda e: NOT list_contains(found, e.chunk))) AS e) x GROUP BY x.e.eq HAVING count(*) = 1))
 FROM s WHERE len(found) > 0) SELECT unnest(found) AS chunk, round::INT AS round FROM s""")
 def peeled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Peeling until nothing comes free: equations are suppliers' quarters, chunks the parts of their small orders."""
-    e = table(spark, sf_dir, "lineitem").where("l_quantity <= 2")
-    return L.peel(e.select((F.col("l_suppkey") * 4 + F.col("l_linenumber") % 4).alias("eq"), F.col("l_partkey").alias("chunk")))
+    """Peeling until nothing comes free: equations are orders, chunks the parts of their lines."""
+    return L.peel(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("eq"), F.col("l_partkey").alias("chunk")))
 
 
 @query("u2_first_valid_copy", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS k FROM lineitem WHERE l_discount > 0) SELECT l_partkey, l_orderkey, l_linenumber FROM r WHERE k = 1""")

@@ -63,21 +63,21 @@ def targets_and_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(b, "target").select("codec", "target", "reads", F.round("bits", 9).alias("bits"), verdict.alias("verdict"))
 
 
-@query("j10_u4_dense_table", """SELECT r_name, p.o_orderpriority AS priority, coalesce(n::VARCHAR, 'not audited') AS cell FROM region CROSS JOIN (SELECT DISTINCT o_orderpriority FROM orders) p LEFT JOIN
-(SELECT n_regionkey, o_orderpriority, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 400000 GROUP BY 1, 2) c ON c.n_regionkey = r_regionkey AND c.o_orderpriority = p.o_orderpriority""")
+@query("j10_u4_dense_table", """SELECT n_name, p.rule, coalesce(n::VARCHAR, 'not audited') AS cell FROM nation CROSS JOIN (SELECT DISTINCT o_orderpriority || ' ' || o_orderstatus AS rule FROM orders) p LEFT JOIN
+(SELECT c_nationkey, o_orderpriority || ' ' || o_orderstatus AS rule, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) c ON c.c_nationkey = n_nationkey AND c.rule = p.rule""")
 def dense_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule by situation with every cell there."""
-    o = table(spark, sf_dir, "orders")
-    c = o.where("o_totalprice > 400000").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    cells = c.groupBy(F.col("n_regionkey").alias("r_regionkey"), F.col("o_orderpriority").alias("priority")).agg(F.count("*").cast("string").alias("cell"))
-    frame = table(spark, sf_dir, "region").crossJoin(F.broadcast(o.select(F.col("o_orderpriority").alias("priority")).distinct()))  # five priorities
-    return frame.join(cells, ["r_regionkey", "priority"], "left").select("r_name", "priority", F.coalesce("cell", F.lit("not audited")).alias("cell"))
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("rule"))
+    c = o.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    cells = c.groupBy(F.col("c_nationkey").alias("n_nationkey"), "rule").agg(F.count("*").cast("string").alias("cell"))
+    frame = table(spark, sf_dir, "nation").crossJoin(F.broadcast(o.select("rule").distinct()))  # five priorities of three states
+    return frame.join(cells, ["n_nationkey", "rule"], "left").select("n_name", "rule", F.coalesce("cell", F.lit("not audited")).alias("cell"))
 
 
-@query("j12_u3_set_operations", """SELECT 'only observed' AS part, count(*) AS n FROM (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 EXCEPT SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)
-UNION ALL SELECT 'both', count(*) FROM (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 INTERSECT SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) UNION ALL SELECT 'never seen', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+@query("j12_u3_set_operations", """SELECT 'only observed' AS part, count(*) AS n FROM (SELECT l_suppkey FROM lineitem EXCEPT SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)
+UNION ALL SELECT 'both', count(*) FROM (SELECT l_suppkey FROM lineitem INTERSECT SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) UNION ALL SELECT 'never seen', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
 def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select("l_suppkey")
+    seen = table(spark, sf_dir, "lineitem").select("l_suppkey")
     design = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select("s_suppkey")
     never = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
     parts = {"only observed": seen.subtract(design), "both": seen.intersect(design), "never seen": never}
