@@ -31,7 +31,7 @@ from strandlake.llm.common import stage, unstage
 #: Text of a slice at most, if it has more than one document; rows of it.
 SLICE_BYTES, SLICE_ROWS = 4 << 20, 4096
 #: Units that a worker remembers, and the longest that it does; bytes of new units that are encoded at once.
-MEMO, LONGEST, BATCH = 1 << 17, 64, 1 << 15
+MEMO, LONGEST, BATCH = 1 << 18, 64, 1 << 15
 CUT = re.compile(r"(?<=\S) (?=\S)")
 MARK = "▁"
 _BITS = 32
