@@ -135,7 +135,9 @@ def decode(strands: DataFrame, reads: DataFrame, rounds: int = 3, most: int = 16
     Of each strand's reads at most so many, evenly spaced in their order, take part. The draft is their medoid; each round aligns the reads to it and rebuilds it by votes. Only
     strands whose draft a round has changed enter the next one; tables between rounds are written to the shared folder. What is settled is brought to its length by its last votes.
     """
-    r = written(evenly(reads.select("strand_id", "read_no", "read"), most).select(F.col("strand_id").cast("long"), "read_no", "read", "n"), "reads")
+    # few bytes of reads are much work to align, so they aren't gathered into few tasks by their size
+    tasks = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = written(evenly(reads.select("strand_id", "read_no", "read"), most).select(F.col("strand_id").cast("long"), "read_no", "read", "n").repartition(tasks, "strand_id"), "reads")
     counts = r.groupBy("strand_id").agg(F.max("n").alias("n_reads"), F.count("*").alias("used"))
     lengths = strands.select(F.col("strand_id").cast("long"), "length")
     first = medoids(r, lengths).join(counts, "strand_id").join(lengths, "strand_id")

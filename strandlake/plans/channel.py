@@ -199,7 +199,8 @@ def position_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reconstructed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strands rebuilt from noisy reads by alignment and majority, each to its own length."""
     s = benchmark_strands(spark, sf_dir)
-    noisy = X.mutate(X.reads_of(s.select("strand_id", "strand"), MEAN, SEED, 0.02, 0.05), 0.02, 0.01, 0.015, SEED)
+    spread = s.select("strand_id", "strand").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "strand_id")
+    noisy = X.mutate(X.reads_of(spread, MEAN, SEED, 0.02, 0.05), 0.02, 0.01, 0.015, SEED)
     d = C.decode(s.select("strand_id", F.length("strand").alias("length")), noisy)
     return C.evaluate(d.join(s.select("strand_id", F.col("strand").alias("reference"), (F.col("item_id") % 4).alias("part")), "strand_id"), ["part"])
 
