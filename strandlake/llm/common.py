@@ -83,6 +83,28 @@ def with_arrow_columns(df: DataFrame, text: str, fields: list[T.StructField], ma
     return df.mapInArrow(run, schema)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has in any case: these, with underscores before them as needed."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def plain(columns: list[str]) -> list[Column]:
+    """Columns by name, whatever signs are in it."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def ordered_columns(df: DataFrame) -> list[Column]:
+    """Sort keys of all columns that have an order (maps and variants have none), nulls last."""
+    return [c.asc_nulls_last() for c, (_, kind) in zip(plain(df.columns), df.dtypes) if "map<" not in kind and "variant" not in kind]
+
+
 def running_start(df: DataFrame, key: str, value: str, out: str, block: int = 1024) -> DataFrame:
     """df (key: 0, 1, 2, ...) with the sum of value over all smaller keys, in two levels so that no window sees all rows."""
     df = df.withColumn("__block", F.floor(F.col(key) / block))

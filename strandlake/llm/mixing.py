@@ -4,7 +4,8 @@ A source with target t and size s takes every document floor(t / s) times, and o
 are taken once more is decided by the flight of the cube method: three undecided documents at a time move along the direction that
 leaves both their expected number and their expected words as they are, until one of them is in or out. This runs in blocks of a
 source, chosen by a hash of the row; at most two documents of a block stay undecided. These form new blocks, until a source has only
-one: its last two are landed so that the words come nearest to the target.
+one: its last two are landed so that the words come nearest to the target, and exchanges bring them nearer while the number of documents stays
+within one of what is expected.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ from __future__ import annotations
 import hashlib
 from itertools import product
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import running_sums, stage, unstage
+from strandlake.llm.common import ordered_columns, plain, running_sums, stage, unstage, unused
 
 #: Weights of sources in the order of their names, repeating (fixed values); a source's words are taken this often at most.
 WEIGHTS, MOST = (5, 2, 1), 3
@@ -84,8 +86,11 @@ def flight(p: list[float], x: list[int], draw) -> list[float]:
 
 
 def landing(p: list[float], x: list[int], words: float) -> list[float]:
-    """Decide the last few undecided so that the total comes nearest to words; then exchange the single decision that brings it nearest, until none
-    brings it nearer (sources of a few documents need it; in larger ones the first choice is within a fraction of a document)."""
+    """Decide the last few undecided so that the total comes nearest to words; then exchange decisions until no exchange brings it nearer.
+
+    An exchange takes one document for another, or takes or leaves a single one where the number of documents stays within one of sum(p)
+    (or comes nearer to it), so that both totals are held: words as near as exchanges get them, documents to less than two.
+    """
     undecided = [i for i, v in enumerate(p) if 0 < v < 1]
     number = sum(p)
     settled = [sum(p[i] * x[i] for i in range(len(p)) if i not in undecided), sum(v for i, v in enumerate(p) if i not in undecided)]
@@ -93,17 +98,36 @@ def landing(p: list[float], x: list[int], words: float) -> list[float]:
     def off(c):
         return abs(settled[0] + sum(v * x[i] for v, i in zip(c, undecided)) - words), abs(settled[1] + sum(c) - number), c
 
-    out = list(p)
+    taken = np.array(p)
     for i, v in zip(undecided, min(product((0, 1), repeat=len(undecided)), key=off)):
-        out[i] = float(v)
-    over = sum(v * s for v, s in zip(out, x)) - words
+        taken[i] = v
+    size = np.array(x, dtype=np.float64)
+    order = np.argsort(size, kind="stable")
+    over = float(taken @ size) - words
     while True:  # each exchange brings whole words
-        gain, i = min(((abs(over + (1 - 2 * out[i]) * x[i]), i) for i in range(len(x))), default=(0, -1))
-        if gain >= abs(over):
-            break
-        over += (1 - 2 * out[i]) * x[i]
-        out[i] = 1 - out[i]
-    return out
+        inside, outside = order[taken[order] > 0], order[taken[order] == 0]
+        more = len(inside) - number
+        ways = []
+        if len(inside) and abs(more - 1) <= max(1, abs(more)):
+            ways.append(_nearest(over - size[inside], lambda k: [inside[k]]))
+        if len(outside) and abs(more + 1) <= max(1, abs(more)):
+            ways.append(_nearest(over + size[outside], lambda k: [outside[k]]))
+        if len(inside) and len(outside):
+            # for each document taken, the sizes on both sides of what would bring the total to words
+            at = np.searchsorted(size[outside], size[inside] - over)
+            for there in (np.maximum(at - 1, 0), np.minimum(at, len(outside) - 1)):
+                ways.append(_nearest(over - size[inside] + size[outside[there]], lambda k, there=there: [inside[k], outside[there[k]]]))
+        best, new, flips = min(ways, key=lambda w: w[0], default=(0.0, 0.0, None))
+        if flips is None or best >= abs(over) - 1e-9:
+            return taken.tolist()
+        over = new
+        taken[flips] = 1 - taken[flips]
+
+
+def _nearest(totals: np.ndarray, flips) -> tuple:
+    """(distance, total, documents to flip) of the total nearest to 0, the first on a tie."""
+    k = int(np.argmin(np.abs(totals)))
+    return abs(float(totals[k])), float(totals[k]), flips(k)
 
 
 def _drawn(seed: int, key: str):
@@ -185,13 +209,15 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
 
 
 def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with its columns; rows without words (null and empty texts among them) go.
+    """The rows of docs, each as often as the mix takes it, with its columns whatever their names; rows without words (null and empty texts among them) go.
 
-    Of rows with equal doc_id, source and number of words, the mix decides for the first, second, ... in the order of their texts; which of
-    rows that differ in further columns only comes first is open. Names that begin with two underscores are taken. An empty table gives no rows.
+    Of rows with equal doc_id, source and number of words, the mix decides for the first, second, ... in the order of their texts and then of their further columns (but
+    for maps, which have no order). An empty table gives no rows.
     """
-    taken = mix(docs, seed).where("taken > 0").select(*(F.col(c).alias(f"__{c}") for c in ("doc_id", "source", "size", "i", "copies")))
-    same = Window.partitionBy("doc_id", "source", "__words").orderBy("text")
-    rows = docs.withColumn("__words", word_count()).where("__words > 0").withColumn("__nth", F.row_number().over(same))
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc_id")) & F.col("source").cast("string").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")) & (F.col("__nth") == F.col("__i"))
-    return rows.join(taken, match).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(docs.columns)
+    words, nth, copy, *names = unused(docs, "words", "nth", "copy", "doc_id", "source", "size", "i", "copies")
+    of_id, of_source, of_size, i, copies = names
+    taken = mix(docs, seed).where("taken > 0").select(*(F.col(c).alias(n) for c, n in zip(("doc_id", "source", "size", "i", "copies"), names)))
+    same = Window.partitionBy("doc_id", "source", words).orderBy("text", *ordered_columns(docs))
+    rows = docs.withColumn(words, word_count()).where(F.col(words) > 0).withColumn(nth, F.row_number().over(same))
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col(of_id)) & F.col("source").cast("string").eqNullSafe(F.col(of_source)) & (F.col(words) == F.col(of_size)) & (F.col(nth) == F.col(i))
+    return rows.join(taken, match).withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).select(*plain(docs.columns))

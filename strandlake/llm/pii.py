@@ -453,13 +453,13 @@ def train(docs: DataFrame, text: str = "text") -> tuple[Model, dict]:
     return Model(weights, names), told
 
 
-def detect(docs: DataFrame, weights: Model | np.ndarray, text: str = "text", redact: bool = False) -> DataFrame:
-    """docs with pii_spans (kind, start, end in code points, base), and with the text redacted if asked.
+def detect(docs: DataFrame, weights: Model | np.ndarray, text: str = "text", redact: bool = False, column: str = "pii_spans") -> DataFrame:
+    """docs with pii_spans, or another column (kind, start, end in code points, base), and with the text redacted if asked.
 
     Null and empty texts have no spans (null stays null). Rows are taken one by one: repeated rows have equal results; texts are searched whole, in time that
     grows with their length. An empty table gives no rows. Columns of docs with the name of a new one are replaced.
     """
-    fields = [T.StructField("pii_spans", SPAN)]
+    fields = [T.StructField(column, SPAN)]
     if redact:
         fields.append(T.StructField(text, T.StringType()))
 

@@ -6,6 +6,7 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from strandlake.llm import mixing, pieces, pii, quality
@@ -42,6 +43,23 @@ def test_empty_table_and_columns(spark, docs, sf_dir, name, f):
         assert out.columns == docs.columns and f(spark, docs, sf_dir).dtypes == docs.dtypes
 
 
+@pytest.mark.parametrize("name,f", P.STAGES[:-1])
+def test_columns_of_the_same_names(spark, docs, sf_dir, name, f):
+    clash = {n: F.lit(n) for n in ("hash", "node", "words", "nth", "copy", "kept", "place", "copies", "spans", "pii_spans", "i", "__score", "__hash", "__words")}
+    wide = docs.withColumns(clash)
+    out = f(spark, wide, sf_dir)
+    got = [r.asDict() for r in out.collect()]
+    assert out.columns == wide.columns and got and all(r[n] == n for r in got for n in clash)
+    assert Counter(r["doc_id"] for r in got) == Counter(r.doc_id for r in f(spark, docs, sf_dir).collect())
+
+
+def test_mixing_decides_for_rows_by_their_further_columns(spark, docs, sf_dir):
+    rows = [(i // 4, "w " * (1 + i // 4 % 5), f"l{i % 4}", "ab"[i % 8 // 4]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    runs = [Counter(map(tuple, P.mix_sources(spark, d, sf_dir).collect())) for d in (docs, docs.orderBy(F.desc("lang")), docs.repartition(7))]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) > 100
+
+
 def key(r):
     return tuple(map(repr, r))
 
