@@ -1,7 +1,7 @@
 """Corpus pipeline: quality classifier, near-duplicates, personal data, mixing of sources, token ids.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the columns of documents, and any others that docs
-has, whatever their names. Between stages the rows are written as Parquet and read again, so a lost executor costs one stage at most. Every stage takes an empty
+has, whatever their names (but dots in them, which mapInArrow does not take). Between stages the rows are written as Parquet and read again, so a lost executor costs one stage at most. Every stage takes an empty
 table, and texts of any length whole.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm import mixing, pieces, pii, quality
-from strandlake.llm.common import stage, table
+from strandlake.llm.common import ordered_columns, plain, stage, table, unused
 from strandlake.llm.minhash import near_duplicates
 
 #: Scores below this are rejected.
@@ -25,7 +25,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts are scored as well, as texts without features; rows without doc_id count like others. Equal texts fare alike.
     """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, column="__score").where(F.col("__score") >= LEAST_QUALITY).select(docs.columns)
+    (score,) = unused(docs, "score")
+    return quality.score(docs, model, column=score).where(F.col(score) >= LEAST_QUALITY).select(*plain(docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,17 +35,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Of rows with equal doc_id and text one stays. Different texts under one doc_id are documents of their own; the one whose hash is smallest has the doc_id's place in a
     group, the others come after all doc_ids. Null and empty texts resemble nothing; rows without doc_id stay.
     """
-    known = docs.where("doc_id is not null").withColumn("__hash", F.xxhash64("text"))
-    of = known.groupBy(F.col("doc_id").alias("__id")).agg(F.min("__hash").alias("__low"), F.max("__hash").alias("__high"))
-    several = of.where("__low <> __high").select("__id", "__low")
-    later = F.shiftrightunsigned(F.xxhash64("doc_id", "__hash"), 2).bitwiseOR(F.lit(1 << 62))
-    node = F.when(F.col("__low").isNull() | (F.col("__hash") == F.col("__low")), F.col("doc_id").cast("long")).otherwise(later)
-    rows = known.join(several, known.doc_id == F.col("__id"), "left").withColumn("__node", node).select(*docs.columns, "__node")
+    hash_, id_, low, high, node, kept, place = unused(docs, "hash", "id", "low", "high", "node", "kept", "place")
+    known = docs.where("doc_id is not null").withColumn(hash_, F.xxhash64("text"))
+    of = known.groupBy(F.col("doc_id").alias(id_)).agg(F.min(hash_).alias(low), F.max(hash_).alias(high))
+    several = of.where(F.col(low) != F.col(high)).select(id_, low)
+    later = F.shiftrightunsigned(F.xxhash64("doc_id", hash_), 2).bitwiseOR(F.lit(1 << 62))
+    number = F.when(F.col(low).isNull() | (F.col(hash_) == F.col(low)), F.col("doc_id").cast("long")).otherwise(later)
+    rows = known.join(several, known.doc_id == F.col(id_), "left").withColumn(node, number).select(*plain(docs.columns), node)
     rows = stage(rows, "nodes")
-    kept = near_duplicates(rows.select(F.col("__node").alias("doc_id"), "text"), words=5, percent=80).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = rows.join(kept, rows["__node"] == F.col("__kept")).drop("__kept")
-    first = F.row_number().over(Window.partitionBy("__node").orderBy(*(F.col(c).asc_nulls_last() for c, kind in docs.dtypes if not kind.startswith("map"))))
-    one = kept.withColumn("__row", first).where("__row = 1").select(docs.columns)
+    near = near_duplicates(rows.select(F.col(node).alias("doc_id"), "text"), words=5, percent=80)
+    chosen = rows.join(near.where("kept").select(F.col("doc_id").alias(kept)).distinct(), F.col(node) == F.col(kept))
+    first = F.row_number().over(Window.partitionBy(node).orderBy(*ordered_columns(docs)))
+    one = chosen.withColumn(place, first).where(F.col(place) == 1).select(*plain(docs.columns))
     return one.union(docs.where("doc_id is null"))
 
 
@@ -54,10 +56,10 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts stay as they are, with their n_chars; texts without personal data too. Equal texts fare alike.
     """
     weights, _ = pii.train(docs)
-    out = pii.detect(docs, weights, redact=True)
+    out = pii.detect(docs, weights, redact=True, column=unused(docs, "spans")[0])
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
-    return out.select(docs.columns)
+    return out.select(*plain(docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
