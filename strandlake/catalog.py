@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from strandlake.plans import base
-from strandlake.plans import audits, channel, codec, errors, files, probes, relational, sequence, statistics, streams, verdicts  # noqa: F401  register queries
+from strandlake.plans import audits, channel, codec, errors, files, probes, relational, reports, sequence, statistics, streams, verdicts  # noqa: F401  register queries
 
 
 def queries() -> dict:

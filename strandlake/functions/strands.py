@@ -126,3 +126,19 @@ def write_cost_per_mb(bits_per_base: Column, usd_per_base: Column) -> Column:
 
 def read_cost_per_mb(bits_per_base: Column, length: Column, reads: Column, usd_per_read: Column) -> Column:
     return 8e6 / bits_per_base / length * reads * usd_per_read
+
+
+def channels(s: Column, width: int) -> Column:
+    """width structs of pos (from 0), a, c, g, t, mask (1 up to the strand's end) and place (0 at the first letter, 1 at the last; 0 behind the end)."""
+
+    def one(i: Column) -> Column:
+        inside = i < F.length(s)
+        letters = [(F.substr(s, i + 1, F.lit(1)) == b).cast("int").alias(b.lower()) for b in BASES]
+        return F.struct(i.alias("pos"), *letters, inside.cast("int").alias("mask"), F.when(inside, i / F.greatest(F.lit(1), F.length(s) - 1)).otherwise(0.0).alias("place"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), one)
+
+
+def distance_within(a: Column, b: Column, most: Column) -> Column:
+    """Edit distance where it is at most most, else most + 1. Spark's bounded distance takes a constant only, so lengths that differ by more are told apart first."""
+    return F.when(F.abs(F.length(a) - F.length(b)) > most, most + 1).otherwise(F.least(F.levenshtein(a, b), most + 1))

@@ -118,3 +118,8 @@ def per_trial(trials: DataFrame, seeds: DataFrame, by: list[str]) -> DataFrame:
     t = t.crossJoin(F.broadcast(n))  # one row
     wrong = F.concat(F.lit("per-trial results for "), F.col("n"), F.lit(" trials, expected "), F.col("expected"))
     return t.where(F.when((F.col("n") == F.col("expected")) & (F.col("seeds") == F.col("expected")), True).otherwise(F.raise_error(wrong))).select(*by, "n", "accuracy", "recovered")
+
+
+def held_out_strand(strand: Column, every: int = 5) -> Column:
+    """Whether a strand is held out, by its CRC-32: the same in every file that has it."""
+    return F.crc32(F.encode(strand, "UTF-8")) % every == 0
