@@ -10,8 +10,9 @@ from strandlake.operators.ordering import placed
 from strandlake.plans.base import query, table
 
 GRID = [2.0, 4.0, 6.0, 8.0, 10.0, 15.0, 20.0, 30.0, 40.0]
-# Settings from suppliers of parts: the reads that the default and the tuned one need, and their bits per base.
-_PAIRED = """p AS (SELECT l_partkey AS id, min(CASE WHEN l_linenumber = 1 THEN l_quantity END) AS d, min(CASE WHEN l_linenumber = 2 THEN l_quantity END) AS t, round(avg(l_discount), 2) * 10 AS d_bits, round(avg(l_tax), 2) * 10 AS t_bits,
+# Settings from suppliers of parts: the reads that the default and the tuned one need, and their bits per base: means to whole hundredths, times ten. A mean
+# is taken to seven more places first, so that a half is one in whatever order its lines are summed.
+_PAIRED = """p AS (SELECT l_partkey AS id, min(CASE WHEN l_linenumber = 1 THEN l_quantity END) AS d, min(CASE WHEN l_linenumber = 2 THEN l_quantity END) AS t, round(round(avg(l_discount) * 100, 7)) / 10 AS d_bits, round(round(avg(l_tax) * 100, 7)) / 10 AS t_bits,
 min(CASE WHEN l_linenumber = 3 THEN l_quantity END) AS m FROM lineitem GROUP BY 1)"""
 
 
@@ -21,7 +22,8 @@ def _step(c: str) -> str:
 
 def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = lambda n: F.min(F.when(F.col("l_linenumber") == n, F.col("l_quantity")))
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(q(1).alias("d"), q(2).alias("t"), (F.round(F.avg("l_discount"), 2) * 10).alias("d_bits"), (F.round(F.avg("l_tax"), 2) * 10).alias("t_bits"), q(3).alias("m"))
+    bits = lambda c: F.round(F.round(F.avg(c) * 100, 7)) / 10
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(q(1).alias("d"), q(2).alias("t"), bits("l_discount").alias("d_bits"), bits("l_tax").alias("t_bits"), q(3).alias("m"))
 
 
 @query("e7_matched_and_redundancy", f"""WITH {_PAIRED}, s AS (SELECT *, {_step("d")} AS ds, {_step("t")} AS ts, coalesce(d <= 20, false) AS old, coalesce(t <= 20, false) AS new FROM p)
