@@ -30,3 +30,7 @@ def both(spark, folder, name, column):
 
 def test_redundancy_verdict_at_a_half(spark, lines):
     assert both(spark, lines, "e7_matched_and_redundancy", "redundancy") == ({"default is fine"}, {"default is fine"})
+
+
+def test_tradeoff_at_a_half(spark, lines):
+    assert both(spark, lines, "q2_tradeoff", "note") == ({"settings"}, {"settings"})
