@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "key long, event_id long, done long, total double"
@@ -89,58 +91,52 @@ PASS_OUT = "t string, key long, pass timestamp, i int, n int, event_id long, dro
 
 
 def pass_events(rows: pd.DataFrame) -> pd.DataFrame:
-    """The events of one pass from its strands (key, pass, ts, event_id, reads, ok): one for each in the order of ts and event_id, with the totals so far, and one for the file.
+    """The events of passes from their strands (key, pass, ts, event_id, reads, ok): one for each in the order of ts and event_id, with the totals so far, and one for the file.
 
     A strand without reads is a dropout and never ok; a file is ok if all its strands are.
     """
-    rows = rows.sort_values(["ts", "event_id"], ignore_index=True)
+    rows = rows.sort_values(["key", "pass", "ts", "event_id"], ignore_index=True)
     drop = rows["reads"].eq(0)
     ok = rows["ok"].astype(bool) & ~drop
-    out = pd.DataFrame({"t": "s", "key": rows["key"], "pass": rows["pass"], "i": rows.index, "n": len(rows), "event_id": rows["event_id"], "drop": drop, "ok": ok, "done": rows.index + 1, "oks": ok.cumsum(), "drops": drop.cumsum()})
-    end = out.tail(1).assign(t="file", i=len(rows), event_id=None, drop=False, ok=bool(ok.all()))
-    return pd.concat([out.astype({"event_id": "object"}), end], ignore_index=True)
-
-
-class PassProcessor(StatefulProcessor):
-    """Strands of a key's pass wait in list state until the watermark has reached the pass's end; then its events are given out in order and the state is dropped."""
-
-    def __init__(self, seconds: int):
-        self.seconds = seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "ts timestamp, event_id long, reads int, ok boolean")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if not self.waiting.exists():
-            self.handle.registerTimer(int(pd.Timestamp(key[1]).timestamp() * 1000) + 1000 * self.seconds)
-        for part in rows:
-            self.waiting.appendList([(ts.to_pydatetime(), int(e), int(r), bool(o)) for ts, e, r, o in zip(part["ts"], part["event_id"], part["reads"], part["ok"])])
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame(list(self.waiting.get()), columns=["ts", "event_id", "reads", "ok"])
-        self.waiting.clear()
-        yield pass_events(held.assign(key=key[0], **{"pass": key[1]}))
-
-    def close(self) -> None:
-        pass
+    out = pd.DataFrame({"t": "s", "key": rows["key"], "pass": rows["pass"], "event_id": rows["event_id"].astype("Int64"), "drop": drop, "ok": ok})
+    each = out.groupby(["key", "pass"], sort=False, dropna=False)
+    i = each.cumcount()
+    out = out.assign(i=i, n=each["ok"].transform("size"), done=i + 1, oks=each["ok"].cumsum(), drops=each["drop"].cumsum())
+    end = out[out["done"] == out["n"]]
+    end = end.assign(t="file", i=end["n"], event_id=pd.NA, drop=False, ok=end["oks"] == end["n"]).astype({"event_id": "Int64"})
+    return pd.concat([out, end], ignore_index=True)[["t", "key", "pass", "i", "n", "event_id", "drop", "ok", "done", "oks", "drops"]]
+
+
+def _events_of_passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """PASS_OUT of batches (key, pass, strands), all passes of a batch at once; a pass goes by its place in the batch, as keys may be null."""
+    kinds = {"i": pa.int32(), "n": pa.int32(), "event_id": pa.int64(), "drop": pa.bool_(), "ok": pa.bool_(), "done": pa.int32(), "oks": pa.int32(), "drops": pa.int32()}
+    for b in batches:
+        strands = b.column("strands")
+        ts, event_id, reads, ok = strands.flatten().flatten()
+        rows = pd.DataFrame({
+            "key": np.asarray(pc.list_parent_indices(strands)), "pass": 0, "ts": np.asarray(ts.cast(pa.int64())), "event_id": event_id.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get),
+            "reads": np.asarray(pc.fill_null(reads, -1)), "ok": np.asarray(pc.fill_null(ok, False)),
+        })
+        out = pass_events(rows)
+        at = pa.array(out["key"].to_numpy(), pa.int64())
+        columns = {"t": pa.array(out["t"], pa.string()), "key": b.column("key").take(at), "pass": b.column("pass").take(at), **{c: pa.array(out[c], kind) for c, kind in kinds.items()}}
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def strand_events_stream(strands: DataFrame, size: str = "1 day", late: str = "1 hour") -> DataFrame:
     """A stream of pass_events() from strands (key, ts, event_id, reads, ok); a pass is a key's window of event time.
 
-    Strands may come in any order as long as they are no later than the watermark; later ones are dropped, as their pass may be out already. A pass is held until the watermark
-    reaches its end, so what is kept is the open passes only. Needs the RocksDB state store (`rocksdb()`).
+    Strands of a pass wait in the state of one aggregate until the watermark has reached the pass's end; then all its events are given out and the state is dropped. Strands may come in any
+    order before that; later ones are dropped, as their pass is out already. What is kept is the open passes only. Nothing runs in Python for a single pass, only for batches of closed ones.
     """
-    seconds = int(pd.Timedelta(size).total_seconds())
-    s = strands.withWatermark("ts", late).withColumn("pass", F.window("ts", size).start)
-    return s.groupBy("key", "pass").transformWithStateInPandas(PassProcessor(seconds), PASS_OUT, "Append", "EventTime")
+    s = strands.withWatermark("ts", late)
+    passes = s.groupBy("key", F.window("ts", size).alias("w")).agg(F.collect_list(F.struct("ts", "event_id", "reads", "ok")).alias("strands"))
+    return passes.select("key", F.col("w.start").alias("pass"), "strands").mapInArrow(_events_of_passes, PASS_OUT)
 
 
 @contextmanager
 def rocksdb(spark: SparkSession) -> Iterator[None]:
-    """The state store that list state and timers need, for streams that start within."""
+    """The state store that keeps open passes outside the heap, for streams that start within."""
     name, was = "spark.sql.streaming.stateStore.providerClass", None
     was = spark.conf.get(name)
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

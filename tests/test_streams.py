@@ -61,3 +61,12 @@ def test_one_pass():
     rows = pd.DataFrame([(1, START, START, 5, 1, True), (1, START, START, 4, 0, True)], columns=["key", "pass", "ts", "event_id", "reads", "ok"])
     out = ticker.pass_events(rows)
     assert out["t"].tolist() == ["s", "s", "file"] and out["drop"].tolist() == [True, False, False] and out["ok"].tolist() == [False, True, False] and out["oks"].tolist() == [0, 1, 1]
+
+
+def test_passes_of_one_call_are_apart():
+    kinds = ["key", "pass", "ts", "event_id", "reads", "ok"]
+    rows = pd.DataFrame([(2, START, START, 7, 1, True), (1, START, START, 5, 1, True), (1, START, START, 4, 0, True), (1, START + timedelta(1), START, 6, 1, False)], columns=kinds)
+    got = ticker.pass_events(rows)
+    each = [ticker.pass_events(part[kinds]) for part in (rows[1:3], rows[3:], rows[:1])]
+    shape = lambda df: sorted(df.astype(object).where(df.notna(), None).itertuples(index=False, name=None), key=repr)
+    assert shape(got) == shape(pd.concat(each)) and got["n"].tolist().count(2) == 3
