@@ -10,20 +10,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def fit(rows: DataFrame, by: list[str], features: dict[str, Column], y: Column) -> DataFrame:
+def fit(rows: DataFrame, by: list[str], features: dict[str, Column], y: Column, times: Column | None = None) -> DataFrame:
     """(by, n, weights): for each group the weights, in the order of features, whose sum of products is nearest to y in squares.
 
     One aggregate gives the Gram matrix of the features and their products with y; its size depends on the number of features only. Rows with a null or non-finite
-    feature or y are left out; where the matrix is singular, the weights are the shortest that fit.
+    feature or y are left out; where the matrix is singular, the weights are the shortest that fit. A row stands for times rows that are equal in all of these.
     """
     names, k = list(features), len(features)
-    kept = rows.select(*by, *(c.cast("double").alias(n) for n, c in features.items()), y.cast("double").alias("__y"))
+    kept = rows.select(*by, *(c.cast("double").alias(n) for n, c in features.items()), y.cast("double").alias("__y"), (F.lit(1) if times is None else times).cast("long").alias("__times"))
     fine = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in (*names, "__y")]
     for c in fine:
         kept = kept.where(c)
     pairs = [(i, j) for i in range(k) for j in range(i + 1)]
-    sums = [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"g{i}_{j}") for i, j in pairs] + [F.sum(F.col(n) * F.col("__y")).alias(f"b{i}") for i, n in enumerate(names)]
-    gram = kept.groupBy(*by).agg(F.count("*").alias("n"), *sums)
+    sums = [F.sum(F.col(names[i]) * F.col(names[j]) * F.col("__times")).alias(f"g{i}_{j}") for i, j in pairs] + [F.sum(F.col(n) * F.col("__y") * F.col("__times")).alias(f"b{i}") for i, n in enumerate(names)]
+    gram = kept.groupBy(*by).agg(F.sum("__times").alias("n"), *sums)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.functions.cutting import count_kmers, cut_batches
+from strandlake.functions.cutting import count_cut_kmers, count_kmers, count_shapes, cut_batches, shape_batches
 
 #: Bases of one strand (28 bytes), and what an item's number is multiplied by to leave room for the numbers of its strands.
 LENGTH, ROOM = 112, 1 << 31
@@ -38,6 +38,25 @@ def kmer_counts(strands_: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     return n.groupBy("group", "k", "kmer").agg(F.sum("n").alias("n"))
 
 
+def strand_shapes(df: DataFrame, text: str = "text") -> DataFrame:
+    """Like strands(), with each strand's run (longest of one base), gc (how many G and C) and length in place of its letters."""
+    whole = [T.StructField(c, T.IntegerType()) for c in ("chunk", "run", "gc", "length")]
+    schema = T.StructType([*(f for f in df.schema.fields if f.name != text), *whole])
+    return df.mapInArrow(lambda batches: shape_batches(batches, text, LENGTH), schema)
+
+
+def shape_counts(texts: DataFrame) -> DataFrame:
+    """(group, run, gc, length, n) of the strands of texts (group, text), counted within each batch first."""
+    n = texts.select("group", "text").mapInArrow(lambda batches: count_shapes(batches, LENGTH), f"group {dict(texts.dtypes)['group']}, run int, gc int, length int, n long")
+    return n.groupBy("group", "run", "gc", "length").agg(F.sum("n").alias("n"))
+
+
+def text_kmer_counts(texts: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """What kmer_counts() gives for the strands of texts (group, text), for k of at most 5, without their letters."""
+    n = texts.select("group", "text").mapInArrow(lambda batches: count_cut_kmers(batches, ks, LENGTH), f"group {dict(texts.dtypes)['group']}, k int, kmer string, n long")
+    return n.groupBy("group", "k", "kmer").agg(F.sum("n").alias("n"))
+
+
 def benchmark_strands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strands(table(spark, sf_dir, "benchmark").select("item_id", "text")).withColumn("strand_id", F.col("item_id") * ROOM + F.col("chunk"))
 
