@@ -34,3 +34,14 @@ def test_redundancy_verdict_at_a_half(spark, lines):
 
 def test_tradeoff_at_a_half(spark, lines):
     assert both(spark, lines, "q2_tradeoff", "note") == ({"settings"}, {"settings"})
+
+
+def test_ranges_grow_in_number(spark, monkeypatch):
+    from strandlake.operators import ordering
+
+    monkeypatch.setattr(ordering, "RANGE_ROWS", 100)
+    df = spark.range(3000).selectExpr("id % 2 AS g", "(id * 7919) % 3000 AS x")
+    assert ordering.range_count(df) == 30
+    out = ordering.placed(df, ["g"], ["x"])
+    assert out.selectExpr("spark_partition_id() AS p").groupBy("p").count().selectExpr("max(count)").first()[0] < 1000
+    assert all(r.i == r.x // 2 and r.n == 1500 for r in out.collect())
