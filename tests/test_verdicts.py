@@ -36,6 +36,21 @@ def test_tradeoff_at_a_half(spark, lines):
     assert both(spark, lines, "q2_tradeoff", "note") == ({"settings"}, {"settings"})
 
 
+def test_tradeoff_beside_a_half(spark, tmp_path):
+    """Means whose seventh place is at a half itself, a hair below 0.5 hundredths, are rounded as in the SQL; so are numbers too large for seven more places."""
+    kinds = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double"
+    means = [(d, k / 100) for k in range(-20, 200) for d in ((k - 0.50000005) / 100, (k + 0.49999995) / 100)]
+    odd = [(a, b) for a in (1e301, -1e301, 1e305, 1e307, float("inf"), float("nan"), None) for b in (0.0, 2e301, 1e305)]
+    rows = [(i, i, 1, 1, 1.0, d, t) for i, (d, t) in enumerate(means + odd)]
+    spark.createDataFrame(rows, kinds).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    sql = dict(db.execute(catalog.oracle_sql()["q2_tradeoff"]).fetchall())
+    out = dict(map(tuple, catalog.queries()["q2_tradeoff"](spark, str(tmp_path)).collect()))
+    assert len(out) == len(rows)
+    assert {rows[i][5:]: (out[i], sql.get(i)) for i in out if out[i] != sql.get(i)} == {}
+
+
 def test_ranges_grow_in_number(spark, monkeypatch):
     from strandlake.operators import ordering
 
